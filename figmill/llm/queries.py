@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, matrices, packing, quality, suffix_dedup
+from . import bpe, matrices, ngram_join, packing, quality, suffix_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,10 @@ def op4_quality_rules(spark, sf_dir):
     return quality.rate(_table(spark, sf_dir, "documents"))
 
 
+def op5_ngram_join(spark, sf_dir):
+    return ngram_join.near_duplicates(_table(spark, sf_dir, "documents"), k=4, num=85, den=100)
+
+
 def op6_byte_bpe(spark, sf_dir):
     return bpe.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -32,5 +36,5 @@ def op8_token_matrices(spark, sf_dir):
     return matrices.to_matrices(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op3_suffix_dedup, op4_quality_rules, op6_byte_bpe, op8_token_matrices)}
+QUERIES = {f.__name__: f for f in (op1_packing, op3_suffix_dedup, op4_quality_rules, op5_ngram_join, op6_byte_bpe, op8_token_matrices)}
 ORACLES: dict[str, str] = {}
