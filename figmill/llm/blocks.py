@@ -99,8 +99,8 @@ def to_blocks(df: DataFrame, id_col: str, text_col: str, most: int = 4 << 20) ->
 
 
 def slices(spark: SparkSession) -> int:
-    """Number of hash slices: the session's shuffle partitions."""
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+    """Number of hash slices: some for each of the session's shuffle partitions, as a partition holds a random number of them."""
+    return 4 * max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
 def arrow_rows(schema: pa.Schema, rows: list) -> pa.RecordBatch:
@@ -137,7 +137,7 @@ def exchange(chunks: DataFrame, work, q: int) -> DataFrame:
             for (b, _), answer in zip(rows, work([unpack(x) for _, x in rows]), strict=True):
                 yield arrow_rows(CHUNKS, [(b, k, answer)])
 
-    return chunks.repartition(q, "q").mapInArrow(run, CHUNK_SCHEMA)
+    return chunks.repartition(max(1, q // 4), "q").mapInArrow(run, CHUNK_SCHEMA)
 
 
 def with_answers(blocks: DataFrame, answers: list[DataFrame], work, schema: str) -> DataFrame:

@@ -141,7 +141,7 @@ class Round:
             n = f[n]
             low = self.key[n] & LOW48
             ids = self.ids[n]
-            rows.append((blk, k, B.pack((low & U(0xFFFFFFFF)).astype(np.uint32), (low >> U(32)).astype(np.uint16), self.full[n], ids, self.at[n].astype(np.int64))))
+            rows.append((blk, k, B.pack((low & U(0xFFFFFFFF)).astype(np.uint32), (low >> U(32)).astype(np.uint16), self.full[n], ids, self.at[n].astype(np.int32 if self.at[n].max() < 1 << 31 else np.int64))))
         if rows:
             yield B.arrow_rows(B.CHUNKS, rows)
 
