@@ -49,6 +49,9 @@ def unpack(body: bytes) -> list[np.ndarray]:
     return out
 
 
+_BLOCKS = pa.schema([("blk", pa.int64()), ("body", pa.binary())])
+
+
 def text_arrays(ids: pa.Array, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(ids int64, byte offsets int64, bytes uint8) of Arrow columns; a null text is empty."""
     texts = texts.cast(pa.large_binary()) if not pa.types.is_large_binary(texts.type) else texts
@@ -84,18 +87,32 @@ def _joined(ids, lens, data):
     return np.concatenate(ids), np.concatenate([[0], np.cumsum(np.concatenate(lens))]).astype(np.int64), np.concatenate(data)
 
 
-def to_blocks(df: DataFrame, id_col: str, text_col: str, most: int = 4 << 20) -> DataFrame:
-    """One row per block: a number, and the block's ids, offsets and UTF-8 bytes.  Rows with a null id are refused."""
+def to_blocks(df: DataFrame, id_col: str, text_col: str, most: int = 4 << 20, rest: str | None = None) -> DataFrame:
+    """One row per block: a number, and the block's ids, offsets and UTF-8 bytes.  Rows with a null id are refused.
+
+    `rest` names a string column to be carried along; its offsets and bytes follow in the block.
+    """
 
     def blocks(parts):
         from pyspark import TaskContext
 
         base = TaskContext.get().partitionId() << 33
-        for n, (ids, off, data) in enumerate(batches(parts, "id", "text", most)):
-            yield pa.RecordBatch.from_arrays([pa.array([base + n], pa.int64()), pa.array([pack(ids, off, data)], pa.binary())], ["blk", "body"])
+        n = 0
+        if rest is None:
+            for n, (ids, off, data) in enumerate(batches(parts, "id", "text", most)):
+                yield arrow_rows(_BLOCKS, [(base + n, pack(ids, off, data))])
+            return
+        for batch in parts:
+            at = 0
+            while at < batch.num_rows:
+                own = batch.slice(at, 256)
+                at += 256
+                ids, off, data = text_arrays(own.column(0), own.column(1))
+                yield arrow_rows(_BLOCKS, [(base + n, pack(ids, off, data, *text_arrays(own.column(0), own.column(2))[1:]))])
+                n += 1
 
-    src = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return src.select(F.coalesce("id", F.raise_error(F.lit(f"null {id_col}")).cast("long")).alias("id"), "text").mapInArrow(blocks, BLOCK_SCHEMA)
+    src = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *([F.col(rest).alias("rest")] if rest else []))
+    return src.withColumn("id", F.coalesce("id", F.raise_error(F.lit(f"null {id_col}")).cast("long"))).mapInArrow(blocks, BLOCK_SCHEMA)
 
 
 def slices(spark: SparkSession) -> int:
@@ -124,8 +141,11 @@ def split_slices(which: np.ndarray, q: int):
             yield k, order[ends[k] : ends[k + 1]]
 
 
-def exchange(chunks: DataFrame, work, q: int) -> DataFrame:
-    """Runs work(list of arrays per chunk) -> list of packed answers over each slice; answers carry the chunk's blk and q."""
+def exchange(chunks: DataFrame, work, q: int, total=None) -> DataFrame:
+    """Runs work(list of arrays per chunk, slice) -> list of packed answers over each slice; answers carry the chunk's blk and q.
+
+    total(list of arrays per chunk, slice) gives one more answer a slice, whose blk is -1.  Without work there are only those.
+    """
 
     def run(parts):
         got: dict[int, list] = {}
@@ -134,8 +154,12 @@ def exchange(chunks: DataFrame, work, q: int) -> DataFrame:
                 got.setdefault(k, []).append((b, body))
         for k in sorted(got):
             rows = got.pop(k)
-            for (b, _), answer in zip(rows, work([unpack(x) for _, x in rows]), strict=True):
-                yield arrow_rows(CHUNKS, [(b, k, answer)])
+            arrays = [unpack(x) for _, x in rows]
+            if total:
+                yield arrow_rows(CHUNKS, [(-1, k, total(arrays, k))])
+            if work:
+                for (b, _), answer in zip(rows, work(arrays, k), strict=True):
+                    yield arrow_rows(CHUNKS, [(b, k, answer)])
 
     return chunks.repartition(max(1, q // 4), "q").mapInArrow(run, CHUNK_SCHEMA)
 

@@ -74,7 +74,7 @@ class Words:
 
 
 def _encoded(path: str, pattern: str):
-    def work(chunks: list) -> list[bytes]:
+    def work(chunks: list, _: int) -> list[bytes]:
         encoding, _ = _library(path, pattern)
         encode = encoding._encode_single_piece if hasattr(encoding, "_encode_single_piece") else lambda w: encoding.encode_ordinary(w.decode())
         known: dict[bytes, bytes] = {}

@@ -84,6 +84,28 @@ def counts(data: np.ndarray, off: np.ndarray):
 
 
 SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, ratio double, chunk_ratio double, odd_chunks double"
+NAMES = [x.split()[0] for x in SCHEMA.split(", ")]
+
+
+def _rated(texts: pa.Array, squeeze) -> list[pa.Array]:
+    """The columns of SCHEMA after doc_id."""
+    _, off, data = B.text_arrays(pa.nulls(len(texts), pa.int64()).fill_null(0), texts)
+    cols: list[list] = [[] for _ in range(10)]
+    for a, b in segments(off):
+        part, o = data[off[a] : off[b]], off[a : b + 1] - off[a]
+        n, chars, marks, again = counts(part, o)
+        raw = part.tobytes()
+        plain = [raw[x:y] for x, y in zip(o[:-1].tolist(), o[1:].tolist(), strict=True)]
+        bad = ((n < 50) | (100 * again > 50 * n)).tolist()
+        bands = [compression(t, squeeze) for t in plain]
+        own = (n.tolist(), chars.tolist(), marks.tolist(), [repeated_lines(t) for t in plain], again.tolist(), bad, [not x and y[3] for x, y in zip(bad, bands, strict=True)], *zip(*(y[:3] for y in bands), strict=True))
+        for c, v in zip(cols, own, strict=True):
+            c.extend(v)
+    return [pa.array(c, t) for c, t in zip(cols, [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.float64()] * 3, strict=True)]
+
+
+def _squeeze():
+    return zstandard.ZstdCompressor(level=LEVEL, write_content_size=False).compress
 
 
 def rate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -95,22 +117,22 @@ def rate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
     """
 
     def run(parts):
-        squeeze = zstandard.ZstdCompressor(level=LEVEL, write_content_size=False).compress
+        squeeze = _squeeze()
         for batch in parts:
-            if not batch.num_rows:
-                continue
-            _, off, data = B.text_arrays(pa.nulls(batch.num_rows, pa.int64()).fill_null(0), batch.column(1))
-            cols: list[list] = [[] for _ in range(10)]
-            for a, b in segments(off):
-                part, o = data[off[a] : off[b]], off[a : b + 1] - off[a]
-                n, chars, marks, again = counts(part, o)
-                raw = part.tobytes()
-                texts = [raw[x:y] for x, y in zip(o[:-1].tolist(), o[1:].tolist(), strict=True)]
-                bad = (n < 50) | (100 * again > 50 * n)
-                bands = [compression(t, squeeze) for t in texts]
-                for c, v in zip(cols, (n, chars, marks, [repeated_lines(t) for t in texts], again, bad, [not x and y[3] for x, y in zip(bad.tolist(), bands, strict=True)], *zip(*(y[:3] for y in bands), strict=True)), strict=True):
-                    c.extend(v.tolist() if isinstance(v, np.ndarray) else v)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(cols, [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.float64()] * 3, strict=True))], names)
-
-    names = [x.split()[0] for x in SCHEMA.split(", ")]
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([batch.column(0), *_rated(batch.column(1), squeeze)], NAMES)
+
     return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, SCHEMA)
+
+
+def keep(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows of df whose texts rate() keeps, with all their columns; nothing is shuffled."""
+    at = df.columns.index(text_col)
+
+    def run(parts):
+        squeeze = _squeeze()
+        for batch in parts:
+            if batch.num_rows:
+                yield batch.filter(_rated(batch.column(at), squeeze)[NAMES.index("kept") - 1])
+
+    return df.mapInArrow(run, df.schema)

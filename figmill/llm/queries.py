@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, matrices, ngram_join, packing, quality, suffix_dedup
+from . import bpe, lm, matrices, metric_join, ngram_join, packing, quality, quotes, suffix_dedup, wrappers
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,8 +16,12 @@ def op1_packing(spark, sf_dir):
     return packing.pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op2_metric_join(spark, sf_dir):
+    return metric_join.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op3_suffix_dedup(spark, sf_dir):
-    return suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"), with_text=False).drop("kept")
+    return suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"), with_text=False).drop("kept", "rest")
 
 
 def op4_quality_rules(spark, sf_dir):
@@ -32,9 +36,21 @@ def op6_byte_bpe(spark, sf_dir):
     return bpe.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op7_pitman_yor(spark, sf_dir):
+    return lm.score(_table(spark, sf_dir, "documents"))
+
+
 def op8_token_matrices(spark, sf_dir):
     return matrices.to_matrices(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op3_suffix_dedup, op4_quality_rules, op5_ngram_join, op6_byte_bpe, op8_token_matrices)}
+def op9_html_wrappers(spark, sf_dir):
+    return wrappers.extract(_table(spark, sf_dir, "pages"))
+
+
+def op10_quote_linking(spark, sf_dir):
+    return quotes.link(_table(spark, sf_dir, "conversations"))
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_metric_join, op3_suffix_dedup, op4_quality_rules, op5_ngram_join, op6_byte_bpe, op7_pitman_yor, op8_token_matrices, op9_html_wrappers, op10_quote_linking)}
 ORACLES: dict[str, str] = {}
