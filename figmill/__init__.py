@@ -1,0 +1 @@
+"""Figure and document structure as DataFrames."""
