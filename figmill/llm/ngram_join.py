@@ -11,10 +11,11 @@ num/den.  The steps, none of which loses a link:
 4. The rest is ordered from rare to frequent.  Small sets enumerate the fixed-size subsets
    (pairs) of their first shingles, and meet in equal subsets.  Large sets, and the small ones
    near enough in size to link with a large one, scan the inverted lists of their first single
-   shingles.  The boundary is the size at which both together cost least.
-5. Sets that meet are compared exactly, beginning with one hub for each key; sets that links
-   have joined already need no comparison, so a group of copies costs about its size.  Rounds
-   with more and more members follow until no pair of different components is left.
+   shingles.  The boundary is the size at which both together cost least; as lists are scanned
+   from hubs, a list costs each of its members the root of its length.
+5. Sets that meet are compared exactly, first each with one hub (the smallest id it meets).
+   Sets that this has joined need no more comparison, so a group of copies costs about its size.
+   The others are compared with all that they meet, in tiles, and only the links found leave a tile.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from .components import components
 from .kernels import U, mix, shingles, word_hashes
 
 SUBSET = 2
-ROUNDS = (1, 8, 64, None)
+TILE = 4096
 
 
 def need(n, num: int, den: int):
@@ -89,7 +90,7 @@ def _kept_sets(docs: DataFrame, reps: DataFrame, k: int, num: int, den: int, q:
         for j, n in B.split_slices(B.slice_of(h, q), q):
             yield B.arrow_rows(B.CHUNKS, [(blk, j, B.pack(h[n], sig[n]))])
 
-    def shared(chunks):
+    def shared(chunks, _):
         h, sig = (np.concatenate([c[i] for c in chunks]) for i in (0, 1))
         order = np.lexsort((sig, h))
         a, b = h[order], sig[order]
@@ -129,7 +130,7 @@ def _ordered_sets(kept: DataFrame, num: int, den: int, q: int) -> DataFrame:
         for j, n in B.split_slices(B.slice_of(h, q), q):
             yield B.arrow_rows(B.CHUNKS, [(blk, j, B.pack(h[n], count[n].astype(np.uint32)))])
 
-    def total(chunks):
+    def total(chunks, _):
         h, inverse = np.unique(np.concatenate([c[0] for c in chunks]), return_inverse=True)
         sums = np.bincount(inverse, np.concatenate([c[1] for c in chunks]), len(h)).astype(np.uint32)[inverse]
         ends = np.cumsum([len(c[0]) for c in chunks])
@@ -151,7 +152,7 @@ def _ordered_sets(kept: DataFrame, num: int, den: int, q: int) -> DataFrame:
             t, f = t[many], f[many]
             by = np.lexsort((t, f))
             first = prefix(n, num, den) - (n - left)
-            rows.append((i, n, float((first + 1) * first / 2), float(f[by][:first].sum()), t[by].tobytes(), first))
+            rows.append((i, n, float((first + 1) * first / 2), float(np.sqrt(f[by][:first]).sum()), t[by].tobytes(), first))
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.int32()), strict=True)], [x.split()[0] for x in SETS.split(", ")])
 
@@ -214,31 +215,82 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     return pairs.join(one, "a").join(two, "b").select("a", "b", "na", "ta", "nb", "tb").mapInArrow(run, "a long, b long, linked boolean")
 
 
+def _groups(keys: DataFrame, comp: DataFrame, homes: DataFrame) -> DataFrame:
+    """(g, id, component, home): who has to be compared with whom after the hubs.
+
+    A key that joins several components sends its members to the homes (hubs) of them all.  So two members of a
+    key with different components meet at the home of either.
+    """
+    here = keys.join(homes, "id").join(comp, "id", "left").select("key", "id", "home", F.coalesce("component", "id").alias("component"))
+    mixed = here.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("key")
+    here = here.join(mixed, "key")
+    places = here.select("key", F.col("home").alias("g")).distinct()
+    return here.join(places, "key").groupBy("g", "id").agg(F.first("component").alias("component"), F.first("home").alias("home"))
+
+
+def _compared(groups: DataFrame, comp: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Links (a, b) between members of a group: for each member outside the hub's component, one to each component it links with.
+
+    Members of the hub's component are joined already and aren't compared with each other.  A group of any
+    size is dealt out in tiles of TILE members against TILE members.
+    """
+    main = comp.withColumnRenamed("id", "g").withColumnRenamed("component", "main")
+    g = B.checkpointed(groups.join(main, "g", "left").withColumn("active", F.col("component") != F.coalesce("main", "g")).drop("main"))
+    size = g.groupBy("g").agg(F.ceil(F.count_if("active") / TILE).cast("int").alias("ni"), F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("nj")).filter("ni > 0")
+    g = g.join(size, "g").withColumn("i", F.pmod(F.xxhash64("id"), F.col("ni")).cast("int")).withColumn("j", F.pmod(F.xxhash64("id"), F.col("nj")).cast("int"))
+    one = g.filter("active").select("g", "i", F.explode(F.sequence(F.lit(0), F.col("nj") - 1)).alias("j"), "id", "component", F.lit(True).alias("active"))
+    two = g.select("g", F.explode(F.sequence(F.lit(0), F.col("ni") - 1)).alias("i"), "j", "id", "component", F.lit(False).alias("active"))
+    rows = one.union(two).join(sets.select("id", "n", "tokens"), "id").select("g", "i", "j", "active", "id", "component", "n", "tokens")
+
+    def compare(ids, comps, sizes, active, tokens):
+        vocabulary, number = np.unique(np.concatenate(tokens), return_inverse=True)
+        ends = np.cumsum([len(t) for t in tokens])
+        own = [number[e - len(t) : e] for e, t in zip(ends, tokens, strict=True)]
+        right = np.flatnonzero(~active)
+        if not len(right):
+            return
+        flat, first = np.concatenate([own[r] for r in right]), np.cumsum([0] + [len(own[r]) for r in right[:-1]])
+        mark = np.zeros(len(vocabulary), np.int32)
+        for k in np.flatnonzero(active):
+            mark[own[k]] = 1
+            both = np.add.reduceat(mark[flat], first)
+            mark[own[k]] = 0
+            hit = (den * both >= num * (sizes[k] + sizes[right] - both)) & (comps[right] != comps[k])
+            if hit.any():
+                to = right[hit]
+                _, one_each = np.unique(comps[to], return_index=True)
+                for r in to[one_each]:
+                    yield int(ids[k]), int(ids[r])
+
+    def run(parts):
+        key, held = None, []
+
+        def done():
+            if any(h[0] for h in held) and len(held) > 1:
+                active, ids, comps, sizes, tokens = zip(*held, strict=True)
+                found = list(compare(np.array(ids), np.array(comps), np.array(sizes), np.array(active), [np.frombuffer(t, U) for t in tokens]))
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["a", "b"])
+
+        for batch in parts:
+            for g, i, j, *row in zip(*(batch.column(c).to_pylist() for c in range(8)), strict=True):
+                if key != (g, i, j):
+                    yield from done()
+                    key, held = (g, i, j), []
+                held.append(row)
+        yield from done()
+
+    return rows.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j").mapInArrow(run, "a long, b long")
+
+
 def _linked(sets: DataFrame, keys: DataFrame, num: int, den: int) -> DataFrame:
     """(id, component) of the sets that some link touches."""
     hubs = keys.groupBy("key").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "hub")
-    pairs = keys.join(hubs, "key").filter("id <> hub").groupBy("id").agg(F.min("hub").alias("a")).select("a", F.col("id").alias("b"))
-    tested = B.checkpointed(_verified(pairs, sets, num, den))
-    comp = B.checkpointed(components(tested.filter("linked").select("a", "b")))
-    for most in ROUNDS:
-        here = keys.join(comp, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-        mixed = here.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("key")
-        here = here.join(mixed, "key")
-        if most is not None:
-            from pyspark.sql import Window
-
-            here = here.withColumn("rank", F.row_number().over(Window.partitionBy("key", "component").orderBy(F.xxhash64("id"), "id"))).filter(F.col("rank") <= most)
-        other = here.select("key", F.col("id").alias("b"), F.col("component").alias("other"))
-        pairs = here.join(other, "key").filter("id < b and component <> other").select(F.col("id").alias("a"), "b").distinct()
-        more = B.checkpointed(_verified(pairs.join(tested, ["a", "b"], "left_anti"), sets, num, den))
-        n, links = more.agg(F.count(F.lit(1)), F.count_if("linked")).first()
-        if n:
-            tested = tested.union(more)
-        if links:
-            comp = B.checkpointed(components(tested.filter("linked").select("a", "b")))
-        if not n and most is None:
-            break
-    return comp
+    homes = B.checkpointed(keys.join(hubs, "key").groupBy("id").agg(F.min("hub").alias("home")))
+    links = B.checkpointed(_verified(homes.filter("id <> home").select(F.col("home").alias("a"), F.col("id").alias("b")), sets, num, den).filter("linked").select("a", "b"))
+    comp = B.checkpointed(components(links))
+    more = B.checkpointed(_compared(_groups(keys, comp, homes), comp, sets, num, den))
+    return components(links.union(more)) if more.head(1) else comp
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
