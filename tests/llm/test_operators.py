@@ -1,0 +1,286 @@
+"""Every operator against brute force on small tables with nulls, empty and repeated texts, ties and clashing columns."""
+
+import collections
+import hashlib
+import math
+import random
+import re
+import zlib
+
+import numpy as np
+import pandas as pd
+import public_tokenizers as P
+import pytest
+
+from figmill.llm import bpe, components, lm, matrices, metric_join, ngram_join, packing, quality, quotes, suffix_dedup, wrappers
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+JSON, RANKS = P.path("byte_bpe_50k.json"), P.path("byte_bpe_50k.tiktoken")
+ODD = [None, "", " ", "\n\n", "a", "a  b", " a", "a\n b \n", "été  naïve's x\x1cy", "<|endoftext|> x", "x" * 3000, "日本 語\r\n", "don't  'll 12,345 -- end "]
+
+
+def texts(seed=1, n=60):
+    rnd = random.Random(seed)
+    words = ["".join(rnd.choice("abcdeéß'1,.") for _ in range(rnd.randint(1, 7))) for _ in range(60)]
+    base = [" ".join(rnd.choice(words) for _ in range(rnd.randint(1, 300))) for _ in range(12)]
+    return ODD + base + [rnd.choice(base) if rnd.random() < 0.5 else rnd.choice(base)[: rnd.randint(1, 900)] for _ in range(n)]
+
+
+def frame(spark, values, parts=3):
+    rows = [(7 * i + 3, v, i, "z") for i, v in enumerate(values)]
+    return spark.createDataFrame(rows, "doc_id long, text string, n long, blk string").repartition(parts)
+
+
+@pytest.fixture(scope="module")
+def encode():
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(JSON)
+    t.encode_special_tokens = True
+    return lambda x: t.encode(x or "", add_special_tokens=False).ids
+
+
+def test_packing(spark, encode):
+    values = texts()
+    got = packing.pack_documents(frame(spark, values), JSON).toPandas()
+    ids = {7 * i + 3: np.array(encode(v) + [0], "<u4") for i, v in enumerate(values)}
+    assert set(got.doc_id) == set(ids)
+    for i, g in got.sort_values("start").groupby("doc_id"):
+        assert list(g.start) == list(np.cumsum(g.length) - g.length) and g.length.sum() == len(ids[i]) == g.doc_tokens.iloc[0]
+        assert all(zlib.crc32(ids[i][s : s + n].tobytes()) == c for s, n, c in zip(g.start, g.length, g.ids_crc32))
+    for _, g in got.sort_values("offset").groupby("sequence_id"):
+        assert list(g.offset) == list(np.cumsum(g.length) - g.length)
+        n = g.length.sum()
+        assert n == g.sequence_length.iloc[0] <= 1024 and n & n - 1 == 0
+
+
+def test_packing_of_lengths():
+    rnd = random.Random(2)
+    for lengths in ([], [1], [1024], [1025, 3], [rnd.randint(1, 3000) for _ in range(300)], [600] * 50, [5] * 7):
+        seen = collections.Counter()
+        for w in packing.pack(lengths):
+            assert w.used == w.size == sum(n for _, _, n in w.pieces)
+            for d, s, n in w.pieces:
+                seen.update((d, k) for k in range(s, s + n))
+        assert seen == collections.Counter((d, k) for d, n in enumerate(lengths) for k in range(n))
+
+
+def test_matrices(spark, encode):
+    values = texts()
+    got = matrices.to_matrices(frame(spark, values), JSON, width=64).collect()
+    ids, back = {7 * i + 3: encode(v) + [50256] for i, v in enumerate(values)}, collections.defaultdict(dict)
+    for r in got:
+        row, at = np.frombuffer(r.input_ids, "<u4"), np.frombuffer(r.position_ids, "<u2")
+        assert len(row) == len(at) == 64 and r.cu_seqlens[-1] == r.n_tokens
+        for d, s, a, b in zip(r.doc_ids, r.starts, r.cu_seqlens, r.cu_seqlens[1:]):
+            back[d][s] = row[a:b].tolist()
+            assert at[a:b].tolist() == list(range(b - a))
+    assert {d: [x for s in sorted(p) for x in p[s]] for d, p in back.items()} == ids
+
+
+def test_best_fit():
+    rnd = random.Random(4)
+    for _ in range(20):
+        lengths = [rnd.randint(1, 40) for _ in range(60)]
+        left, want = [], 0
+        for n in sorted(lengths, reverse=True):
+            fit = [x for x in left if x >= n]
+            if fit:
+                left.remove(min(fit))
+                left.append(min(fit) - n)
+            else:
+                left.append(40 - n)
+                want += 1
+        assert len(matrices.best_fit_decreasing(lengths, 40)) == want
+
+
+def test_byte_bpe(spark):
+    import tiktoken
+
+    values = texts()
+    e = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.read_ranks(RANKS), special_tokens={})
+    got = {r.doc_id: r for r in bpe.round_trip(frame(spark, values), RANKS, P.PATTERN).collect()}
+    coded = bpe.encode(frame(spark, values), RANKS, P.PATTERN)
+    plain = {r.doc_id: bytes(r["bytes"]) for r in bpe.decode(coded, RANKS).collect()}
+    for i, v in enumerate(values):
+        ids = np.array(e.encode_ordinary(v or ""), "<u4")
+        r = got[7 * i + 3]
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256((v or "").encode()).hexdigest())
+        assert plain[7 * i + 3] == (v or "").encode()
+
+
+@pytest.mark.parametrize("length", [8, 100])
+def test_suffix_dedup(spark, length):
+    values, seen, want = texts(3), set(), {}
+    for i, v in enumerate(values):
+        b = (v or "").encode()
+        gone = [False] * len(b)
+        for p in range(len(b) - length + 1):
+            x = b[p : p + length]
+            if x in seen:
+                gone[p : p + length] = [True] * length
+            seen.add(x)
+        kept = bytes(c for c, g in zip(b, gone) if not g)
+        want[7 * i + 3] = (len(b), sum(gone), sum(g and not (k and gone[k - 1]) for k, g in enumerate(gone)), hashlib.sha256(kept).hexdigest(), kept)
+    got = suffix_dedup.remove_repeats(frame(spark, values), length=length).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, bytes(r.kept)) for r in got} == want
+
+
+def test_quality(spark):
+    values = texts() + ["one two three four " * 40, "good line\nother\ngood line\n \n \n", "a a a a"]
+    for r in quality.rate(frame(spark, values)).collect():
+        t = values[(r.doc_id - 3) // 7] or ""
+        w = WORD.findall(t)
+        three = list(zip(w, w[1:], w[2:]))
+        n = collections.Counter(three)
+        again = {k + j for k, x in enumerate(three) if n[x] > 1 for j in range(3)}
+        lines = [x for x in t.split("\n") if WORD.search(x)]
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(again))
+        assert r.base_failed == (len(w) < 50 or 100 * len(again) > 50 * len(w)) and not (r.base_failed and r.kept)
+    kept = quality.keep(frame(spark, values))
+    assert {r.doc_id for r in kept.collect()} == {r.doc_id for r in quality.rate(frame(spark, values)).collect() if r.kept}
+
+
+@pytest.mark.parametrize("k, num", [(4, 85), (2, 60)])
+def test_ngram_join(spark, k, num):
+    rnd = random.Random(k)
+    base = [[str(rnd.randint(0, 300)) for _ in range(rnd.randint(1, 70))] for _ in range(15)]
+    values = ODD[:6]
+    for _ in range(150):
+        w = list(rnd.choice(base))
+        for _ in range(rnd.choice([0, 0, 1, 2, 5])):
+            w.insert(rnd.randrange(len(w) + 1), "X" + str(rnd.randint(0, 5)))
+        values.append(" ".join(w))
+    sets = []
+    for v in values:
+        w = WORD.findall((v or "").translate(LOWER))
+        sets.append({tuple(w[j : j + k]) for j in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} if w else set())
+    root = list(range(len(sets)))
+    for _ in range(20):
+        for i, a in enumerate(sets):
+            for j in range(i):
+                if a and sets[j] and 100 * len(a & sets[j]) >= num * len(a | sets[j]):
+                    root[i] = root[j] = min(root[i], root[j])
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.near_duplicates(frame(spark, values), k=k, num=num).collect()}
+    assert got == {7 * i + 3: (len(s), 7 * root[i] + 3) for i, s in enumerate(sets)}
+
+
+def test_ngram_tiles(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "TILE", 5)
+    test_ngram_join(spark, 2, 60)
+
+
+def test_metric_join(spark, monkeypatch):
+    monkeypatch.setattr(metric_join, "CELL", 20)
+    monkeypatch.setattr(metric_join, "TILE", 16)
+    rnd = np.random.default_rng(1)
+    centre = rnd.normal(size=(12, 8))
+    rows = [(i, (centre[i % 12] + rnd.normal(size=8) * rnd.choice([0.0, 0.05, 0.1, 0.2])).astype("float32").tolist(), int(i % 12 % 3)) for i in range(200)]
+    rows += [(200, None, 1), (201, [0.0] * 8, 1), (202, [float("nan")] + [1.0] * 7, 1), (203, [None] + [1.0] * 7, 1), (204, rows[0][1], None), (205, [2 * x for x in rows[0][1]], 0), (206, [1.0, 0.0], 0), (207, [], 0), (208, [float("inf")] * 8, 0), (None, rows[0][1], 0)]
+    df = spark.createDataFrame([(a, b, c, 1) for a, b, c in rows], "vec_id long, embedding array<float>, label int, n int").repartition(3)
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in metric_join.near_duplicates(df, least=0.98).collect()}
+
+    def usable(v):
+        return v and all(x is not None and math.isfinite(x) for x in v) and any(v)
+
+    n, link = len(rows) - 1, {}
+    for i in range(n):
+        link[i] = [j for j in range(n) if i != j and rows[i][2] is not None and rows[i][2] == rows[j][2] and usable(rows[i][1]) and usable(rows[j][1]) and len(rows[i][1]) == len(rows[j][1]) and np.dot(rows[i][1], rows[j][1]) / np.linalg.norm(np.array(rows[i][1], float)) / np.linalg.norm(np.array(rows[j][1], float)) >= 0.98]
+    comp = list(range(n))
+    for _ in range(n):
+        comp = [min([comp[i], *(comp[j] for j in link[i])]) for i in range(n)]
+    assert got.pop(None) == (0, None, None)
+    assert got == {i: (len(link[i]), comp[i], comp[i] == i) for i in range(n)}
+
+
+def test_components(spark):
+    edges = [(i, i + 1) for i in range(40)] + [(100, 102), (101, 102), (7, 7), (300, 300)]
+    got = {r.id: r.component for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100, 102: 100, 300: 300}
+
+
+def test_language_model(spark):
+    values = texts()
+    got = {r.doc_id: r for r in lm.score(frame(spark, values)).collect()}
+    tokens = {7 * i + 3: [*WORD.findall((v or "").translate(LOWER)), ""] for i, v in enumerate(values)}
+    n = collections.Counter(t for i, x in tokens.items() if zlib.crc32(str(i).encode()) % 5 != 1 for t in x)
+    total = sum(n.values())
+    for i, x in tokens.items():
+        r = got[i]
+        base = sum(math.log10((n[t] + 0.5) / (total + 0.5 * (len(n) + 1))) for t in x)
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (zlib.crc32(str(i).encode()) % 5 == 1, len(x), sum(n[t] > 0 for t in x), total)
+        assert abs(r.base_score - base) < 1e-6 * abs(base) and r.score < 0
+    held = [r for r in got.values() if r.held_out]
+    assert held and sum(r.score for r in held) > sum(r.base_score for r in held)
+
+
+def test_stirling():
+    p = lm.leave_alone(0.5, 5)
+    assert p[1, 1] == 1 and p[2, 1] == 0 and p[2, 2] == 1
+    assert abs(p[3, 2] - 0.5 / (0.5 + 1.0)) < 1e-12  # S(3,2) = S(2,1) + (2 - 2 * 0.5) S(2,2), S(2,1) = 0.5
+
+
+PAGE = "<!doctype html><html><head><title>t</title><script>var a='<p>';</script></head><body><header>top</header><nav><ul><li><a href=/>x</a></ul></nav><div class='cookie-notice'>ok?</div><article class=post><header><h1>A &amp; B</h1><span>by me</span></header><p>one\n two<br>three&nbsp;<b>four<p>five <i>six</i></p><div class=ad>buy</div><form><input></form><ul><li>p<li>q</ul><section id='comments'>hi</section></article><aside>s</aside><footer>f</footer></body>"
+
+
+def test_html(spark):
+    rows = [(1, "http://a.b/1", PAGE, 5), (2, None, None, 5), (3, "", "", 5), (4, "http://a.b/2", PAGE.replace("article", "div").replace("class=post", "class=body-text"), 5), (5, "http://a.b/3", "plain < text & more", 5), (1, "http://a.b/1", PAGE, 5)]
+    got = wrappers.extract(spark.createDataFrame(rows, "page_id long, url string, html string, host int")).collect()
+    want = "A & B\none two three four\nfive six\np\nq"
+    assert sorted((r.page_id, r.text) for r in got) == [(1, want), (1, want), (2, ""), (3, ""), (4, want), (5, "plain < text & more")]
+    assert all(r.n_chars == len(r.text) for r in got)
+
+
+def test_wrapper_pattern():
+    e = [wrappers.expression(wrappers.parse(f"<article><h1>t</h1>{'<p>x</p>' * n}{x}</article>")) for n, x in ((1, ""), (3, "<ul><li>a</ul>"))]
+    assert wrappers.pattern(wrappers.aligned(*e)) == "<> <article> <h1> # </h1> ( <p> # </p> )+ ( <ul> <li> # </li> </ul> )? </article> </>"
+
+
+def test_quotes(spark):
+    rows = [(1, 0, "user", "First point.\n\nSecond  Point."), (1, 1, "assistant", "Other."), (1, 2, "user", "A wrote:\n> second point.\n>> deeper\nI agree."), (2, 0, "user", "> Other.\nyes"), (2, 1, "user", None), (None, None, None, None), (2, 1, "user", None)]
+    got = sorted(quotes.link(spark.createDataFrame([(*r, 9) for r in rows], "conv_id long, turn long, role string, text string, position int")).collect(), key=lambda r: (r.conv_id or 0, r.position))
+    assert [(r.conv_id, r.turn, r.text, r.n_quotes, r.n_linked, r.parent_conv, r.parent_turn) for r in got] == [(None, None, "", 0, 0, None, None), (1, 0, rows[0][3], 0, 0, None, None), (1, 1, "Other.", 0, 0, 1, 0), (1, 2, "I agree.", 2, 1, 1, 0), (2, 0, "yes", 1, 1, 1, 1), (2, 1, "", 0, 0, 2, 0), (2, 1, "", 0, 0, 2, 0)]
+
+
+EMPTY = [
+    (packing.pack_documents, (JSON,)), (matrices.to_matrices, (JSON,)), (bpe.round_trip, (RANKS, P.PATTERN)), (suffix_dedup.remove_repeats, ()),
+    (quality.rate, ()), (ngram_join.near_duplicates, ()), (lm.score, ()),
+]
+
+
+@pytest.mark.parametrize("operator, more", EMPTY)
+def test_empty_table(spark, operator, more):
+    assert operator(spark.createDataFrame([], "doc_id long, text string"), *more).count() == 0
+
+
+def test_empty_tables_of_others(spark):
+    assert metric_join.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
+    assert wrappers.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+    assert quotes.link(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+
+
+def test_pipeline(spark, tmp_path):
+    import corpus_pipeline
+
+    rnd = random.Random(9)
+    words = ["".join(rnd.choice("abcdefghijklmnop") for _ in range(rnd.randint(3, 9))) for _ in range(3000)]
+    prose = [" ".join(rnd.choice(words) for _ in range(200)) for _ in range(12)]
+    shared = " ".join(rnd.choice(words) for _ in range(60))
+    values = [*prose, prose[0], prose[1] + " more", "spam " * 300, None, prose[2][:500] + " " + shared + " " + prose[3][::-1], prose[4][::-1] + " " + shared]
+    rows = [(i, v, "en", "s", len(v or "")) for i, v in enumerate(values)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    kept, seen = [docs], []
+    for n, (_, f) in enumerate(corpus_pipeline.STAGES):
+        out = f(spark, kept[-1], str(tmp_path))
+        out.write.parquet(str(tmp_path / f"{n}"))
+        kept.append(spark.read.parquet(str(tmp_path / f"{n}")))
+        seen.append({r.doc_id for r in kept[-1].select("doc_id").collect()})
+        assert n == 3 or kept[-1].columns == docs.columns
+    assert {14, 15}.isdisjoint(seen[0]) and set(range(12)) <= seen[0]
+    assert {12, 13}.isdisjoint(seen[1]) and set(range(12)) | {16, 17} <= seen[1] and seen[1] == seen[2] == seen[3]
+    last = kept[3].toPandas().set_index("doc_id")
+    assert shared in last.text[16] and shared not in last.text[17] and (last.n_chars == last.text.map(len)).all() and set(last.lang) == {"en"}
+    want = pd.DataFrame([tuple(r)[:6] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()])
+    assert want[2].sum() == kept[4].toPandas().length.sum()
