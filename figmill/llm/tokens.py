@@ -7,6 +7,7 @@ parts, each of which is encoded once per worker while it stays in a bounded cach
 
 from __future__ import annotations
 
+import json
 import os
 import re
 
@@ -19,12 +20,12 @@ SINGLE = re.compile(r"(?<=\S) (?=\S)")
 class Parts(dict):
     """Part of a text -> what `make(part)` gives for it; parts that can't stand alone raise Unsafe."""
 
-    def __init__(self, make):
+    def __init__(self, make, any_part: bool = False):
         super().__init__()
-        self.make = make
+        self.make, self.any_part = make, any_part
 
     def __missing__(self, part: str):
-        if not part or part[0].isspace() or part[-1].isspace():
+        if not self.any_part and (not part or part[0].isspace() or part[-1].isspace()):
             raise Unsafe
         made = self.make(part)
         if len(part) <= LONG_PART:
@@ -52,8 +53,19 @@ def joined(text: str, whole, rest: Parts) -> bytes:
     return whole(first) + b"".join([rest.make(x) if x[0].isspace() or x[-1].isspace() else rest[x] for x in tail])
 
 
+def byte_alphabet() -> dict[int, str]:
+    """The printable character that byte-level vocabularies write for each byte."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
 class Encoder:
-    """ids(text): little-endian unsigned 32-bit ids as the tokenizers library gives them, special tokens' strings being ordinary text."""
+    """ids(text): little-endian unsigned 32-bit ids as the tokenizers library gives them, special tokens' strings being ordinary text.
+
+    A plain byte-level BPE file is worked by pieces: the library's model encodes each distinct piece
+    once while it is cached.  With any other file the library gets the whole text.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -61,12 +73,28 @@ class Encoder:
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
-        self.rest = Parts(lambda part: self.whole(" " + part))
+        with open(path, encoding="utf-8") as f:
+            file = json.load(f)
+        split, model = file.get("pre_tokenizer") or {}, file["model"]
+        self.plain = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space") and not file.get("normalizer") and model.get("type") == "BPE" and not model.get("dropout")
+        if self.plain:
+            from .bpe import splitter
+
+            import public_tokenizers
+
+            self.find, self.model, self.alphabet = splitter(public_tokenizers.PATTERN), self.library.model, byte_alphabet()
+            self.pieces = Parts(self.piece, any_part=True)
+            self.rest = Parts(lambda part: self.whole(" " + part))
+
+    def piece(self, piece: str) -> bytes:
+        return np.array([t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.alphabet))], "<u4").tobytes()
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return b"".join([self.pieces[x] for x in self.find(text)])
 
     def ids(self, text: str) -> bytes:
+        if not self.plain:
+            return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         return joined(text, self.whole, self.rest)
 
 
