@@ -87,7 +87,7 @@ def to_matrices(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text
         from pyspark import TaskContext
 
         sequence = TaskContext.get().partitionId() << 33
-        count = np.arange(width, dtype=small)
+        count, size = np.arange(width, dtype=small).tobytes(), small.itemsize
         pad = int(pad_id).to_bytes(4, "little")
         for ids, tokens in groups(parts, tokenizer_path, end_id):
             bins = best_fit_decreasing([len(x) // 4 for x in tokens], width)
@@ -96,8 +96,8 @@ def to_matrices(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text
                 for own in bins[k : k + 512]:
                     ends = np.cumsum([0] + [n for _, _, n in own])
                     used = int(ends[-1])
-                    row = b"".join([tokens[d][4 * s : 4 * (s + n)] for d, s, n in own]) + pad * (width - used)
-                    position = np.concatenate([count[:n] for _, _, n in own] + [count[: width - used]]).tobytes()
+                    row = b"".join([*(tokens[d][4 * s : 4 * (s + n)] for d, s, n in own), pad * (width - used)])
+                    position = b"".join([count[: size * n] for n in (*(n for _, _, n in own), width - used)])
                     rows.append((sequence, used, len(own), [ids[d] for d, _, _ in own], [s for _, s, _ in own], ends.tolist(), row, position))
                     sequence += 1
                 cols = list(zip(*rows, strict=True))

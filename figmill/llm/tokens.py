@@ -10,30 +10,43 @@ from __future__ import annotations
 import json
 import os
 import re
+import struct
 
 import numpy as np
 
-MOST_PARTS, LONG_PART = 400_000, 64
+MOST_PARTS, LONG_PART = 300_000, 64
+MARKS = frozenset(",.;:!?)")
 SINGLE = re.compile(r"(?<=\S) (?=\S)")
 
 
 class Parts(dict):
-    """Part of a text -> what `make(part)` gives for it; parts that can't stand alone raise Unsafe."""
+    """Part of a text -> what `make(part)` gives for it; parts that can't stand alone raise Unsafe.
+
+    Two generations of MOST_PARTS each: what is asked for again outlives the change of generation.
+    """
 
     def __init__(self, make, any_part: bool = False):
         super().__init__()
-        self.make, self.any_part = make, any_part
+        self.make, self.any_part, self.old = make, any_part, {}
 
     def __missing__(self, part: str):
+        made = self.old.get(part)
+        if made is not None:
+            self.keep(part, made)
+            return made
         if not self.any_part and (not part or part[0].isspace() or part[-1].isspace()):
             raise Unsafe
         made = self.make(part)
         if len(part) <= LONG_PART:
-            if len(self) >= MOST_PARTS:
-                self.clear()
-            self[part] = made
+            self.keep(part, made)
         return made
 
+    def keep(self, part: str, made) -> None:
+        if len(self) >= MOST_PARTS:
+            self.old = dict(self)
+            self.clear()
+        self[part] = made
+
 
 class Unsafe(Exception):
     pass
@@ -60,6 +73,14 @@ def byte_alphabet() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
+PACKS = [struct.Struct(f"<{n}I").pack for n in range(32)]
+
+
+def packed(numbers: list[int]) -> bytes:
+    """A list of numbers, most often a short one, as little-endian unsigned 32-bit."""
+    return PACKS[len(numbers)](*numbers) if len(numbers) < len(PACKS) else np.array(numbers, "<u4").tobytes()
+
+
 class Encoder:
     """ids(text): little-endian unsigned 32-bit ids as the tokenizers library gives them, special tokens' strings being ordinary text.
 
@@ -84,10 +105,23 @@ class Encoder:
 
             self.find, self.model, self.alphabet = splitter(public_tokenizers.PATTERN), self.library.model, byte_alphabet()
             self.pieces = Parts(self.piece, any_part=True)
-            self.rest = Parts(lambda part: self.whole(" " + part))
+            self.rest = Parts(self.spaced)
 
     def piece(self, piece: str) -> bytes:
-        return np.array([t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.alphabet))], "<u4").tobytes()
+        return packed([t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.alphabet))])
+
+    def spaced(self, part: str) -> bytes:
+        """A part with the space before it; one that is a single piece is cached by its part alone.
+
+        Of ASCII letters the pattern makes one piece, and a mark after them is a piece of its own.
+        """
+        if part.isascii():
+            if part.isalpha():
+                return self.piece(" " + part)
+            if part[-1] in MARKS and part[:-1].isalpha():
+                return self.rest[part[:-1]] + self.pieces[part[-1]]
+        found = self.find(" " + part)
+        return self.piece(found[0]) if len(found) == 1 else b"".join([self.pieces[x] for x in found])
 
     def whole(self, text: str) -> bytes:
         return b"".join([self.pieces[x] for x in self.find(text)])
