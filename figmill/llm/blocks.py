@@ -103,13 +103,13 @@ def to_blocks(df: DataFrame, id_col: str, text_col: str, most: int = 4 << 20, re
                 yield arrow_rows(_BLOCKS, [(base + n, pack(ids, off, data))])
             return
         for batch in parts:
-            at = 0
+            ends, at = text_arrays(batch.column(0), batch.column(1))[1], 0
             while at < batch.num_rows:
-                own = batch.slice(at, 256)
-                at += 256
+                to = max(at + 1, int(np.searchsorted(ends, ends[at] + most, side="right")) - 1)
+                own = batch.slice(at, to - at)
                 ids, off, data = text_arrays(own.column(0), own.column(1))
                 yield arrow_rows(_BLOCKS, [(base + n, pack(ids, off, data, *text_arrays(own.column(0), own.column(2))[1:]))])
-                n += 1
+                at, n = to, n + 1
 
     src = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *([F.col(rest).alias("rest")] if rest else []))
     return src.withColumn("id", F.coalesce("id", F.raise_error(F.lit(f"null {id_col}")).cast("long"))).mapInArrow(blocks, BLOCK_SCHEMA)

@@ -24,7 +24,6 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -224,7 +223,7 @@ class Block:
 
 
 POSITIONS = "blk long, number int, id long, at long, r long, r2 long, r3 long"
-RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, rest string"
+RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, kept_text string, rest string"
 
 
 def prefix_doubling(positions: DataFrame) -> DataFrame:
@@ -245,14 +244,15 @@ def prefix_doubling(positions: DataFrame) -> DataFrame:
     return whole.filter((F.col("blk") != F.col("first.blk")) | (F.col("number") != F.col("first.number"))).select("blk", "number")
 
 
-def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, with_text: bool = True, rest: str | None = None) -> DataFrame:
+def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, with_text: bool = True, as_text: bool = False, rest: str | None = None) -> DataFrame:
     """Per row: its bytes less every byte covered by a string of `length` bytes that also starts earlier.
 
     Earlier: smaller id, or the same row at an earlier start (rows with equal ids: one of them, always the
     same one of the input as read, counts as earlier).  Matches never cross rows; strings are judged on the
     input.  Null and empty texts have no bytes; texts shorter than `length` stay whole; a null id is an error.
     Returns doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256, kept (the remaining
-    bytes; null unless with_text), rest (the string column of that name, if any).  Other columns are not read.
+    bytes; null unless with_text), kept_text (the same as a string, without the bytes that cuts have left of
+    a character; null unless as_text), rest (the string column of that name, if any).  Other columns are not read.
     """
     if length < 4:
         raise ValueError("length must be 4 or more")
@@ -277,20 +277,10 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             removed = int(g.sum())
             kept = block.data[a:b][~g].tobytes() if removed else block.data[a:b].tobytes()
             spans = int(g[0]) + int((g[1:] & ~g[:-1]).sum()) if removed else 0
-            out.append((i, int(b - a), removed, spans, hashlib.sha256(kept).hexdigest(), kept if with_text else None, block.rest[1][block.rest[0][n] : block.rest[0][n + 1]].tobytes().decode() if block.rest else None))
+            out.append((i, int(b - a), removed, spans, hashlib.sha256(kept).hexdigest(), kept if with_text else None, kept.decode("utf-8", "ignore") if as_text else None, block.rest[1][block.rest[0][n] : block.rest[0][n + 1]].tobytes().decode() if block.rest else None))
         yield B.arrow_rows(_RESULT, out)
 
     return B.with_answers(docs, [first, second, found], cut, RESULT)
 
 
-def as_text(column: str):
-    """The column's bytes as text; bytes that cuts have left of a character are dropped."""
-
-    @F.pandas_udf("string")
-    def text(bodies: pd.Series) -> pd.Series:
-        return bodies.map(lambda b: None if b is None else bytes(b).decode("utf-8", "ignore"))
-
-    return text(column)
-
-
-_RESULT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary()), ("rest", pa.string())])
+_RESULT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary()), ("kept_text", pa.string()), ("rest", pa.string())])
