@@ -25,7 +25,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
     kind = docs.select(others).schema
     packed = docs.withColumn("rest_", F.to_json(F.struct(*others), {"ignoreNullFields": "false"}))
-    out = suffix_dedup.remove_repeats(packed, rest="rest_").withColumn("r", F.from_json("rest", kind)).withColumn("kept_text", suffix_dedup.as_text("kept"))
+    out = suffix_dedup.remove_repeats(packed, with_text=False, as_text=True, rest="rest_").withColumn("r", F.from_json("rest", kind))
     text = F.col("kept_text")
     values = {"doc_id": F.col("doc_id"), "text": text, "n_chars": F.length(text).cast("long")}
     return out.select(*(values.get(c, F.col(f"r.`{c}`")).alias(c) for c in docs.columns))
