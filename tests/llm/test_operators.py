@@ -284,3 +284,23 @@ def test_pipeline(spark, tmp_path):
     assert shared in last.text[16] and shared not in last.text[17] and (last.n_chars == last.text.map(len)).all() and set(last.lang) == {"en"}
     want = pd.DataFrame([tuple(r)[:6] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()])
     assert want[2].sum() == kept[4].toPandas().length.sum()
+
+
+def test_encoder_is_the_library_with_a_cache_that_turns_over(monkeypatch):
+    import random
+
+    import numpy as np
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from figmill.llm import tokens
+
+    monkeypatch.setattr(tokens, "MOST_PARTS", 50)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    library.encode_special_tokens = True
+    encoder, r = tokens.Encoder(path), random.Random(7)
+    words = ["alpha", "beta,", "I'm", "don't", "x1", "été", "9,", "naïve.", "foo!?", "中文", "<|endoftext|>", "(a)", "q)", "😀"]
+    for _ in range(1500):
+        text = r.choice(["", " ", "\n"]) + "".join(r.choice(words + ["".join(r.choice("abcXYZ,.é") for _ in range(5))]) + r.choice([" ", " ", "  ", "\n", "\t ", ""]) for _ in range(r.randrange(12)))
+        assert encoder.ids(text) == np.array(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text
