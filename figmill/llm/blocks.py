@@ -10,6 +10,8 @@ combined inside the block first), so no key outgrows its slice.
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import io
 import struct
 
@@ -25,6 +27,28 @@ BLOCK_SCHEMA = "blk long, body binary"
 CHUNK_SCHEMA = "blk long, q int, body binary"
 
 
+def trim() -> None:
+    """Gives the memory that a worker has freed back to the system: idle workers share an executor with the next stage's."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def trimmed(run):
+    """run(parts), the function of a mapInArrow, and trim() at the task's end."""
+
+    @functools.wraps(run)
+    def own(parts):
+        try:
+            yield from run(parts)
+        finally:
+            trim()
+
+    return own
+
+
 def pack(*arrays: np.ndarray, level: int = 1) -> bytes:
     """Numpy arrays as one compressed byte string; unpack() returns them."""
     out = io.BytesIO()
@@ -112,7 +136,7 @@ def to_blocks(df: DataFrame, id_col: str, text_col: str, most: int = 4 << 20, re
                 at, n = to, n + 1
 
     src = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *([F.col(rest).alias("rest")] if rest else []))
-    return src.withColumn("id", F.coalesce("id", F.raise_error(F.lit(f"null {id_col}")).cast("long"))).mapInArrow(blocks, BLOCK_SCHEMA)
+    return src.withColumn("id", F.coalesce("id", F.raise_error(F.lit(f"null {id_col}")).cast("long"))).mapInArrow(trimmed(blocks), BLOCK_SCHEMA)
 
 
 def slices(spark: SparkSession) -> int:
@@ -161,7 +185,7 @@ def exchange(chunks: DataFrame, work, q: int, total=None) -> DataFrame:
                 for (b, _), answer in zip(rows, work(arrays, k), strict=True):
                     yield arrow_rows(CHUNKS, [(b, k, answer)])
 
-    return chunks.repartition(max(1, q // 4), "q").mapInArrow(run, CHUNK_SCHEMA)
+    return chunks.repartition(max(1, q // 4), "q").mapInArrow(trimmed(run), CHUNK_SCHEMA)
 
 
 def with_answers(blocks: DataFrame, answers: list[DataFrame], work, schema: str) -> DataFrame:
@@ -187,6 +211,7 @@ def with_answers(blocks: DataFrame, answers: list[DataFrame], work, schema: str)
                 mine = right.filter(pa.array(which == n))
                 got.append({k: unpack(x) for k, x in zip(mine.column("q").to_pylist(), mine.column("body").to_pylist(), strict=True)})
         out = [b for blk, body in zip(left.column("blk").to_pylist(), left.column("body").to_pylist(), strict=True) for b in work(blk, body, got)]
+        trim()
         return pa.Table.from_batches(out) if out else empty
 
     return blocks.groupBy("blk").cogroup(right.groupBy("blk")).applyInArrow(both, schema)
@@ -200,7 +225,7 @@ def each_block(blocks: DataFrame, work, schema: str) -> DataFrame:
             for blk, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 yield from work(blk, body)
 
-    return blocks.mapInArrow(run, schema)
+    return blocks.mapInArrow(trimmed(run), schema)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

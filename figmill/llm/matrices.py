@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import blocks as B
 from .packing import groups
 
 WIDTH = 2048
@@ -105,7 +106,7 @@ def to_matrices(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text
 
     types = [pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.binary()]
     names = ["sequence_id", "n_tokens", "n_segments", "doc_ids", "starts", "cu_seqlens", "input_ids", "position_ids"]
-    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(B.trimmed(run), SCHEMA)
 
 
 def write_matrices(df: DataFrame, path: str) -> None:

@@ -195,7 +195,7 @@ def _keys(sets: DataFrame, small: int, num: int, den: int) -> DataFrame:
             if keys:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(ids))], ["key", "id"])
 
-    return sets.select("id", "n", "tokens", "first").mapInArrow(run, "key long, id long")
+    return sets.select("id", "n", "tokens", "first").mapInArrow(B.trimmed(run), "key long, id long")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -212,7 +212,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
 
     one = sets.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
     two = sets.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "na", "ta", "nb", "tb").mapInArrow(run, "a long, b long, linked boolean")
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "na", "ta", "nb", "tb").mapInArrow(B.trimmed(run), "a long, b long, linked boolean")
 
 
 def _groups(keys: DataFrame, comp: DataFrame, homes: DataFrame) -> DataFrame:
@@ -280,7 +280,7 @@ def _compared(groups: DataFrame, comp: DataFrame, sets: DataFrame, num: int, den
                 held.append(row)
         yield from done()
 
-    return rows.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j").mapInArrow(run, "a long, b long")
+    return rows.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j").mapInArrow(B.trimmed(run), "a long, b long")
 
 
 def _linked(sets: DataFrame, keys: DataFrame, num: int, den: int) -> DataFrame:

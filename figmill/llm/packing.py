@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import blocks as B
 from .tokens import encoder
 
 TIERS = (1024, 512, 256, 128)
@@ -129,6 +130,7 @@ def groups(parts, path: str, end: int | None) -> Iterator[tuple[list, list[bytes
                 ids, texts, size = [], [], 0
     if ids:
         yield ids, texts
+    enc.forget()
 
 
 def pack_documents(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", tiers=TIERS, end_id: int = 0, with_ids: bool = False) -> DataFrame:
@@ -167,7 +169,7 @@ def pack_documents(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
 
     schema = SCHEMA + (", ids binary" if with_ids else "")
     names = [x.split()[0] for x in schema.split(", ")]
-    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
+    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(B.trimmed(run), schema)
 
 
 def padding(df: DataFrame) -> DataFrame:

@@ -122,7 +122,7 @@ def rate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
             if batch.num_rows:
                 yield pa.RecordBatch.from_arrays([batch.column(0), *_rated(batch.column(1), squeeze)], NAMES)
 
-    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(B.trimmed(run), SCHEMA)
 
 
 def keep(df: DataFrame, text_col: str = "text") -> DataFrame:
@@ -135,4 +135,4 @@ def keep(df: DataFrame, text_col: str = "text") -> DataFrame:
             if batch.num_rows:
                 yield batch.filter(_rated(batch.column(at), squeeze)[NAMES.index("kept") - 1])
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(B.trimmed(run), df.schema)

@@ -14,7 +14,7 @@ import struct
 
 import numpy as np
 
-MOST_PARTS, LONG_PART = 300_000, 64
+MOST_PARTS, LONG_PART = 150_000, 64
 MARKS = frozenset(",.;:!?)")
 SINGLE = re.compile(r"(?<=\S) (?=\S)")
 
@@ -126,6 +126,13 @@ class Encoder:
     def whole(self, text: str) -> bytes:
         return b"".join([self.pieces[x] for x in self.find(text)])
 
+    def forget(self) -> None:
+        """Empties the caches."""
+        if self.plain:
+            for parts in (self.pieces, self.rest):
+                parts.clear()
+                parts.old = {}
+
     def ids(self, text: str) -> bytes:
         if not self.plain:
             return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
