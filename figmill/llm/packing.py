@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks as B
-from .tokens import encoder
+from .tokens import encoder, runs
 
 TIERS = (1024, 512, 256, 128)
 GROUP_DOCS, GROUP_TOKENS, STEP_TOKENS = 8192, 1 << 23, 1 << 16
@@ -119,9 +119,9 @@ def groups(parts, path: str, end: int | None) -> Iterator[tuple[list, list[bytes
     """Runs of documents: their ids and their token ids as bytes."""
     enc, tail = encoder(path), b"" if end is None else int(end).to_bytes(4, "little")
     ids, texts, size = [], [], 0
-    for batch in parts:
-        for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            x = enc.ids(t or "") + tail
+    for run in (run for batch in parts for run in runs(batch)):
+        for i, x in zip(run.column(0).to_pylist(), enc.many(run.column(1)), strict=True):
+            x += tail
             ids.append(i)
             texts.append(x)
             size += len(x) // 4
@@ -130,7 +130,6 @@ def groups(parts, path: str, end: int | None) -> Iterator[tuple[list, list[bytes
                 ids, texts, size = [], [], 0
     if ids:
         yield ids, texts
-    enc.forget()
 
 
 def pack_documents(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", tiers=TIERS, end_id: int = 0, with_ids: bool = False) -> DataFrame:

@@ -304,3 +304,32 @@ def test_encoder_is_the_library_with_a_cache_that_turns_over(monkeypatch):
     for _ in range(1500):
         text = r.choice(["", " ", "\n"]) + "".join(r.choice(words + ["".join(r.choice("abcXYZ,.é") for _ in range(5))]) + r.choice([" ", " ", "  ", "\n", "\t ", ""]) for _ in range(r.randrange(12)))
         assert encoder.ids(text) == np.array(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text
+
+
+def test_runs_of_texts_have_the_library_s_ids(monkeypatch):
+    import random
+
+    import numpy as np
+    import public_tokenizers
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from figmill.llm import tokens
+
+    monkeypatch.setattr(tokens, "RUN_BYTES", 200)
+    monkeypatch.setattr(tokens, "LONG_WORD", 9)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    library.encode_special_tokens = True
+    encoder, r = tokens.Encoder(path), random.Random(11)
+    assert encoder.plain
+    words = ["alpha", "beta,", "I'm", "été", "naïve.", "中文", "<|endoftext|>", "😀", "q" * 30, "\u00a0", "a\nb", "x\u2028y", "\x1cz", "\u0085"]
+    texts = [None, "", " ", "  ", "\n", " a", "a ", "a  b", "a \n b", "é " * 500, "q" * 5000, " " * 5000 + "a"]
+    texts += ["".join(r.choice(words) + r.choice([" ", " ", " ", "  ", "\n", " \t", ""]) for _ in range(r.randrange(9))) for _ in range(1500)]
+    batch = pa.record_batch([pa.array(range(len(texts))), pa.array(texts)], ["id", "text"])
+    runs = list(tokens.runs(batch.slice(0, 700))) + list(tokens.runs(batch.slice(700)))
+    assert len(runs) > 50 and sum(x.num_rows for x in runs) == len(texts)
+    got = [ids for run in runs for ids in encoder.many(run.column(1))]
+    want = [np.array(library.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert got == want
+    assert list(tokens.runs(batch.slice(0, 0))) == [] and encoder.many(pa.array([], pa.string())) == []
