@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks as B
-from .tokens import encoder, runs
+from .tokens import Encoder, runs
 
 TIERS = (1024, 512, 256, 128)
 GROUP_DOCS, GROUP_TOKENS, STEP_TOKENS = 8192, 1 << 23, 1 << 16
@@ -116,8 +116,8 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 
 def groups(parts, path: str, end: int | None) -> Iterator[tuple[list, list[bytes]]]:
-    """Runs of documents: their ids and their token ids as bytes."""
-    enc, tail = encoder(path), b"" if end is None else int(end).to_bytes(4, "little")
+    """Runs of documents: their ids and their token ids as bytes.  The encoder ends with the task, so idle workers don't hold it."""
+    enc, tail = Encoder(path), b"" if end is None else int(end).to_bytes(4, "little")
     ids, texts, size = [], [], 0
     for run in (run for batch in parts for run in runs(batch)):
         for i, x in zip(run.column(0).to_pylist(), enc.many(run.column(1)), strict=True):

@@ -7,6 +7,7 @@ parts, and a run of texts needs the ids of its distinct parts only.
 
 from __future__ import annotations
 
+import functools
 import json
 import os
 import re
@@ -17,7 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 MOST_PARTS, LONG_PART = 150_000, 64
-RUN_BYTES, LONG_WORD = 16 << 20, 1000
+RUN_BYTES, LONG_WORD = 8 << 20, 1000
 SINGLE = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -103,11 +104,7 @@ class Encoder:
     """
 
     def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.path = path
         with open(path, encoding="utf-8") as f:
             file = json.load(f)
         split, model = file.get("pre_tokenizer") or {}, file["model"]
@@ -121,13 +118,23 @@ class Encoder:
 
             from .bpe import splitter
 
-            self.find, self.model, self.alphabet = splitter(public_tokenizers.PATTERN), self.library.model, byte_alphabet()
+            self.find, self.alphabet = splitter(public_tokenizers.PATTERN), byte_alphabet()
             self.merge = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
             self.n_bytes = np.zeros(max(ranks.values()) + 1, np.int64)
             self.n_bytes[list(ranks.values())] = list(map(len, ranks))
 
+    @functools.cached_property
+    def library(self):
+        """The file in its own library, read when a text asks for it."""
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        made = Tokenizer.from_file(self.path)
+        made.encode_special_tokens = True
+        return made
+
     def piece(self, piece: str) -> list[int]:
-        return [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.alphabet))]
+        return [t.id for t in self.library.model.tokenize(piece.encode().decode("latin-1").translate(self.alphabet))]
 
     def one(self, text: str) -> np.ndarray:
         """Ids of a string that stands alone."""
@@ -208,16 +215,6 @@ class Encoder:
         return [flat[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)], np.flatnonzero(wrong)
 
 
-_encoders: dict[str, Encoder] = {}
-
-
-def encoder(path: str) -> Encoder:
-    """The worker's encoder for a vocabulary file; kept from task to task."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
-
-
 def runs(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """Consecutive rows (id, text) of about RUN_BYTES of text, one row at least."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
