@@ -1,18 +1,21 @@
 """Language-model scoring with a hierarchical Pitman-Yor model.
 
-Each word is drawn in the restaurant of its context, the word before it.  A word that makes up
-at least 1/CONTEXTS of the training tokens is a context of its own; the others share one by
-their last two bytes; the start of a text is one more.  So there are at most CONTEXTS + CLASSES
-+ 1 restaurants at any size of corpus, and vectors over them are the only thing that the driver
-gathers.  All context restaurants have one parent, whose customers are their tables; its own
-parent is uniform over the known words and one unknown word.
+Each word is drawn in the restaurant of its context, the word before it (at the start of a text, the
+end of texts).  Every training word is a context of its own.  All context restaurants have one
+parent, whose customers are their tables; its own parent is uniform over the known words and one
+unknown word.  A context that training lacks has no customers, so there the parent speaks alone.
 
 Customers are counted over all training texts, in slices of the words' hashes, so that a word's
-customers in all restaurants and in the parent lie in one slice.  Chinese-restaurant seating is
-sampled by Gibbs: a customer of each dish leaves its table and is seated again, given the other
-customers, many dishes at a time.  A slice sees the other slices' tables as of the last round.
-Each round is replayed from its seed in place of being stored.  Predictive probabilities are
-averaged over the rounds after the burn-in.
+customers in all restaurants and in the parent lie in one slice.  A context's tables are added up in
+the slice of the context's hash: each round, the words' slices send them their sums and get the
+totals of those contexts back that they seat anyone in.  A customer who is alone with their dish
+has one table for good, so after the start only tables beyond a dish's first one are sent.  The
+driver gathers two numbers a slice.
+
+Chinese-restaurant seating is sampled by Gibbs: a customer of each dish leaves its table and is
+seated again, given the other customers, many dishes at a time.  A slice sees the other slices'
+tables as of the last round.  Predictive probabilities are averaged over the rounds after the
+burn-in.
 """
 
 from __future__ import annotations
@@ -25,14 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks as B
-from .kernels import LOWER, Hasher, U, mix, segments, words
+from .kernels import LOWER, Hasher, U, segments, words
 
 BLOCK_BYTES = 16 << 20
-CONTEXTS, CLASSES = 4096, 256
 ROUNDS, BURN_IN, MOVES = 3, 1, 4
 STRENGTH = 1.0
 EXACT = 64
-FAN = 16
 END = U(0xE4D0E4D0E4D0E4D1)
 
 
@@ -40,30 +41,31 @@ def held_out(doc_id: int) -> bool:
     return zlib.crc32(str(doc_id).encode()) % 5 == 1
 
 
+def small(x: np.ndarray) -> np.ndarray:
+    """Whole numbers from 0 in as few bytes as hold them."""
+    return x.astype(np.min_scalar_type(int(x.max()) if len(x) else 0))
+
+
 class Texts:
-    """A block's tokens: word hashes with an end after each text, and the class of each."""
+    """A block's tokens: word hashes with an end after each text."""
 
     def __init__(self, body: bytes):
         self.ids, off, data = B.unpack(body)
-        hs, cs, ns = [], [], []
+        hs, ns = [], []
         for a, b in segments(off):
             part, o = LOWER[data[off[a] : off[b]]], off[a : b + 1] - off[a]
             start, end, n = words(part, o)
             hs.append(Hasher(part)(start, end))
-            last = part[end - 1].astype(U) if len(end) else np.zeros(0, U)
-            two = np.where(end - start > 1, part[np.maximum(end - 2, 0)] if len(end) else 0, 0).astype(U)
-            cs.append((mix(last * U(256) + two) % U(CLASSES)).astype(np.int64))
             ns.append(n)
         n = np.concatenate(ns) if ns else np.zeros(0, np.int64)
         self.n = n + 1
         self.ends = np.cumsum(self.n)
         total = int(self.ends[-1]) if len(n) else 0
         self.h = np.full(total, END, U)
-        self.cls = np.zeros(total, np.int64)
         word = np.ones(total, bool)
         word[self.ends - 1] = False
         if total:
-            self.h[word], self.cls[word] = np.concatenate(hs), np.concatenate(cs)
+            self.h[word] = np.concatenate(hs)
         self.train = ~np.repeat(np.array([held_out(i) for i in self.ids.tolist()], bool), self.n)
         self.words, self.at = np.unique(self.h, return_inverse=True)
 
@@ -71,17 +73,10 @@ class Texts:
         """Bounds of the slices among the block's words."""
         return np.searchsorted(B.slice_of(self.words, q), np.arange(q + 1))
 
-    def pairs(self, frequent: np.ndarray):
-        """Distinct (word, context) of the block in order: word numbers, contexts, training counts, and each token's pair."""
-        known = len(frequent)
-        at = np.searchsorted(frequent, self.words)
-        own = np.where(at < known, frequent[np.minimum(at, known - 1)] == self.words, False) if known else np.zeros(len(self.words), bool)
-        context = np.where(own[self.at], at[self.at], known + self.cls)
-        before = np.empty(len(context), np.int64)
-        before[1:] = context[:-1]
-        if len(before):
-            before[self.ends - self.n] = known + CLASSES
-        size = known + CLASSES + 1
+    def pairs(self):
+        """Distinct (word, context) of the block in order: word numbers of both, training counts, and each token's pair."""
+        size = max(1, len(self.words))
+        before = np.roll(self.at, 1)  # an end stands before each text, the last one's before the first
         code, pair = np.unique(self.at * size + before, return_inverse=True)
         return code // size, code % size, np.bincount(pair[self.train], minlength=len(code)), pair
 
@@ -91,43 +86,49 @@ def _count(chunks: list, _: int) -> list[bytes]:
     h = np.concatenate([c[0] for c in chunks])
     _, at = np.unique(h, return_inverse=True)
     n = np.bincount(at, np.concatenate([c[1] for c in chunks])).astype(np.int64)[at] if len(h) else h.astype(np.int64)
-    return [B.pack(x) for x in np.split(n, np.cumsum([len(c[0]) for c in chunks])[:-1])]
+    return [B.pack(small(x)) for x in np.split(n, np.cumsum([len(c[0]) for c in chunks])[:-1])]
 
 
-def _frequent(chunks: list, _: int) -> bytes:
-    """The slice's words that are contexts of their own, with counts; class totals of the others; types and tokens."""
-    tokens = int(sum(c[3][0] for c in chunks))
+def _known(chunks: list, _: int) -> bytes:
+    """The slice's types and all tokens."""
     h = np.concatenate([c[0] for c in chunks])
-    word, first, at = np.unique(h, return_index=True, return_inverse=True)
-    n = np.bincount(at, np.concatenate([c[1] for c in chunks]), len(word)).astype(np.int64)
-    cls = np.concatenate([c[2] for c in chunks])[first].astype(np.int64) if len(h) else np.zeros(0, np.int64)
-    own = (n * CONTEXTS >= tokens) & (n > 0) & (word != END)
-    rest = ~own & (word != END)
-    return B.pack(word[own], n[own], np.bincount(cls[rest], n[rest], CLASSES).astype(np.int64), np.array([int((n > 0).sum()), tokens, int(n[word == END].sum())]))
+    n = np.concatenate([c[1] for c in chunks])
+    return B.pack(np.array([len(np.unique(h[n > 0])), int(sum(c[2][0] for c in chunks))]))
 
 
 class Model:
-    """What all slices know: contexts, their customers, vocabulary size, discounts, and tables after each round."""
+    """What all slices know: vocabulary size, discounts, and the root's customers and tables after each round."""
 
-    def __init__(self, frequent, customers, types, tokens):
-        self.frequent, self.customers, self.types, self.tokens = frequent, customers.astype(float), types, tokens
+    def __init__(self, types, tokens):
+        self.types, self.tokens = types, tokens
         self.discount = self.root_discount = 0.5
-        self.tables: list[tuple[np.ndarray, float, float]] = [(self.customers * 0.5, float(tokens) * 0.5, float(types))]
+        self.root: list[tuple[float, float]] = []
 
     def prior(self) -> float:
         return 1.0 / (self.types + 1)
 
 
-def merged(chunks: list, size: int):
-    """A slice's words, and its customers: word numbers, contexts, counts (in order)."""
-    word, at = np.unique(np.concatenate([c[0] for c in chunks]), return_inverse=True)
-    parts, base = [], 0
-    for w, per, context, n in chunks:
-        parts.append((np.repeat(at[base : base + len(w)], per) * size + context, n.astype(np.int64)))
-        base += len(w)
-    code, place = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-    n = np.bincount(place, np.concatenate([p[1] for p in parts]), len(code)).astype(np.int64)
-    return word, code[n > 0], n[n > 0], [p[0] for p in parts]
+class Customers:
+    """A slice's words and customers, and where each chunk's words and pairs are among them."""
+
+    def __init__(self, chunks: list):
+        """chunks: words, pairs of each, the pairs' context hashes, training counts."""
+        self.words, at = np.unique(np.concatenate([c[0] for c in chunks]), return_inverse=True)
+        self.contexts, context = np.unique(np.concatenate([c[2] for c in chunks]), return_inverse=True)
+        word = np.repeat(at, np.concatenate([c[1] for c in chunks]))
+        size = max(1, len(self.contexts))
+        code, place = np.unique(word * size + context, return_inverse=True)
+        n = np.bincount(place, np.concatenate([c[3] for c in chunks]), len(code)).astype(np.int64)
+        seated = n > 0
+        # Pairs in the order: some training, many (n > 1) first; others have the number after the last.
+        order = np.concatenate([np.flatnonzero(n > 1), np.flatnonzero(n == 1)])
+        number = np.full(len(code), len(order))
+        number[order] = np.arange(len(order))
+        self.word, self.context, self.n = (code // size)[order], (code % size)[order], n[order]
+        self.many = int((n > 1).sum())
+        self.root = np.bincount((code // size)[seated], minlength=len(self.words))
+        self.at = np.split(at, np.cumsum([len(c[0]) for c in chunks])[:-1])
+        self.place = np.split(number[place], np.cumsum([len(c[2]) for c in chunks])[:-1])
 
 
 def leave_alone(discount: float, most: int = EXACT) -> np.ndarray:
@@ -146,22 +147,24 @@ def leave_alone(discount: float, most: int = EXACT) -> np.ndarray:
 
 
 class Seating:
-    """Tables of each (word, context) and of each word at the root."""
-
-    def __init__(self, words: int, code: np.ndarray, n: np.ndarray, size: int, model: Model, seed: int):
-        self.m, self.n, self.size = model, n.astype(float), size
-        self.word, self.context = code // size, code % size
-        self.words = words
-        self.t = np.maximum(1.0, np.round(self.n**model.discount))
-        self.alone, self.root_alone = leave_alone(model.discount), leave_alone(model.root_discount)
-        self.random = np.random.default_rng(seed)
-        self.many = np.flatnonzero(n > 1)
-        self.root_n = np.bincount(self.word, self.t, words)
-        self.root_t = np.where(self.root_n > 0, np.maximum(1.0, np.round(self.root_n**model.root_discount)), 0.0)
+    """Tables of each dish (word, context) with some customers, and of each word at the root.
+
+    once: how many dishes of one customer each word has.  tables: those of each dish's context.
+    """
+
+    def __init__(self, word: np.ndarray, n: np.ndarray, once: np.ndarray, model: Model, t: np.ndarray | None = None, root_t: np.ndarray | None = None):
+        self.m, self.word, self.n, self.once = model, word, n.astype(float), once
+        self.t = np.maximum(1.0, np.round(self.n**model.discount)) if t is None else t.astype(float)
+        self.enter()
+        self.root_t = np.where(self.root_n > 0, np.maximum(1.0, np.round(self.root_n**model.root_discount)), 0.0) if root_t is None else root_t.astype(float)
+
+    def enter(self) -> None:
+        """The tables are the root's customers."""
+        self.root_n = self.once + np.bincount(self.word, self.t, len(self.once))
 
     def root(self, r: int) -> np.ndarray:
         """Each word's probability at the root, given the totals after round r."""
-        _, customers, tables = self.m.tables[r]
+        customers, tables = self.m.root[r]
         d = self.m.root_discount
         return (np.maximum(self.root_n - d * self.root_t, 0) + (STRENGTH + d * tables) * self.m.prior()) / (STRENGTH + customers)
 
@@ -170,40 +173,27 @@ class Seating:
         p = np.where(exact, alone[np.minimum(n, EXACT).astype(np.int64), np.minimum(t, EXACT).astype(np.int64)], d * t / n)
         return t - ((t > 1) & (self.random.random(len(n)) < p))
 
-    def round(self, r: int) -> None:
+    def round(self, r: int, tables: np.ndarray, seed: int) -> None:
         """Seats MOVES customers of each dish again, given the totals after round r."""
-        tables, _, root_tables = self.m.tables[r]
         d, e = self.m.discount, self.m.root_discount
-        k = self.many
-        n, w = self.n[k], self.word[k]
-        pull = STRENGTH + d * tables[self.context[k]]
+        alone, root_alone = leave_alone(d), leave_alone(e)
+        self.random = np.random.default_rng([seed, r])
+        pull = STRENGTH + d * tables
         for _ in range(MOVES):
-            if len(k):
-                t = self._leave(self.alone, n, self.t[k], d)
-                new = pull * self.root(r)[w]
-                self.t[k] = t + (self.random.random(len(k)) * (new + n - 1 - d * t) < new)
-            self.root_n = np.bincount(self.word, self.t, self.words)
+            if len(self.n):
+                t = self._leave(alone, self.n, self.t, d)
+                new = pull * self.root(r)[self.word]
+                self.t = t + (self.random.random(len(t)) * (new + self.n - 1 - d * t) < new)
+            self.enter()
             self.root_t = np.minimum(np.maximum(self.root_t, self.root_n > 0), self.root_n)
             j = np.flatnonzero(self.root_n > 1)
             if len(j):
-                t = self._leave(self.root_alone, self.root_n[j], self.root_t[j], e)
-                new = (STRENGTH + e * root_tables) * self.m.prior()
+                t = self._leave(root_alone, self.root_n[j], self.root_t[j], e)
+                new = (STRENGTH + e * self.m.root[r][1]) * self.m.prior()
                 self.root_t[j] = t + (self.random.random(len(j)) * (new + self.root_n[j] - 1 - e * t) < new)
 
-    def totals(self):
-        return np.bincount(self.context, self.t, self.size), float(self.t.sum()), float(self.root_t.sum())
-
-    def predict(self, code: np.ndarray, own: np.ndarray, r: int) -> np.ndarray:
-        """Probabilities of the pairs `code`; own: the codes of the customers, in order."""
-        at = np.searchsorted(own, code)
-        hit = np.zeros(len(code), bool)
-        if len(own):
-            hit = own[np.minimum(at, len(own) - 1)] == code
-        at = np.where(hit, at, 0)
-        word, context = code // self.size, code % self.size
-        tables = self.m.tables[r][0]
-        seated = np.where(hit, self.n[at] - self.m.discount * self.t[at], 0.0) if len(own) else np.zeros(len(code))
-        return (seated + (STRENGTH + self.m.discount * tables[context]) * self.root(r)[word]) / (STRENGTH + self.m.customers[context])
+    def totals(self) -> np.ndarray:
+        return np.array([self.root_n.sum(), self.root_t.sum()])
 
 
 RESULT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
@@ -214,8 +204,7 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
 
     Learns from the rows whose crc32(id as text) mod 5 is not 1, and scores all.  Tokens are words without
     ASCII white space, A-Z lower-cased, and one end a text, which is all that a null or empty text has.  Words
-    are told apart by 64-bit hash; a pair's log10 probability is kept as a 32-bit float.  Ids may repeat (each
-    row counts); a null id is an error; an empty table gives no rows.  Other columns are not read.
+    are told apart by 64-bit hash.  Ids may repeat (each row counts); a null id is an error; an empty table gives no rows.  Other columns are not read.
     """
     spark = df.sparkSession
     q = B.slices(spark)
@@ -223,101 +212,200 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
 
     def unigrams(blk, body):
         x = Texts(body)
-        n = np.bincount(x.at[x.train], minlength=len(x.words)).astype(np.uint32)
-        cls = np.zeros(len(x.words), np.uint8)
-        cls[x.at] = x.cls
+        n = np.bincount(x.at[x.train], minlength=len(x.words))
         tokens, bounds = np.array([int(x.train.sum())]), x.slices(q)
         for k in range(q):
             s = slice(bounds[k], bounds[k + 1])
-            yield B.arrow_rows(B.CHUNKS, [(blk, k, B.pack(x.words[s], n[s], cls[s], tokens))])
-
-    counted = B.checkpointed(B.exchange(B.each_block(docs, unigrams, B.CHUNK_SCHEMA), _count, q, _frequent))
-    said = [B.unpack(r[0]) for r in counted.filter("blk = -1").select("body").collect()]
-    tokens, types, texts = (max((int(x[3][1]) for x in said), default=0), *(sum(int(x[3][k]) for x in said) for k in (0, 2)))
-    frequent = np.concatenate([x[0] for x in said] or [np.zeros(0, U)])
-    order = np.argsort(frequent)
-    own = np.concatenate([x[1] for x in said] or [np.zeros(0, np.int64)])[order]
-    model = Model(frequent[order], np.concatenate([own, sum((x[2] for x in said), np.zeros(CLASSES, np.int64)), [texts]]), types, tokens)
-    size = len(frequent) + CLASSES + 1
-    frequent = model.frequent
+            yield B.arrow_rows(B.CHUNKS, [(blk, k, B.pack(x.words[s], small(n[s]), tokens))])
+
+    counted = B.checkpointed(B.exchange(B.each_block(docs, unigrams, B.CHUNK_SCHEMA), _count, q, _known))
+    said = [B.unpack(r[0])[0] for r in counted.filter("blk = -1").select("body").collect()]
+    tokens, types = max((int(x[1]) for x in said), default=0), sum(int(x[0]) for x in said)
+    model = Model(types, tokens)
 
     def bigrams(blk, body):
         x = Texts(body)
-        word, context, n, _ = x.pairs(frequent)
+        word, context, n, _ = x.pairs()
         bounds = x.slices(q)
         ends = np.searchsorted(word, bounds)
         for k in range(q):
             s, t = slice(bounds[k], bounds[k + 1]), slice(ends[k], ends[k + 1])
             if bounds[k + 1] > bounds[k]:
                 per = np.bincount(word[t] - bounds[k], minlength=int(bounds[k + 1] - bounds[k]))
-                yield B.arrow_rows(B.CHUNKS, [(blk, k, B.pack(x.words[s], per.astype(np.uint16 if len(per) and per.max() < 65536 else np.uint32), context[t].astype(np.uint16), n[t].astype(np.uint32)))])
-
-    def customers(chunks, _):
-        word, code, n, _ = merged(chunks, size)
-        root = np.bincount(code // size, minlength=len(word))
-        return B.pack(np.array([len(word)]), code, n, np.array([(n == 1).sum(), (n == 2).sum(), (root == 1).sum(), (root == 2).sum()]))
+                yield B.arrow_rows(B.CHUNKS, [(blk, k, B.pack(x.words[s], small(per), x.words[context[t]], small(n[t])))])
+
+    def customers(chunks):
+        c = Customers(chunks)
+        places = [B.pack(small(a), small(p)) for a, p in zip(c.at, c.place, strict=True)]
+        seen, first = np.bincount(c.context, minlength=len(c.contexts)), np.bincount(c.context[: c.many], minlength=len(c.contexts))
+        need = np.flatnonzero(first)
+        number = np.zeros(len(c.contexts), np.int64)
+        number[need] = np.arange(len(need))
+        once = np.bincount(c.word[c.many :], minlength=len(c.words))
+        few = np.array([(c.n == 1).sum(), (c.n == 2).sum(), (c.root == 1).sum(), (c.root == 2).sum(), len(c.n)])
+        own = B.pack(c.words, small(c.word[: c.many]), small(number[c.context[: c.many]]), small(c.n[: c.many]), small(once), c.contexts[need], few)
+        return places, own, B.pack(c.contexts[seen > 0], small(seen[seen > 0]))
+
+    def gathered(parts):
+        """Each slice: its customers (blk -1), its contexts' distinct words (blk -2), and each chunk's places."""
+        got: dict[int, list] = {}
+        for batch in parts:
+            for b, k, body in zip(*(batch.column(n).to_pylist() for n in range(3)), strict=True):
+                got.setdefault(k, []).append((b, body))
+        for k in sorted(got):
+            rows = got.pop(k)
+            places, own, seen = customers([B.unpack(x) for _, x in rows])
+            yield B.arrow_rows(B.CHUNKS, [(-1, k, own)])
+            yield B.arrow_rows(B.CHUNKS, [(-2, k, seen)])
+            for (b, _), x in zip(rows, places, strict=True):
+                yield B.arrow_rows(B.CHUNKS, [(b, k, x)])
 
     chunks = B.each_block(docs, bigrams, B.CHUNK_SCHEMA)
-    held = B.checkpointed(B.exchange(chunks, None, q, customers))
+    held = B.checkpointed(chunks.repartition(max(1, q // 4), "q").mapInArrow(B.trimmed(gathered), B.CHUNK_SCHEMA))
+    slices = held.filter("blk = -1").select(F.col("q").cast("long").alias("blk"), "body")
 
     def few(parts):
         for batch in parts:
             for body in batch.column(0).to_pylist():
-                one, two, root_one, root_two = B.unpack(body)[3].tolist()
-                yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (one, two, root_one, root_two)], ["a", "b", "c", "d"])
+                yield pa.RecordBatch.from_arrays([pa.array([x]) for x in B.unpack(body)[6][:4].tolist()], ["a", "b", "c", "d"])
 
-    n = held.select("body").mapInArrow(B.trimmed(few), "a long, b long, c long, d long").agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in "abcd")).first()
+    n = slices.select("body").mapInArrow(B.trimmed(few), "a long, b long, c long, d long").agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in "abcd")).first()
     model.discount, model.root_discount = (min(0.9, max(0.1, x / (x + 2 * y))) if x else 0.5 for x, y in ((n[0], n[1]), (n[2], n[3])))
 
-    def seated(parts, rounds):
-        """A task's tables: one vector over the contexts, the root's customers and tables at its end."""
-        total = np.zeros(size + 2)
+    def sent(k, s, context, contexts):
+        """Rows of a slice after a round: its tables (q -1), its totals (q -2), and each context's tables beyond the dishes' first."""
+        yield B.arrow_rows(B.CHUNKS, [(k, -1, B.pack(small(s.t), small(s.root_t)))])
+        yield B.arrow_rows(B.CHUNKS, [(k, -2, B.pack(s.totals()))])
+        more = np.bincount(context, s.t - 1, len(contexts))
+        for j, own in B.split_slices(B.slice_of(contexts, q), q):
+            yield B.arrow_rows(B.CHUNKS, [(k, j, B.pack(contexts[own], small(more[own])))])
+
+    def seated(k, body):
+        _, word, context, n, once, contexts, _ = B.unpack(body)
+        yield from sent(k, Seating(word, n, once, model), context, contexts)
+
+    def distinct(parts):
+        """Each context's distinct words, to the context's slice."""
         for batch in parts:
             for k, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                (words,), code, n, _ = B.unpack(body)
-                s = Seating(int(words), code, n, size, model, k)
-                for r in range(rounds):
-                    s.round(r)
-                t, customers, tables = s.totals()
-                total += np.concatenate([t, [customers, tables]])
-        yield pa.RecordBatch.from_arrays([pa.array([B.pack(total)])], ["body"])
-
-    def added(parts):
-        total = np.zeros(size + 2)
+                contexts, seen = B.unpack(body)
+                for j, own in B.split_slices(B.slice_of(contexts, q), q):
+                    yield B.arrow_rows(B.CHUNKS, [(k, j, B.pack(contexts[own], seen[own]))])
+
+    def summed(chunks):
+        h, at = np.unique(np.concatenate([c[0] for c in chunks]), return_inverse=True)
+        return h, np.bincount(at, np.concatenate([c[1] for c in chunks]), len(h)).astype(np.int64), at
+
+    def whole(chunks, _):
+        """A slice's contexts and their tables: the dishes' first ones, or those beyond."""
+        h, total, _ = summed(chunks)
+        return B.pack(h, small(total))
+
+    def added(chunks, _):
+        """The tables of each chunk's contexts; a chunk of three arrays holds the first ones."""
+        base = [c for c in chunks if len(c) == 3]
+        ask = [c for c in chunks if len(c) == 2]
+        if not ask:
+            return [B.pack() for _ in chunks]
+        h, total, at = summed(ask)
+        if base:
+            total = total + base[0][1][np.searchsorted(base[0][0], h)]
+        split = iter(np.split(total[at], np.cumsum([len(c[0]) for c in ask])[:-1]))
+        return [B.pack() if len(c) == 3 else B.pack(small(next(split))) for c in chunks]
+
+    def beyond(chunks, k):
+        return whole([c for c in chunks if len(c) == 2] or [(np.zeros(0, U), np.zeros(0, np.int64))], k)
+
+    # First tables of each context: as many as distinct words follow it.
+    mine = held.filter("blk = -2").select(F.col("q").cast("long").alias("blk"), "body").mapInArrow(B.trimmed(distinct), B.CHUNK_SCHEMA)
+    firsts = B.checkpointed(B.exchange(mine, None, q, whole))
+
+    def tagged(parts):
         for batch in parts:
-            for body in batch.column(0).to_pylist():
-                total += B.unpack(body)[0]
-        yield pa.RecordBatch.from_arrays([pa.array([B.pack(total)])], ["body"])
-
-    for r in range(1, ROUNDS + 1):
-        rows = held.select("q", "body").mapInArrow(lambda parts, r=r: seated(parts, r), "body binary").repartition(FAN).mapInArrow(B.trimmed(added), "body binary").collect()
-        total = sum((B.unpack(x[0])[0] for x in rows), np.zeros(size + 2))
-        model.tables.append((total[:size], float(total[size]), float(total[size + 1])))
-
-    def predicted(chunks, k):
-        word, code, n, own = merged(chunks, size)
-        s = Seating(len(word), code, n, size, model, k)
-        sums = [np.zeros(len(c)) for c in own]
-        for r in range(ROUNDS):
-            s.round(r)
-            if r >= BURN_IN:
-                for x, c in zip(sums, own, strict=True):
-                    x += s.predict(c, code, r + 1)
-        return [B.pack(np.log10(x / (ROUNDS - BURN_IN)).astype(np.float32)) for x in sums]
-
-    answers = B.exchange(chunks, predicted, q)
+            for k, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                yield B.arrow_rows(B.CHUNKS, [(-3, k, B.pack(*B.unpack(body), np.zeros(1, np.int8)))])
+
+    bases = firsts.select("q", "body").mapInArrow(B.trimmed(tagged), B.CHUNK_SCHEMA)
+
+    def seat(r):
+        def work(k, body, got):
+            _, word, context, n, once, contexts, _ = B.unpack(body)
+            t, root_t = got[0][-1]
+            tables = np.zeros(len(contexts))
+            for j, own in B.split_slices(B.slice_of(contexts, q), q):
+                tables[own] = got[0][j][0]
+            s = Seating(word, n, once, model, t, root_t)
+            s.round(r, tables[context], k)
+            yield from sent(k, s, context, contexts)
+
+        return work
+
+    states = [B.checkpointed(B.each_block(slices, seated, B.CHUNK_SCHEMA))]
+    totals = []
+    for r in range(ROUNDS + 1):
+        if r:
+            states.append(B.checkpointed(B.with_answers(slices, [states[-1].filter("q = -1").unionByName(totals[-1].filter("blk >= 0"))], seat(r - 1), B.CHUNK_SCHEMA)))
+        root = sum((B.unpack(x[0])[0] for x in states[r].filter("q = -2").select("body").collect()), np.zeros(2))
+        model.root.append((float(root[0]), float(root[1])))
+        totals.append(B.checkpointed(B.exchange(states[r].filter("q >= 0").unionByName(bases), added, q, beyond)))
+
+    def predicted(parts):
+        """For each chunk: its pairs' customers and tables, and its words' root probabilities and tables as contexts, in each round that counts."""
+        got: dict[int, list] = {}
+        for batch in parts:
+            for n, b, k, body in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
+                got.setdefault(k, []).append((n, b, body))
+        for k in sorted(got):
+            rows = got.pop(k)
+            own = {n: B.unpack(body) for n, _, body in rows if n}
+            words, word, _, n, once, _, few = own[1]
+            first = np.zeros(len(words))
+            if 2 in own:
+                first[np.searchsorted(words, own[2][0])] = own[2][1]
+            kept, root, tables = [], [], []
+            rest = int(few[4]) - len(n)
+            for r in range(BURN_IN + 1, ROUNDS + 1):
+                t, root_t = own[2 * r + 1]
+                kept.append(small(np.concatenate([t, np.ones(rest, np.int64), [0]]).astype(np.int64)))
+                root.append(Seating(word, n, once, model, t, root_t).root(r))
+                more = first.copy()
+                if 2 * r + 2 in own:
+                    more[np.searchsorted(words, own[2 * r + 2][0])] += own[2 * r + 2][1]
+                tables.append(more)
+            count = small(np.concatenate([n, np.ones(rest, np.int64), [0]]).astype(np.int64))
+            for kind, b, body in rows:
+                if not kind:
+                    at, place = B.unpack(body)
+                    yield B.arrow_rows(B.CHUNKS, [(b, k, B.pack(count[place], *(x[place] for x in kept), *(x[at] for x in root), *(small(x[at].astype(np.int64)) for x in tables)))])
+
+    def tag(df, n, blk="blk", k="q"):
+        return df.select(F.lit(n).alias("n"), F.col(blk).cast("long").alias("blk"), F.col(k).cast("int").alias("q"), "body")
+
+    asked = tag(held.filter("blk >= 0"), 0).unionByName(tag(held.filter("blk = -1"), 1)).unionByName(tag(firsts, 2))
+    for r in range(BURN_IN + 1, ROUNDS + 1):
+        asked = asked.unionByName(tag(states[r].filter("q = -1"), 2 * r + 1, "q", "blk")).unionByName(tag(totals[r].filter("blk = -1"), 2 * r + 2))
+    answers = asked.repartition(max(1, q // 4), "q").mapInArrow(B.trimmed(predicted), B.CHUNK_SCHEMA)
     smooth = tokens + 0.5 * (types + 1)
+    rounds = ROUNDS - BURN_IN
 
     def scored(blk, body, got):
         x = Texts(body)
-        word, context, _, pair = x.pairs(frequent)
+        word, context, _, pair = x.pairs()
         bounds = x.slices(q)
         ends = np.searchsorted(word, bounds)
         n, p = np.zeros(len(x.words), np.int64), np.zeros(len(word))
+        root, tables = np.zeros((rounds, len(x.words))), np.zeros((rounds, len(x.words)))
+        count, kept = np.zeros(len(word)), np.zeros((rounds, len(word)), np.int64)
         for k in range(q):
             if bounds[k + 1] > bounds[k]:
-                n[bounds[k] : bounds[k + 1]] = got[0][k][0]
-                p[ends[k] : ends[k + 1]] = got[1][k][0]
+                w, e, a = slice(bounds[k], bounds[k + 1]), slice(ends[k], ends[k + 1]), got[1][k]
+                n[w], count[e] = got[0][k][0], a[0]
+                for r in range(rounds):
+                    kept[r, e], root[r, w], tables[r, w] = a[1 + r], a[1 + rounds + r], a[1 + 2 * rounds + r]
+        d = model.discount
+        for r in range(rounds):
+            p += (count - d * kept[r] + (STRENGTH + d * tables[r][context]) * root[r][word]) / (STRENGTH + n[context])
+        p = np.log10(p / rounds)
         first = x.ends - x.n
         base = np.add.reduceat(np.log10((n + 0.5) / smooth)[x.at], first)
         whole, known = np.add.reduceat(p[pair], first), np.add.reduceat((n > 0)[x.at].astype(np.int64), first)

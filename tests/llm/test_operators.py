@@ -333,3 +333,17 @@ def test_runs_of_texts_have_the_library_s_ids(monkeypatch):
     want = [np.array(library.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
     assert got == want
     assert list(tokens.runs(batch.slice(0, 0))) == [] and encoder.many(pa.array([], pa.string())) == []
+
+
+def test_language_model_of_rare_contexts(spark):
+    """After a word seen only a few times, the word that always follows it is likelier than after its look-alikes."""
+    rnd = random.Random(5)
+    heads = [f"{rnd.randrange(10**9):09d}ing" for _ in range(3000)]  # each under 1/4096 of the tokens, all with the same last two bytes
+    tails = [f"t{rnd.randrange(10**9)}" for _ in range(3000)]
+    values = [" ".join(f"{h} {t}" for h, t in zip(heads[k : k + 300], tails[k : k + 300])) for k in range(0, 3000, 300)]
+    train = [i for i in range(200) if not lm.held_out(i)]
+    out = [i for i in range(200) if lm.held_out(i)][:2]
+    right, wrong = " ".join(f"{h} {t}" for h, t in zip(heads[:100], tails[:100])), " ".join(f"{h} {t}" for h, t in zip(heads[:100], tails[1:101]))
+    rows = [(i, values[n % 10]) for n, i in enumerate(train[:30])] + [(out[0], right), (out[1], wrong)]
+    got = {r.doc_id: r for r in lm.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[out[0]].n_tokens == got[out[1]].n_tokens == 201 and got[out[0]].score > got[out[1]].score + 150
