@@ -69,24 +69,24 @@ def _kept_sets(docs: DataFrame, reps: DataFrame, k: int, num: int, den: int, q:
     def lead(s):
         return s[: prefix(len(s), num, den) + _extra(len(s), num, den)]
 
-    def items(ids, sets):
-        """First shingles of the block's distinct sets: shingle, signature, and the document they are of."""
-        seen, hs, sig, doc = set(), [], [], []
+    def items(sets):
+        """First shingles of the block's distinct sets: shingle, signature, and the first row with the set; and that row for each row."""
+        seen, hs, sig, doc, same = {}, [], [], [], np.arange(len(sets))
         for n, s in enumerate(sets):
             if len(s):
                 x = _signature(s)
-                if x not in seen:
-                    seen.add(x)
+                same[n] = seen.setdefault(x, n)
+                if same[n] == n:
                     p = lead(s)
                     hs.append(p)
                     sig.append(np.full(len(p), x[0] & 0xFFFFFFFF, np.uint32))
                     doc.append(np.full(len(p), n))
         if not hs:
-            return np.zeros(0, U), np.zeros(0, np.uint32), np.zeros(0, np.int64)
-        return np.concatenate(hs), np.concatenate(sig), np.concatenate(doc)
+            return np.zeros(0, U), np.zeros(0, np.uint32), np.zeros(0, np.int64), same
+        return np.concatenate(hs), np.concatenate(sig), np.concatenate(doc), same
 
     def send(blk, body):
-        h, sig, _ = items(*_sets(body, k))
+        h, sig, *_ = items(_sets(body, k)[1])
         for j, n in B.split_slices(B.slice_of(h, q), q):
             yield B.arrow_rows(B.CHUNKS, [(blk, j, B.pack(h[n], sig[n]))])
 
@@ -105,12 +105,12 @@ def _kept_sets(docs: DataFrame, reps: DataFrame, k: int, num: int, den: int, q:
 
     def keep(blk, body, got):
         ids, sets = _sets(body, k)
-        h, _, doc = items(ids, sets)
+        h, _, doc, same = items(sets)
         common = np.zeros(len(h), bool)
         for j, n in B.split_slices(B.slice_of(h, q), q):
             common[n] = np.unpackbits(got[0][j][0])[: len(n)]
         hits = np.bincount(doc[common], minlength=len(sets))
-        rows = [n for n in got[1].tolist() if hits[n] >= 1 + _extra(need(len(sets[n]), num, den), num, den)]
+        rows = [n for n in got[1].tolist() if hits[same[n]] >= 1 + _extra(need(len(sets[n]), num, den), num, den)]
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array([blk], pa.int64()), pa.array([B.pack(ids[rows], np.array([len(sets[n]) for n in rows]), np.concatenate([sets[n] for n in rows]))], pa.binary())], ["blk", "body"])
 

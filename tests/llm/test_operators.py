@@ -347,3 +347,11 @@ def test_language_model_of_rare_contexts(spark):
     rows = [(i, values[n % 10]) for n, i in enumerate(train[:30])] + [(out[0], right), (out[1], wrong)]
     got = {r.doc_id: r for r in lm.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[out[0]].n_tokens == got[out[1]].n_tokens == 201 and got[out[0]].score > got[out[1]].score + 150
+
+
+def test_ngram_copies_in_descending_order(spark):
+    """The smallest id of a set need not be its first row in a block."""
+    a = " ".join(f"w{i}" for i in range(60))
+    rows = [(9, a), (3, a), (5, a + " x")]
+    got = {r.doc_id: r.component_id for r in ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()}
+    assert got == {9: 3, 3: 3, 5: 3}
