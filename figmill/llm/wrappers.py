@@ -173,8 +173,20 @@ def pattern(e: list) -> str:
     return f"( {body} )" + ("", "?", "+", "*")[e[1]] if e[1] else body
 
 
+def _aside(e: list) -> bool:
+    """It has no text, or is a list or division of nothing but links, without headings and paragraphs."""
+
+    def plain(x):
+        return x[0].split(".")[0] not in ("p", "pre", "h1", "h2", "h3", "h4", "h5", "h6") and all(map(plain, x[5]))
+
+    return not e[3] or e[3] == e[4] and e[0].split(".")[0] in ("ul", "ol", "div", "section") and plain(e)
+
+
 def rule(e: list) -> dict:
-    """{"path": labels from the page down to the article's group, "menus": labels of link groups in it}."""
+    """{"path": labels from the page down to the article's group, "menus": labels of link groups in it}.
+
+    Without an article or main element, that group is the lowest one that holds all text but link groups beside it.
+    """
     found: list[tuple[int, int, list[str], list]] = []
 
     def walk(x, path):
@@ -190,7 +202,9 @@ def rule(e: list) -> dict:
         _, _, path, top = max(found, key=lambda f: (f[0], f[1]))
     else:
         path, top = [], e
-        while (kids := [k for k in top[5] if k[0] != SLOT]) and (best := max(kids, key=lambda k: k[3] - 2 * k[4]))[3] > 0.6 * max(1, top[3]) and best[0].split(".")[0] not in ("p", "pre", "h1"):
+        while best := next((k for k in top[5] if k[0] != SLOT and k[3] > k[4] and all(k is x or _aside(x) for x in top[5])), None):
+            if best[0].split(".")[0] in ("p", "pre", "h1"):
+                break
             path, top = [*path, best[0]], best
     menus: list[str] = []
 

@@ -355,3 +355,14 @@ def test_ngram_copies_in_descending_order(spark):
     rows = [(9, a), (3, a), (5, a + " x")]
     got = {r.doc_id: r.component_id for r in ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()}
     assert got == {9: 3, 3: 3, 5: 3}
+
+
+def test_html_keeps_siblings_of_the_largest_group():
+    body = "".join(f"<p>{'long words ' * 20}{n}</p>" for n in range(4))
+    texts = [f"{'long words ' * 20}{n}" for n in range(4)]
+    page = f"<body><ul><li><a href='/'>home</a></ul><div><h1>Title</h1><p>lead</p><div class=text>{body}</div></div></body>"
+    assert wrappers.read(page, None).split("\n") == ["Title", "lead", *texts]
+    linked = f"<body><div><h2><a href='/x'>Title</a></h2><div class=text>{body}</div></div></body>"
+    assert wrappers.read(linked, None).split("\n") == ["Title", *texts]
+    parts = f"<body><div><h1>Title</h1><section>{body}</section><section>{body}</section><p>end</p></div></body>"
+    assert wrappers.read(parts, wrappers.rule(wrappers.expression(wrappers.parse(parts)))).split("\n") == ["Title", *texts, *texts, "end"]
