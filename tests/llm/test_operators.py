@@ -366,3 +366,11 @@ def test_html_keeps_siblings_of_the_largest_group():
     assert wrappers.read(linked, None).split("\n") == ["Title", *texts]
     parts = f"<body><div><h1>Title</h1><section>{body}</section><section>{body}</section><p>end</p></div></body>"
     assert wrappers.read(parts, wrappers.rule(wrappers.expression(wrappers.parse(parts)))).split("\n") == ["Title", *texts, *texts, "end"]
+
+
+def test_html_attributes_are_read_whole():
+    for attrs in ("style='overflow:hidden'", "data-id=ad", 'data-role="banner"', "title='id=ad role=banner hidden'", "data-hidden", "aria-label=hidden"):
+        assert wrappers.read(f"<article><p>a</p><div {attrs}><p>b</p></div></article>", None) == "a\nb", attrs
+    assert wrappers.read("<article><p>a <a href='/hidden-valley'>b</a></p></article>", None) == "a b"
+    for attrs in ("hidden", "HIDDEN=''", "class='x ad'", "id = ad", 'role="banner"', "aria-hidden=true", "style='a:b'hidden"):
+        assert wrappers.read(f"<article><p>a</p><div {attrs}><p>b</p></div></article>", None) == "a", attrs
