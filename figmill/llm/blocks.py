@@ -18,13 +18,14 @@ import struct
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 BLOCK_SCHEMA = "blk long, body binary"
 CHUNK_SCHEMA = "blk long, q int, body binary"
+LAST = (1 << 63) - 1
 
 
 def trim() -> None:
@@ -49,8 +50,12 @@ def trimmed(run):
     return own
 
 
-def pack(*arrays: np.ndarray, level: int = 1) -> bytes:
-    """Numpy arrays as one compressed byte string; unpack() returns them."""
+_SQUEEZE, _OPEN = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+SMALL = 256
+
+
+def pack(*arrays: np.ndarray) -> bytes:
+    """Numpy arrays as one byte string, compressed unless it is short; unpack() returns them."""
     out = io.BytesIO()
     out.write(struct.pack("<I", len(arrays)))
     for a in arrays:
@@ -58,11 +63,12 @@ def pack(*arrays: np.ndarray, level: int = 1) -> bytes:
         kind = a.dtype.str.encode()
         out.write(struct.pack("<BQ", len(kind), a.size) + kind)
         out.write(a.tobytes())
-    return zstandard.ZstdCompressor(level=level).compress(out.getvalue())
+    raw = out.getvalue()
+    return b"\0" + raw if len(raw) < SMALL else b"\1" + _SQUEEZE.compress(raw)
 
 
 def unpack(body: bytes) -> list[np.ndarray]:
-    raw = zstandard.ZstdDecompressor().decompress(body)
+    raw = _OPEN.decompress(memoryview(body)[1:]) if body[0] else body[1:]
     (n,), at, out = struct.unpack_from("<I", raw, 0), 4, []
     for _ in range(n):
         k, size = struct.unpack_from("<BQ", raw, at)
@@ -86,62 +92,96 @@ def text_arrays(ids: pa.Array, texts: pa.Array) -> tuple[np.ndarray, np.ndarray,
     return ids.cast(pa.int64()).to_numpy(zero_copy_only=False), off - off[0], data[off[0] : off[-1]]
 
 
-def batches(parts, id_col: str, text_col: str, most: int):
-    """Groups consecutive rows of a mapInArrow input into (ids, offsets, bytes) of about `most` bytes."""
-    ids, lens, data, size = [], [], [], 0
+def batches(parts, most: int):
+    """Groups consecutive rows (id, text) of a mapInArrow input into (ids, nulls, offsets, bytes) of about `most` bytes."""
+    held, size = [], 0
     for batch in parts:
-        i, o, d = text_arrays(batch.column(batch.schema.get_field_index(id_col)), batch.column(batch.schema.get_field_index(text_col)))
+        nulls = batch.column(0).is_null().to_numpy(zero_copy_only=False)
+        i, o, d = text_arrays(batch.column(0).fill_null(LAST), batch.column(1))
         at = 0
         while at < len(i):
             to = max(at + 1, int(np.searchsorted(o, o[at] + most - size, side="right")) - 1)
             to = min(to, len(i))
-            ids.append(i[at:to])
-            lens.append(np.diff(o[at : to + 1]))
-            data.append(d[o[at] : o[to]].copy())
+            held.append((i[at:to], nulls[at:to], np.diff(o[at : to + 1]), d[o[at] : o[to]].copy()))
             size += int(o[to] - o[at])
             at = to
             if size >= most:
-                yield _joined(ids, lens, data)
-                ids, lens, data, size = [], [], [], 0
-    if ids:
-        yield _joined(ids, lens, data)
+                yield _joined(held)
+                held, size = [], 0
+    if held:
+        yield _joined(held)
+
+
+def _joined(held):
+    ids, nulls, lens, data = (np.concatenate(x) for x in zip(*held, strict=True))
+    return ids, nulls, np.concatenate([[0], np.cumsum(lens)]).astype(np.int64), data
+
+
+def _with_rest(parts, most: int):
+    """batches() of an input (id, text, other columns), each with the other columns of its rows as Arrow's own bytes."""
+    for batch in parts:
+        ends, at = text_arrays(batch.column(0).fill_null(LAST), batch.column(1))[1], 0
+        while at < batch.num_rows:
+            to = max(at + 1, int(np.searchsorted(ends, ends[at] + most, side="right")) - 1)
+            own = batch.slice(at, to - at)
+            sink = pa.BufferOutputStream()
+            others = pa.RecordBatch.from_arrays(own.columns[2:], schema=pa.schema(list(own.schema)[2:])) if own.num_columns > 2 else own.select([0])
+            with pa.ipc.new_stream(sink, others.schema) as w:
+                w.write_batch(others)
+            yield *next(batches([own], 1 << 62)), np.frombuffer(sink.getvalue(), np.uint8)
+            at = to
+
+
+def rest_of(arrays: list) -> pa.RecordBatch:
+    """The other columns of a block that carries them."""
+    return pa.ipc.open_stream(arrays[4].tobytes()).read_next_batch()
 
 
-def _joined(ids, lens, data):
-    return np.concatenate(ids), np.concatenate([[0], np.cumsum(np.concatenate(lens))]).astype(np.int64), np.concatenate(data)
+def stable(df: DataFrame) -> DataFrame:
+    """df, whose rows come in the same order and partitions each time it is read: checkpointed if a shuffle could deal them anew."""
+    return checkpointed(df) if "Exchange" in df._jdf.queryExecution().executedPlan().toString() else df
 
 
-def to_blocks(df: DataFrame, id_col: str, text_col: str, most: int = 4 << 20, rest: str | None = None) -> DataFrame:
-    """One row per block: a number, and the block's ids, offsets and UTF-8 bytes.  Rows with a null id are refused.
+class Blocks:
+    """The rows of df in blocks: numpy arrays of ids, null marks, offsets and UTF-8 bytes (and `rest` columns' bytes).
 
-    `rest` names a string column to be carried along; its offsets and bytes follow in the block.
+    A null text is empty.  A null id stands as the largest number, with its mark set.
     """
 
-    def blocks(parts):
-        from pyspark import TaskContext
+    def __init__(self, df: DataFrame, id_col: str, text_col: str, most: int = 4 << 20, rest: list[str] | None = None):
+        src = stable(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *(F.col(f"`{c}`").alias(f"rest{n}") for n, c in enumerate(rest or []))))
+        self.src, self.most, self.rest = src, most, rest is not None
+        self.n_bytes = src.agg(F.sum(F.octet_length("text"))).first()[0] or 0
 
-        base = TaskContext.get().partitionId() << 33
-        n = 0
-        if rest is None:
-            for n, (ids, off, data) in enumerate(batches(parts, "id", "text", most)):
-                yield arrow_rows(_BLOCKS, [(base + n, pack(ids, off, data))])
-            return
-        for batch in parts:
-            ends, at = text_arrays(batch.column(0), batch.column(1))[1], 0
-            while at < batch.num_rows:
-                to = max(at + 1, int(np.searchsorted(ends, ends[at] + most, side="right")) - 1)
-                own = batch.slice(at, to - at)
-                ids, off, data = text_arrays(own.column(0), own.column(1))
-                yield arrow_rows(_BLOCKS, [(base + n, pack(ids, off, data, *text_arrays(own.column(0), own.column(2))[1:]))])
-                at, n = to, n + 1
+    def slices(self, per: int = 12 << 20) -> int:
+        """Number of hash slices, one for each `per` bytes of text: a slice's size doesn't grow with the input."""
+        return max(6, -(-self.n_bytes // per))
+
+    def _cut(self):
+        most, parted = self.most, _with_rest if self.rest else batches
+
+        def cut(parts):
+            from pyspark import TaskContext
+
+            base = TaskContext.get().partitionId() << 33
+            for n, arrays in enumerate(parted(parts, most)):
+                yield base + n, arrays
+
+        return cut
 
-    src = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *([F.col(rest).alias("rest")] if rest else []))
-    return src.withColumn("id", F.coalesce("id", F.raise_error(F.lit(f"null {id_col}")).cast("long"))).mapInArrow(trimmed(blocks), BLOCK_SCHEMA)
+    def each(self, work, schema: str) -> DataFrame:
+        """work(blk, arrays) yields RecordBatches for every block, in the task that reads its rows."""
+        cut = self._cut()
 
+        def run(parts):
+            for blk, arrays in cut(parts):
+                yield from work(blk, arrays)
 
-def slices(spark: SparkSession) -> int:
-    """Number of hash slices: some for each of the session's shuffle partitions, as a partition holds a random number of them."""
-    return 4 * max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+        return self.src.mapInArrow(trimmed(run), schema)
+
+    def table(self) -> DataFrame:
+        """One row per block."""
+        return self.each(lambda blk, arrays: [arrow_rows(_BLOCKS, [(blk, pack(*arrays))])], BLOCK_SCHEMA)
 
 
 def arrow_rows(schema: pa.Schema, rows: list) -> pa.RecordBatch:
@@ -169,15 +209,11 @@ def exchange(chunks: DataFrame, work, q: int, total=None) -> DataFrame:
     """Runs work(list of arrays per chunk, slice) -> list of packed answers over each slice; answers carry the chunk's blk and q.
 
     total(list of arrays per chunk, slice) gives one more answer a slice, whose blk is -1.  Without work there are only those.
+    One task has one slice.
     """
 
     def run(parts):
-        got: dict[int, list] = {}
-        for batch in parts:
-            for b, k, body in zip(*(batch.column(n).to_pylist() for n in range(3)), strict=True):
-                got.setdefault(k, []).append((b, body))
-        for k in sorted(got):
-            rows = got.pop(k)
+        for k, rows in by_slice(parts):
             arrays = [unpack(x) for _, x in rows]
             if total:
                 yield arrow_rows(CHUNKS, [(-1, k, total(arrays, k))])
@@ -185,21 +221,31 @@ def exchange(chunks: DataFrame, work, q: int, total=None) -> DataFrame:
                 for (b, _), answer in zip(rows, work(arrays, k), strict=True):
                     yield arrow_rows(CHUNKS, [(b, k, answer)])
 
-    return chunks.repartition(max(1, q // 4), "q").mapInArrow(trimmed(run), CHUNK_SCHEMA)
+    return chunks.repartitionById(q, F.col("q")).mapInArrow(trimmed(run), CHUNK_SCHEMA)
+
+
+def by_slice(parts):
+    """(slice, [(blk, body), ...] in the order of blk) of a mapInArrow input of chunks."""
+    got: dict[int, list] = {}
+    for batch in parts:
+        for b, k, body in zip(*(batch.column(n).to_pylist() for n in range(3)), strict=True):
+            got.setdefault(k, []).append((b, body))
+    for k in sorted(got):
+        yield k, sorted(got.pop(k), key=lambda r: r[0])
 
 
-def with_answers(blocks: DataFrame, answers: list[DataFrame], work, schema: str) -> DataFrame:
-    """Brings every block together with its answers: work(blk, body, [{q: arrays} or numbers, ...]) yields RecordBatches.
+def with_answers(blocks: DataFrame, answers: list[DataFrame], work, schema: str | StructType) -> DataFrame:
+    """Brings every block together with its answers: work(blk, arrays, [{q: arrays} or numbers, ...]) yields RecordBatches.
 
     `answers` are told apart by their place in the list.  One with the columns (blk, number) instead of
     (blk, q, body) arrives as one array of numbers.
     """
     right = None
     for n, a in enumerate(answers):
-        a = a.select("blk", F.lit(n).alias("n"), "q", "body") if "body" in a.columns else a.select("blk", F.lit(n).alias("n"), F.col("number").cast("int").alias("q"), F.lit(None).cast("binary").alias("body"))
+        a = a.select("blk", F.lit(n).alias("n"), F.col("q").cast("long").alias("q"), "body") if "body" in a.columns else a.select("blk", F.lit(n).alias("n"), F.col("number").cast("long").alias("q"), F.lit(None).cast("binary").alias("body"))
         right = a if right is None else right.unionByName(a)
     plain = ["body" not in a.columns for a in answers]
-    empty = to_arrow_schema(StructType.fromDDL(schema)).empty_table()
+    empty = to_arrow_schema(schema if isinstance(schema, StructType) else StructType.fromDDL(schema)).empty_table()
 
     def both(left: pa.Table, right: pa.Table):
         which, number = right.column("n").to_numpy(), right.column("q").to_numpy()
@@ -210,7 +256,7 @@ def with_answers(blocks: DataFrame, answers: list[DataFrame], work, schema: str)
             else:
                 mine = right.filter(pa.array(which == n))
                 got.append({k: unpack(x) for k, x in zip(mine.column("q").to_pylist(), mine.column("body").to_pylist(), strict=True)})
-        out = [b for blk, body in zip(left.column("blk").to_pylist(), left.column("body").to_pylist(), strict=True) for b in work(blk, body, got)]
+        out = [b for blk, body in zip(left.column("blk").to_pylist(), left.column("body").to_pylist(), strict=True) for b in work(blk, unpack(body), got)]
         trim()
         return pa.Table.from_batches(out) if out else empty
 
@@ -218,23 +264,24 @@ def with_answers(blocks: DataFrame, answers: list[DataFrame], work, schema: str)
 
 
 def each_block(blocks: DataFrame, work, schema: str) -> DataFrame:
-    """work(blk, body) yields RecordBatches for every block."""
+    """work(blk, arrays) yields RecordBatches for every row of a table of blocks."""
 
     def run(parts):
         for batch in parts:
             for blk, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                yield from work(blk, body)
+                yield from work(blk, unpack(body))
 
     return blocks.mapInArrow(trimmed(run), schema)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df, cut from its lineage, in the shared folder that spark.checkpoint.dir names (a local one only where it is unset, as in tests)."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
+    """df, cut from its lineage, in the shared folder that spark.checkpoint.dir names; where it is unset, only a local session may use a folder of its own."""
+    sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         where = sc.getConf().get("spark.checkpoint.dir", "") or None
         if where is None:
+            if not sc.master.startswith("local[") and sc.master != "local":
+                raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
             import tempfile
 
             where = tempfile.mkdtemp(prefix="checkpoint-")

@@ -53,8 +53,8 @@ def _library(path: str, pattern: str):
 class Words:
     """A block's distinct pre-tokens, and its documents as numbers of them."""
 
-    def __init__(self, body: bytes, pattern: str):
-        self.ids, off, data = B.unpack(body)
+    def __init__(self, arrays: list, pattern: str):
+        self.ids, self.nulls, off, data = arrays
         self.number: dict[str, int] = {}
         find = splitter(pattern)
         number = self.number
@@ -98,17 +98,17 @@ ENCODED = "doc_id long, ids binary"
 
 
 def _with_ids(df: DataFrame, path: str, pattern: str, id_col: str, text_col: str, finish, schema: str) -> DataFrame:
-    q = B.slices(df.sparkSession)
-    docs = B.to_blocks(df, id_col, text_col, BLOCK_BYTES)
+    docs = B.Blocks(df, id_col, text_col, BLOCK_BYTES)
+    q = docs.slices()
 
-    def words(blk, body):
-        block = Words(body, pattern)
+    def words(blk, arrays):
+        block = Words(arrays, pattern)
         for k, n in block.split(q):
             own = [block.words[i] for i in n.tolist()]
             yield B.arrow_rows(B.CHUNKS, [(blk, k, B.pack(np.array([len(w) for w in own], np.uint32), np.frombuffer(b"".join(own), np.uint8)))])
 
-    def together(blk, body, got):
-        block = Words(body, pattern)
+    def together(blk, arrays, got):
+        block = Words(arrays, pattern)
         count, first = np.zeros(len(block.words), np.int64), np.zeros(len(block.words), np.int64)
         ids, size = [], 0
         for k, n in block.split(q):
@@ -120,22 +120,22 @@ def _with_ids(df: DataFrame, path: str, pattern: str, id_col: str, text_col: str
         ids = np.concatenate(ids) if ids else np.zeros(0, "<u4")
 
         def each():
-            for i, doc in zip(block.ids.tolist(), block.docs, strict=True):
+            for i, null, doc in zip(block.ids.tolist(), block.nulls.tolist(), block.docs, strict=True):
                 w = np.frombuffer(doc, "<u4")
                 c = count[w]
-                yield i, ids[np.repeat(first[w] - (np.cumsum(c) - c), c) + np.arange(int(c.sum()))]
+                yield None if null else i, ids[np.repeat(first[w] - (np.cumsum(c) - c), c) + np.arange(int(c.sum()))]
 
         yield from finish(each())
 
-    found = B.exchange(B.each_block(docs, words, B.CHUNK_SCHEMA), _encoded(path, pattern), q)
-    return B.with_answers(docs, [found], together, schema)
+    found = B.exchange(docs.each(words, B.CHUNK_SCHEMA), _encoded(path, pattern), q)
+    return B.with_answers(docs.table(), [found], together, schema)
 
 
 def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and ids (little-endian unsigned 32-bit) of every row; null and empty texts have none.
 
     Each match of the pattern is encoded separately by the ranks, without special tokens.  Rows stay apart,
-    so ids may repeat; a null id is an error.  Other columns are not read.
+    so ids may repeat or be null.  Other columns are not read.
     """
 
     def finish(docs):

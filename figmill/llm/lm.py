@@ -10,12 +10,15 @@ customers in all restaurants and in the parent lie in one slice.  A context's ta
 the slice of the context's hash: each round, the words' slices send them their sums and get the
 totals of those contexts back that they seat anyone in.  A customer who is alone with their dish
 has one table for good, so after the start only tables beyond a dish's first one are sent.  The
-driver gathers two numbers a slice.
-
-Chinese-restaurant seating is sampled by Gibbs: a customer of each dish leaves its table and is
-seated again, given the other customers, many dishes at a time.  A slice sees the other slices'
-tables as of the last round.  Predictive probabilities are averaged over the rounds after the
-burn-in.
+driver gathers totals only.
+
+Chinese-restaurant seating is sampled by Gibbs, a sweep a round: the customers of a dish leave and
+are seated again, given the other dishes' tables and the parent as of the last round.  All that
+counts of a seating is its number of tables t, whose chance, for c customers, is in proportion to
+S(c, t) times the chance of t new tables, S being generalised Stirling numbers.  The discount is 1/2
+on both levels, for which S(c, t+1) / S(c, t) = 2 (c-t) / ((2c-t-1) t): t is drawn from its exact
+distribution for any c.  Draws depend on the dish and the round alone, so scores don't
+depend on how the job is divided.  Predictive probabilities are averaged over the rounds after the burn-in.
 """
 
 from __future__ import annotations
@@ -28,12 +31,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks as B
-from .kernels import LOWER, Hasher, U, segments, words
+from .kernels import LOWER, Hasher, U, mix, segments, words
 
 BLOCK_BYTES = 16 << 20
-ROUNDS, BURN_IN, MOVES = 3, 1, 4
-STRENGTH = 1.0
-EXACT = 64
+ROUNDS, BURN_IN = 3, 1
+STRENGTH, DISCOUNT = 1.0, 0.5  # the closed form of tables() holds for this discount
 END = U(0xE4D0E4D0E4D0E4D1)
 
 
@@ -49,8 +51,8 @@ def small(x: np.ndarray) -> np.ndarray:
 class Texts:
     """A block's tokens: word hashes with an end after each text."""
 
-    def __init__(self, body: bytes):
-        self.ids, off, data = B.unpack(body)
+    def __init__(self, arrays: list):
+        self.ids, self.nulls, off, data = arrays
         hs, ns = [], []
         for a, b in segments(off):
             part, o = LOWER[data[off[a] : off[b]]], off[a : b + 1] - off[a]
@@ -66,7 +68,8 @@ class Texts:
         word[self.ends - 1] = False
         if total:
             self.h[word] = np.concatenate(hs)
-        self.train = ~np.repeat(np.array([held_out(i) for i in self.ids.tolist()], bool), self.n)
+        self.held = np.array([held_out(i) for i in self.ids.tolist()], bool)
+        self.train = ~np.repeat(self.held | self.nulls, self.n)
         self.words, self.at = np.unique(self.h, return_inverse=True)
 
     def slices(self, q: int) -> np.ndarray:
@@ -90,18 +93,17 @@ def _count(chunks: list, _: int) -> list[bytes]:
 
 
 def _known(chunks: list, _: int) -> bytes:
-    """The slice's types and all tokens."""
+    """The slice's types and tokens."""
     h = np.concatenate([c[0] for c in chunks])
     n = np.concatenate([c[1] for c in chunks])
-    return B.pack(np.array([len(np.unique(h[n > 0])), int(sum(c[2][0] for c in chunks))]))
+    return B.pack(np.array([len(np.unique(h[n > 0])), int(n.sum())]))
 
 
 class Model:
-    """What all slices know: vocabulary size, discounts, and the root's customers and tables after each round."""
+    """What all slices know: vocabulary size, and the root's customers and tables after each round."""
 
     def __init__(self, types, tokens):
         self.types, self.tokens = types, tokens
-        self.discount = self.root_discount = 0.5
         self.root: list[tuple[float, float]] = []
 
     def prior(self) -> float:
@@ -131,32 +133,62 @@ class Customers:
         self.place = np.split(number[place], np.cumsum([len(c[2]) for c in chunks])[:-1])
 
 
-def leave_alone(discount: float, most: int = EXACT) -> np.ndarray:
-    """[c, t]: the probability that a customer sits alone, of c customers at t tables: S(c-1, t-1) / S(c, t) for generalised Stirling numbers S."""
-    s = np.full((most + 1, most + 2), -np.inf)
-    s[0, 0] = 0
-    t = np.arange(most + 2)
-    for c in range(1, most + 1):
-        with np.errstate(divide="ignore", invalid="ignore"):
-            stay = np.where(c - 1 - t * discount > 0, s[c - 1] + np.log(np.maximum(c - 1 - t * discount, 1e-300)), -np.inf)
-        s[c] = np.logaddexp(stay, np.concatenate([[-np.inf], s[c - 1, :-1]]))
-    out = np.zeros((most + 1, most + 2))
-    with np.errstate(invalid="ignore"):
-        out[1:, 1:] = np.nan_to_num(np.exp(s[:-1, :-1] - s[1:, 1:]))
+def uniform(word: np.ndarray, context: np.ndarray | None, r: int) -> np.ndarray:
+    """A number of [0, 1) for each dish (word in context, or at the root) and round."""
+    h = mix(word + U(r + 1) * U(0x9E3779B97F4A7C15))
+    return (mix(h + (mix(context) if context is not None else U(1))) >> U(11)).astype(float) / (1 << 53)
+
+
+def tables(c: np.ndarray, others: np.ndarray, new: np.ndarray, u: np.ndarray, most: int = 1 << 21) -> np.ndarray:
+    """Draws the tables of dishes with c customers, by the uniform numbers u.
+
+    others: the restaurant's tables of other dishes; new: the parent's probability of the dish.  The chances
+    of t and t+1 are as 1 to 2 new (c-t) (2 STRENGTH + others + t) / ((2c-t-1) t), which falls with t, so they
+    have one peak; what is left out around it is below the last bit.
+    """
+    out = np.ones(len(c))
+    g = 2 * new
+    # Peak: g (c-t)(s+t) = (2c-1-t) t, that is (1-g) t^2 - (2c-1 - g (c-s)) t + g c s = 0.
+    s = 2 * STRENGTH + others
+    q2, q1, q0 = 1 - g, 2 * c - 1 - g * (c - s), g * c * s
+    peak = np.clip(2 * q0 / (q1 + np.sqrt(np.maximum(q1 * q1 - 4 * q2 * q0, 0))), 1, c)
+    spread = 1 / np.sqrt(1 / peak - 1 / (s + peak) + 1 / np.maximum(c - peak, 0.5) - 1 / np.maximum(2 * c - 1 - peak, 1) + 1e-300)
+    reach = np.ceil(10 * np.minimum(spread, c) + 60)
+    lo, hi = np.maximum(1, np.floor(peak - reach)), np.minimum(c, np.ceil(peak + reach))
+    size = (hi - lo + 1).astype(np.int64)
+    ends = np.cumsum(size)
+    at = 0
+    while at < len(c):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
+        n = size[at:to]
+        first = np.cumsum(n) - n
+        who = np.repeat(np.arange(at, to), n)
+        t = np.arange(len(who)) - np.repeat(first, n) + lo[who]
+        with np.errstate(divide="ignore"):
+            step = np.log(g[who] * (c[who] - t + 1) * (s[who] + t - 1) / ((2 * c[who] - t) * np.maximum(t - 1, 1)))
+        step[first] = 0
+        w = np.cumsum(step)
+        w -= np.repeat(w[first], n)
+        w = np.exp(w - np.repeat(np.maximum.reduceat(w, first), n))
+        total = np.cumsum(w)
+        below = total[first] - w[first]
+        chosen = np.searchsorted(total, below + u[at:to] * (total[first + n - 1] - below), side="right")
+        out[at:to] = t[np.clip(chosen, first, first + n - 1)]
+        at = to
     return out
 
 
 class Seating:
     """Tables of each dish (word, context) with some customers, and of each word at the root.
 
-    once: how many dishes of one customer each word has.  tables: those of each dish's context.
+    once: how many dishes of one customer each word has.
     """
 
     def __init__(self, word: np.ndarray, n: np.ndarray, once: np.ndarray, model: Model, t: np.ndarray | None = None, root_t: np.ndarray | None = None):
         self.m, self.word, self.n, self.once = model, word, n.astype(float), once
-        self.t = np.maximum(1.0, np.round(self.n**model.discount)) if t is None else t.astype(float)
+        self.t = np.ceil(np.sqrt(self.n)) if t is None else t.astype(float)
         self.enter()
-        self.root_t = np.where(self.root_n > 0, np.maximum(1.0, np.round(self.root_n**model.root_discount)), 0.0) if root_t is None else root_t.astype(float)
+        self.root_t = np.where(self.root_n > 0, np.ceil(np.sqrt(self.root_n)), 0.0) if root_t is None else root_t.astype(float)
 
     def enter(self) -> None:
         """The tables are the root's customers."""
@@ -164,38 +196,35 @@ class Seating:
 
     def root(self, r: int) -> np.ndarray:
         """Each word's probability at the root, given the totals after round r."""
-        customers, tables = self.m.root[r]
-        d = self.m.root_discount
-        return (np.maximum(self.root_n - d * self.root_t, 0) + (STRENGTH + d * tables) * self.m.prior()) / (STRENGTH + customers)
-
-    def _leave(self, alone, n, t, d):
-        exact = n <= EXACT
-        p = np.where(exact, alone[np.minimum(n, EXACT).astype(np.int64), np.minimum(t, EXACT).astype(np.int64)], d * t / n)
-        return t - ((t > 1) & (self.random.random(len(n)) < p))
-
-    def round(self, r: int, tables: np.ndarray, seed: int) -> None:
-        """Seats MOVES customers of each dish again, given the totals after round r."""
-        d, e = self.m.discount, self.m.root_discount
-        alone, root_alone = leave_alone(d), leave_alone(e)
-        self.random = np.random.default_rng([seed, r])
-        pull = STRENGTH + d * tables
-        for _ in range(MOVES):
-            if len(self.n):
-                t = self._leave(alone, self.n, self.t, d)
-                new = pull * self.root(r)[self.word]
-                self.t = t + (self.random.random(len(t)) * (new + self.n - 1 - d * t) < new)
-            self.enter()
-            self.root_t = np.minimum(np.maximum(self.root_t, self.root_n > 0), self.root_n)
-            j = np.flatnonzero(self.root_n > 1)
-            if len(j):
-                t = self._leave(root_alone, self.root_n[j], self.root_t[j], e)
-                new = (STRENGTH + e * self.m.root[r][1]) * self.m.prior()
-                self.root_t[j] = t + (self.random.random(len(j)) * (new + self.root_n[j] - 1 - e * t) < new)
+        customers, held = self.m.root[r]
+        return (np.maximum(self.root_n - DISCOUNT * self.root_t, 0) + (STRENGTH + DISCOUNT * held) * self.m.prior()) / (STRENGTH + customers)
+
+    def round(self, r: int, held: np.ndarray, words: np.ndarray, contexts: np.ndarray) -> None:
+        """Seats all customers again, given the totals after round r; held: the tables of each dish's context."""
+        if len(self.n):
+            self.t = tables(self.n, held - self.t, self.root(r)[self.word], uniform(words[self.word], contexts, r))
+        self.enter()
+        j = np.flatnonzero(self.root_n > 0)
+        here = self.m.root[r][1] - self.root_t[j]
+        self.root_t[j] = tables(self.root_n[j], here, np.full(len(j), self.m.prior()), uniform(words[j], None, r))
 
     def totals(self) -> np.ndarray:
         return np.array([self.root_n.sum(), self.root_t.sum()])
 
 
+def total(df: DataFrame, columns: int) -> list[int]:
+    """Sums of whole numbers packed in the bodies of df."""
+    names = [f"c{n}" for n in range(columns)]
+
+    def run(parts):
+        for batch in parts:
+            for body in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array([int(x)], pa.int64()) for x in B.unpack(body)[0]], names)
+
+    row = df.select("body").mapInArrow(B.trimmed(run), ", ".join(f"{n} long" for n in names)).agg(*(F.coalesce(F.sum(n), F.lit(0)) for n in names)).first()
+    return list(row)
+
+
 RESULT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
 
@@ -204,27 +233,27 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
 
     Learns from the rows whose crc32(id as text) mod 5 is not 1, and scores all.  Tokens are words without
     ASCII white space, A-Z lower-cased, and one end a text, which is all that a null or empty text has.  Words
-    are told apart by 64-bit hash.  Ids may repeat (each row counts); a null id is an error; an empty table gives no rows.  Other columns are not read.
+    are told apart by 64-bit hash.  Ids may repeat (each row counts).  A row with a null id is scored but not
+    learned from, and its held_out is null.  An empty table gives no rows.  Other columns are not read.
     """
-    spark = df.sparkSession
-    q = B.slices(spark)
-    docs = B.to_blocks(df, id_col, text_col, BLOCK_BYTES)
+    docs = B.Blocks(df, id_col, text_col, BLOCK_BYTES)
+    q = docs.slices()
+    table = docs.table()
 
-    def unigrams(blk, body):
-        x = Texts(body)
+    def unigrams(blk, arrays):
+        x = Texts(arrays)
         n = np.bincount(x.at[x.train], minlength=len(x.words))
-        tokens, bounds = np.array([int(x.train.sum())]), x.slices(q)
+        bounds = x.slices(q)
         for k in range(q):
             s = slice(bounds[k], bounds[k + 1])
-            yield B.arrow_rows(B.CHUNKS, [(blk, k, B.pack(x.words[s], small(n[s]), tokens))])
+            yield B.arrow_rows(B.CHUNKS, [(blk, k, B.pack(x.words[s], small(n[s])))])
 
-    counted = B.checkpointed(B.exchange(B.each_block(docs, unigrams, B.CHUNK_SCHEMA), _count, q, _known))
-    said = [B.unpack(r[0])[0] for r in counted.filter("blk = -1").select("body").collect()]
-    tokens, types = max((int(x[1]) for x in said), default=0), sum(int(x[0]) for x in said)
+    counted = B.checkpointed(B.exchange(docs.each(unigrams, B.CHUNK_SCHEMA), _count, q, _known))
+    types, tokens = total(counted.filter("blk = -1"), 2)
     model = Model(types, tokens)
 
-    def bigrams(blk, body):
-        x = Texts(body)
+    def bigrams(blk, arrays):
+        x = Texts(arrays)
         word, context, n, _ = x.pairs()
         bounds = x.slices(q)
         ends = np.searchsorted(word, bounds)
@@ -242,36 +271,22 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
         number = np.zeros(len(c.contexts), np.int64)
         number[need] = np.arange(len(need))
         once = np.bincount(c.word[c.many :], minlength=len(c.words))
-        few = np.array([(c.n == 1).sum(), (c.n == 2).sum(), (c.root == 1).sum(), (c.root == 2).sum(), len(c.n)])
-        own = B.pack(c.words, small(c.word[: c.many]), small(number[c.context[: c.many]]), small(c.n[: c.many]), small(once), c.contexts[need], few)
+        own = B.pack(c.words, small(c.word[: c.many]), small(number[c.context[: c.many]]), small(c.n[: c.many]), small(once), c.contexts[need], np.array([len(c.n)]))
         return places, own, B.pack(c.contexts[seen > 0], small(seen[seen > 0]))
 
     def gathered(parts):
         """Each slice: its customers (blk -1), its contexts' distinct words (blk -2), and each chunk's places."""
-        got: dict[int, list] = {}
-        for batch in parts:
-            for b, k, body in zip(*(batch.column(n).to_pylist() for n in range(3)), strict=True):
-                got.setdefault(k, []).append((b, body))
-        for k in sorted(got):
-            rows = got.pop(k)
+        for k, rows in B.by_slice(parts):
             places, own, seen = customers([B.unpack(x) for _, x in rows])
             yield B.arrow_rows(B.CHUNKS, [(-1, k, own)])
             yield B.arrow_rows(B.CHUNKS, [(-2, k, seen)])
             for (b, _), x in zip(rows, places, strict=True):
                 yield B.arrow_rows(B.CHUNKS, [(b, k, x)])
 
-    chunks = B.each_block(docs, bigrams, B.CHUNK_SCHEMA)
-    held = B.checkpointed(chunks.repartition(max(1, q // 4), "q").mapInArrow(B.trimmed(gathered), B.CHUNK_SCHEMA))
+    chunks = docs.each(bigrams, B.CHUNK_SCHEMA)
+    held = B.checkpointed(chunks.repartitionById(q, F.col("q")).mapInArrow(B.trimmed(gathered), B.CHUNK_SCHEMA))
     slices = held.filter("blk = -1").select(F.col("q").cast("long").alias("blk"), "body")
 
-    def few(parts):
-        for batch in parts:
-            for body in batch.column(0).to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array([x]) for x in B.unpack(body)[6][:4].tolist()], ["a", "b", "c", "d"])
-
-    n = slices.select("body").mapInArrow(B.trimmed(few), "a long, b long, c long, d long").agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in "abcd")).first()
-    model.discount, model.root_discount = (min(0.9, max(0.1, x / (x + 2 * y))) if x else 0.5 for x, y in ((n[0], n[1]), (n[2], n[3])))
-
     def sent(k, s, context, contexts):
         """Rows of a slice after a round: its tables (q -1), its totals (q -2), and each context's tables beyond the dishes' first."""
         yield B.arrow_rows(B.CHUNKS, [(k, -1, B.pack(small(s.t), small(s.root_t)))])
@@ -280,8 +295,8 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
         for j, own in B.split_slices(B.slice_of(contexts, q), q):
             yield B.arrow_rows(B.CHUNKS, [(k, j, B.pack(contexts[own], small(more[own])))])
 
-    def seated(k, body):
-        _, word, context, n, once, contexts, _ = B.unpack(body)
+    def seated(k, arrays):
+        _, word, context, n, once, contexts, _ = arrays
         yield from sent(k, Seating(word, n, once, model), context, contexts)
 
     def distinct(parts):
@@ -328,14 +343,14 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
     bases = firsts.select("q", "body").mapInArrow(B.trimmed(tagged), B.CHUNK_SCHEMA)
 
     def seat(r):
-        def work(k, body, got):
-            _, word, context, n, once, contexts, _ = B.unpack(body)
+        def work(k, arrays, got):
+            words, word, context, n, once, contexts, _ = arrays
             t, root_t = got[0][-1]
-            tables = np.zeros(len(contexts))
+            held = np.zeros(len(contexts))
             for j, own in B.split_slices(B.slice_of(contexts, q), q):
-                tables[own] = got[0][j][0]
+                held[own] = got[0][j][0]
             s = Seating(word, n, once, model, t, root_t)
-            s.round(r, tables[context], k)
+            s.round(r, held[context], words, contexts[context])
             yield from sent(k, s, context, contexts)
 
         return work
@@ -345,8 +360,7 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
     for r in range(ROUNDS + 1):
         if r:
             states.append(B.checkpointed(B.with_answers(slices, [states[-1].filter("q = -1").unionByName(totals[-1].filter("blk >= 0"))], seat(r - 1), B.CHUNK_SCHEMA)))
-        root = sum((B.unpack(x[0])[0] for x in states[r].filter("q = -2").select("body").collect()), np.zeros(2))
-        model.root.append((float(root[0]), float(root[1])))
+        model.root.append(tuple(map(float, total(states[r].filter("q = -2"), 2))))
         totals.append(B.checkpointed(B.exchange(states[r].filter("q >= 0").unionByName(bases), added, q, beyond)))
 
     def predicted(parts):
@@ -362,8 +376,8 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
             first = np.zeros(len(words))
             if 2 in own:
                 first[np.searchsorted(words, own[2][0])] = own[2][1]
-            kept, root, tables = [], [], []
-            rest = int(few[4]) - len(n)
+            kept, root, held = [], [], []
+            rest = int(few[0]) - len(n)
             for r in range(BURN_IN + 1, ROUNDS + 1):
                 t, root_t = own[2 * r + 1]
                 kept.append(small(np.concatenate([t, np.ones(rest, np.int64), [0]]).astype(np.int64)))
@@ -371,12 +385,12 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
                 more = first.copy()
                 if 2 * r + 2 in own:
                     more[np.searchsorted(words, own[2 * r + 2][0])] += own[2 * r + 2][1]
-                tables.append(more)
+                held.append(more)
             count = small(np.concatenate([n, np.ones(rest, np.int64), [0]]).astype(np.int64))
             for kind, b, body in rows:
                 if not kind:
                     at, place = B.unpack(body)
-                    yield B.arrow_rows(B.CHUNKS, [(b, k, B.pack(count[place], *(x[place] for x in kept), *(x[at] for x in root), *(small(x[at].astype(np.int64)) for x in tables)))])
+                    yield B.arrow_rows(B.CHUNKS, [(b, k, B.pack(count[place], *(x[place] for x in kept), *(x[at] for x in root), *(small(x[at].astype(np.int64)) for x in held)))])
 
     def tag(df, n, blk="blk", k="q"):
         return df.select(F.lit(n).alias("n"), F.col(blk).cast("long").alias("blk"), F.col(k).cast("int").alias("q"), "body")
@@ -384,32 +398,31 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
     asked = tag(held.filter("blk >= 0"), 0).unionByName(tag(held.filter("blk = -1"), 1)).unionByName(tag(firsts, 2))
     for r in range(BURN_IN + 1, ROUNDS + 1):
         asked = asked.unionByName(tag(states[r].filter("q = -1"), 2 * r + 1, "q", "blk")).unionByName(tag(totals[r].filter("blk = -1"), 2 * r + 2))
-    answers = asked.repartition(max(1, q // 4), "q").mapInArrow(B.trimmed(predicted), B.CHUNK_SCHEMA)
+    answers = asked.repartitionById(q, F.col("q")).mapInArrow(B.trimmed(predicted), B.CHUNK_SCHEMA)
     smooth = tokens + 0.5 * (types + 1)
     rounds = ROUNDS - BURN_IN
 
-    def scored(blk, body, got):
-        x = Texts(body)
+    def scored(blk, arrays, got):
+        x = Texts(arrays)
         word, context, _, pair = x.pairs()
         bounds = x.slices(q)
         ends = np.searchsorted(word, bounds)
         n, p = np.zeros(len(x.words), np.int64), np.zeros(len(word))
-        root, tables = np.zeros((rounds, len(x.words))), np.zeros((rounds, len(x.words)))
+        root, held = np.zeros((rounds, len(x.words))), np.zeros((rounds, len(x.words)))
         count, kept = np.zeros(len(word)), np.zeros((rounds, len(word)), np.int64)
         for k in range(q):
             if bounds[k + 1] > bounds[k]:
                 w, e, a = slice(bounds[k], bounds[k + 1]), slice(ends[k], ends[k + 1]), got[1][k]
                 n[w], count[e] = got[0][k][0], a[0]
                 for r in range(rounds):
-                    kept[r, e], root[r, w], tables[r, w] = a[1 + r], a[1 + rounds + r], a[1 + 2 * rounds + r]
-        d = model.discount
+                    kept[r, e], root[r, w], held[r, w] = a[1 + r], a[1 + rounds + r], a[1 + 2 * rounds + r]
         for r in range(rounds):
-            p += (count - d * kept[r] + (STRENGTH + d * tables[r][context]) * root[r][word]) / (STRENGTH + n[context])
+            p += (count - DISCOUNT * kept[r] + (STRENGTH + DISCOUNT * held[r][context]) * root[r][word]) / (STRENGTH + n[context])
         p = np.log10(p / rounds)
         first = x.ends - x.n
         base = np.add.reduceat(np.log10((n + 0.5) / smooth)[x.at], first)
         whole, known = np.add.reduceat(p[pair], first), np.add.reduceat((n > 0)[x.at].astype(np.int64), first)
-        cols = (x.ids, np.array([held_out(i) for i in x.ids.tolist()]), x.n, known, np.full(len(x.ids), tokens), base, whole)
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, RESULT, strict=True)], schema=RESULT)
+        cols = (x.ids, x.held, x.n, known, np.full(len(x.ids), tokens), base, whole)
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type, mask=x.nulls if f.name in ("doc_id", "held_out") else None) for c, f in zip(cols, RESULT, strict=True)], schema=RESULT)
 
-    return B.with_answers(docs, [counted.filter("blk >= 0"), answers], scored, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return B.with_answers(table, [counted.filter("blk >= 0"), answers], scored, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

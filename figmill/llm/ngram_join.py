@@ -31,6 +31,7 @@ from .kernels import U, mix, shingles, word_hashes
 
 SUBSET = 2
 TILE = 4096
+HOMES = 8
 
 
 def need(n, num: int, den: int):
@@ -46,10 +47,11 @@ def _extra(n, num, den):
     return prefix(n, num, den) // 2
 
 
-def _sets(body: bytes, k: int):
-    ids, off, data = B.unpack(body)
+def _sets(arrays: list, k: int):
+    """Ids, null marks and shingle sets of a block's documents."""
+    ids, nulls, off, data = arrays
     h, counts = word_hashes(data, off)
-    return ids, shingles(h, counts, k)
+    return ids, nulls, shingles(h, counts, k)
 
 
 def _signature(s: np.ndarray) -> tuple[int, int]:
@@ -58,35 +60,35 @@ def _signature(s: np.ndarray) -> tuple[int, int]:
     return int(mix(s).sum(dtype=U).view(np.int64)), int(mix(s ^ U(0x5555555555555555)).sum(dtype=U).view(np.int64))
 
 
-BASE = "blk long, row int, id long, n long, s1 long, s2 long"
-_BASE = pa.schema([("blk", pa.int64()), ("row", pa.int32()), ("id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64())])
+BASE = "blk long, row int, id long, n long, s1 long, s2 long, alone boolean"
+_BASE = pa.schema([("blk", pa.int64()), ("row", pa.int32()), ("id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("alone", pa.bool_())])
 SETS = "id long, n long, cost_subsets double, cost_lists double, tokens binary, first int"
 
 
-def _kept_sets(docs: DataFrame, reps: DataFrame, k: int, num: int, den: int, q: int) -> DataFrame:
+def _kept_sets(docs: B.Blocks, reps: DataFrame, k: int, num: int, den: int, q: int) -> DataFrame:
     """Blocks of the sets (one per distinct set) whose first shingles by hash occur often enough in other sets."""
 
     def lead(s):
         return s[: prefix(len(s), num, den) + _extra(len(s), num, den)]
 
-    def items(sets):
+    def items(nulls, sets):
         """First shingles of the block's distinct sets: shingle, signature, and the first row with the set; and that row for each row."""
         seen, hs, sig, doc, same = {}, [], [], [], np.arange(len(sets))
         for n, s in enumerate(sets):
-            if len(s):
+            if len(s) and not nulls[n]:
                 x = _signature(s)
                 same[n] = seen.setdefault(x, n)
                 if same[n] == n:
                     p = lead(s)
                     hs.append(p)
-                    sig.append(np.full(len(p), x[0] & 0xFFFFFFFF, np.uint32))
+                    sig.append(np.full(len(p), x[0], np.int64))
                     doc.append(np.full(len(p), n))
         if not hs:
-            return np.zeros(0, U), np.zeros(0, np.uint32), np.zeros(0, np.int64), same
+            return np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int64), same
         return np.concatenate(hs), np.concatenate(sig), np.concatenate(doc), same
 
-    def send(blk, body):
-        h, sig, *_ = items(_sets(body, k)[1])
+    def send(blk, arrays):
+        h, sig, *_ = items(*_sets(arrays, k)[1:])
         for j, n in B.split_slices(B.slice_of(h, q), q):
             yield B.arrow_rows(B.CHUNKS, [(blk, j, B.pack(h[n], sig[n]))])
 
@@ -103,9 +105,9 @@ def _kept_sets(docs: DataFrame, reps: DataFrame, k: int, num: int, den: int, q:
         ends = np.cumsum([len(c[0]) for c in chunks])
         return [B.pack(np.packbits(x)) for x in np.split(out, ends[:-1])]
 
-    def keep(blk, body, got):
-        ids, sets = _sets(body, k)
-        h, _, doc, same = items(sets)
+    def keep(blk, arrays, got):
+        ids, nulls, sets = _sets(arrays, k)
+        h, _, doc, same = items(nulls, sets)
         common = np.zeros(len(h), bool)
         for j, n in B.split_slices(B.slice_of(h, q), q):
             common[n] = np.unpackbits(got[0][j][0])[: len(n)]
@@ -114,19 +116,19 @@ def _kept_sets(docs: DataFrame, reps: DataFrame, k: int, num: int, den: int, q:
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array([blk], pa.int64()), pa.array([B.pack(ids[rows], np.array([len(sets[n]) for n in rows]), np.concatenate([sets[n] for n in rows]))], pa.binary())], ["blk", "body"])
 
-    found = B.exchange(B.each_block(docs, send, B.CHUNK_SCHEMA), shared, q)
-    return B.with_answers(docs, [found, reps.select("blk", F.col("row").alias("number"))], keep, B.BLOCK_SCHEMA)
+    found = B.exchange(docs.each(send, B.CHUNK_SCHEMA), shared, q)
+    return B.with_answers(docs.table(), [found, reps.select("blk", F.col("row").alias("number"))], keep, B.BLOCK_SCHEMA)
 
 
 def _ordered_sets(kept: DataFrame, num: int, den: int, q: int) -> DataFrame:
     """The sets that may link, as their shingles that others have too, from rare to frequent."""
 
-    def read(body):
-        ids, n, tokens = B.unpack(body)
+    def read(arrays):
+        ids, n, tokens = arrays
         return ids, n, tokens, *np.unique(tokens, return_inverse=True, return_counts=True)
 
-    def send(blk, body):
-        *_, h, _, count = read(body)
+    def send(blk, arrays):
+        *_, h, _, count = read(arrays)
         for j, n in B.split_slices(B.slice_of(h, q), q):
             yield B.arrow_rows(B.CHUNKS, [(blk, j, B.pack(h[n], count[n].astype(np.uint32)))])
 
@@ -136,8 +138,8 @@ def _ordered_sets(kept: DataFrame, num: int, den: int, q: int) -> DataFrame:
         ends = np.cumsum([len(c[0]) for c in chunks])
         return [B.pack(x) for x in np.split(sums, ends[:-1])]
 
-    def order(blk, body, got):
-        ids, size, tokens, h, inverse, _ = read(body)
+    def order(blk, arrays, got):
+        ids, size, tokens, h, inverse, _ = read(arrays)
         df = np.zeros(len(h), np.int64)
         for j, n in B.split_slices(B.slice_of(h, q), q):
             df[n] = got[0][j][0]
@@ -186,7 +188,7 @@ def _keys(sets: DataFrame, small: int, num: int, den: int) -> DataFrame:
                     lo, hi = np.minimum(p[a], p[b]), np.maximum(p[a], p[b])
                     keys.append(mix(mix(lo) + hi))
                     ids.append(np.full(len(a), i))
-                if n > small or n >= need(small, num, den):
+                if n > small or n >= need(small, num, den) or need(n, num, den) < SUBSET:
                     keys.append(mix(t[:first] + U(1)))
                     ids.append(np.full(first, i))
                 if sum(map(len, keys)) > 1 << 20:
@@ -216,31 +218,36 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
 
 
 def _groups(keys: DataFrame, comp: DataFrame, homes: DataFrame) -> DataFrame:
-    """(g, id, component, home): who has to be compared with whom after the hubs.
+    """(kind, g, id, component, main): who has to be compared with whom after the hubs.
 
-    A key that joins several components sends its members to the homes (hubs) of them all.  So two members of a
-    key with different components meet at the home of either.
+    A key that joins several components sends its members to the homes (hubs) of them all (kind 0), so two
+    members of a key with different components meet at the home of either.  A key with more than HOMES homes
+    is a group of its own (kind 1), so no key sends a member to more than HOMES groups.
     """
     here = keys.join(homes, "id").join(comp, "id", "left").select("key", "id", "home", F.coalesce("component", "id").alias("component"))
-    mixed = here.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("key")
-    here = here.join(mixed, "key")
+    mixed = here.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("key", F.col("x").alias("main"))
+    here = B.checkpointed(here.join(mixed, "key"))
     places = here.select("key", F.col("home").alias("g")).distinct()
-    return here.join(places, "key").groupBy("g", "id").agg(F.first("component").alias("component"), F.first("home").alias("home"))
+    some = places.groupBy("key").agg(F.count(F.lit(1)).alias("homes"))
+    few, many = some.filter(F.col("homes") <= HOMES).select("key"), some.filter(F.col("homes") > HOMES).select("key")
+    at_homes = here.join(few, "key").join(places, "key").groupBy("g", "id").agg(F.first("component").alias("component"))
+    main = comp.select(F.col("id").alias("g"), F.col("component").alias("main"))
+    at_homes = at_homes.join(main, "g", "left").select(F.lit(0).alias("kind"), "g", "id", "component", F.coalesce("main", "g").alias("main"))
+    return at_homes.unionByName(here.join(many, "key").select(F.lit(1).alias("kind"), F.col("key").alias("g"), "id", "component", "main").distinct())
 
 
-def _compared(groups: DataFrame, comp: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Links (a, b) between members of a group: for each member outside the hub's component, one to each component it links with.
+def _compared(groups: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Links (a, b) between members of a group: for each member outside the group's main component, one to each component it links with.
 
-    Members of the hub's component are joined already and aren't compared with each other.  A group of any
+    Members of the main component are joined already and aren't compared with each other.  A group of any
     size is dealt out in tiles of TILE members against TILE members.
     """
-    main = comp.withColumnRenamed("id", "g").withColumnRenamed("component", "main")
-    g = B.checkpointed(groups.join(main, "g", "left").withColumn("active", F.col("component") != F.coalesce("main", "g")).drop("main"))
-    size = g.groupBy("g").agg(F.ceil(F.count_if("active") / TILE).cast("int").alias("ni"), F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("nj")).filter("ni > 0")
-    g = g.join(size, "g").withColumn("i", F.pmod(F.xxhash64("id"), F.col("ni")).cast("int")).withColumn("j", F.pmod(F.xxhash64("id"), F.col("nj")).cast("int"))
-    one = g.filter("active").select("g", "i", F.explode(F.sequence(F.lit(0), F.col("nj") - 1)).alias("j"), "id", "component", F.lit(True).alias("active"))
-    two = g.select("g", F.explode(F.sequence(F.lit(0), F.col("ni") - 1)).alias("i"), "j", "id", "component", F.lit(False).alias("active"))
-    rows = one.union(two).join(sets.select("id", "n", "tokens"), "id").select("g", "i", "j", "active", "id", "component", "n", "tokens")
+    g = B.checkpointed(groups.withColumn("active", F.col("component") != F.col("main")).drop("main"))
+    size = g.groupBy("kind", "g").agg(F.ceil(F.count_if("active") / TILE).cast("int").alias("ni"), F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("nj")).filter("ni > 0")
+    g = g.join(size, ["kind", "g"]).withColumn("i", F.pmod(F.xxhash64("id"), F.col("ni")).cast("int")).withColumn("j", F.pmod(F.xxhash64("id"), F.col("nj")).cast("int"))
+    one = g.filter("active").select("kind", "g", "i", F.explode(F.sequence(F.lit(0), F.col("nj") - 1)).alias("j"), "id", "component", F.lit(True).alias("active"))
+    two = g.select("kind", "g", F.explode(F.sequence(F.lit(0), F.col("ni") - 1)).alias("i"), "j", "id", "component", F.lit(False).alias("active"))
+    rows = one.union(two).join(sets.select("id", "n", "tokens"), "id").select("kind", "g", "i", "j", "active", "id", "component", "n", "tokens")
 
     def compare(ids, comps, sizes, active, tokens):
         vocabulary, number = np.unique(np.concatenate(tokens), return_inverse=True)
@@ -273,14 +280,14 @@ def _compared(groups: DataFrame, comp: DataFrame, sets: DataFrame, num: int, den
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["a", "b"])
 
         for batch in parts:
-            for g, i, j, *row in zip(*(batch.column(c).to_pylist() for c in range(8)), strict=True):
-                if key != (g, i, j):
+            for kind, g, i, j, *row in zip(*(batch.column(c).to_pylist() for c in range(9)), strict=True):
+                if key != (kind, g, i, j):
                     yield from done()
-                    key, held = (g, i, j), []
+                    key, held = (kind, g, i, j), []
                 held.append(row)
         yield from done()
 
-    return rows.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j").mapInArrow(B.trimmed(run), "a long, b long")
+    return rows.repartition("kind", "g", "i", "j").sortWithinPartitions("kind", "g", "i", "j").mapInArrow(B.trimmed(run), "a long, b long")
 
 
 def _linked(sets: DataFrame, keys: DataFrame, num: int, den: int) -> DataFrame:
@@ -289,7 +296,7 @@ def _linked(sets: DataFrame, keys: DataFrame, num: int, den: int) -> DataFrame:
     homes = B.checkpointed(keys.join(hubs, "key").groupBy("id").agg(F.min("hub").alias("home")))
     links = B.checkpointed(_verified(homes.filter("id <> home").select(F.col("home").alias("a"), F.col("id").alias("b")), sets, num, den).filter("linked").select("a", "b"))
     comp = B.checkpointed(components(links))
-    more = B.checkpointed(_compared(_groups(keys, comp, homes), comp, sets, num, den))
+    more = B.checkpointed(_compared(_groups(keys, comp, homes), sets, num, den))
     return components(links.union(more)) if more.head(1) else comp
 
 
@@ -298,25 +305,31 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Words are runs without ASCII white space, A-Z lower-cased; a text with fewer than k words has the whole
     sequence as its one shingle; null, empty and blank texts have none and link with nothing.  Rows with one
-    id are one document if their texts have one set, else they only share what their sets link with.  A null
-    id is an error; other columns are not read.  Shingles are compared by 64-bit hash, equal sets by 128 bits.
+    id are one document if their texts have one set, else they only share what their sets link with.  A row
+    with a null id links with nothing and has a null component_id; other columns are not read.  Shingles are compared by 64-bit hash, equal sets by 128 bits.
     """
-    q = B.slices(df.sparkSession)
-    docs = B.to_blocks(df, id_col, text_col)
+    docs = B.Blocks(df, id_col, text_col)
+    q = docs.slices()
 
-    def describe(blk, body):
-        ids, sets = _sets(body, k)
-        yield B.arrow_rows(_BASE, [(blk, n, i, len(s), *_signature(s)) for n, (i, s) in enumerate(zip(ids.tolist(), sets, strict=True))])
+    def describe(blk, arrays):
+        ids, nulls, sets = _sets(arrays, k)
+        yield B.arrow_rows(_BASE, [(blk, n, i, len(s), *_signature(s), null) for n, (i, null, s) in enumerate(zip(ids.tolist(), nulls.tolist(), sets, strict=True))])
 
-    base = B.checkpointed(B.each_block(docs, describe, BASE))
+    base = B.checkpointed(docs.each(describe, BASE))
     same = ["n", "s1", "s2"]
-    reps = base.filter("n > 0").groupBy(*same).agg(F.min(F.struct("id", "blk", "row")).alias("r")).select(*same, F.col("r.id").alias("rep"), "r.blk", "r.row")
+    linked = base.filter("n > 0 and not alone")
+    # A set's copies are combined block by block, so a large group of copies isn't one task's.
+    local = linked.groupBy(*same, "blk").agg(F.min(F.struct("id", "blk", "row")).alias("r"))
+    reps = local.groupBy(*same).agg(F.min("r").alias("r")).select(*same, F.col("r.id").alias("rep"), "r.blk", "r.row")
     kept = B.checkpointed(_kept_sets(docs, reps, k, num, den, q))
     sets = B.checkpointed(_ordered_sets(kept, num, den, q))
     size = F.ceil(F.pow(2.0, F.ceil(F.log2("n") * 16) / 16))
     costs = sets.groupBy(size.alias("size")).agg(F.sum("cost_subsets"), F.sum("cost_lists")).collect()
     comp = _linked(sets, _keys(sets, boundary([tuple(r) for r in costs]), num, den), num, den)
     # Equal ids in different sets join their components.
-    shared = base.filter("n > 0").join(reps.select(*same, "rep"), same).select("id", "rep")
+    local = local.select(*same, "blk").join(reps.select(*same, "rep"), same)
+    shared = linked.join(local, [*same, "blk"]).select("id", "rep")
     whole = shared.join(comp, shared.rep == comp.id, "left").select(shared.id, F.coalesce("component", "rep").alias("component")).groupBy("id").agg(F.min("component").alias("component"))
-    return base.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles")).join(whole.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
+    out = base.join(whole.withColumnRenamed("id", "other"), (F.col("id") == F.col("other")) & ~F.col("alone"), "left")
+    own = F.when(~F.col("alone"), F.col("id"))
+    return out.select(own.alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(own).alias("component_id"))

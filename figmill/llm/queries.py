@@ -21,7 +21,7 @@ def op2_metric_join(spark, sf_dir):
 
 
 def op3_suffix_dedup(spark, sf_dir):
-    return suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"), with_text=False).drop("kept", "kept_text", "rest")
+    return suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"), with_text=False)
 
 
 def op4_quality_rules(spark, sf_dir):

@@ -1,8 +1,11 @@
 """Suffix-array dedup: removes bytes that a long enough string covers which also starts earlier.
 
-Prefix doubling ranks the starts of strings, offset by offset, until a rank is unique or the
-threshold is passed.  Ranking every byte of a corpus costs many times its size in shuffles, so
-the starts whose fate is settled by their surroundings leave first, and lose nothing by it:
+Distributed prefix doubling: each position has the rank of the string of w bytes that starts there;
+Spark pairs it with the rank at position + offset, sorts the pairs, and their places are the ranks of
+longer strings, until a rank is unique or the threshold is reached.
+
+Ranking every byte of a corpus costs many times its size in shuffles, so the starts whose fate is
+settled by their surroundings leave first, and lose nothing by it:
 
 1. Each string of ``length`` bytes has an *anchor*: its smallest inner k-gram by hash, leftmost
    on ties.  Equal strings have it at the same place, so only strings around equal anchors can
@@ -11,8 +14,8 @@ the starts whose fate is settled by their surroundings leave first, and lose not
    occurrence are repeats.  An anchor with one kind of interval has no other repeats.
 2. Intervals of one anchor that differ are cut into steps of a few starts, grouped by the
    bytes that all strings of the step share, and settled the same way.
-3. The starts that are left, at the ends of repeated passages, go through prefix doubling in
-   Spark: sorted as rank pairs at offset length/4, then length/2; unique ranks drop out.
+3. The starts that are left, at the ends of repeated passages, go through prefix doubling, with
+   the positions whose ranks theirs are made of.
 
 An anchor's or a step's copies are combined inside a block before the shuffle, so a passage
 that a third of all documents share arrives once per block and kind.  String equality is
@@ -25,8 +28,10 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from . import blocks as B
 from .kernels import Hasher, U, mix, segments
@@ -48,11 +53,33 @@ def _least(key: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(m[: len(m) - (width - s)], m[width - s :]) if width > s else m
 
 
-class Intervals:
+class Hashed:
+    """A block's bytes, hashed piece by piece."""
+
+    def __init__(self, data: np.ndarray, off: np.ndarray):
+        self.data, self.off = data, off
+
+    def _hashed(self, at: np.ndarray):
+        """Runs of ascending positions that one piece of the block's documents holds, with its Hasher."""
+        for a, b in segments(self.off, 1 << 17):
+            s, t = np.searchsorted(at, [self.off[a], self.off[b]])
+            if t > s:
+                yield s, t, Hasher(self.data[self.off[a] : self.off[b]]), self.off[a]
+
+    def hashes(self, at: np.ndarray, n: int) -> np.ndarray:
+        """Hashes of the n bytes from each of these ascending positions."""
+        out = np.zeros(len(at), U)
+        for s, t, hashes, base in self._hashed(at):
+            out[s:t] = hashes(at[s:t] - base, at[s:t] - base + n)
+        return out
+
+
+class Intervals(Hashed):
     """The anchors of a block, with the starts lo..hi of their strings and the hashes of 1."""
 
     def __init__(self, data: np.ndarray, off: np.ndarray, length: int):
-        self.data, self.off, self.length, self.k = data, off, length, gram(length)
+        super().__init__(data, off)
+        self.length, self.k = length, gram(length)
         out: list[list[np.ndarray]] = [[], [], [], [], []]
         for a, b in segments(off, 1 << 17):
             base, o = off[a], off[a : b + 1] - off[a]
@@ -100,23 +127,6 @@ class Intervals:
         full = mix(full + mix((a - lo).astype(U) * U(512) + U(3)))
         return key, full, lo, hi
 
-    def _hashed(self, at: np.ndarray):
-        """Runs of ascending positions that one piece of the block's documents holds, with its Hasher."""
-        for a, b in segments(self.off, 1 << 17):
-            s, t = np.searchsorted(at, [self.off[a], self.off[b]])
-            if t > s:
-                yield s, t, Hasher(self.data[self.off[a] : self.off[b]]), self.off[a]
-
-    def codes(self, at: np.ndarray):
-        """Hashes of the 1st, the 2nd quarter and the 2nd half of the strings that start there."""
-        q, h, n = self.length // 4, self.length // 2, self.length
-        out = [np.zeros(len(at), U) for _ in range(3)]
-        for s, t, hashes, base in self._hashed(at):
-            x = at[s:t] - base
-            for o, (i, j) in zip(out, ((0, q), (q, h), (h, n)), strict=True):
-                o[s:t] = hashes(x + i, x + j)
-        return out
-
 
 def _firsts(key: np.ndarray, full: np.ndarray, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Numbers of the first item of each (key, full), in item order."""
@@ -127,6 +137,16 @@ def _firsts(key: np.ndarray, full: np.ndarray, ids: np.ndarray, at: np.ndarray)
     return np.sort(order[new])
 
 
+def _runs(lo: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The union of the ranges lo..end - 1, as starts and ends of maximal runs."""
+    if not len(lo):
+        return lo, end
+    order = np.argsort(lo, kind="stable")
+    lo, end = lo[order], np.maximum.accumulate(end[order])
+    new = np.flatnonzero(np.concatenate([[True], lo[1:] > end[:-1]]))
+    return lo[new], end[np.concatenate([new[1:] - 1, [len(lo) - 1]])]
+
+
 class Round:
     """What a block sends for a set of items, and what it makes of the answers: 0 first, 1 repeat, 2 open."""
 
@@ -134,22 +154,30 @@ class Round:
         self.key, self.full, self.ids, self.at = key, full, ids, at
         self.firsts = _firsts(key, full, ids, at)
 
+    def split(self, q: int):
+        return B.split_slices(B.slice_of(self.key[self.firsts], q), q)
+
     def chunks(self, blk: int, q: int):
-        f = self.firsts
         rows = []
-        for k, n in B.split_slices(B.slice_of(self.key[f], q), q):
-            n = f[n]
+        for k, n in self.split(q):
+            n = self.firsts[n]
             low = self.key[n] & LOW48
-            ids = self.ids[n]
-            rows.append((blk, k, B.pack((low & U(0xFFFFFFFF)).astype(np.uint32), (low >> U(32)).astype(np.uint16), self.full[n], ids, self.at[n].astype(np.int32 if self.at[n].max() < 1 << 31 else np.int64))))
+            rows.append((blk, k, B.pack((low & U(0xFFFFFFFF)).astype(np.uint32), (low >> U(32)).astype(np.uint16), self.full[n], self.ids[n], self.at[n].astype(np.int32 if self.at[n].max() < 1 << 31 else np.int64))))
         if rows:
             yield B.arrow_rows(B.CHUNKS, rows)
 
-    def states(self, answers: dict, q: int) -> np.ndarray:
-        out = np.ones(len(self.key), np.uint8)
-        for k, n in B.split_slices(B.slice_of(self.key[self.firsts], q), q):
-            out[self.firsts[n]] = answers[k][0]
-        return out
+    def order(self, q: int) -> np.ndarray:
+        """The items sent, in the order in which states() gets their answers."""
+        sent = [self.firsts[n] for _, n in self.split(q)]
+        return np.concatenate(sent) if sent else self.firsts
+
+
+def states(n: int, order: np.ndarray, answers: dict) -> np.ndarray:
+    """The state of each of n items; those that aren't the block's first of their kind are repeats."""
+    out = np.ones(n, np.uint8)
+    if len(order):
+        out[order] = np.concatenate([answers[k][0] for k in sorted(answers)])
+    return out
 
 
 def settle(chunks: list, _: int) -> list[bytes]:
@@ -169,118 +197,183 @@ def settle(chunks: list, _: int) -> list[bytes]:
     return [B.pack(x) for x in np.split(state, ends[:-1])]
 
 
-class Block:
-    """A block's items after the answers that there are."""
-
-    def __init__(self, body: bytes, length: int, q: int, answers: list):
-        self.ids, self.off, self.data, *self.rest = B.unpack(body)
-        self.length = length
-        self.all = Intervals(self.data, self.off, length)
-        self.first = self._round(self.all.key, self.all.full, self.all.lo)
-        if answers:
-            self.state = self.first.states(answers[0], q)
-            self.open = np.flatnonzero(self.state == 2)
-            key, full, self.lo, self.hi = self.all.steps(self.open)
-            order = np.argsort(self.lo, kind="stable")
-            self.lo, self.hi = self.lo[order], self.hi[order]
-            self.second = self._round(key[order], full[order], self.lo)
-        if len(answers) > 1:
-            self.step_state = self.second.states(answers[1], q)
-            left = np.flatnonzero(self.step_state == 2)
-            n = self.hi[left] - self.lo[left] + 1
-            self.starts = np.repeat(self.lo[left] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-
-    def _round(self, key, full, lo):
-        doc = np.searchsorted(self.off, lo, side="right") - 1
-        return Round(key, full, self.ids[doc], lo - self.off[doc])
-
-    def positions(self, blk: int):
-        """Rows for prefix doubling; the block's own repeats have been left out of them."""
-        doc = np.searchsorted(self.off, self.starts, side="right") - 1
-        codes = self.all.codes(self.starts)
-        whole = mix(mix(codes[0] + mix(codes[1])) + codes[2])
-        n = self.local(whole, doc)
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), blk)), pa.array(n.astype(np.int32)), pa.array(self.ids[doc[n]]), pa.array(self.starts[n] - self.off[doc[n]]), *(pa.array(c[n].view(np.int64)) for c in codes)], ["blk", "number", "id", "at", "r", "r2", "r3"])
-
-    def local(self, whole, doc):
-        return _firsts(whole, whole, self.ids[doc], self.starts - self.off[doc])
-
-    def covered(self, found: np.ndarray) -> np.ndarray:
-        """Which bytes go, given the open starts found to be repeats."""
-        edge = np.zeros(len(self.data) + 1, np.int32)
-        gone = self.state == 1
-        steps = self.step_state == 1
-        doc = np.searchsorted(self.off, self.starts, side="right") - 1
-        codes = self.all.codes(self.starts)
-        again = np.ones(len(self.starts), bool)
-        again[self.local(mix(mix(codes[0] + mix(codes[1])) + codes[2]), doc)] = False
-        again[found] = True
-        lo = np.concatenate([self.all.lo[gone], self.lo[steps], self.starts[again]])
-        hi = np.concatenate([self.all.hi[gone], self.hi[steps], self.starts[again]])
-        np.add.at(edge, lo, 1)
-        np.add.at(edge, hi + self.length, -1)
-        return np.cumsum(edge[:-1]) > 0
-
-
-POSITIONS = "blk long, number int, id long, at long, r long, r2 long, r3 long"
-RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, kept_text string, rest string"
-
-
-def prefix_doubling(positions: DataFrame) -> DataFrame:
-    """(blk, number) of the starts whose string occurs earlier.
-
-    Each row has a rank r for its first quarter; each round sorts the pairs of that rank and the rank
-    at the next offset, names equal pairs by their first position, and drops what is unique.
-    """
+def _owned(ids: np.ndarray, off: np.ndarray, key, full, lo) -> Round:
+    doc = np.searchsorted(off, lo, side="right") - 1
+    return Round(key, full, ids[doc], lo - off[doc])
 
-    def rerank(df: DataFrame, at_offset: str, keep: list[str]) -> DataFrame:
-        pair = ["r", at_offset]
-        named = df.groupBy(*pair).agg(F.min(F.struct("id", "at", "blk", "number")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-        named = named.select(*pair, F.xxhash64("first", *pair).alias("rank"), "first")
-        return df.join(named, pair).select(*keep, F.col("rank").alias("r"), "first")
 
-    half = rerank(positions, "r2", ["blk", "number", "id", "at", "r3"]).drop("first")
-    whole = rerank(half, "r3", ["blk", "number"])
-    return whole.filter((F.col("blk") != F.col("first.blk")) | (F.col("number") != F.col("first.number"))).select("blk", "number")
+def widths(length: int) -> list[int]:
+    """Widths of the strings that are ranked, from hashed ones to `length`."""
+    out = [max(1, -(-length // 4))]
+    while out[-1] < length:
+        out.append(min(length, 2 * out[-1]))
+    return out
 
 
-def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, with_text: bool = True, as_text: bool = False, rest: str | None = None) -> DataFrame:
-    """Per row: its bytes less every byte covered by a string of `length` bytes that also starts earlier.
+def closure(starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions whose ranks the ranks of `starts` are made of, ascending, and for each the widths' numbers (as bits) that are asked of it."""
+    steps = widths(length)
+    at, deep = starts, np.full(len(starts), 1 << len(steps) - 1, np.int32)
+    for n in range(len(steps) - 1, 0, -1):
+        here = at[(deep >> n & 1) > 0]
+        more = np.concatenate([here, here + steps[n] - steps[n - 1]])
+        at, inverse = np.unique(np.concatenate([at, more]), return_inverse=True)
+        bits = np.zeros(len(at), np.int32)
+        np.bitwise_or.at(bits, inverse, np.concatenate([deep, np.full(len(more), 1 << n - 1, np.int32)]))
+        deep = bits
+    return at, deep
 
-    Earlier: smaller id, or the same row at an earlier start (rows with equal ids: one of them, always the
-    same one of the input as read, counts as earlier).  Matches never cross rows; strings are judged on the
-    input.  Null and empty texts have no bytes; texts shorter than `length` stay whole; a null id is an error.
-    Returns doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256, kept (the remaining
-    bytes; null unless with_text), kept_text (the same as a string, without the bytes that cuts have left of
-    a character; null unless as_text), rest (the string column of that name, if any).  Other columns are not read.
+
+POSITIONS = "blk long, pos long, deep int, id long, at long, r long"
+
+
+def prefix_doubling(positions: DataFrame, length: int) -> DataFrame:
+    """(blk, pos) of the positions asked for at the last width whose string of `length` bytes occurs earlier (smaller id, at, blk, pos).
+
+    positions: blk and pos say where a string lies, id and at which comes first, r is the rank at the first
+    of widths(), deep has a bit for each width at which a position's rank is needed.  Each round pairs a rank with the
+    one at position + offset, sorts the pairs, and numbers them in that order; pairs of one position are
+    unique and leave.  A pair that is frequent is counted before it is shuffled.
     """
+    steps, now = widths(length), positions
+    for n in range(1, len(steps)):
+        offset = steps[n] - steps[n - 1]
+        later = F.first("r").over(Window.partitionBy("blk").orderBy("pos").rangeBetween(offset, offset))
+        pairs = now.withColumn("r2", later).filter(F.col("r2").isNotNull() & (F.col("deep").bitwiseAND(1 << n) > 0))
+        many = pairs.groupBy("r", "r2").agg(F.min(F.struct("id", "at", "blk", "pos")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+        named = B.checkpointed(many.orderBy("r", "r2").select("r", "r2", "first", F.monotonically_increasing_id().alias("rank")))
+        now = pairs.join(named, ["r", "r2"]).select("blk", "pos", "deep", "id", "at", F.col("rank").alias("r"), "first")
+        if n + 1 < len(steps):
+            now = B.checkpointed(now.drop("first"))
+    return now.filter((F.col("blk") != F.col("first.blk")) | (F.col("pos") != F.col("first.pos"))).select("blk", "pos")
+
+
+STATE, DEEP = -1, -2
+
+
+def _repeats(docs: B.Blocks, length: int):
+    """(blocks, states with the removed runs and the open starts, starts found by prefix doubling)."""
     if length < 4:
         raise ValueError("length must be 4 or more")
-    q = B.slices(df.sparkSession)
-    docs = B.to_blocks(df, id_col, text_col, rest=rest)
-
-    def anchors(blk, body):
-        yield from Block(body, length, q, []).first.chunks(blk, q)
+    q = docs.slices()
+    table = docs.table()
+
+    def anchors(blk, arrays):
+        ids, _, off, data = arrays[:4]
+        x = Intervals(data, off, length)
+        yield from _owned(ids, off, x.key, x.full, x.lo).chunks(blk, q)
+
+    def steps(blk, arrays, got):
+        """Chunks of the steps, and the block's state: runs that go, the steps, and the order of their answers."""
+        ids, _, off, data = arrays[:4]
+        x = Intervals(data, off, length)
+        state = states(len(x.key), _owned(ids, off, x.key, x.full, x.lo).order(q), got[0])
+        key, full, lo, hi = x.steps(np.flatnonzero(state == 2))
+        order = np.argsort(lo, kind="stable")
+        lo, hi = lo[order], hi[order]
+        second = _owned(ids, off, key[order], full[order], lo)
+        a, b = _runs(x.lo[state == 1], x.hi[state == 1] + length)
+        yield B.arrow_rows(B.CHUNKS, [(blk, STATE, B.pack(a, b, lo, (hi - lo).astype(np.uint8), second.order(q).astype(np.int32)))])
+        yield from second.chunks(blk, q)
+
+    def positions(blk, arrays, got):
+        """The positions to be ranked, and the block's state: runs that go, and the starts that are open."""
+        ids, _, off, data = arrays[:4]
+        a, b, lo, more, order = got[0][STATE]
+        hi = lo + more
+        state = states(len(lo), order, got[1])
+        left = np.flatnonzero(state == 2)
+        n = hi[left] - lo[left] + 1
+        starts = np.repeat(lo[left] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        doc = np.searchsorted(off, starts, side="right") - 1
+        x = Hashed(data, off)
+        whole = x.hashes(starts, length)
+        first = _firsts(whole, whole, ids[doc], starts - off[doc])
+        again = np.ones(len(starts), bool)
+        again[first] = False
+        gone = state == 1
+        a, b = _runs(np.concatenate([a, lo[gone], starts[again]]), np.concatenate([b, hi[gone] + length, starts[again] + length]))
+        at, deep = closure(np.sort(starts[first]), length)
+        doc = np.searchsorted(off, at, side="right") - 1
+        yield B.arrow_rows(B.CHUNKS, [(blk, STATE, B.pack(a, b))])
+        if len(at):
+            yield B.arrow_rows(B.CHUNKS, [(blk, DEEP, B.pack(at.astype(np.int32 if at[-1] < 1 << 31 else np.int64), deep.astype(np.uint8), ids[doc], at - off[doc], x.hashes(at, widths(length)[0])))])
+
+    def spread(parts):
+        for batch in parts:
+            for blk, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                at, deep, ids, where, r = B.unpack(body)
+                for k in range(0, len(at), 100_000):
+                    s = slice(k, k + 100_000)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at[s]), blk)), pa.array(at[s].astype(np.int64)), pa.array(deep[s].astype(np.int32)), pa.array(ids[s]), pa.array(where[s].astype(np.int64)), pa.array(r[s].view(np.int64))], ["blk", "pos", "deep", "id", "at", "r"])
+
+    first = B.exchange(docs.each(anchors, B.CHUNK_SCHEMA), settle, q)
+    sent = B.checkpointed(B.with_answers(table, [first], steps, B.CHUNK_SCHEMA))
+    second = B.exchange(sent.filter(F.col("q") >= 0), settle, q)
+    made = B.checkpointed(B.with_answers(table, [sent.filter(F.col("q") == STATE), second], positions, B.CHUNK_SCHEMA))
+    rows = made.filter(F.col("q") == DEEP).select("blk", "body").mapInArrow(B.trimmed(spread), POSITIONS)
+    return table, made.filter(F.col("q") == STATE), rows, length
+
+
+def _cut(arrays, got, length: int):
+    """For each document of a block: which of its bytes go."""
+    off, data = arrays[2], arrays[3]
+    a, b = got[0][STATE]
+    edge = np.zeros(len(data) + 1, np.int32)
+    np.add.at(edge, np.concatenate([a, got[1]]), 1)
+    np.add.at(edge, np.concatenate([b, got[1] + length]), -1)
+    gone = np.cumsum(edge[:-1]) > 0
+    for n in range(len(off) - 1):
+        own, g = data[off[n] : off[n + 1]], gone[off[n] : off[n + 1]]
+        yield own, g if g.any() else None
+
+
+RESULT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())])
+
+
+def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, with_text: bool = True) -> DataFrame:
+    """Per row: its bytes less every byte covered by a string of `length` bytes that also starts earlier.
 
-    first = B.exchange(B.each_block(docs, anchors, B.CHUNK_SCHEMA), settle, q)
-    second = B.exchange(B.with_answers(docs, [first], lambda blk, body, got: Block(body, length, q, got).second.chunks(blk, q), B.CHUNK_SCHEMA), settle, q)
-    rows = B.with_answers(docs, [first, second], lambda blk, body, got: Block(body, length, q, got).positions(blk), POSITIONS)
-    found = prefix_doubling(rows)
+    Earlier: smaller id, or the same row at an earlier start (rows with equal ids: one of them, always the
+    same one of the input as read, counts as earlier; null ids come after all others).  Matches never cross
+    rows; strings are judged on the input.  Null and empty texts have no bytes; texts shorter than `length`
+    stay whole.  Returns doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 and, if
+    with_text, kept (the remaining bytes).  Other columns are not read.
+    """
+    table, state, rows, length = _repeats(B.Blocks(df, id_col, text_col), length)
+    names = RESULT.names if with_text else RESULT.names[:-1]
 
-    def cut(blk, body, got):
-        block = Block(body, length, q, got[:2])
-        gone = block.covered(got[2])
+    def cut(blk, arrays, got):
         out = []
-        for n, i in enumerate(block.ids.tolist()):
-            a, b = block.off[n], block.off[n + 1]
-            g = gone[a:b]
-            removed = int(g.sum())
-            kept = block.data[a:b][~g].tobytes() if removed else block.data[a:b].tobytes()
-            spans = int(g[0]) + int((g[1:] & ~g[:-1]).sum()) if removed else 0
-            out.append((i, int(b - a), removed, spans, hashlib.sha256(kept).hexdigest(), kept if with_text else None, kept.decode("utf-8", "ignore") if as_text else None, block.rest[1][block.rest[0][n] : block.rest[0][n + 1]].tobytes().decode() if block.rest else None))
-        yield B.arrow_rows(_RESULT, out)
+        for i, null, (own, g) in zip(arrays[0].tolist(), arrays[1].tolist(), _cut(arrays, got, length), strict=True):
+            kept = own.tobytes() if g is None else own[~g].tobytes()
+            removed, spans = (0, 0) if g is None else (int(g.sum()), int(g[0]) + int((g[1:] & ~g[:-1]).sum()))
+            out.append((None if null else i, len(own), removed, spans, hashlib.sha256(kept).hexdigest(), kept)[: len(names)])
+        yield B.arrow_rows(pa.schema([RESULT.field(n) for n in names]), out)
 
-    return B.with_answers(docs, [first, second, found], cut, RESULT)
+    found = prefix_doubling(rows, length).select("blk", F.col("pos").alias("number"))
+    return B.with_answers(table, [state, found], cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_text else ""))
 
 
-_RESULT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary()), ("kept_text", pa.string()), ("rest", pa.string())])
+def cut_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100) -> DataFrame:
+    """df with the bytes that remove_repeats() removes cut out of its texts, and with them what a cut leaves of a character.
+
+    All columns keep their places and types; values other than the text are carried as they are.  A null text
+    stays null.
+    """
+    others = [c for c in df.columns if c != text_col]
+    mark = "_" * (1 + max(map(len, df.columns)))
+    docs = B.Blocks(df.withColumn(mark, F.col(f"`{text_col}`").isNull()), id_col, text_col, rest=[*others, mark])
+    table, state, rows, length = _repeats(docs, length)
+    at = df.columns.index(text_col)
+
+    def cut(blk, arrays, got):
+        *columns, missing = B.rest_of(arrays).columns
+        texts = pa.array([own.tobytes().decode() if g is None else own[~g].tobytes().decode("utf-8", "ignore") for own, g in _cut(arrays, got, length)], pa.string())
+        columns.insert(at, pyarrow.compute.if_else(missing, pa.scalar(None, pa.string()), texts))
+        yield pa.RecordBatch.from_arrays(columns, names)
+
+    names = [f"c{n}" for n in range(len(df.columns))]
+    kinds = StructType([StructField(c, f.dataType) for c, f in zip(names, df.schema, strict=True)])
+    found = prefix_doubling(rows, length).select("blk", F.col("pos").alias("number"))
+    return B.with_answers(table, [state, found], cut, kinds).toDF(*df.columns)

@@ -166,8 +166,10 @@ def test_ngram_join(spark, k, num):
     assert got == {7 * i + 3: (len(s), 7 * root[i] + 3) for i, s in enumerate(sets)}
 
 
-def test_ngram_tiles(spark, monkeypatch):
+@pytest.mark.parametrize("homes", [0, 8])
+def test_ngram_tiles(spark, monkeypatch, homes):
     monkeypatch.setattr(ngram_join, "TILE", 5)
+    monkeypatch.setattr(ngram_join, "HOMES", homes)
     test_ngram_join(spark, 2, 60)
 
 
@@ -215,10 +217,109 @@ def test_language_model(spark):
     assert held and sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
-def test_stirling():
-    p = lm.leave_alone(0.5, 5)
-    assert p[1, 1] == 1 and p[2, 1] == 0 and p[2, 2] == 1
-    assert abs(p[3, 2] - 0.5 / (0.5 + 1.0)) < 1e-12  # S(3,2) = S(2,1) + (2 - 2 * 0.5) S(2,2), S(2,1) = 0.5
+def seatings(c, d):
+    """Weight of all seatings of c customers by their number of tables, one by one."""
+    out = collections.Counter()
+
+    def seat(n, sizes, weight):
+        if n == c:
+            out[len(sizes)] += weight
+            return
+        for k, size in enumerate(sizes):
+            seat(n + 1, [*sizes[:k], size + 1, *sizes[k + 1 :]], weight * (size - d))
+        seat(n + 1, [*sizes, 1], weight)
+
+    seat(0, [], 1.0)
+    return out
+
+
+@pytest.mark.parametrize("c, others, new", [(1, 3, 0.1), (2, 0, 0.5), (5, 7, 0.01), (7, 100, 0.3), (8, 4, 0.9)])
+def test_tables_are_drawn_from_all_seatings(c, others, new):
+    weight = {t: w * math.prod(lm.STRENGTH + lm.DISCOUNT * (others + i) for i in range(t)) * new**t for t, w in seatings(c, lm.DISCOUNT).items()}
+    u = (np.arange(20000) + 0.5) / 20000
+    got = collections.Counter(lm.tables(np.full(len(u), float(c)), np.full(len(u), float(others)), np.full(len(u), new), u, most=1000))
+    for t, w in weight.items():
+        assert abs(got[t] / len(u) - w / sum(weight.values())) < 2e-4, (t, got)
+
+
+def test_tables_of_many_customers():
+    """Against the recurrence of the generalised Stirling numbers, S(c+1, t) = S(c, t-1) + (c - t d) S(c, t)."""
+    s = [1]  # times 2^c, as whole numbers
+    for c in range(1, 400):
+        s = [2 * (s[t - 1] if t else 0) + ((2 * c - t - 1) * s[t] if t < len(s) else 0) for t in range(c + 1)]
+    u = (np.arange(4000) + 0.5) / 4000
+    for others, new in ((5.0, 1e-4), (3000.0, 0.02), (1e5, 0.5)):
+        weight = np.array([math.log(x) if x else -math.inf for x in s]) + np.cumsum(np.log((1 + 0.5 * (others + np.arange(400))) * new))
+        p = np.exp(weight - weight.max())
+        mean = (p * np.arange(1, 401)).sum() / p.sum()
+        got = lm.tables(np.full(len(u), 400.0), np.full(len(u), others), np.full(len(u), new), u)
+        assert abs(got.mean() - mean) < 0.02 * max(1, mean ** 0.5)
+    huge = lm.tables(np.array([1e9]), np.array([1e6]), np.array([1e-3]), np.array([0.5]))
+    assert 1 < huge[0] < 1e9
+
+
+def test_language_model_at_any_partition_count(spark):
+    values = texts()
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    got = []
+    try:
+        for n, parts in ((3, 2), (7, 5)):
+            spark.conf.set("spark.sql.shuffle.partitions", str(n))
+            got.append({r.doc_id: r.score for r in lm.score(frame(spark, values, parts)).collect()})
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got[0] == got[1]
+
+
+def test_null_ids(spark):
+    """A null id's row keeps a result of its own."""
+    a = " ".join(f"w{i}" for i in range(60))
+    df = spark.createDataFrame([(None, a), (4, a), (None, None), (2, a + " x"), (None, a)], "doc_id long, text string").coalesce(1)
+    cut = suffix_dedup.remove_repeats(df).collect()
+    assert sorted((r.doc_id or 0, r.n_bytes, r.n_removed) for r in cut) == [(0, 0, 0), (0, len(a), len(a)), (0, len(a), len(a)), (2, len(a) + 2, 0), (4, len(a), len(a))]
+    joined = ngram_join.near_duplicates(df).collect()
+    assert sorted((r.doc_id or 0, r.n_shingles, r.component_id or 0) for r in joined) == [(0, 0, 0), (0, 56, 0), (0, 56, 0), (2, 57, 2), (4, 56, 2)]
+    coded = bpe.round_trip(df, RANKS, P.PATTERN).collect()
+    assert sorted((r.doc_id or 0) for r in coded) == [0, 0, 0, 2, 4] and len({r.ids_sha256 for r in coded}) == 3
+    scored = lm.score(df).collect()
+    assert [r.held_out for r in scored if r.doc_id is None] == [None] * 3 and all(r.train_tokens == sum(61 + (i == 2) for i in (2, 4) if not lm.held_out(i)) for r in scored)
+
+
+def test_cut_repeats_carries_all_columns(spark):
+    import datetime
+
+    rnd = random.Random(3)
+    a = "é" + "".join(rnd.choice("abcdefghij ") for _ in range(400))
+    at = datetime.datetime(2020, 1, 1, 1, 2, 3, 456789)
+    rows = [(1, a, at, bytes([0, 255]), [1.5, None], "r"), (2, "x" + a[1:], at, None, None, None), (None, None, None, b"", [], "q")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, at timestamp, raw binary, `a b` array<double>, rest_ string").coalesce(1)
+    got = {r.doc_id: r for r in suffix_dedup.cut_repeats(df).collect()}
+    assert suffix_dedup.cut_repeats(df).schema == df.schema
+    assert got[1] == rows[0] and got[None] == rows[2] and got[2][2:] == rows[1][2:] and got[2].text == "x"
+
+
+def test_suffix_dedup_over_many_blocks(spark, monkeypatch):
+    """Every text in a block of its own, so that the ends of repeats reach prefix doubling."""
+    rnd = random.Random(8)
+    base = "".join(rnd.choice("abcdefgh ") for _ in range(900))
+    values = [base[i : i + rnd.randint(90, 500)] + str(rnd.random()) + base[rnd.randint(0, 400) :][:250] for i in (rnd.randint(0, 700) for _ in range(40))]
+    seen, want = set(), {}
+    for i, v in enumerate(values):
+        b, gone = v.encode(), set()
+        for p in range(len(b) - 99):
+            if b[p : p + 100] in seen:
+                gone.update(range(p, p + 100))
+            seen.add(b[p : p + 100])
+        want[7 * i + 3] = len(gone)
+    got = suffix_dedup.remove_repeats(frame(spark, values, 40)).collect()
+    assert {r.doc_id: r.n_removed for r in got} == want
+    ranked = suffix_dedup.prefix_doubling(suffix_dedup._repeats(suffix_dedup.B.Blocks(frame(spark, values, 40), "doc_id", "text"), 100)[2], 100)
+    assert ranked.count() > 0
+
+
+def test_ngram_join_of_low_similarity(spark):
+    df = spark.createDataFrame([(1, "A"), (2, "A B"), (3, "C D"), (4, "D C E F")], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in ngram_join.near_duplicates(df, k=1, num=50, den=100).collect()} == {1: 1, 2: 1, 3: 3, 4: 3}
 
 
 PAGE = "<!doctype html><html><head><title>t</title><script>var a='<p>';</script></head><body><header>top</header><nav><ul><li><a href=/>x</a></ul></nav><div class='cookie-notice'>ok?</div><article class=post><header><h1>A &amp; B</h1><span>by me</span></header><p>one\n two<br>three&nbsp;<b>four<p>five <i>six</i></p><div class=ad>buy</div><form><input></form><ul><li>p<li>q</ul><section id='comments'>hi</section></article><aside>s</aside><footer>f</footer></body>"
