@@ -15,20 +15,15 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one of the smallest id, of each group linked by five-word shingles at a similarity of 0.8."""
+    """One document, the one of the smallest id, of each group linked by five-word shingles at a similarity of 0.8; rows with a null id stay."""
     rest = ngram_join.near_duplicates(docs, k=5, num=80, den=100).filter("doc_id <> component_id").select("doc_id")
     return docs.join(rest.distinct(), "doc_id", "left_anti").select(docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents without the bytes of 100-byte strings that occur earlier; bytes of cut characters go too."""
-    others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    kind = docs.select(others).schema
-    packed = docs.withColumn("rest_", F.to_json(F.struct(*others), {"ignoreNullFields": "false"}))
-    out = suffix_dedup.remove_repeats(packed, with_text=False, as_text=True, rest="rest_").withColumn("r", F.from_json("rest", kind))
-    text = F.col("kept_text")
-    values = {"doc_id": F.col("doc_id"), "text": text, "n_chars": F.length(text).cast("long")}
-    return out.select(*(values.get(c, F.col(f"r.`{c}`")).alias(c) for c in docs.columns))
+    """The documents without the bytes of 100-byte strings that occur earlier; bytes of cut characters go too, and n_chars follows."""
+    out = suffix_dedup.cut_repeats(docs)
+    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
