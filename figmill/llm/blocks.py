@@ -287,3 +287,18 @@ def checkpointed(df: DataFrame) -> DataFrame:
             where = tempfile.mkdtemp(prefix="checkpoint-")
         sc.setCheckpointDir(where)
     return df.checkpoint(eager=True)
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """df checkpointed with its rows dealt by blk, so that each later with_answers() reads it in place and shuffles the answers only.
+
+    A checkpoint keeps its partitioning only if its plan isn't adaptive, so that is off while it is made.
+    """
+    spark = df.sparkSession
+    conf, key = spark.conf, "spark.sql.adaptive.enabled"
+    before = conf.get(key)
+    try:
+        conf.set(key, "false")
+        return checkpointed(df.repartition(int(conf.get("spark.sql.shuffle.partitions")), "blk"))
+    finally:
+        conf.set(key, before)

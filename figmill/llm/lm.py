@@ -285,7 +285,7 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
 
     chunks = docs.each(bigrams, B.CHUNK_SCHEMA)
     held = B.checkpointed(chunks.repartitionById(q, F.col("q")).mapInArrow(B.trimmed(gathered), B.CHUNK_SCHEMA))
-    slices = held.filter("blk = -1").select(F.col("q").cast("long").alias("blk"), "body")
+    slices = B.dealt(held.filter("blk = -1").select(F.col("q").cast("long").alias("blk"), "body"))
 
     def sent(k, s, context, contexts):
         """Rows of a slice after a round: its tables (q -1), its totals (q -2), and each context's tables beyond the dishes' first."""

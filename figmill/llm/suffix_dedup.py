@@ -1,8 +1,8 @@
 """Suffix-array dedup: removes bytes that a long enough string covers which also starts earlier.
 
 Distributed prefix doubling: each position has the rank of the string of w bytes that starts there;
-Spark pairs it with the rank at position + offset, sorts the pairs, and their places are the ranks of
-longer strings, until a rank is unique or the threshold is reached.
+the rank is paired with the one at position + offset, the pairs are shuffled by ranges and sorted, and
+their places are the ranks of longer strings, until a rank is unique or the threshold is reached.
 
 Ranking every byte of a corpus costs many times its size in shuffles, so the starts whose fate is
 settled by their surroundings leave first, and lose nothing by it:
@@ -29,14 +29,14 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 from . import blocks as B
 from .kernels import Hasher, U, mix, segments
 
-STEP = 6
+STEP, BLOCK_BYTES = 6, 1 << 20
 LOW48 = U((1 << 48) - 1)
 
 
@@ -101,7 +101,7 @@ class Intervals(Hashed):
             new = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (start[1:] != start[:-1] + 1)]))
             lo, hi, anchor = start[new], start[np.concatenate([new[1:] - 1, [len(start) - 1]])], anchor[new]
             gap = (anchor - lo).astype(U)
-            out[0].append(hashes(anchor, anchor + self.k))
+            out[0].append(mix(hashes(anchor, anchor + self.k) + U(1)))  # anchors have small hashes; mixed, they fill all slices alike
             out[1].append(mix(hashes(lo, hi + length) + mix(gap * U(256) + U(1))))
             for x, y in zip(out[2:], (anchor, lo, hi), strict=True):
                 x.append(y + base)
@@ -224,39 +224,95 @@ def closure(starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     return at, deep
 
 
-POSITIONS = "blk long, pos long, deep int, id long, at long, r long"
+def _rank(last: bool):
+    """Ranks of a slice's pairs: their places in order, 0 for a pair of one position; at the last width also which entry comes first."""
 
+    def rank(chunks: list, k: int) -> list[bytes]:
+        r, r2, many = (np.concatenate([c[n] for c in chunks]) for n in range(3))
+        order = np.lexsort((*((np.concatenate([c[n] for c in chunks]) for n in (4, 3)) if last else ()), r2, r))
+        new = np.ones(len(order), bool)
+        new[1:] = (r[order][1:] != r[order][:-1]) | (r2[order][1:] != r2[order][:-1])
+        place = np.cumsum(new) - 1
+        size = np.bincount(place, 1 + many[order])
+        out, first = np.zeros(len(order), U), np.zeros(len(order), bool)
+        out[order] = np.where(size[place] > 1, (U(k) << U(PLACES)) + place.astype(U) + U(1), U(0))
+        first[order] = new
+        ends = np.cumsum([len(c[0]) for c in chunks])[:-1]
+        return [B.pack(x, y) for x, y in zip(np.split(out, ends), np.split(first, ends), strict=True)]
 
-def prefix_doubling(positions: DataFrame, length: int) -> DataFrame:
-    """(blk, pos) of the positions asked for at the last width whose string of `length` bytes occurs earlier (smaller id, at, blk, pos).
+    return rank
 
-    positions: blk and pos say where a string lies, id and at which comes first, r is the rank at the first
-    of widths(), deep has a bit for each width at which a position's rank is needed.  Each round pairs a rank with the
-    one at position + offset, sorts the pairs, and numbers them in that order; pairs of one position are
-    unique and leave.  A pair that is frequent is counted before it is shuffled.
+
+PLACES = 40
+
+
+def _pairs(blk: int, n: int, length: int, q: int, at, deep, ids, where, r):
+    """Rows of round n of a block: the pairs (rank, rank at position + offset) of the positions asked for, each distinct one once, and its state."""
+    steps = widths(length)
+    last = n + 1 == len(steps)
+    here = np.flatnonzero(deep >> n & 1)
+    there = np.minimum(np.searchsorted(at, at[here] + steps[n] - steps[n - 1]), max(0, len(at) - 1))
+    both = at[there] == at[here] + steps[n] - steps[n - 1]
+    here, there = here[both], there[both]
+    if not len(here):
+        return
+    a, b = r[here], r[there]
+    order = np.lexsort((where[here], ids[here], b, a))
+    a, b = a[order], b[order]
+    new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+    entry = np.empty(len(here), np.int64)
+    entry[order] = np.cumsum(new) - 1
+    first = order[new]
+    a, b = a[new], b[new]
+    many = np.bincount(entry)[np.arange(len(a))] > 1
+    # Slices are ranges of the rank, so places within them are places among all pairs.
+    which = B.slice_of(a, q) if n == 1 else (a >> U(PLACES)).astype(np.int64)
+    rows, sent = [], []
+    for k, own in B.split_slices(which, q):
+        pos = here[first[own]]
+        rows.append((blk, k, B.pack(a[own], b[own], many[own].astype(np.uint8), *((ids[pos], where[pos]) if last else ()))))
+        sent.append(own)
+    keep = B.pack(at[here], deep[here], ids[here], where[here], entry, np.concatenate(sent), first)
+    yield B.arrow_rows(B.CHUNKS, [(blk, DEEP, keep), *rows])
+
+
+def prefix_doubling(sent: DataFrame, length: int, q: int) -> DataFrame:
+    """(blk, q, body): the positions in each block whose string of `length` bytes occurs earlier (smaller id, smaller place).
+
+    sent: the rows of round 1.  Each round sorts the pairs and numbers them in that order; pairs of one
+    position are unique and leave, the others' numbers are their positions' ranks in the next round.
     """
-    steps, now = widths(length), positions
-    for n in range(1, len(steps)):
-        offset = steps[n] - steps[n - 1]
-        later = F.first("r").over(Window.partitionBy("blk").orderBy("pos").rangeBetween(offset, offset))
-        pairs = now.withColumn("r2", later).filter(F.col("r2").isNotNull() & (F.col("deep").bitwiseAND(1 << n) > 0))
-        many = pairs.groupBy("r", "r2").agg(F.min(F.struct("id", "at", "blk", "pos")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-        named = B.checkpointed(many.orderBy("r", "r2").select("r", "r2", "first", F.monotonically_increasing_id().alias("rank")))
-        now = pairs.join(named, ["r", "r2"]).select("blk", "pos", "deep", "id", "at", F.col("rank").alias("r"), "first")
-        if n + 1 < len(steps):
-            now = B.checkpointed(now.drop("first"))
-    return now.filter((F.col("blk") != F.col("first.blk")) | (F.col("pos") != F.col("first.pos"))).select("blk", "pos")
+    for n in range(1, len(widths(length))):
+        last = n + 1 == len(widths(length))
+
+        def ranked(blk, state, got, n=n, last=last):
+            at, deep, ids, where, entry, order, first = state
+            rank, is_first = np.zeros(len(order), U), np.zeros(len(order), bool)
+            rank[order] = np.concatenate([got[0][k][0] for k in sorted(got[0])])
+            is_first[order] = np.concatenate([got[0][k][1] for k in sorted(got[0])])
+            r = rank[entry]
+            left = r > 0
+            if not last:
+                yield from _pairs(blk, n + 1, length, q, at[left], deep[left], ids[left], where[left], r[left])
+                return
+            left[first[is_first]] = False
+            if left.any():
+                yield B.arrow_rows(B.CHUNKS, [(blk, 0, B.pack(at[left]))])
+
+        answers = B.exchange(sent.filter(F.col("q") >= 0), _rank(last), q)
+        sent = B.checkpointed(B.with_answers(sent.filter(F.col("q") == DEEP).select("blk", "body"), [answers], ranked, B.CHUNK_SCHEMA))
+    return sent
 
 
 STATE, DEEP = -1, -2
 
 
 def _repeats(docs: B.Blocks, length: int):
-    """(blocks, states with the removed runs and the open starts, starts found by prefix doubling)."""
+    """(blocks, their removed runs, and the further starts of repeats that prefix doubling finds)."""
     if length < 4:
         raise ValueError("length must be 4 or more")
     q = docs.slices()
-    table = docs.table()
+    table = B.dealt(docs.table())
 
     def anchors(blk, arrays):
         ids, _, off, data = arrays[:4]
@@ -277,7 +333,7 @@ def _repeats(docs: B.Blocks, length: int):
         yield from second.chunks(blk, q)
 
     def positions(blk, arrays, got):
-        """The positions to be ranked, and the block's state: runs that go, and the starts that are open."""
+        """The runs that go, and round 1 of prefix doubling for the starts that are open."""
         ids, _, off, data = arrays[:4]
         a, b, lo, more, order = got[0][STATE]
         hi = lo + more
@@ -296,32 +352,23 @@ def _repeats(docs: B.Blocks, length: int):
         at, deep = closure(np.sort(starts[first]), length)
         doc = np.searchsorted(off, at, side="right") - 1
         yield B.arrow_rows(B.CHUNKS, [(blk, STATE, B.pack(a, b))])
-        if len(at):
-            yield B.arrow_rows(B.CHUNKS, [(blk, DEEP, B.pack(at.astype(np.int32 if at[-1] < 1 << 31 else np.int64), deep.astype(np.uint8), ids[doc], at - off[doc], x.hashes(at, widths(length)[0])))])
-
-    def spread(parts):
-        for batch in parts:
-            for blk, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                at, deep, ids, where, r = B.unpack(body)
-                for k in range(0, len(at), 100_000):
-                    s = slice(k, k + 100_000)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at[s]), blk)), pa.array(at[s].astype(np.int64)), pa.array(deep[s].astype(np.int32)), pa.array(ids[s]), pa.array(where[s].astype(np.int64)), pa.array(r[s].view(np.int64))], ["blk", "pos", "deep", "id", "at", "r"])
+        yield from _pairs(blk, 1, length, q, at, deep, ids[doc], at - off[doc], x.hashes(at, widths(length)[0]))
 
     first = B.exchange(docs.each(anchors, B.CHUNK_SCHEMA), settle, q)
     sent = B.checkpointed(B.with_answers(table, [first], steps, B.CHUNK_SCHEMA))
     second = B.exchange(sent.filter(F.col("q") >= 0), settle, q)
     made = B.checkpointed(B.with_answers(table, [sent.filter(F.col("q") == STATE), second], positions, B.CHUNK_SCHEMA))
-    rows = made.filter(F.col("q") == DEEP).select("blk", "body").mapInArrow(B.trimmed(spread), POSITIONS)
-    return table, made.filter(F.col("q") == STATE), rows, length
+    return table, made.filter(F.col("q") == STATE), prefix_doubling(made.filter(F.col("q") != STATE), length, q)
 
 
 def _cut(arrays, got, length: int):
     """For each document of a block: which of its bytes go."""
     off, data = arrays[2], arrays[3]
     a, b = got[0][STATE]
+    found = got[1][0][0] if got[1] else a[:0]
     edge = np.zeros(len(data) + 1, np.int32)
-    np.add.at(edge, np.concatenate([a, got[1]]), 1)
-    np.add.at(edge, np.concatenate([b, got[1] + length]), -1)
+    np.add.at(edge, np.concatenate([a, found]), 1)
+    np.add.at(edge, np.concatenate([b, found + length]), -1)
     gone = np.cumsum(edge[:-1]) > 0
     for n in range(len(off) - 1):
         own, g = data[off[n] : off[n + 1]], gone[off[n] : off[n + 1]]
@@ -340,7 +387,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     stay whole.  Returns doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 and, if
     with_text, kept (the remaining bytes).  Other columns are not read.
     """
-    table, state, rows, length = _repeats(B.Blocks(df, id_col, text_col), length)
+    table, state, found = _repeats(B.Blocks(df, id_col, text_col, BLOCK_BYTES), length)
     names = RESULT.names if with_text else RESULT.names[:-1]
 
     def cut(blk, arrays, got):
@@ -351,7 +398,6 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             out.append((None if null else i, len(own), removed, spans, hashlib.sha256(kept).hexdigest(), kept)[: len(names)])
         yield B.arrow_rows(pa.schema([RESULT.field(n) for n in names]), out)
 
-    found = prefix_doubling(rows, length).select("blk", F.col("pos").alias("number"))
     return B.with_answers(table, [state, found], cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_text else ""))
 
 
@@ -363,8 +409,8 @@ def cut_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     """
     others = [c for c in df.columns if c != text_col]
     mark = "_" * (1 + max(map(len, df.columns)))
-    docs = B.Blocks(df.withColumn(mark, F.col(f"`{text_col}`").isNull()), id_col, text_col, rest=[*others, mark])
-    table, state, rows, length = _repeats(docs, length)
+    docs = B.Blocks(df.withColumn(mark, F.col(f"`{text_col}`").isNull()), id_col, text_col, BLOCK_BYTES, [*others, mark])
+    table, state, found = _repeats(docs, length)
     at = df.columns.index(text_col)
 
     def cut(blk, arrays, got):
@@ -375,5 +421,4 @@ def cut_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
 
     names = [f"c{n}" for n in range(len(df.columns))]
     kinds = StructType([StructField(c, f.dataType) for c, f in zip(names, df.schema, strict=True)])
-    found = prefix_doubling(rows, length).select("blk", F.col("pos").alias("number"))
     return B.with_answers(table, [state, found], cut, kinds).toDF(*df.columns)
