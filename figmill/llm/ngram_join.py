@@ -89,7 +89,7 @@ def _kept_sets(docs: B.Blocks, reps: DataFrame, k: int, num: int, den: int, q: i
 
     def send(blk, arrays):
         h, sig, *_ = items(*_sets(arrays, k)[1:])
-        for j, n in B.split_slices(B.slice_of(h, q), q):
+        for j, n in B.split_slices(B.slice_of(mix(h), q), q):  # first shingles have small hashes
             yield B.arrow_rows(B.CHUNKS, [(blk, j, B.pack(h[n], sig[n]))])
 
     def shared(chunks, _):
@@ -109,7 +109,7 @@ def _kept_sets(docs: B.Blocks, reps: DataFrame, k: int, num: int, den: int, q: i
         ids, nulls, sets = _sets(arrays, k)
         h, _, doc, same = items(nulls, sets)
         common = np.zeros(len(h), bool)
-        for j, n in B.split_slices(B.slice_of(h, q), q):
+        for j, n in B.split_slices(B.slice_of(mix(h), q), q):
             common[n] = np.unpackbits(got[0][j][0])[: len(n)]
         hits = np.bincount(doc[common], minlength=len(sets))
         rows = [n for n in got[1].tolist() if hits[same[n]] >= 1 + _extra(need(len(sets[n]), num, den), num, den)]
