@@ -333,8 +333,79 @@ def test_html(spark):
 
 
 def test_wrapper_pattern():
-    e = [wrappers.expression(wrappers.parse(f"<article><h1>t</h1>{'<p>x</p>' * n}{x}</article>")) for n, x in ((1, ""), (3, "<ul><li>a</ul>"))]
-    assert wrappers.pattern(wrappers.aligned(*e)) == "<> <article> <h1> # </h1> ( <p> # </p> )+ ( <ul> <li> # </li> </ul> )? </article> </>"
+    e = [wrappers.expression(wrappers.parse(f"<article><h1>t{n}</h1>{'<p>x</p>' * n}{x}</article>")) for n, x in ((1, ""), (3, "<ul><li>a</ul>"))]
+    assert wrappers.pattern(wrappers.aligned(*e)) == '<> <article> <h1> # </h1> ( <p> "x" </p> )+ ( <ul> <li> "a" </li> </ul> )? </article> </>'
+
+
+def stream(node):
+    """A page as one string of tokens."""
+    return "".join(f"T({wrappers.plain(k)})" if isinstance(k, str) else f"<{k.label}>{stream(k)}</{k.label}>" for k in node.kids if (wrappers.plain(k) if isinstance(k, str) else not k.drop))
+
+
+def regex(e):
+    inner = "".join(map(regex, e[wrappers.KIDS]))
+    if e[wrappers.LABEL] == wrappers.SLOT:
+        inner = r"T\([^)]*\)" if e[wrappers.CONSTANT] is None else re.escape(f"T({e[wrappers.CONSTANT]})")
+    elif e[wrappers.LABEL] and not e[wrappers.LABEL].startswith(wrappers.GROUP):
+        inner = re.escape(f"<{e[wrappers.LABEL]}>") + inner + re.escape(f"</{e[wrappers.LABEL]}>")
+    return f"(?:{inner})" + ("", "?", "+", "*")[e[wrappers.FLAG]]
+
+
+def test_wrappers_match_their_pages():
+    """An expression, as a regular expression over tokens, matches every page that it was folded from."""
+    rnd = random.Random(6)
+
+    def page(depth):
+        out = ""
+        for _ in range(rnd.randint(0, 4)):
+            out += rnd.choice(["x", "y", ""]) if rnd.random() < 0.4 else (lambda t: f"<{t}>{page(depth - 1) if depth else 'z'}</{t}>")(rnd.choice(["div", "b", "i", "section"]))
+        return out
+
+    for _ in range(150):
+        pages = [wrappers.parse(page(3)) for _ in range(4)]
+        e = wrappers.expression(pages[0])
+        for p in pages[1:]:
+            e = wrappers.aligned(e, wrappers.expression(p))
+        for p in pages:
+            assert re.fullmatch(regex(e), stream(p)), (wrappers.pattern(e), stream(p))
+
+
+def test_alignment_keeps_order():
+    rnd = random.Random(7)
+    for _ in range(300):
+        x, y = ([rnd.choice("abcdefgh") for _ in range(rnd.randint(0, 9))] for _ in range(2))
+        got = wrappers.matched(x, y)
+        assert all(x[i] == y[j] for i, j in got) and all(a < c and b < d for (a, b), (c, d) in zip(got, got[1:]))
+    x = [str(rnd.randrange(40000)) for _ in range(40000)]
+    assert wrappers.matched(x, x[:20000] + ["-"] + x[20000:])[-1] == (39999, 40000)
+
+
+def test_html_of_any_depth_and_length():
+    for tag in ("div", "b", "section", "blockquote"):
+        assert wrappers.read(f"<{tag}>" * 5000 + "x", None) == "x"
+    assert wrappers.read("<div>" * 3000 + "x" + "</div>" * 3000 + "<p>y</p>", None) == "x\ny"
+    assert wrappers.read("<article>" + "<div>" * 300 + "x<nav>m</nav><div>y</div>z" + "</div>" * 300 + "<p>w</article><footer>f</footer>", None) == "x\ny\nz\nw"
+    long = "".join(f"<{t}>{n}</{t}>" for n, t in enumerate(random.Random(1).choices(["p", "h2", "pre", "blockquote"], k=20000)))
+    assert wrappers.read(f"<article>{long}</article>", None) == "\n".join(map(str, range(20000)))
+
+
+def test_html_names_inside_an_article():
+    page = "<article><div class='share-price-table'>a</div><p class='social-history'>b</p><p>c</p><div class='share-buttons'>s</div><div id='comment-list'>r</div></article>"
+    assert wrappers.read(page, None) == "a\nb\nc"
+
+
+def test_html_template_texts(spark):
+    """Without an element that marks the article, what all pages of a host say is the template's; partly telling names need the pages' agreement."""
+    rows = [(n, f"http://h.x/{n}", f"<body><div id=brand>The Site</div><div id=text><h1>Title {n}</h1><p>text {n} of some length here</p><div>Follow us</div></div><div id=legal>All rights kept</div></body>") for n in range(6)]
+    rows += [(10 + n, f"http://g.x/{n}", f"<article><p>words {n} and more of them</p><div class='share-tip'>Tell a friend</div><div class='social-note'>note {n}</div></article>") for n in range(6)]
+    got = {r.page_id: r.text for r in wrappers.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {n: f"Title {n}\ntext {n} of some length here" for n in range(6)} | {10 + n: f"words {n} and more of them\nnote {n}" for n in range(6)}
+
+
+@pytest.mark.parametrize("small", [0, 1 << 20])
+def test_html_rules_joined(spark, monkeypatch, small):
+    monkeypatch.setattr(wrappers, "SMALL_RULES", small)
+    test_html(spark)
 
 
 def test_quotes(spark):
