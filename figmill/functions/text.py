@@ -2,10 +2,20 @@
 
 from __future__ import annotations
 
+import json
 import string
+import unicodedata
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
+
+# The texts of templates that nobody has filled in, and the traces of wrongly decoded bytes.
+PLACEHOLDERS = (r"^click to add(?: title| text| subtitle)?$", r"^lorem ipsum\b", r"^(?:todo|tbd|replace with|placeholder)(?:\b|\s|:)", r"^slide number$")
+MOJIBAKE = ("\ufffd", "Ã", "Â", "â€", "锟斤拷", "烫烫烫", "屯屯屯")
+CJK = "[\u2e80-\u2fff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff]"
+MERMAID_HEADERS = "flowchart|graph|sequenceDiagram|classDiagram|stateDiagram(?:-v2)?|erDiagram|gantt|timeline|mindmap|journey|pie"
 
 
 def normalised(column: str) -> Column:
@@ -13,31 +23,70 @@ def normalised(column: str) -> Column:
     return F.trim(F.regexp_replace(F.translate(F.col(column), string.ascii_uppercase, string.ascii_lowercase), "[ \\t\\n\\r]+", " "))
 
 
-def occurrences(texts: DataFrame, needles: DataFrame, text: str, needle: str) -> DataFrame:
-    """Pairs where the text contains the needle, with `n`, how often (no overlaps).  Spark broadcasts the needles if they are small."""
-    both = needles.join(texts, F.contains(F.col(text), F.col(needle)))
+@F.pandas_udf(StringType())
+def nfc(text: pd.Series) -> pd.Series:
+    """Composed characters.  The JVM side has no such function, so texts go through Arrow."""
+    return text.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFC", t))
+
+
+def match_key(text: Column) -> Column:
+    """A text for comparison: composed, without any white space (all of Unicode's)."""
+    return F.regexp_replace(nfc(F.coalesce(text, F.lit(""))), r"(?U)\s+", "")
+
+
+def line_breaks(text: Column) -> Column:
+    """Carriage returns and vertical tabs as newlines."""
+    return F.regexp_replace(text, "\r\n|\r|\u000b", "\n")
+
+
+def occurrences(texts: DataFrame, needles: DataFrame, text: str, needle: str, words: int = 3) -> DataFrame:
+    """Pairs where the text contains the needle, with `n`, how often (no overlaps).
+
+    Joined by the hash of inner words: every needle has a least one of its inner words (all but the first and
+    last, which may be cut in the text), and a text that contains the needle has that word too.  Needles
+    of fewer than `words` words are compared with every text, as nothing shorter can be looked up.
+    """
+    parts = F.split(F.col(needle), " ")
+    keyed = needles.withColumn("key_", F.when(F.size(parts) >= words, F.array_min(F.transform(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 2, F.lit(1))), lambda w: F.xxhash64(w)))))
+    long, short = keyed.filter("key_ is not null"), keyed.filter("key_ is null").drop("key_")
+    found = texts.withColumn("key_", F.explode(F.array_distinct(F.transform(F.split(F.col(text), " "), lambda w: F.xxhash64(w)))))
+    contains = F.contains(F.col(text), F.col(needle))
+    both = long.join(found, "key_").filter(contains).drop("key_").unionByName(short.join(texts, contains))
     n = (F.length(text) - F.length(F.replace(F.col(text), F.col(needle), F.lit("")))) / F.length(needle)
     return both.withColumn("n", n.cast("long"))
 
 
-def token_pattern(token: Column) -> Column:
-    """A pattern for the token with white space allowed between characters, not inside a longer ASCII word or number."""
-    letters = F.regexp_replace(F.regexp_replace(token, r"(?U)\s+", ""), r"([\\\[\](){}.*+?^$|])", r"\\$1")
-    spaced = F.regexp_replace(letters, r"(\\?.)(?!$)", r"$1(?U:\\s*)")
-    return F.concat(F.lit(r"(?<![A-Za-z0-9])"), spaced, F.lit(r"(?![A-Za-z0-9])(?!\.[0-9])"))
+def token_pattern(key: Column) -> Column:
+    """A pattern for a match_key() with white space allowed between its characters.
+
+    A token that begins or ends with an ASCII letter or digit must not go on with one, or with `_`; one
+    that ends with a digit must not go on as a number.
+    """
+    spaced = F.array_join(F.transform(F.split(key, ""), lambda c: F.concat(F.lit(r"\Q"), c, F.lit(r"\E"))), r"(?U:\s*)")
+    left = F.when(key.rlike("^[A-Za-z0-9]"), r"(?<![A-Za-z0-9_])").otherwise("")
+    right = F.when(key.rlike("[A-Za-z0-9]$"), r"(?![A-Za-z0-9_])").otherwise("")
+    return F.concat(left, spaced, right, F.when(key.rlike("[0-9]$"), r"(?![.,][0-9])").otherwise(""))
 
 
 def token_count(text: Column, token: Column) -> Column:
-    return F.regexp_count(text, token_pattern(token))
+    """How often the token stands in the text, apart from longer words and numbers; an empty token never does."""
+    key = match_key(token)
+    return F.when(key == "", 0).otherwise(F.regexp_count(nfc(F.coalesce(text, F.lit(""))), token_pattern(key)))
+
+
+def first_by_key(df: DataFrame, keys: list[str], text: str, order: str) -> DataFrame:
+    """(keys, text) without blank texts and without those whose match key an earlier row has, trimmed."""
+    d = df.select(*keys, order, F.regexp_replace(text, r"(?U)^\s+|\s+$", "").alias(text)).withColumn("key_", match_key(F.col(text))).filter("key_ <> ''")
+    return d.groupBy(*keys, "key_").agg(F.min(F.struct(order, text)).alias("f")).select(*keys, f"f.{order}", f"f.{text}")
 
 
 def number_prefix(text: Column) -> Column:
-    """The number that a text such as `12.5px` begins with, or null."""
-    return F.regexp_extract(text, r"^\s*([-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?)", 1).try_cast("double")
+    """The number that a text such as `12.5px` begins with, or null; no plus sign, no exponent."""
+    return F.nullif(F.regexp_extract(text, r"(?U)^\s*(-?(?:\d+(?:\.\d*)?|\.\d+))", 1), F.lit("")).try_cast("double")
 
 
 def is_external(url: Column) -> Column:
-    return F.lower(F.trim(url)).rlike(r"^(?:https?:)?//")
+    return F.coalesce(F.lower(F.trim(url)).rlike(r"^(?:https?:)?//"), F.lit(False))
 
 
 def natural_key(text: Column) -> Column:
@@ -46,16 +95,42 @@ def natural_key(text: Column) -> Column:
     return F.transform(parts, lambda p: F.when(p.rlike(r"^\d"), F.lpad(p, 20, "0")).otherwise(p))
 
 
+def placeholder(text: Column) -> Column:
+    t = F.trim(text)
+    return F.array_contains(F.array(*(t.rlike(f"(?i){p}") for p in PLACEHOLDERS)), True)
+
+
 def mojibake(text: Column) -> Column:
-    return text.rlike("Ã[\u0080-¿]|â€|\ufffd")
+    return F.array_contains(F.array(*(F.contains(text, F.lit(m)) for m in MOJIBAKE)), True)
+
+
+def has_cjk(text: Column) -> Column:
+    return text.rlike(CJK)
 
 
-def mermaid_edges(text: Column) -> Column:
-    body = F.regexp_replace(text, r"(?m)^\s*%%.*$", "")
-    return F.regexp_count(body, F.lit(r"-->|---|-\.->|==>|--x|--o|->>|-->>"))
+def mermaid(text: Column) -> Column:
+    """struct(empty, headers, edges, warns) of a graph text without its comments."""
+    body = F.regexp_replace(F.regexp_replace(text, "(?m)%%.*$", ""), r"^\s+|\s+$", "")
+    headers = F.regexp_extract_all(body, F.lit(rf"(?im)^\s*({MERMAID_HEADERS})\b"), F.lit(1))
+    edges = F.regexp_count(body, F.lit(r"-->|---|==>|-.->|~~~|<-->|--\|"))
+    plain = F.lower(F.element_at(headers, 1)).isin("pie", "mindmap", "timeline", "gantt", "journey")
+    return F.struct((body == "").alias("empty"), headers.alias("headers"), edges.alias("edges"), ((F.size(headers) > 0) & (edges == 0) & ~F.coalesce(plain, F.lit(False))).alias("warns"))
 
 
 def graphviz(text: Column) -> Column:
-    """struct(directed, balanced, edges) of a graph text."""
-    count = lambda c: F.length(text) - F.length(F.replace(text, F.lit(c), F.lit("")))
-    return F.struct(text.rlike(r"(?i)^\s*(?:strict\s+)?digraph\b").alias("directed"), (count("{") == count("}")).alias("balanced"), F.regexp_count(text, F.lit("->|--")).alias("edges"))
+    """struct(empty, declared, balanced, edges) of a graph text without its comments."""
+    body = F.regexp_replace(F.regexp_replace(text, r"(?ms)//.*$|/\*.*?\*/", ""), r"^\s+|\s+$", "")
+    count = lambda c: F.length(body) - F.length(F.replace(body, F.lit(c), F.lit("")))
+    declared = body.rlike(r'(?i)\b(?:strict\s+)?(di)?graph\b\s+[A-Za-z_0-9"]*\s*\{')
+    return F.struct((body == "").alias("empty"), declared.alias("declared"), (count("{") == count("}")).alias("balanced"), F.regexp_count(body, F.lit("->|--")).alias("edges"))
+
+
+def canonical_json(form: str):
+    """A column function from a JSON text to its canonical form: `plain` (sorted keys, usual separators), `compact` (sorted, no spaces) or `ascii` (compact, \\u escapes)."""
+    options = {"plain": {}, "compact": {"separators": (",", ":"), "ensure_ascii": False}, "ascii": {"separators": (",", ":")}}[form]
+
+    @F.pandas_udf(StringType())
+    def canonical(text: pd.Series) -> pd.Series:
+        return text.map(lambda t: None if t is None else json.dumps(json.loads(t), sort_keys=True, allow_nan=False, **options))
+
+    return canonical

@@ -2,23 +2,29 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame) -> DataFrame:
+    """df, cut from its lineage, in the shared folder that spark.checkpoint.dir names; where it is unset, only a local session may use a folder of its own."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="checkpoint-"))
+        where = sc.getConf().get("spark.checkpoint.dir", "")
+        if not where:
+            if not sc.master.startswith("local[") and sc.master != "local":
+                raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+            import tempfile
+
+            where = tempfile.mkdtemp(prefix="checkpoint-")
+        sc.setCheckpointDir(where)
     return df.checkpoint()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(id, component) of every node of the edges (a, b); component is the least id that they reach."""
     nodes = edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct()
-    e = _cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    e = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     seen = None
     while True:
         state = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
@@ -29,6 +35,6 @@ def components(edges: DataFrame) -> DataFrame:
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         up = both.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         own = least.filter("a <> m").select("a", F.col("m").alias("b"))
-        e = _cut(up.union(own).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+        e = cut(up.union(own).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     low = e.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "id")
     return nodes.join(low, "id", "left").select("id", F.coalesce("component", "id").alias("component"))

@@ -5,29 +5,12 @@ Testdata has no figures, so these run the same operators on other rows; they are
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from figmill.functions import text as T
 from figmill.operators import asof, coverage, graph, histogram, intervals, series
-
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
+from figmill.plans.registry import query, table
 
 @query("""
 SELECT l_orderkey, count(*) AS n_lines, max(l_linenumber) AS last_line, count(DISTINCT l_linenumber) AS n_distinct,

@@ -8,52 +8,74 @@ from pyspark.sql import functions as F
 from figmill.functions.numeric import number, projected_overlap
 from figmill.operators import coverage
 
-SEGMENT, BUS = r"^flow-(?<route>.+)-segment-(\d+)$", r"^flow-(.+)-bus(?:-(\d+))?$"
+# Which names are flow lines, and how route legs and buses are named.
+INCLUDE = r"(?i)(?:^|[-_])(flow|connector|route|segment|bus|link)(?:[-_]|$)"
+SEGMENT, BUS = r"(?i)^(.+?)[-_]segment(?:[-_])?(\d+)$", r"(?i)^(.+?)[-_]bus(?:[-_](\d+))?$"
 
 
-def lines(elements: DataFrame, tolerance: float = 0.25) -> DataFrame:
-    """Element rows (file, ord, name, bbox, rotation) as lines with ends, orientation, route and index."""
+def selected(elements: DataFrame, include: str = INCLUDE, allow: str | None = None) -> DataFrame:
+    """The line elements that are audited: geometry `line`, a name that `include` finds and `allow` doesn't."""
+    d = elements.filter((F.col("geometry") == "line") & F.coalesce(F.col("name"), F.lit("")).rlike(include))
+    return d if allow is None else d.filter(~F.col("name").rlike(allow))
+
+
+def lines(elements: DataFrame, tolerance: float = 0.05) -> DataFrame:
+    """Line elements (file, ord, name, bbox, rotation) with ends, orientation, route, index and bus; those without four box values are left out."""
     b = [number(F.get("bbox", F.lit(k))) for k in range(4)]
-    d = elements.select("file", "ord", "name", b[0].alias("x0"), b[1].alias("y0"), (b[0] + b[2]).alias("x1"), (b[1] + b[3]).alias("y1"), number(F.col("rotation")).alias("rotation"))
-    w, h = F.abs(F.col("x1") - F.col("x0")), F.abs(F.col("y1") - F.col("y0"))
-    kind = F.when((w <= tolerance) & (h <= tolerance), "point").when(w <= tolerance, "vertical").when(h <= tolerance, "horizontal").otherwise("diagonal")
-    segment = F.regexp_extract("name", r"^flow-(.+)-segment-(\d+)$", 1)
-    return d.withColumn("orientation", kind).withColumn("route", F.nullif(segment, F.lit(""))).withColumn("index", F.regexp_extract("name", r"^flow-(.+)-segment-(\d+)$", 2).try_cast("int")).withColumn("bus", F.when(F.col("name").rlike(BUS), F.regexp_extract("name", BUS, 1)))
+    d = elements.filter(F.size("bbox") == 4).select("file", "ord", "name", b[0].alias("x0"), b[1].alias("y0"), (b[0] + b[2]).alias("x1"), (b[1] + b[3]).alias("y1"), F.abs(b[2]).alias("w"), F.abs(b[3]).alias("h"), F.pmod(number(F.col("rotation")), F.lit(360.0)).alias("rotation"))
+    kind = F.when((F.col("w") <= tolerance) & (F.col("h") <= tolerance), "point").when(F.col("w") <= tolerance, "vertical").when(F.col("h") <= tolerance, "horizontal").otherwise("diagonal")
+    found = lambda p, k: F.nullif(F.lower(F.regexp_extract("name", p, k)), F.lit(""))
+    return d.withColumn("orientation", kind).withColumn("route", found(SEGMENT, 1)).withColumn("index", found(SEGMENT, 2).cast("int")).withColumn("bus", found(BUS, 1))
 
 
 def _on(px, py, tolerance):
     """Whether a point is on the axis-aligned line of the row."""
-    inside = px.between(F.least("bx0", "bx1") - tolerance, F.greatest("bx0", "bx1") + tolerance) & py.between(F.least("by0", "by1") - tolerance, F.greatest("by0", "by1") + tolerance)
-    return inside & F.col("borientation").isin("horizontal", "vertical")
-
-
-def audit(elements: DataFrame, tolerance: float = 0.25, shared: float = 1.0) -> DataFrame:
-    """(file, rule, subject): one row per issue.  A file is audited by itself."""
-    l = lines(elements, tolerance)
-    flows = l.filter("route is not null or bus is not null")
-    shape = flows.filter("orientation in ('point', 'diagonal')").select("file", F.concat(F.when(F.col("orientation") == "point", "zero-length").otherwise("diagonal"), F.lit(" line")).alias("rule"), F.col("name").alias("subject"))
-    turned = flows.filter(F.least(F.pmod(F.abs("rotation"), F.lit(360.0)), F.abs(F.pmod(F.abs("rotation"), F.lit(360.0)) - 360)) > 0.01).select("file", F.lit("rotated line").alias("rule"), F.col("name").alias("subject"))
-    seg = l.filter("route is not null")
-    gaps = coverage.sequence_gaps(seg, ["file", "route"], "index")
-    numbering = gaps.filter("has_gap").select("file", F.lit("numbering gap").alias("rule"), F.col("route").alias("subject"))
-    twice = gaps.filter("n_repeated > 0").select("file", F.lit("repeated index").alias("rule"), F.col("route").alias("subject"))
-    first = seg.withColumn("r_", F.row_number().over(Window.partitionBy("file", "route", "index").orderBy("ord"))).filter("r_ = 1")
+    flat = F.abs(py - F.col("by0")) <= tolerance
+    flat &= px.between(F.least("bx0", "bx1") - tolerance, F.greatest("bx0", "bx1") + tolerance)
+    steep = F.abs(px - F.col("bx0")) <= tolerance
+    steep &= py.between(F.least("by0", "by1") - tolerance, F.greatest("by0", "by1") + tolerance)
+    return F.when(F.col("borientation") == "horizontal", flat).otherwise(steep)
+
+
+def audit(elements: DataFrame, tolerance: float = 0.05, shared: float = 1.0, include: str = INCLUDE, allow: str | None = None) -> DataFrame:
+    """(file, rule, subject): one row per issue of the elements (file, ord, name, geometry, bbox, rotation).  A file is audited by itself.
+
+    Names are compared without case.  Of the legs with one index, the first stands for the others in the
+    test of continuity; all legs' ends count for a bus.  A branch belongs to every bus whose name its own begins with.
+    """
+    chosen = selected(elements, include, allow)
+    l = lines(chosen, tolerance)
+    issue = lambda d, rule, subject: d.select("file", F.lit(rule).alias("rule"), F.col(subject).alias("subject"))
+    found = [
+        issue(chosen.filter("bbox is null or size(bbox) <> 4"), "invalid bbox", "name"),
+        issue(l.filter("orientation = 'point'"), "zero-length line", "name"),
+        issue(l.filter("orientation = 'diagonal'"), "diagonal line", "name"),
+        issue(l.filter(F.least(F.col("rotation"), F.abs(F.col("rotation") - 360)) > tolerance), "rotated line", "name"),
+    ]
+    legs = l.filter("route is not null")
+    gaps = coverage.sequence_gaps(legs, ["file", "route"], "index")
+    found += [issue(gaps.filter("has_gap"), "numbering gap", "route"), issue(gaps.filter("n_repeated > 0"), "repeated index", "route")]
+    ends = F.struct("ord", "name", "x0", "y0", "x1", "y1")
+    first = legs.groupBy("file", "route", "index").agg(F.min(ends).alias("e")).select("file", "route", "index", "e.*")
     w = Window.partitionBy("file", "route").orderBy("index")
     nxt = [F.lead(c).over(w) for c in ("x0", "y0", "x1", "y1")]
     apart = F.least(*(F.greatest(F.abs(F.col(x) - nx), F.abs(F.col(y) - ny)) for x, y in (("x0", "y0"), ("x1", "y1")) for nx, ny in ((nxt[0], nxt[1]), (nxt[2], nxt[3]))))
-    broken = first.withColumn("apart", apart).filter(F.col("apart") > tolerance).select("file", F.lit("disconnected").alias("rule"), F.col("name").alias("subject"))
-    bus = l.filter("bus is not null").select("file", "bus", F.col("ord").alias("bord"), F.col("name").alias("bname"), F.col("orientation").alias("borientation"), *(F.col(c).alias(f"b{c}") for c in ("x0", "y0", "x1", "y1")))
-    ends = first.withColumn("bus", F.regexp_extract("route", r"^(.+?)[-_]", 1))
-    known = ends.join(bus.select("file", "bus").distinct(), ["file", "bus"], "left_semi")
-    touching = known.join(bus, ["file", "bus"]).filter(_on(F.col("x0"), F.col("y0"), tolerance) | _on(F.col("x1"), F.col("y1"), tolerance)).select("file", "route")
-    misses = known.select("file", "route").distinct().join(touching.distinct(), ["file", "route"], "left_anti").select("file", F.lit("misses bus").alias("rule"), F.col("route").alias("subject"))
+    found.append(issue(first.withColumn("apart", apart).filter(F.col("apart") > tolerance), "disconnected", "name"))
+    named = l.filter("bus is not null")
+    bus = named.filter("orientation in ('horizontal', 'vertical')").select("file", "bus", F.col("ord").alias("bord"), F.col("name").alias("bname"), F.col("orientation").alias("borientation"), *(F.col(c).alias(f"b{c}") for c in ("x0", "y0", "x1", "y1")))
+    # A route begins with a bus if one of its prefixes before a dash or underscore is the bus: an equi-join on prefixes.
+    cut = F.filter(F.transform(F.sequence(F.lit(1), F.length("route")), lambda k: F.when(F.substring("route", k, F.lit(1)).isin("-", "_"), F.substring("route", F.lit(1), k - 1))), lambda p: p.isNotNull() & (p != ""))
+    branch = legs.select("file", "route", "x0", "y0", "x1", "y1", F.explode(F.array_distinct(cut)).alias("bus")).join(named.select("file", "bus").distinct(), ["file", "bus"])
+    touch = branch.join(bus, ["file", "bus"]).filter(_on(F.col("x0"), F.col("y0"), tolerance) | _on(F.col("x1"), F.col("y1"), tolerance)).select("file", "bus", "route").distinct()
+    found.append(issue(branch.select("file", "bus", "route").distinct().join(touch, ["file", "bus", "route"], "left_anti"), "misses bus", "route"))
     a = bus.select(*(F.col(c).alias(f"a_{c}") if c not in ("file", "bus") else F.col(c) for c in bus.columns))
     pair = a.join(bus, ["file", "bus"]).filter((F.col("a_bord") < F.col("bord")) & (F.col("a_borientation") == F.col("borientation")))
     flat = F.col("borientation") == "horizontal"
     over = F.when(flat, projected_overlap(F.col("a_bx0"), F.col("a_bx1"), F.col("bx0"), F.col("bx1"))).otherwise(projected_overlap(F.col("a_by0"), F.col("a_by1"), F.col("by0"), F.col("by1")))
     off = F.when(flat, F.abs(F.col("a_by0") - F.col("by0"))).otherwise(F.abs(F.col("a_bx0") - F.col("bx0")))
-    doubled = pair.filter((over > tolerance) & (off <= shared)).select("file", F.when(off > tolerance, "misaligned parallel bus").otherwise("duplicate bus").alias("rule"), F.col("bname").alias("subject"))
-    issues = shape
-    for d in (turned, numbering, twice, broken, misses, doubled):
-        issues = issues.unionByName(d)
-    return issues
+    doubled = pair.filter((over > tolerance) & (off <= shared))
+    found.append(doubled.select("file", F.when(off > tolerance, "misaligned parallel bus").otherwise("duplicate bus").alias("rule"), F.col("bname").alias("subject")))
+    out = found[0]
+    for d in found[1:]:
+        out = out.unionByName(d)
+    return out

@@ -1,10 +1,13 @@
-"""Slide packages (zipped XML): parts, relationships and text shapes, read from binary files."""
+"""Slide packages (zipped XML), read from binary files: parts, relationships, slides, objects, text runs, paths, connectors."""
 
 from __future__ import annotations
 
 import io
+import math
 import posixpath
+import re
 import zipfile
+import zlib
 from xml.etree import ElementTree
 
 import pyarrow as pa
@@ -15,22 +18,86 @@ from pyspark.sql.types import StructType
 
 A = "{http://schemas.openxmlformats.org/drawingml/2006/main}"
 P = "{http://schemas.openxmlformats.org/presentationml/2006/main}"
-SHAPE = "package string, part string, ord int, shape_id string, name string, kind string, x_emu long, y_emu long, w_emu long, h_emu long, rotation_deg double, text string"
+C = "{http://schemas.openxmlformats.org/drawingml/2006/chart}"
+R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
+HEADS = {f"{P}sp": "nvSpPr", f"{P}pic": "nvPicPr", f"{P}graphicFrame": "nvGraphicFramePr", f"{P}cxnSp": "nvCxnSpPr"}
 RELATION = "package string, source_part string, id string, target string, target_mode string, type string"
 PART = "package string, part string, size long, error string"
+SLIDE = "package string, slide int, part string, width long, height long"
+OBJECT = "package string, slide int, part string, ord int, depth int, shape_id string, name string, kind string, preset string, x_emu long, y_emu long, w_emu long, h_emu long, rotation_deg double, flip_h boolean, flip_v boolean, matrix array<double>, unsupported string, line_width long, line_color string, target_id string, crop array<double>, text string"
+RUN = "package string, slide int, part string, shape_id string, name string, paragraph int, ord int, text string, size double, baseline double, east_asian boolean"
+COMMAND = "package string, slide int, part string, shape_id string, name string, path_index int, ord int, kind string, points array<struct<x:double,y:double>>, w double, h double"
+BOUND = "package string, slide int, id string, name string, source_id string, source_port string, target_id string, target_port string, start_arrow string, end_arrow string"
+COUNT = "package string, part string, kind string, native int, shapes int, text_shapes int, characters int, connectors int, groups int, frames int, charts int, tables int, pictures int, backgrounds array<string>"
 
 
 def files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.pptx").load(path).select(F.col("path").alias("package"), "content")
 
 
+class Package:
+    """An open package; what can't be read is left out, and parts() says why."""
+
+    def __init__(self, content: bytes):
+        self.zip = zipfile.ZipFile(io.BytesIO(content))
+        self.names = {i.filename: i for i in self.zip.infolist()}
+
+    def xml(self, part: str):
+        try:
+            return ElementTree.fromstring(self.zip.read(part)) if part in self.names else None
+        except (ElementTree.ParseError, zipfile.BadZipFile, NotImplementedError, RuntimeError, zlib.error):
+            return None
+
+    def related(self, part: str) -> list[tuple[str, str, str, str]]:
+        """(id, target, mode, type) of a part's relationships."""
+        folder, base = posixpath.split(part)
+        root = self.xml(posixpath.join(folder, "_rels", base + ".rels"))
+        out = []
+        for r in root if root is not None else ():
+            mode, target = r.get("TargetMode", "Internal"), r.get("Target", "")
+            out.append((r.get("Id", ""), target if mode == "External" else resolve(part, target), mode, r.get("Type", "").rsplit("/", 1)[-1]))
+        return out
+
+    def slides(self) -> list[tuple[str, int, int]]:
+        """(part, width, height) in the order of the presentation's list, or else of the parts' numbers."""
+        main = "ppt/presentation.xml"
+        root = self.xml(main)
+        size = root.find(f"{P}sldSz") if root is not None else None
+        w, h = (_whole(size.get(k)) or 0 for k in ("cx", "cy")) if size is not None else (0, 0)
+        target = {i: t for i, t, _, _ in self.related(main)}
+        listed = [target.get(e.get(f"{R}id")) for e in root.iterfind(f"{P}sldIdLst/{P}sldId")] if root is not None else []
+        found = [t for t in listed if t in self.names]
+        if not found:
+            found = sorted((n for n in self.names if re.fullmatch(r"ppt/slides/slide\d+\.xml", n)), key=lambda n: [int(x) if x.isdigit() else x for x in re.split(r"(\d+)", n)])
+        return [(part, w, h) for part in found]
+
+
+def _whole(value: str | None) -> int | None:
+    try:
+        return int(value)
+    except (TypeError, ValueError):
+        return None
+
+
+def _real(value: str | None, default: float = math.nan) -> float:
+    try:
+        return float(value)
+    except (TypeError, ValueError):
+        return default
+
+
 def _each(df: DataFrame, read, schema: str) -> DataFrame:
+    """Rows of read(name, package) for every package that can be opened."""
     kind = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(parts):
         for batch in parts:
-            for package, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                rows = list(read(package, content))
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                try:
+                    package = Package(content)
+                except zipfile.BadZipFile:
+                    continue
+                rows = list(read(name, package))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), kind, strict=True)], schema=kind)
 
@@ -38,17 +105,30 @@ def _each(df: DataFrame, read, schema: str) -> DataFrame:
 
 
 def parts(df: DataFrame) -> DataFrame:
-    """Every part and its size; a file that is no package gives one row with the error."""
+    """Every part, its size and, if it should be XML but isn't, the error; a file that is no package gives one row with the error."""
+    kind = to_arrow_schema(StructType.fromDDL(PART))
 
-    def read(package, content):
+    def read(name, content):
         try:
             with zipfile.ZipFile(io.BytesIO(content)) as z:
                 for i in z.infolist():
-                    yield package, i.filename, i.file_size, ""
+                    error = ""
+                    if i.filename.endswith((".xml", ".rels")):
+                        try:
+                            ElementTree.fromstring(z.read(i))
+                        except (ElementTree.ParseError, zipfile.BadZipFile, NotImplementedError, RuntimeError, zlib.error) as e:
+                            error = str(e)
+                    yield name, i.filename, i.file_size, error
         except zipfile.BadZipFile as e:
-            yield package, "", 0, str(e)
+            yield name, "", 0, str(e)
+
+    def run(batches):
+        for batch in batches:
+            rows = [r for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for r in read(name, content)]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), kind, strict=True)], schema=kind)
 
-    return _each(df, read, PART)
+    return df.select("package", "content").mapInArrow(run, PART)
 
 
 def resolve(source: str, target: str) -> str:
@@ -56,45 +136,215 @@ def resolve(source: str, target: str) -> str:
 
 
 def relationships(df: DataFrame) -> DataFrame:
-    def read(package, content):
-        with zipfile.ZipFile(io.BytesIO(content)) as z:
-            for name in z.namelist():
-                if name.endswith(".rels"):
-                    folder, base = posixpath.split(name)
-                    source = posixpath.join(posixpath.dirname(folder), base[:-5])
-                    for r in ElementTree.fromstring(z.read(name)):
-                        mode = r.get("TargetMode", "Internal")
-                        target = r.get("Target", "")
-                        yield package, source, r.get("Id", ""), target if mode == "External" else resolve(source, target), mode, r.get("Type", "").rsplit("/", 1)[-1]
+    def read(name, package):
+        for part in package.names:
+            if part.endswith(".rels"):
+                folder, base = posixpath.split(part)
+                source = posixpath.join(posixpath.dirname(folder), base[:-5])
+                for r in package.related(source):
+                    yield name, source, *r
 
     return _each(df, read, RELATION)
 
 
+def slides(df: DataFrame) -> DataFrame:
+    """(package, slide, part, width, height): the slides in order, from 1, with the slide size."""
+
+    def read(name, package):
+        for n, (part, w, h) in enumerate(package.slides(), 1):
+            yield name, n, part, w, h
+
+    return _each(df, read, SLIDE)
+
+
+def product(a, b):
+    """The affine map (a, b, c, d, e, f) that applies b, then a."""
+    return (a[0] * b[0] + a[2] * b[1], a[1] * b[0] + a[3] * b[1], a[0] * b[2] + a[2] * b[3], a[1] * b[2] + a[3] * b[3], a[0] * b[4] + a[2] * b[5] + a[4], a[1] * b[4] + a[3] * b[5] + a[5])
+
+
+def placed(form, group: bool) -> tuple:
+    """The map from an object's unit square, or a group's child space, to its parent's space; ValueError if there is none."""
+    part = {c.tag.split("}")[1]: c for c in form} if form is not None else {}
+    if not {"off", "ext"} <= part.keys() or group and not {"chOff", "chExt"} <= part.keys():
+        raise ValueError("incomplete transform")
+    x, y, w, h = (_real(part[p].get(k)) for p, k in (("off", "x"), ("off", "y"), ("ext", "cx"), ("ext", "cy")))
+    turn = math.radians(_real(form.get("rot", "0")) / 60000)
+    if not all(map(math.isfinite, (x, y, w, h, turn))) or min(w, h) <= 0:
+        raise ValueError("extent or rotation is not usable")
+    fx, fy = (-1 if form.get(k) in ("1", "true") else 1 for k in ("flipH", "flipV"))
+    c, s = math.cos(turn), math.sin(turn)
+    around = product((c * fx, s * fx, -s * fy, c * fy, x + w / 2, y + h / 2), (1, 0, 0, 1, -w / 2, -h / 2))
+    if not group:
+        return product(around, (w, 0, 0, h, 0, 0))
+    left, top, cw, ch = (_real(part[p].get(k)) for p, k in (("chOff", "x"), ("chOff", "y"), ("chExt", "cx"), ("chExt", "cy")))
+    if not all(map(math.isfinite, (left, top, cw, ch))) or min(cw, ch) <= 0:
+        raise ValueError("group has no child space")
+    return product(around, (w / cw, 0, 0, h / ch, -left * w / cw, -top * h / ch))
+
+
+def _line(shape) -> tuple[int | None, str | None]:
+    """Width and colour of a solid outline."""
+    line = shape.find(f"{P}spPr/{A}ln")
+    fill = line.find(f"{A}solidFill") if line is not None and line.find(f"{A}noFill") is None else None
+    if fill is None or not len(fill):
+        return None, None
+    c = fill[0]
+    width = _whole(line.get("w", "12700"))
+    return 12700 if width is None else width, f"{c.tag.split('}')[1]}:{c.get('val') or c.get('lastClr') or sorted(c.attrib.items())}"
+
+
+def objects(df: DataFrame) -> DataFrame:
+    """Shapes, pictures, frames and connectors of every slide in paint order, also inside groups.
+
+    x_emu to rotation_deg are the object's own; matrix maps its unit square to the slide through all groups.
+    `unsupported` says why there is no matrix, or why a picture isn't simply a rectangle of pixels.
+    """
+
+    def read(name, package):
+        for n, (part, _, _) in enumerate(package.slides(), 1):
+            root = package.xml(part)
+            tree = root.find(f"{P}cSld/{P}spTree") if root is not None else None
+            stack = [(e, (1, 0, 0, 1, 0, 0), None, 0) for e in reversed(tree if tree is not None else ())]
+            order = 0
+            while stack:
+                e, matrix, error, depth = stack.pop()
+                kind = e.tag.split("}")[-1]
+                if kind == "grpSp":
+                    try:
+                        inner = product(matrix, placed(e.find(f"{P}grpSpPr/{A}xfrm"), True))
+                    except ValueError as why:
+                        inner, error = matrix, str(why)
+                    stack.extend((k, inner, error, depth + 1) for k in reversed(e))
+                elif e.tag in HEADS:
+                    head = e.find(f"{P}{HEADS[e.tag]}/{P}cNvPr")
+                    form = e.find(f"{P}xfrm" if kind == "graphicFrame" else f"{P}spPr/{A}xfrm")
+                    own, why = None, error
+                    if why is None:
+                        try:
+                            own = [float(v) for v in product(matrix, placed(form, False))]
+                        except ValueError as x:
+                            why = str(x)
+                    off, ext = (form.find(f"{A}off"), form.find(f"{A}ext")) if form is not None else (None, None)
+                    size = [_whole(v.get(k, "0")) if v is not None else None for v, k in ((off, "x"), (off, "y"), (ext, "cx"), (ext, "cy"))]
+                    preset, blip, crop = e.find(f"{P}spPr/{A}prstGeom"), e.find(f"{P}blipFill/{A}blip"), e.find(f"{P}blipFill/{A}srcRect")
+                    if own and kind == "pic":
+                        a, b, c, d = own[:4]
+                        if abs(a * c + b * d) > 1e-7 * math.hypot(a, b) * math.hypot(c, d):
+                            why = "not orthogonal"
+                        if a * d - b * c <= 0:
+                            why = "reflected"
+                        if e.find(f"{P}spPr/{A}custGeom") is not None or preset is not None and preset.get("prst") != "rect":
+                            why = "clipped"
+                        if any(x.tag.split("}")[-1] in EFFECTS for x in e.iter()):
+                            why = "has effects"
+                    text = "\n".join("".join(t.text or "" for t in p.iter(f"{A}t")) for p in e.iter(f"{A}p"))
+                    yield (
+                        name, n, part, order, depth, head.get("id") if head is not None else None, head.get("name") if head is not None else None, kind, preset.get("prst") if preset is not None else None, *size, (_whole(form.get("rot", "0")) or 0) / 60000 if form is not None else 0.0,
+                        form is not None and form.get("flipH") in ("1", "true"), form is not None and form.get("flipV") in ("1", "true"), own, why, *_line(e), blip.get(f"{R}embed") if blip is not None else None, [_real(crop.get(k, "0"), 0.0) / 100000 for k in "ltrb"] if crop is not None else [0.0] * 4, text,
+                    )
+                    order += 1
+
+    return _each(df, read, OBJECT)
+
+
+# Drawing elements that change how a picture's pixels appear.
+EFFECTS = frozenset("effectLst effectDag tile alphaModFix duotone lum grayscl clrChange scene3d sp3d".split())
+
+
 def shapes(df: DataFrame) -> DataFrame:
-    """Shapes of every slide, in paint order, with their text (paragraphs joined by newlines)."""
-
-    def read(package, content):
-        with zipfile.ZipFile(io.BytesIO(content)) as z:
-            for part in z.namelist():
-                if part.startswith("ppt/slides/slide") and part.endswith(".xml"):
-                    n = 0
-                    for e in ElementTree.fromstring(z.read(part)).iter():
-                        if e.tag in (f"{P}sp", f"{P}pic", f"{P}cxnSp"):
-                            head = e.find(f".//{P}cNvPr")
-                            form = e.find(f".//{A}xfrm")
-                            off, ext = (form.find(f"{A}off"), form.find(f"{A}ext")) if form is not None else (None, None)
-                            size = [int(v.get(k, 0)) if v is not None else None for v, k in ((off, "x"), (off, "y"), (ext, "cx"), (ext, "cy"))]
-                            text = "\n".join("".join(t.text or "" for t in p.iter(f"{A}t")) for p in e.iter(f"{A}p"))
-                            yield package, part, n, head.get("id") if head is not None else None, head.get("name") if head is not None else None, e.tag.split("}")[1], *size, int(form.get("rot", 0)) / 60000 if form is not None else 0.0, text
-                            n += 1
-
-    return _each(df, read, SHAPE)
+    """objects() with text, by the names of older callers."""
+    return objects(df).select("package", "part", "slide", "ord", "shape_id", "name", "kind", "x_emu", "y_emu", "w_emu", "h_emu", "rotation_deg", "text")
+
+
+def runs(df: DataFrame) -> DataFrame:
+    """Text runs with the size and baseline that they inherit: level default, then paragraph default, then the run's own, times the text's autofit scale.
+
+    size is null if nothing usable says it; east_asian: the run names a font for East Asian text.
+    """
+
+    def read(name, package):
+        for n, (part, _, _) in enumerate(package.slides(), 1):
+            root = package.xml(part)
+            for shape in root.iter(f"{P}sp") if root is not None else ():
+                head, body = shape.find(f"{P}nvSpPr/{P}cNvPr"), shape.find(f"{P}txBody")
+                if body is None:
+                    continue
+                fit = body.find(f"{A}bodyPr/{A}normAutofit")
+                scale = _real(fit.get("fontScale", "100000"), 100000.0) / 100000 if fit is not None else 1.0
+                for k, paragraph in enumerate(body.iterfind(f"{A}p")):
+                    about = paragraph.find(f"{A}pPr")
+                    level = (_whole(about.get("lvl", "0")) or 0) + 1 if about is not None else 1
+                    above = [body.find(f"{A}lstStyle/{A}lvl{level}pPr/{A}defRPr"), paragraph.find(f"{A}pPr/{A}defRPr")]
+                    for order, run in enumerate(paragraph):
+                        if run.tag not in (f"{A}r", f"{A}fld"):
+                            continue
+                        own = run.find(f"{A}rPr")
+                        values: dict = {}
+                        for source in (*above, own):
+                            values.update(source.attrib if source is not None else {})
+                        size, base = _real(values.get("sz")) / 100 * scale, _real(values.get("baseline", "0"))
+                        font = own.find(f"{A}ea") if own is not None else None
+                        usable = math.isfinite(size) and size > 0 and math.isfinite(base)
+                        yield name, n, part, head.get("id") if head is not None else None, head.get("name") if head is not None else None, k, order, "".join(t.text or "" for t in run.iter(f"{A}t")), size if usable else None, base if usable else 0.0, font is not None and bool(font.get("typeface", "").strip())
+
+    return _each(df, read, RUN)
+
+
+def path_commands(df: DataFrame) -> DataFrame:
+    """Commands of the shapes' own paths, for curves.decode(): points in the path's units, with its width and height."""
+
+    def read(name, package):
+        for n, (part, _, _) in enumerate(package.slides(), 1):
+            root = package.xml(part)
+            for shape in root.iter(f"{P}sp") if root is not None else ():
+                head = shape.find(f"{P}nvSpPr/{P}cNvPr")
+                for index, path in enumerate(shape.iterfind(f"{P}spPr/{A}custGeom/{A}pathLst/{A}path")):
+                    for order, command in enumerate(path):
+                        points = [{"x": _real(p.get("x")), "y": _real(p.get("y"))} for p in command.iterfind(f"{A}pt")]
+                        yield name, n, part, head.get("id") if head is not None else None, head.get("name") if head is not None else None, index, order, command.tag.split("}")[1], points, _real(path.get("w", "0")), _real(path.get("h", "0"))
+
+    return _each(df, read, COMMAND)
+
+
+def bound_connectors(df: DataFrame) -> DataFrame:
+    """Connectors with the ids and ports that their ends are bound to, and their arrows."""
+
+    def read(name, package):
+        for n, (part, _, _) in enumerate(package.slides(), 1):
+            root = package.xml(part)
+            for e in root.iter(f"{P}cxnSp") if root is not None else ():
+                head = e.find(f"{P}nvCxnSpPr/{P}cNvPr")
+                ends = [e.find(f"{P}nvCxnSpPr/{P}cNvCxnSpPr/{A}{t}") for t in ("stCxn", "endCxn")]
+                arrows = [e.find(f"{P}spPr/{A}ln/{A}{t}") for t in ("headEnd", "tailEnd")]
+                yield name, n, head.get("id") if head is not None else None, head.get("name") if head is not None else None, *(x.get(k) if x is not None else None for x in ends for k in ("id", "idx")), *(x.get("type", "none") if x is not None else "none" for x in arrows)
+
+    return _each(df, read, BOUND)
+
+
+def part_counts(df: DataFrame) -> DataFrame:
+    """What every slide, layout and master holds, and the targets of its background pictures."""
+
+    def read(name, package):
+        for part in package.names:
+            m = re.fullmatch(r"ppt/(slide|slideLayout|slideMaster)s/[^/]+\.xml", part)
+            root = package.xml(part) if m else None
+            if root is None:
+                continue
+            count = lambda *tags: sum(1 for e in root.iter() if e.tag in tags)  # noqa: B023, E731
+            shape = list(root.iter(f"{P}sp"))
+            target = {i: t for i, t, _, _ in package.related(part)}
+            back = [target.get(e.get(f"{R}embed")) or "" for e in root.iterfind(f"{P}cSld/{P}bg/{P}bgPr/{A}blipFill/{A}blip")]
+            connectors, frames = count(f"{P}cxnSp"), count(f"{P}graphicFrame")
+            texts = sum(1 for x in shape if x.find(f"{P}txBody") is not None and x.find(f".//{A}t") is not None)
+            yield name, part, m.group(1), len(shape) + connectors + frames, len(shape), texts, sum(len(t.text or "") for t in root.iter(f"{A}t")), connectors, count(f"{P}grpSp"), frames, count(f"{C}chart"), count(f"{A}tbl"), count(f"{P}pic"), back
+
+    return _each(df, read, COUNT)
 
 
 def integrity(part: DataFrame, relation: DataFrame) -> DataFrame:
     """(package, rule, subject): empty media, external targets that aren't hyperlinks, internal targets that are missing."""
     empty = part.filter("part like 'ppt/media/%' and size = 0").select("package", F.lit("empty media").alias("rule"), F.col("part").alias("subject"))
-    outside = relation.filter("target_mode = 'External' and type <> 'hyperlink'").select("package", F.lit("external target").alias("rule"), F.col("target").alias("subject"))
-    inner = relation.filter("target_mode <> 'External'").select("package", F.col("target").alias("part"))
+    outside = relation.filter("lower(target_mode) = 'external' and type <> 'hyperlink'").select("package", F.lit("external target").alias("rule"), F.col("target").alias("subject"))
+    inner = relation.filter("lower(target_mode) <> 'external' and type in ('image', 'audio', 'video', 'oleObject', 'package')").select("package", F.col("target").alias("part"))
     broken = inner.join(part.select("package", "part"), ["package", "part"], "left_anti").select("package", F.lit("missing target").alias("rule"), F.col("part").alias("subject"))
     return empty.unionByName(outside).unionByName(broken)
