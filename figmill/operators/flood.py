@@ -48,3 +48,15 @@ def partition(pixels: DataFrame, seeds: DataFrame, key: str) -> DataFrame:
     kind = {f.name: f.dataType.simpleString() for f in [*pixels.schema, *seeds.select("owner").schema]}
     mine = pixels.select(key, "y", "x", "r", "g", "b").dropDuplicates([key, "y", "x"])
     return mine.groupBy(key).cogroup(seeds.select(key, "ord", "owner", "y", "x").groupBy(key)).applyInPandas(flood, f"`{key}` {kind[key]}, y int, x int, owner {kind['owner']}")
+
+
+def issues(pixels: DataFrame, seeds: DataFrame, key: str) -> DataFrame:
+    """(key, rule, n): seeds that lie on another one or off the support, and pixels that no seed reaches."""
+    from pyspark.sql import functions as F
+
+    at = [key, "y", "x"]
+    twice = seeds.groupBy(*at).agg((F.count(F.lit(1)) - 1).alias("n")).filter("n > 0").groupBy(key).agg(F.sum("n").alias("n"))
+    off = seeds.join(pixels.select(*at).distinct(), at, "left_anti").groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    alone = partition(pixels, seeds, key).filter("owner is null").groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    row = lambda d, rule: d.select(key, F.lit(rule).alias("rule"), "n")
+    return row(twice, "repeated seed").unionByName(row(off, "seed off the support")).unionByName(row(alone, "pixels without owner"))

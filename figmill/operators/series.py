@@ -65,3 +65,22 @@ def valleys(df: DataFrame, chosen: DataFrame, keys: list[str], x: str, y: str) -
     nxt = chosen.select(*keys, F.col(x).alias("from_"), F.lead(x).over(_window(keys, [x])).alias("to_")).filter("to_ is not null")
     d = df.join(nxt, keys).filter((F.col(x) > F.col("from_")) & (F.col(x) < F.col("to_")))
     return d.groupBy(*keys, "from_", "to_").agg(F.min(F.struct(y, x)).alias("m")).select(*keys, F.col(f"m.{x}").alias(x), F.col(f"m.{y}").alias(y))
+
+
+def numbered(df: DataFrame, keys: list[str], order: list[str], bucket) -> DataFrame:
+    """df with `n_`, the place of each row in its key's order from 0: places within buckets (a column that rises with the order), and the buckets' counts added up."""
+    d = df.withColumn("bucket_", bucket)
+    w = Window.partitionBy(*keys, "bucket_").orderBy(*order)
+    before = F.sum("c_").over(Window.partitionBy(*keys).orderBy("bucket_").rowsBetween(Window.unboundedPreceding, -1))
+    counts = d.groupBy(*keys, "bucket_").agg(F.count(F.lit(1)).alias("c_")).select(*keys, "bucket_", F.coalesce(before, F.lit(0)).alias("first_"))
+    return d.withColumn("own_", F.row_number().over(w) - 1).join(counts, [*keys, "bucket_"]).withColumn("n_", F.col("own_") + F.col("first_")).drop("own_", "first_", "bucket_")
+
+
+def moving_average_wide(df: DataFrame, keys: list[str], order: list[str], bucket, value: str, width: int, size: int = 10_000) -> DataFrame:
+    """moving_average() for few keys with many rows: rows go to blocks of `size` places, with the rows next to a block, so no window holds a key."""
+    r = max(1, width | 1) // 2
+    at = lambda n: F.floor(n / size)
+    d = numbered(df, keys, order, bucket).withColumn("home_", at(F.col("n_")))
+    d = d.withColumn("block_", F.explode(F.array_distinct(F.array(at(F.col("n_") - r), F.col("home_"), at(F.col("n_") + r)))))
+    w = Window.partitionBy(*keys, "block_").orderBy("n_").rowsBetween(-r, r)
+    return d.withColumn("smooth", F.avg(value).over(w)).filter("block_ = home_").drop("n_", "home_", "block_")

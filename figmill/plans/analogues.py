@@ -12,6 +12,8 @@ from figmill.functions import text as T
 from figmill.operators import asof, coverage, graph, histogram, intervals, series
 from figmill.plans.registry import query, table
 
+SMALL = 8 << 20
+
 @query("""
 SELECT l_orderkey, count(*) AS n_lines, max(l_linenumber) AS last_line, count(DISTINCT l_linenumber) AS n_distinct,
   NOT (min(l_linenumber) = 1 AND max(l_linenumber) = count(DISTINCT l_linenumber)) AS has_gap,
@@ -64,7 +66,7 @@ def islands(spark, sf_dir):
 SELECT event_id, event_type, round(avg(value) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), 6) AS smooth FROM events""")
 def moving_avg(spark, sf_dir):
     """Centred moving average that shrinks at the ends."""
-    e = series.moving_average(table(spark, sf_dir, "events"), ["event_type"], ["ts", "event_id"], "value", 4)
+    e = series.moving_average_wide(table(spark, sf_dir, "events"), ["event_type"], ["ts", "event_id"], F.date_trunc("hour", F.col("ts").cast("timestamp")), "value", 4)
     return e.select("event_id", "event_type", F.round("smooth", 6).alias("smooth"))
 
 
@@ -128,9 +130,11 @@ def role_spread(spark, sf_dir):
 @query("""
 SELECT o_orderstatus, round(quantile_cont(o_totalprice, 0.9) - quantile_cont(o_totalprice, 0.1), 4) AS spread, round(quantile_cont(o_totalprice, 0.95), 4) AS p95, max(o_totalprice) AS most FROM orders GROUP BY 1""")
 def pct_spread(spark, sf_dir):
-    p = F.percentile("o_totalprice", F.array(F.lit(0.1), F.lit(0.9), F.lit(0.95)))
-    g = table(spark, sf_dir, "orders").groupBy("o_orderstatus").agg(p.alias("p"), F.max("o_totalprice").alias("most"))
-    return g.select("o_orderstatus", F.round(F.col("p")[1] - F.col("p")[0], 4).alias("spread"), F.round(F.col("p")[2], 4).alias("p95"), "most")
+    """Spread between percentiles, exact, from counted values."""
+    o = table(spark, sf_dir, "orders")
+    p = histogram.percentiles(o, ["o_orderstatus"], "o_totalprice", [0.1, 0.9, 0.95])
+    most = o.groupBy("o_orderstatus").agg(F.max("o_totalprice").alias("most"))
+    return p.join(most, "o_orderstatus").select("o_orderstatus", F.round(F.col("p1") - F.col("p0"), 4).alias("spread"), F.round("p2", 4).alias("p95"), "most")
 
 
 @query("""
@@ -177,6 +181,7 @@ FLAGS = {"digits": "[0-9]{3,}", "marks": "[#*$%&]{3}", "shouting": "[A-Z]{4,}",
 
 @query("SELECT lang, count(*) AS n, " + ", ".join(f"count(*) FILTER (WHERE regexp_matches(text, '{p}')) AS {k}" for k, p in FLAGS.items()) + " FROM documents GROUP BY lang")
 def text_flags(spark, sf_dir):
+    """Documents of each language that some patterns find."""
     return table(spark, sf_dir, "documents").groupBy("lang").agg(F.count(F.lit(1)).alias("n"), *(F.count_if(F.col("text").rlike(p)).alias(k) for k, p in FLAGS.items()))
 
 
@@ -185,6 +190,7 @@ TAGS = {"paragraphs": "<p[ >]", "links": "<a[ >]", "scripts": "<script[ >]", "it
 
 @query("SELECT page_id, " + ", ".join(f"len(regexp_extract_all(html, '{p}')) AS {k}" for k, p in TAGS.items()) + " FROM pages")
 def html_counts(spark, sf_dir):
+    """Opening tags by pattern; scripts aren't set apart, as documents.html() does."""
     return table(spark, sf_dir, "pages").select("page_id", *(F.regexp_count("html", F.lit(p)).cast("long").alias(k) for k, p in TAGS.items()))
 
 
@@ -194,12 +200,17 @@ c AS (SELECT label AS c, i, avg(v) AS m FROM x WHERE label IS NOT NULL GROUP BY
 d AS (SELECT vec_id, c, sum((v - m) * (v - m)) AS d FROM x JOIN c USING (i) GROUP BY 1, 2)
 SELECT vec_id, c AS nearest FROM (SELECT vec_id, c, row_number() OVER (PARTITION BY vec_id ORDER BY round(d, 9), c) AS r FROM d) WHERE r = 1""")
 def nearest_centroid(spark, sf_dir):
-    """Each vector's nearest label mean; a mean a label is broadcast if Spark finds it small."""
+    """Each vector's nearest label mean.  The means go to the vectors as one array, if they are measured to be small; else both are joined."""
     e = table(spark, sf_dir, "embeddings")
     m = e.filter("label is not null").select("label", F.posexplode("embedding")).groupBy("label", "pos").agg(F.avg(F.col("col").cast("double")).alias("m"))
-    c = m.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("pos", "m"))).alias("p")).select("label", F.col("p.m").alias("m"))
-    d = F.aggregate(F.zip_with("embedding", "m", lambda v, w: (v.cast("double") - w) * (v.cast("double") - w)), F.lit(0.0), lambda a, v: a + v)
-    return e.select("vec_id", "embedding").join(c).groupBy("vec_id").agg(F.min(F.struct(F.round(d, 9), "label")).alias("b")).select("vec_id", F.col("b.label").alias("nearest"))
+    c = graph.cut(m.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("pos", "m"))).alias("p")).select("label", F.col("p.m").alias("m")))
+    size = c.agg(F.sum(F.size("m") * 8)).first()[0] or 0
+    apart = lambda mean: F.round(F.aggregate(F.zip_with("embedding", mean, lambda v, w: (v.cast("double") - w) * (v.cast("double") - w)), F.lit(0.0), lambda a, v: a + v), 9)
+    if size <= SMALL:
+        one = F.broadcast(c.agg(F.collect_list(F.struct("label", "m")).alias("all")))
+        best = F.array_min(F.transform("all", lambda k: F.struct(apart(k["m"]).alias("d"), k["label"].alias("label"))))
+        return e.select("vec_id", "embedding").join(one).select("vec_id", best["label"].alias("nearest"))
+    return e.select("vec_id", "embedding").join(c).groupBy("vec_id").agg(F.min(F.struct(apart(F.col("m")).alias("d"), "label")).alias("b")).select("vec_id", F.col("b.label").alias("nearest"))
 
 
 @query("SELECT sha256(text) AS digest, count(*) AS n, min(doc_id) AS first_doc FROM documents GROUP BY 1 HAVING count(*) > 1")
@@ -253,12 +264,13 @@ def mask_iou(spark, sf_dir):
 
 
 @query("""
-SELECT w.word, count(*) AS n FROM (SELECT DISTINCT split_part(p_name, ' ', 1) AS word FROM part) w JOIN part p ON starts_with(p.p_name, w.word || ' ') GROUP BY 1""")
+SELECT w.word, count(*) AS n FROM (SELECT DISTINCT substring(p_name, 1, 3 + p_size % 6) AS word FROM part WHERE p_partkey % 40 = 0) w JOIN part p ON starts_with(p.p_name, w.word) AND p.p_partkey % 40 <> 0 GROUP BY 1""")
 def prefix_join(spark, sf_dir):
-    """Parts whose name begins with a word and a space; the word is the key, so the join has one."""
-    p = table(spark, sf_dir, "part").select("p_name", F.split_part("p_name", F.lit(" "), F.lit(1)).alias("word"))
-    words = p.select("word").distinct()
-    return p.join(words, "word").filter(F.startswith("p_name", F.concat("word", F.lit(" ")))).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    """Names that begin with prefixes taken from other names; a name's own prefixes are the keys, so the join is by equality."""
+    p = table(spark, sf_dir, "part")
+    words = p.filter("p_partkey % 40 = 0").select(F.expr("substring(p_name, 1, cast(3 + p_size % 6 as int))").alias("word")).distinct()
+    own = p.filter("p_partkey % 40 <> 0").select(F.explode(F.transform(F.sequence(F.lit(1), F.least(F.length("p_name"), F.lit(8))), lambda k: F.substring("p_name", F.lit(1), k))).alias("word"))
+    return own.join(words, "word").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("""
@@ -272,6 +284,7 @@ def as_of(spark, sf_dir):
 
 @query("SELECT l_returnflag, round(regr_slope(l_extendedprice, l_quantity), 3) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 2) AS intercept FROM lineitem GROUP BY 1")
 def lsq(spark, sf_dir):
+    """A line through price and quantity for each flag."""
     return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.round(F.regr_slope("l_extendedprice", "l_quantity"), 3).alias("slope"), F.round(F.regr_intercept("l_extendedprice", "l_quantity"), 2).alias("intercept"))
 
 
@@ -286,8 +299,10 @@ def region_components(spark, sf_dir):
     return graph.components(e)
 
 
-@query(None)
+@query("""
+WITH RECURSIVE e AS (SELECT c_custkey AS a, c_custkey + 7 AS b FROM customer WHERE c_custkey % 5 <> 0), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+r(id, to_id) AS (SELECT a, a FROM u UNION SELECT r.id, u.b FROM r JOIN u ON r.to_id = u.a) SELECT id, min(to_id) AS component FROM r GROUP BY 1""")
 def components(spark, sf_dir):
-    """Connected components of suppliers and parts that occur together (parts are negative ids)."""
-    l = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("a"), (-F.col("l_partkey")).alias("b")).distinct()
-    return graph.components(l)
+    """Connected components of chains of customers."""
+    c = table(spark, sf_dir, "customer").filter("c_custkey % 5 <> 0")
+    return graph.components(c.select(F.col("c_custkey").alias("a"), (F.col("c_custkey") + 7).alias("b")))

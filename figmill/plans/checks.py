@@ -25,6 +25,9 @@ SELECT concat('f', CAST(l_orderkey % 40 AS STRING)) AS file, CAST(l_orderkey * 8
 FROM {lineitem}"""
 
 
+ONE = "SELECT l_orderkey, l_linenumber, min(l_quantity) AS l_quantity, min(l_tax) AS l_tax, min(l_returnflag) AS l_returnflag FROM {lineitem} GROUP BY l_orderkey, l_linenumber"
+
+
 def legs(spark, sf_dir):
     return derived(spark, sf_dir, LEGS).withColumn("bbox", F.array("x", "y", "w", "h"))
 
@@ -33,7 +36,7 @@ def legs(spark, sf_dir):
     """
 WITH l AS (SELECT *, lower(regexp_extract(name, '(?i)^(.+?)[-_]segment(?:[-_])?([0-9]+)$', 1)) AS route, x + w AS x1, y + h AS y1 FROM {legs} WHERE geometry = 'line'),
 g AS (SELECT file, route, min(n) AS lo, max(n) AS hi, count(*) AS c, count(DISTINCT n) AS d FROM l GROUP BY file, route),
-o AS (SELECT *, row_number() OVER (PARTITION BY file, route, n ORDER BY ord) AS r FROM l),
+o AS (SELECT *, row_number() OVER (PARTITION BY file, route, n ORDER BY ord, name, x, y, x1, y1) AS r FROM l),
 s AS (SELECT *, lead(x) OVER w AS a, lead(y) OVER w AS b, lead(x1) OVER w AS c, lead(y1) OVER w AS d FROM o WHERE r = 1 WINDOW w AS (PARTITION BY file, route ORDER BY n))
 SELECT file, 'zero-length line' AS rule, name AS subject FROM l WHERE w = 0 AND h = 0
 UNION ALL SELECT file, 'diagonal line', name FROM l WHERE w > 0 AND h > 0
@@ -124,8 +127,8 @@ def box_collisions(spark, sf_dir):
 
 
 @query(
-    """SELECT slide, name, path FROM (SELECT p.slide, p.ord, p.name, concat('p', CAST(s_suppkey AS STRING)) AS path FROM {boxes} p JOIN (SELECT *, s_suppkey % 300 AS slide, CAST(s_suppkey * 53 % 2000 AS DOUBLE) AS at FROM supplier) s ON s.slide = p.slide
-WHERE at BETWEEN x - 1.5 AND x + w + 1.5 AND 100 <= y + h + 1.5 AND 900 >= y - 1.5) t GROUP BY slide, name, path""",
+    """SELECT slide, name, path FROM (SELECT p.slide, p.ord, p.name, concat('p', CAST(s_suppkey AS STRING)) AS path FROM {boxes} p JOIN (SELECT *, s_suppkey % 300 AS slide, CAST(s_suppkey * 53 % 2000 AS DOUBLE) AS pos FROM supplier) s ON s.slide = p.slide
+WHERE pos BETWEEN x - 1.5 AND x + w + 1.5 AND 100 <= y + h + 1.5 AND 900 >= y - 1.5) t GROUP BY slide, name, path""",
     boxes=BOXES,
 )
 def path_collisions(spark, sf_dir):
@@ -180,23 +183,23 @@ def edge_evidence(spark, sf_dir):
     return grammar.evidence(line.unionByName(box("source", 0.0)).unionByName(box("target", 10.0)), roles).select("edge", "state")
 
 
-@query("SELECT p_partkey, k, round((1-t)*(1-t)*(1-t)*0 + 3*(1-t)*(1-t)*t*p_size + 3*(1-t)*t*t*2*p_size + t*t*t*p_retailprice, 6) AS x FROM part, (SELECT i AS k, i / 16.0 AS t FROM generate_series(1, 16) s(i)) s")
+@query("SELECT p_partkey, k, round((1-t)*(1-t)*(1-t)*0 + 3*(1-t)*(1-t)*t*p_size + 3*(1-t)*t*t*2*p_size + t*t*t*p_retailprice, 9) AS x FROM part, (SELECT i AS k, i / 16.0 AS t FROM generate_series(1, 16) s(i)) s")
 def bezier_samples(spark, sf_dir):
     """Sixteen points of a cubic curve for each part."""
     c = lambda v: (v, v)
     size = F.col("p_size").cast("double")
     d = table(spark, sf_dir, "part").select("p_partkey", F.posexplode(curves.bezier([c(F.lit(0.0)), c(size), c(2 * size), c(F.col("p_retailprice"))])).alias("k", "p"))
-    return d.select("p_partkey", (F.col("k") + 1).alias("k"), F.round("p.x", 6).alias("x"))
+    return d.select("p_partkey", (F.col("k") + 1).alias("k"), F.round("p.x", 9).alias("x"))
 
 
-@query("SELECT s_suppkey, i, round(CASE WHEN i <= p THEN a + (1 - a) * i / CAST(p AS DOUBLE) ELSE 1 - (1 - b) * (i - p) / CAST(200 - p AS DOUBLE) END, 6) AS y, 'supported' AS status FROM (SELECT s_suppkey, 20 + s_suppkey % 150 AS p, 2e-1 AS a, 1e-1 AS b FROM supplier) s, generate_series(0, 200) g(i)")
+@query("SELECT s_suppkey, i, round(CASE WHEN i <= p THEN a + (1 - a) * i / CAST(p AS DOUBLE) ELSE 1 - (1 - b) * (i - p) / CAST(200 - p AS DOUBLE) END, 9) AS y, 'supported' AS status FROM (SELECT s_suppkey, 20 + s_suppkey % 150 AS p, 2e-1 AS a, 1e-1 AS b FROM supplier) s, generate_series(0, 200) g(i)")
 def upper_envelopes(spark, sf_dir):
     """The upper outline of a filled shape with one peak for each supplier."""
     s = table(spark, sf_dir, "supplier").select("s_suppkey", ((20 + F.col("s_suppkey") % 150) / 200).alias("p"))
     edge = lambda x0, y0, x1, y1: F.struct(*(v.cast("double").alias(n) for v, n in zip((x0, y0, x1, y1), ("x0", "y0", "x1", "y1"), strict=True)))
     at = [F.lit(v) for v in (0.0, 0.8, 0.9, 1.0)]
     e = s.select("s_suppkey", F.inline(F.array(edge(at[0], at[1], F.col("p"), at[0]), edge(F.col("p"), at[0], at[3], at[2]), edge(at[3], at[2], at[3], at[3]), edge(at[3], at[3], at[0], at[3]), edge(at[0], at[3], at[0], at[1]))))
-    return curves.envelope(e, ["s_suppkey"]).select("s_suppkey", "i", F.round("y", 6).alias("y"), "status")
+    return curves.envelope(e, ["s_suppkey"]).select("s_suppkey", "i", F.round("y", 9).alias("y"), "status")
 
 
 SERIES = "SELECT o_custkey AS k, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS INT) AS i, o_totalprice AS v, o_orderkey % 3 <> 0 AS seen FROM {orders}"
@@ -227,12 +230,12 @@ GRID = "SELECT o_custkey AS k, CAST(o_orderkey % 101 AS DOUBLE) / 1e2 AS x, o_to
 @query(
     """WITH p AS (SELECT k, x, min(y) AS y FROM {g} GROUP BY k, x), q AS (SELECT k, i, i / 100.0::DOUBLE AS x FROM (SELECT DISTINCT k FROM p) t, generate_series(0, 100) s(i)),
 b AS (SELECT q.k, i, q.x, max(p.x) FILTER (WHERE p.x <= q.x + 1e-12) AS a, min(p.x) FILTER (WHERE p.x >= q.x - 1e-12) AS z FROM q JOIN p ON p.k = q.k GROUP BY q.k, i, q.x)
-SELECT b.k, i, round(CASE WHEN a IS NULL THEN r.y WHEN z IS NULL OR a = z THEN l.y ELSE l.y + (r.y - l.y) * (b.x - a) / (z - a) END, 3) AS y FROM b LEFT JOIN p l ON l.k = b.k AND l.x = a LEFT JOIN p r ON r.k = b.k AND r.x = z""",
+SELECT b.k, i, round(CASE WHEN a IS NULL THEN r.y WHEN z IS NULL OR a = z THEN l.y ELSE l.y + (r.y - l.y) * (b.x - a) / (z - a) END, 7) AS y FROM b LEFT JOIN p l ON l.k = b.k AND l.x = a LEFT JOIN p r ON r.k = b.k AND r.x = z""",
     g=GRID,
 )
 def resampled(spark, sf_dir):
     """Each customer's totals on 101 even steps; of equal positions the least counts."""
-    return series.resample(derived(spark, sf_dir, GRID), ["k"], 101).select("k", "i", F.round("y", 3).alias("y"))
+    return series.resample(derived(spark, sf_dir, GRID), ["k"], 101).select("k", "i", F.round("y", 7).alias("y"))
 
 
 PIXELS = """SELECT CAST(l_orderkey % 12 AS INT) AS image_id, CAST((l_partkey * 7 + l_linenumber) % 24 AS INT) AS y, CAST((l_suppkey * 5 + l_orderkey) % 32 AS INT) AS x,
@@ -351,9 +354,9 @@ def edge_filter(spark, sf_dir):
     return images.edges(pixels(spark, sf_dir).select("image_id", "y", "x", F.col("r").alias("v")), 24, 32)
 
 
-@query("SELECT image_id, arg_min(y, (-t, y, x)) AS y, arg_min(x, (-t, y, x)) AS x, max(t) AS total FROM (SELECT p.image_id, p.y, p.x, sum(q.r) AS t FROM {p} p JOIN {p} q ON p.image_id = q.image_id AND q.y BETWEEN p.y AND p.y + 3 AND q.x BETWEEN p.x AND p.x + 3 GROUP BY p.image_id, p.y, p.x) t GROUP BY image_id", p=PIXELS)
+@query("SELECT image_id, arg_min(y, (-t, y, x)) AS y, arg_min(x, (-t, y, x)) AS x, max(t) AS total FROM (SELECT image_id, CAST(y - i AS INT) AS y, CAST(x - j AS INT) AS x, sum(r) AS t FROM {p}, generate_series(0, 3) a(i), generate_series(0, 3) b(j) WHERE y >= i AND x >= j GROUP BY 1, 2, 3) t GROUP BY image_id", p=PIXELS)
 def worst_windows(spark, sf_dir):
-    """The window of four by four pixels with the greatest sum (windows start at a pixel)."""
+    """The window of four by four pixels with the greatest sum."""
     return images.worst_window(pixels(spark, sf_dir).select("image_id", "y", "x", F.col("r").alias("v")), 4).withColumn("total", F.col("total").cast("decimal(38,0)"))
 
 
@@ -399,12 +402,12 @@ def segment_distances(spark, sf_dir):
     return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.round(N.point_segment(px, py, *map(F.lit, (0.0, 0.0, 30.0, 0.0))), 9).alias("distance"))
 
 
-@query("SELECT CAST(o_custkey AS BIGINT) AS id, count(p_partkey) AS n, coalesce(any_value(l)[1:3], []) AS numbers FROM (SELECT o_custkey, min(o_orderkey) % 50 AS s FROM orders GROUP BY o_custkey) o LEFT JOIN part ON p_size = s LEFT JOIN (SELECT p_size AS z, list(CAST(p_partkey AS INT) ORDER BY p_partkey) AS l FROM part GROUP BY p_size) t ON z = s GROUP BY o_custkey")
+@query("SELECT CAST(o_custkey AS BIGINT) AS id, count(p_partkey) AS n, coalesce(array_to_string(any_value(l)[1:3], ','), '') AS numbers FROM (SELECT o_custkey, min(o_orderkey) % 50 AS s FROM orders GROUP BY o_custkey) o LEFT JOIN part ON p_size = s LEFT JOIN (SELECT p_size AS z, list(CAST(p_partkey AS INT) ORDER BY p_partkey) AS l FROM part GROUP BY p_size) t ON z = s GROUP BY o_custkey")
 def box_candidates(spark, sf_dir):
     """Operations with the same box as an image, the first three by number."""
     i = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("id")).agg((F.min("o_orderkey") % 50).cast("double").alias("v")).select("id", F.array("v").alias("box"))
     ops = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("int").alias("seq"), F.array(F.col("p_size").cast("double") + 1e-6).alias("box"))
-    return images.candidates(i, ops, 3).select("id", "n", "numbers")
+    return images.candidates(i, ops, 3).select("id", "n", F.array_join("numbers", ",").alias("numbers"))
 
 
 @query("SELECT o_orderkey AS seq FROM orders WHERE o_orderkey % 7 <> 0 AND NOT (o_orderkey % 7 = 1 AND (o_orderkey - 1) % 2 = 0 AND o_orderkey - 1 IN (SELECT o_orderkey FROM orders))")
@@ -619,17 +622,17 @@ def rectangle_areas(spark, sf_dir):
     return intervals.rectangle_union(d, ["g"])
 
 
-@query('SELECT k, "group", count(*) AS members, min(p) AS first, max(p) - min(p) + 1 = count(*) AS contiguous FROM (SELECT l_orderkey AS k, l_returnflag AS "group", row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity, l_linenumber) AS p FROM lineitem) t GROUP BY k, "group"')
+@query('SELECT k, "group", count(*) AS members, min(p) AS first, max(p) - min(p) + 1 = count(*) AS contiguous FROM (SELECT l_orderkey AS k, l_returnflag AS "group", row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity, l_linenumber) AS p FROM {one}) t GROUP BY k, "group"', one=ONE)
 def group_contiguity(spark, sf_dir):
     """Whether each return flag's lines are a run of the order by quantity."""
-    l = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_returnflag").alias("group"), F.col("l_linenumber").alias("id"), F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_quantity", "l_linenumber")).alias("position"))
+    l = derived(spark, sf_dir, ONE).select(F.col("l_orderkey").alias("k"), F.col("l_returnflag").alias("group"), F.col("l_linenumber").alias("id"), F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_quantity", "l_linenumber")).alias("position"))
     return scenes.contiguous(l.select("k", "group", "id"), l.select("k", "id", "position"), "k")
 
 
-@query("SELECT k, ord, (SELECT max(o.ord) FROM (SELECT l_orderkey AS k, l_linenumber AS ord, CAST(floor(l_quantity) AS INT) % 4 AS level FROM lineitem) o WHERE o.k = t.k AND o.ord < t.ord AND o.level < t.level AND NOT EXISTS (SELECT 1 FROM (SELECT l_orderkey AS k, l_linenumber AS ord, CAST(floor(l_quantity) AS INT) % 4 AS level FROM lineitem) m WHERE m.k = t.k AND m.ord > o.ord AND m.ord < t.ord AND m.level <= o.level)) AS parent FROM (SELECT l_orderkey AS k, l_linenumber AS ord, CAST(floor(l_quantity) AS INT) % 4 AS level FROM lineitem) t")
+@query("SELECT k, ord, (SELECT max(o.ord) FROM (SELECT l_orderkey AS k, l_linenumber AS ord, CAST(floor(l_quantity) AS INT) % 4 AS level FROM {one}) o WHERE o.k = t.k AND o.ord < t.ord AND o.level < t.level AND NOT EXISTS (SELECT 1 FROM (SELECT l_orderkey AS k, l_linenumber AS ord, CAST(floor(l_quantity) AS INT) % 4 AS level FROM {one}) m WHERE m.k = t.k AND m.ord > o.ord AND m.ord < t.ord AND m.level <= o.level)) AS parent FROM (SELECT l_orderkey AS k, l_linenumber AS ord, CAST(floor(l_quantity) AS INT) % 4 AS level FROM {one}) t", one=ONE)
 def enclosing_scopes(spark, sf_dir):
     """The innermost open scope of each line, by nesting level."""
-    l = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("ord"), (F.floor("l_quantity").cast("int") % 4).alias("level"), F.lit(True).alias("opens"))
+    l = derived(spark, sf_dir, ONE).select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("ord"), (F.floor("l_quantity").cast("int") % 4).alias("level"), F.lit(True).alias("opens"))
     return scenes.enclosing(l, "k").select("k", "ord", "parent")
 
 
@@ -697,10 +700,10 @@ def natural_order(spark, sf_dir):
     return n.select("doc_id", "text", F.row_number().over(Window.orderBy(T.natural_key(F.col("text")))).alias("place"))  # a sort of 25 names
 
 
-@query("SELECT l_orderkey * 8 + l_linenumber AS id, CASE WHEN l_quantity > 40 THEN 'NOT_VERIFIED' WHEN l_linenumber <> 2 OR l_tax > 5e-2 THEN 'FAIL' ELSE 'PASS' END AS status, CASE WHEN l_quantity <= 40 THEN round(greatest(l_tax * 100 - 4, 0), 3) END AS overflow FROM lineitem")
+@query("SELECT l_orderkey * 8 + l_linenumber AS id, CASE WHEN l_quantity > 40 THEN 'NOT_VERIFIED' WHEN l_linenumber <> 2 OR l_tax > 5e-2 THEN 'FAIL' ELSE 'PASS' END AS status, CASE WHEN l_quantity <= 40 THEN round(greatest(l_tax * 100 - 4, 0), 3) END AS overflow FROM {one}", one=ONE)
 def text_layouts(spark, sf_dir):
     """Texts of two lines: line counts and overflow of their frames."""
-    l = table(spark, sf_dir, "lineitem").withColumn("id", F.col("l_orderkey") * 8 + F.col("l_linenumber"))
+    l = derived(spark, sf_dir, ONE).withColumn("id", F.col("l_orderkey") * 8 + F.col("l_linenumber"))
     key = [F.lit(1).alias("slide"), F.col("id").cast("string").alias("name"), F.lit("7").alias("shape_id")]
     items = l.select("id", *key, F.lit("a\rb").alias("text"))
     box = lambda w: F.array(F.lit(0.0), F.lit(0.0), w, F.lit(5.0))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from figmill.functions.numeric import crosses, on_polygon, point_segment
@@ -106,13 +106,13 @@ def edges(gray: DataFrame, height: int, width: int) -> DataFrame:
 
 
 def worst_window(diff: DataFrame, size: int) -> DataFrame:
-    """(image_id, y, x, total): the size by size window of greatest sum of v, first in row order on ties.  A plain difference, not a perceptual one.
+    """(image_id, y, x, total): the size by size window (by its first corner) of greatest sum of v, first in row order on ties.  A plain difference, not a perceptual one.
 
-    A pixel adds to the windows that hold it: two passes of a sliding sum, along rows and then along columns.
+    A pixel adds to the `size` windows of its row that hold it, and a row's sum to those of its column.
     """
-    w = lambda part, order: Window.partitionBy("image_id", part).orderBy(order).rangeBetween(0, size - 1)
-    rows = diff.groupBy(*KEYS).agg(F.sum("v").alias("v")).withColumn("s", F.sum("v").over(w("y", "x")))
-    total = rows.withColumn("t", F.sum("s").over(w("x", "y")))
+    steps = F.sequence(F.lit(0), F.lit(size - 1))
+    rows = diff.withColumn("k", F.explode(steps)).filter("x >= k").groupBy("image_id", "y", (F.col("x") - F.col("k")).alias("x")).agg(F.sum("v").alias("s"))
+    total = rows.withColumn("k", F.explode(steps)).filter("y >= k").groupBy("image_id", (F.col("y") - F.col("k")).alias("y"), "x").agg(F.sum("s").alias("t"))
     best = F.max(F.struct("t", (-F.col("y")).alias("y"), (-F.col("x")).alias("x")))
     return total.groupBy("image_id").agg(best.alias("b")).select("image_id", (-F.col("b.y")).alias("y"), (-F.col("b.x")).alias("x"), F.col("b.t").alias("total"))
 

@@ -26,7 +26,7 @@ FORMATS = {"svg": "svg", "drawio": "drawio", "excalidraw": "excalidraw", "mmd":
 def read_documents(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     """(path, format, content): whole text files under the path, with their format by name (empty if unknown)."""
     d = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path)
-    return d.select("path", detect_format(F.col("path")).alias("format"), F.decode("content", F.lit("UTF-8")).alias("content"))
+    return d.select("path", detect_format(F.col("path")).alias("format"), F.col("content").cast("string").alias("content"))
 
 
 def detect_format(path, override=None):

@@ -4,12 +4,14 @@ import glob
 import os
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 
-from figmill.plans import analogues
+from figmill.plans import analogues, checks  # noqa: F401
+from figmill.plans.registry import ORACLES, QUERIES
 
-SF = "/root/testdata/sf0.01"
+SF = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="module")
@@ -20,16 +22,22 @@ def duck():
     return c
 
 
+def cell(v) -> str:
+    if isinstance(v, (list, np.ndarray)):
+        return str(list(v))
+    return "null" if pd.isna(v) else f"{v:.9g}" if isinstance(v, float) else str(v)
+
+
 def rows(frame: pd.DataFrame) -> list:
     frame = frame[sorted(frame.columns)]
-    return sorted(tuple("null" if pd.isna(v) else f"{v:.9g}" if isinstance(v, float) else str(v) for v in r) for r in frame.itertuples(index=False))
+    return sorted(tuple(map(cell, r)) for r in frame.itertuples(index=False))
 
 
-@pytest.mark.parametrize("name", sorted(analogues.QUERIES))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, duck, name):
-    got = analogues.QUERIES[name](spark, SF).toPandas()
+    got = QUERIES[name](spark, SF).toPandas()
     assert len(got)
-    if name in analogues.ORACLES:
-        want = duck.execute(analogues.ORACLES[name]).df()
+    if name in ORACLES:
+        want = duck.execute(ORACLES[name]).df()
         assert sorted(got.columns) == sorted(want.columns)
         assert rows(got.astype(object).where(got.notna(), None)) == rows(want.astype(object).where(want.notna(), None))
