@@ -169,7 +169,7 @@ def test_documents(spark, tmp_path):
         "a.svg": '<svg viewBox="0 0 10 10" xmlns:xlink="http://www.w3.org/1999/xlink"><image width="10" height="9" xlink:href="http://x/y"/><rect/><g><text/></g></svg>', "b.svg": "<svg><image/></svg>", "c.svg": "<svg", "d.svg": "<html/>",
         "e.drawio": '<mxfile><diagram><mxGraphModel><root><mxCell id="1" vertex="1" style="shape=rect"/><mxCell id="2" edge="1" source="1" target="9"><mxGeometry relative="1"/></mxCell><mxCell id="1" vertex="1" style="x;image=http://e"/></root></mxGraphModel></diagram></mxfile>', "f.drawio": "<mxfile><diagram>zzz</diagram></mxfile>",
         "g.excalidraw": json.dumps({"elements": [{"id": "a", "type": "text"}, {"id": "a", "type": "arrow", "startBinding": {"elementId": "zz"}, "boundElements": [{"id": "a"}]}, {"id": "gone", "isDeleted": True}], "files": {"x": {"dataURL": "https://e"}}}),
-        "h.mmd": "%% graph\nflowchart TD\n a", "i.dot": "digraph g { a -> b; /* } */", "j.html": "<script>var a='<div>'</script><img src='//e'><p>x", "k.txt": "x",
+        "h.mmd": "%% graph\nflowchart TD\n a", "i.dot": "digraph g { a -> b; /* } */ }", "j.html": "<script>var a='<div>'</script><img src='//e'><p>x", "k.txt": "x",
     }
     for name, text in texts_.items():
         (tmp_path / name).write_text(text)
@@ -247,7 +247,7 @@ def test_fields(spark):
     xy = np.array([(x + 0.5, y + 0.5) for y in range(12) for x in range(12)])
     rgba = np.column_stack((np.tile([0.2, 0.4, 0.6], (144, 1)), 1 - fits.coordinates(xy, (0, 0, 12, 12), "radial")))
     assert fits.independent(xy, rgba, (0, 0, 12, 12), "solid", "radial", (4, 5)) == (4, 4)
-    values = spark.createDataFrame([("m", i + 0.5, v) for i, v in enumerate(np.interp(np.arange(20) + 0.5, [0, 10, 20], [0.2, 1.0, 0.4]))], "k string, at double, v double")
+    values = spark.createDataFrame([("m", i + 0.5, float(v)) for i, v in enumerate(np.interp(np.arange(20) + 0.5, [0, 10, 20], [0.2, 1.0, 0.4]))], "k string, at double, v double")
     assert fits.axis_gradient(values, ["k"], 20.0, 3).first()["values"] == pytest.approx([0.2, 1.0, 0.4], abs=1e-6)
     patch = [("f", k, float(x), float(y), 3 + 2.0 * x - y) for k, (a, b) in enumerate([(0, 0), (8, 0), (0, 8), (8, 8)]) for x in (a, a + 1) for y in (b, b + 1)]
     samples = spark.createDataFrame(patch, "k string, patch long, x double, y double, v double")
