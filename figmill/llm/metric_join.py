@@ -5,8 +5,10 @@ that may link (equal label and dimension) is partitioned by pivots of its own: a
 the cell of its nearest pivot.  A vector also goes to every cell in which it can have a partner:
 by the triangle inequality, if x lies at home in cell p, and y within r of x, then
 d(y, p) <= d(y, q) + 2r for all pivots q.  (Sharper, and used as well: y is at most r beyond the
-plane half-way between p and its own pivot.)  Cells join independently, and a vector finds all
-its partners in its home cell.
+plane half-way between p and its own pivot.)  Cells that are still large are partitioned again by
+pivots of their own home vectors, so that the pivots grow with the group and no vector is compared
+with more than PIVOTS of them a level.  Cells join independently, in tiles, and a vector finds all its
+partners in its home cell.
 """
 
 from __future__ import annotations
@@ -18,57 +20,107 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import checkpointed
+from .blocks import checkpointed, trimmed
 from .components import components
 
-CELL, PIVOTS, TILE = 2000, 256, 4096
-SLACK = 1e-9
+CELL, PIVOTS, TILE, DEAL = 2000, 256, 4096, 20_000
+SLACK = 1e-6  # distances near zero are off by about 1e-8, taken as they are from squares
+GROUP = ["label", "dim", "cell"]
+ROW = "label long, dim int, cell string, home boolean, id long, weight long, v array<double>"
+_ROW = pa.schema([("label", pa.int64()), ("dim", pa.int32()), ("cell", pa.string()), ("home", pa.bool_()), ("id", pa.int64()), ("weight", pa.int64()), ("v", pa.list_(pa.float64()))])
 
 
-def _rows(column: pa.Array, size: int) -> np.ndarray:
-    return np.array(column.to_pylist(), dtype=np.float64).reshape(len(column), size) if len(column) else np.zeros((0, size))
+def _vectors(column: pa.Array, dim: int) -> np.ndarray:
+    """Rows of one length, straight from Arrow's buffer."""
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), dim)
 
 
-def _placed(vectors: DataFrame, pivots: DataFrame, radius: float) -> DataFrame:
-    """(label, dim, cell, home, id, weight, v): every vector at home and wherever the bounds let it have a partner."""
+def _runs(batch: pa.RecordBatch, n: int):
+    """(key, slice) of the runs of rows with equal first n columns."""
+    if not batch.num_rows:
+        return
+    new = np.zeros(batch.num_rows, bool)
+    new[0] = True
+    for c in range(n):
+        v = batch.column(c).dictionary_encode().indices.to_numpy()
+        new[1:] |= v[1:] != v[:-1]
+    at = [*np.flatnonzero(new).tolist(), batch.num_rows]
+    for a, b in zip(at, at[1:], strict=False):
+        yield tuple(batch.column(c)[a].as_py() for c in range(n)), batch.slice(a, b - a)
+
+
+def _pivots(rows: DataFrame, big: DataFrame) -> DataFrame:
+    """(label, dim, cell, pivots) of the big cells: vectors at home with the smallest hashes, `k` of them, one after another in one array.
+
+    At most 2 * PIVOTS candidates, the least of each range of hashes, are collected for a cell.
+    """
+    h = F.xxhash64("id", "cell")
+    bucket = F.pmod(F.shiftrightunsigned(h, 20), F.lit(2 * PIVOTS))
+    low = rows.filter("home").join(big.select(*GROUP), GROUP).groupBy(*GROUP, bucket.alias("bucket")).agg(F.min_by("v", h).alias("v"), F.min(h).alias("h"))
+    ranked = low.groupBy(*GROUP).agg(F.sort_array(F.collect_list(F.struct("h", "v"))).alias("p"))
+    return ranked.join(big, GROUP).select(*GROUP, "s", F.flatten(F.slice(F.col("p.v"), F.lit(1), F.col("k"))).alias("v"))
+
+
+def _placed(rows: DataFrame, big: DataFrame, radius: float) -> DataFrame:
+    """The rows of big cells in the cells of their pivots: at home, and wherever the bounds let them have a partner.
+
+    A cell's rows are dealt to `s` tasks, each of which gets the pivots once, before the rows.
+    """
+    null = lambda kind: F.lit(None).cast(kind)
+    p = _pivots(rows, big).withColumn("deal", F.explode(F.sequence(F.lit(0), F.col("s") - 1))).select(*GROUP, "deal", F.lit(0).alias("kind"), null("boolean").alias("home"), null("long").alias("id"), null("long").alias("weight"), "v")
+    r = rows.join(big, GROUP).select(*GROUP, F.pmod(F.xxhash64("id"), "s").cast("int").alias("deal"), F.lit(1).alias("kind"), "home", "id", "weight", "v")
 
     def run(parts):
+        pivots, apart = None, None
         for batch in parts:
-            label, dim, ids, weight, v, p = (batch.column(k).to_pylist() for k in range(6))
-            by: dict = {}
-            for n, key in enumerate(zip(label, dim, strict=True)):
-                by.setdefault(key, []).append(n)
-            rows = []
-            for key, own in by.items():
-                P, X = np.array(p[own[0]], float), np.array([v[n] for n in own], float)
-                d = np.sqrt(np.maximum(0, (X * X).sum(1)[:, None] + (P * P).sum(1)[None] - 2 * X @ P.T))
-                home = d.argmin(1)
-                near = d[np.arange(len(own)), home][:, None]
-                apart = np.sqrt(np.maximum(0, ((P[:, None] - P[None]) ** 2).sum(2)))[home]
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    beyond = np.where(apart > 0, (d**2 - near**2) / (2 * apart), 0)
-                goes = (d <= near + 2 * radius + SLACK) & (beyond <= radius + SLACK)
-                goes[np.arange(len(own)), home] = True
-                for i, c in zip(*np.nonzero(goes), strict=True):
-                    n = own[i]
-                    rows.append((key[0], key[1], int(c), bool(c == home[i]), ids[n], weight[n], v[n]))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.list_(pa.float64())), strict=True)], ["label", "dim", "cell", "home", "id", "weight", "v"])
-
-    return vectors.join(pivots, ["label", "dim"]).select("label", "dim", "id", "weight", "v", "pivots").mapInArrow(run, "label long, dim int, cell int, home boolean, id long, weight long, v array<double>")
+            for (label, dim, cell, _, kind), own in _runs(batch, 5):
+                if not kind:
+                    pivots = own.column(8)[0].values.to_numpy(zero_copy_only=False).reshape(-1, dim)
+                    apart = np.sqrt(np.maximum(0, ((pivots[:, None] - pivots[None]) ** 2).sum(2))) if len(pivots) * len(pivots) * dim < 1 << 24 else None
+                    continue
+                for at in range(0, own.num_rows, 2048):
+                    part = own.slice(at, 2048)
+                    x = _vectors(part.column(8), dim)
+                    d = np.sqrt(np.maximum(0, (x * x).sum(1)[:, None] + (pivots * pivots).sum(1)[None] - 2 * x @ pivots.T))
+                    home = d.argmin(1)
+                    near = d[np.arange(len(x)), home][:, None]
+                    goes = d <= near + 2 * radius + SLACK
+                    between = apart[home] if apart is not None else np.sqrt(np.maximum(0, (pivots * pivots).sum(1)[home][:, None] + (pivots * pivots).sum(1)[None] - 2 * pivots[home] @ pivots.T))
+                    with np.errstate(divide="ignore", invalid="ignore"):
+                        goes &= np.where(between > SLACK, (d**2 - near**2) / (2 * between), 0) <= radius + SLACK / np.maximum(between, SLACK)
+                    goes[np.arange(len(x)), home] = True
+                    i, c = np.nonzero(goes)
+                    first = part.column(5).to_numpy(zero_copy_only=False)[i]
+                    cells = pa.array([f"{cell}/{k}" for k in range(len(pivots))]).take(pa.array(c))
+                    offsets = pa.array(np.arange(0, (len(i) + 1) * dim, dim, dtype=np.int32))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), label)), pa.array(np.full(len(i), dim, np.int32)), cells, pa.array(first & (c == home[i])), part.column(6).take(pa.array(i)), part.column(7).take(pa.array(i)), pa.ListArray.from_arrays(offsets, pa.array(x[i].ravel()))], schema=_ROW)
+
+    key = [*GROUP, "deal"]
+    return p.unionByName(r).repartition(*key).sortWithinPartitions(*key, "kind").mapInArrow(trimmed(run), ROW)
+
+
+def _partitioned(rows: DataFrame, radius: float) -> DataFrame:
+    """The rows in cells of about CELL home vectors, or cells that pivots can't part any more."""
+    before = None
+    while True:
+        sizes = checkpointed(rows.groupBy(*GROUP).agg(F.count_if("home").alias("n"), F.count(F.lit(1)).alias("all")).filter(F.col("n") > CELL))
+        most = sizes.agg(F.sum("n")).first()[0] or 0
+        if not most or before is not None and most > 0.9 * before:
+            return rows
+        before = most
+        big = sizes.select(*GROUP, F.least(F.lit(PIVOTS), F.ceil(F.col("n") / CELL)).cast("int").alias("k"), F.ceil(F.col("all") / DEAL).cast("int").alias("s"))
+        rows = checkpointed(rows.join(big.select(*GROUP), GROUP, "left_anti").unionByName(_placed(rows, big, radius)))
 
 
 def _cells(placed: DataFrame, least: float) -> DataFrame:
     """Per tile: (id, links, to): for each vector at home the weight of its partners in the tile, and edges that join what the tile links."""
-    size = placed.groupBy("label", "dim", "cell").agg(F.ceil(F.count_if("home") / TILE).cast("int").alias("ni"), F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("nj")).filter("ni > 0")
-    p = placed.join(size, ["label", "dim", "cell"]).withColumn("i", F.pmod(F.xxhash64("id"), "ni").cast("int")).withColumn("j", F.pmod(F.xxhash64("id"), "nj").cast("int"))
-    key = ["label", "dim", "cell", "i", "j"]
+    size = placed.groupBy(*GROUP).agg(F.ceil(F.count_if("home") / TILE).cast("int").alias("ni"), F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("nj")).filter("ni > 0")
+    p = placed.join(size, GROUP).withColumn("i", F.pmod(F.xxhash64("id"), "ni").cast("int")).withColumn("j", F.pmod(F.xxhash64("id"), "nj").cast("int"))
+    key = [*GROUP, "i", "j"]
     one = p.filter("home").withColumn("j", F.explode(F.sequence(F.lit(0), F.col("nj") - 1))).select(*key, F.lit(True).alias("home"), "id", "weight", "v")
     two = p.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("ni") - 1))).select(*key, F.lit(False).alias("home"), "id", "weight", "v")
 
-    def tile(home, ids, weight, v):
-        X = np.array(v, float)
-        home, ids, weight = np.array(home), np.array(ids), np.array(weight)
+    def tile(home, ids, weight, X):
         a, b = np.flatnonzero(home), np.flatnonzero(~home)
         links, parent = np.zeros(len(a), np.int64), {}
 
@@ -101,19 +153,21 @@ def _cells(placed: DataFrame, least: float) -> DataFrame:
         now, held = None, []
 
         def done():
-            if any(h[0] for h in held):
-                out = list(tile(*zip(*held, strict=True)))
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["id", "links", "to"])
+            if held:
+                home, ids, weight, x = (np.concatenate(c) for c in zip(*held, strict=True))
+                out = list(tile(home, ids, weight, x)) if home.any() else []
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["id", "links", "to"])
 
         for batch in parts:
-            for *k, home, i, w, v in zip(*(batch.column(c).to_pylist() for c in range(9)), strict=True):
+            for k, own in _runs(batch, 5):
                 if k != now:
                     yield from done()
                     now, held = k, []
-                held.append((home, i, w, v))
+                held.append((own.column(5).to_numpy(zero_copy_only=False), own.column(6).to_numpy(), own.column(7).to_numpy(), _vectors(own.column(8), k[1])))
         yield from done()
 
-    return one.union(two).repartition(*key).sortWithinPartitions(*key).mapInArrow(run, "id long, links long, to long")
+    return one.union(two).repartition(*key).sortWithinPartitions(*key).mapInArrow(trimmed(run), "id long, links long, to long")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", least: float = 0.98) -> DataFrame:
@@ -122,8 +176,9 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     Two rows link when their labels are equal and not null, their vectors have one length, and their cosine
     in double precision is at least `least` (which must be over 0).  Vectors that are null, empty, zero or
     hold null or non-finite numbers link with nothing.  Equal vectors of a label are joined as one, with a
-    weight.  component_id is the smallest id that links reach, kept whether it is the row's own.  Ids are
-    taken as unique; a row with a null id stays alone, with null results for component_id and kept.
+    weight.  component_id is the smallest id that links reach, kept whether it is the row's own.  Rows are told
+    apart one by one: of rows that repeat an id, each has its own links and component.  A row with a null id stays
+    alone, with null results for component_id and kept.
     """
     if not 0 < least <= 1:
         raise ValueError("least must be over 0 and at most 1")
@@ -132,23 +187,21 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("long").alias("label"), v.alias("v"))
     big = F.aggregate("v", F.lit(0.0), lambda a, x: F.greatest(a, F.abs(x)))
     fine = F.col("id").isNotNull() & F.col("label").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    good = rows.filter(fine).filter(big > 0).withColumn("v", F.transform("v", lambda x: x / big))
+    rows = rows.withColumn("big", F.when(fine, big))
+    usable = F.coalesce(F.col("big") > 0, F.lit(False))
     length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
-    unit = good.withColumn("v", F.transform("v", lambda x: x / length)).withColumn("dim", F.size("v"))
+    unit = rows.filter(usable).withColumn("v", F.transform("v", lambda x: x / F.col("big"))).select("id", "label", F.transform("v", lambda x: x / length).alias("v")).withColumn("dim", F.size("v"))
     unit = checkpointed(unit.withColumn("twin", F.xxhash64("v")).withColumn("twin2", F.hash("v")))
     same = ["label", "dim", "twin", "twin2"]
-    sets = checkpointed(unit.groupBy(*same).agg(F.min_by("v", "id").alias("v"), F.min("id").alias("id"), F.count(F.lit(1)).alias("weight")))
-    # Pivots: the vectors of the smallest hashes, as many as the group's size asks for, PIVOTS at most.
-    sizes = sets.groupBy("label", "dim").agg(F.least(F.lit(PIVOTS), F.ceil(F.count(F.lit(1)) / CELL)).cast("int").alias("k"))
-    bits = F.shiftrightunsigned("twin", 48)
-    low = sets.groupBy("label", "dim", bits.alias("bucket")).agg(F.min_by("v", "twin").alias("v"), F.min("twin").alias("twin"))
-    ranked = low.groupBy("label", "dim").agg(F.slice(F.sort_array(F.collect_list(F.struct("twin", "v"))), 1, PIVOTS).alias("p"))
-    pivots = ranked.join(sizes, ["label", "dim"]).select("label", "dim", F.slice(F.col("p.v"), F.lit(1), F.col("k")).alias("pivots"))
-    found = checkpointed(_cells(_placed(sets, pivots, radius), least))
-    comp = components(found.filter("to is not null").select(F.col("id").alias("a"), F.col("to").alias("b")))
-    links = found.groupBy("id").agg(F.sum("links").alias("links"))
-    done = sets.join(links, "id", "left").join(comp, "id", "left").select(*same, F.col("id").alias("first"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
+    sets = unit.groupBy(*same).agg(F.min_by("v", "id").alias("v"), F.min("id").alias("first"), F.count(F.lit(1)).alias("weight"))
+    sets = checkpointed(sets.withColumn("node", F.monotonically_increasing_id()))
+    start = sets.select("label", "dim", F.lit("").alias("cell"), F.lit(True).alias("home"), F.col("node").alias("id"), "weight", "v")
+    found = checkpointed(_cells(_partitioned(start, radius), least))
+    comp = components(found.filter("to is not null").select(F.col("id").alias("a"), F.col("to").alias("b"))).withColumnRenamed("id", "node")
+    links = found.groupBy(F.col("id").alias("node")).agg(F.sum("links").alias("links"))
+    own = sets.select(*same, "first", "weight", "node").join(links, "node", "left").join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    name = own.groupBy("component").agg(F.min("first").alias("component_id"))
+    done = own.join(name, "component").select(*same, (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), "component_id")
     linked = unit.select("id", *same).join(done, same).select("id", "n_links", "component_id")
-    out = rows.select("id").join(linked, "id", "left")
-    component = F.coalesce("component_id", "id")
-    return out.select(F.col("id").alias("vec_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), component.alias("component_id"), (F.col("id") == component).alias("kept"))
+    out = linked.unionByName(rows.filter(~usable).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id")))
+    return out.select(F.col("id").alias("vec_id"), "n_links", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))

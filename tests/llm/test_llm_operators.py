@@ -196,6 +196,22 @@ def test_metric_join(spark, monkeypatch):
     assert got == {i: (len(link[i]), comp[i], comp[i] == i) for i in range(n)}
 
 
+def test_metric_join_of_repeated_ids_and_many_levels(spark, monkeypatch):
+    monkeypatch.setattr(metric_join, "CELL", 12)
+    monkeypatch.setattr(metric_join, "PIVOTS", 3)
+    monkeypatch.setattr(metric_join, "DEAL", 50)
+    rnd = np.random.default_rng(5)
+    centre = rnd.normal(size=(60, 6))
+    rows = [(i % 290, (centre[i % 60] + rnd.normal(size=6) * 0.1).tolist(), 0) for i in range(300)]
+    got = metric_join.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(4)).collect()
+    x = np.array([v / np.linalg.norm(v) for _, v, _ in rows])
+    link = (x @ x.T >= 0.98) & ~np.eye(300, dtype=bool)
+    comp = [i for i, *_ in rows]
+    for _ in range(20):
+        comp = [min([c, *(comp[j] for j in np.flatnonzero(link[i]))]) for i, c in enumerate(comp)]
+    assert sorted(tuple(r) for r in got) == sorted((rows[i][0], int(link[i].sum()), comp[i], comp[i] == rows[i][0]) for i in range(300))
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 102), (101, 102), (7, 7), (300, 300)]
     got = {r.id: r.component for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
