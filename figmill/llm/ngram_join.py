@@ -326,10 +326,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     size = F.ceil(F.pow(2.0, F.ceil(F.log2("n") * 16) / 16))
     costs = sets.groupBy(size.alias("size")).agg(F.sum("cost_subsets"), F.sum("cost_lists")).collect()
     comp = _linked(sets, _keys(sets, boundary([tuple(r) for r in costs]), num, den), num, den)
-    # Equal ids in different sets join their components.
-    local = local.select(*same, "blk").join(reps.select(*same, "rep"), same)
-    shared = linked.join(local, [*same, "blk"]).select("id", "rep")
-    whole = shared.join(comp, shared.rep == comp.id, "left").select(shared.id, F.coalesce("component", "rep").alias("component")).groupBy("id").agg(F.min("component").alias("component"))
+    # The component goes to a set first, then to its blocks, then to their rows.  Equal ids in different sets join their components.
+    named = reps.select(*same, "rep").join(comp, F.col("rep") == F.col("id"), "left").select(*same, F.coalesce("component", "rep").alias("component"))
+    by_block = local.select(*same, "blk").join(named, same)
+    whole = linked.join(by_block, [*same, "blk"]).groupBy("id").agg(F.min("component").alias("component"))
     out = base.join(whole.withColumnRenamed("id", "other"), (F.col("id") == F.col("other")) & ~F.col("alone"), "left")
     own = F.when(~F.col("alone"), F.col("id"))
     return out.select(own.alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(own).alias("component_id"))

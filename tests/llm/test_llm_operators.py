@@ -142,6 +142,35 @@ def test_quality(spark):
     assert {r.doc_id for r in kept.collect()} == {r.doc_id for r in quality.rate(frame(spark, values)).collect() if r.kept}
 
 
+def test_quality_verdict(spark):
+    """Kept as computed chunk by chunk from the limits alone."""
+    import zstandard
+
+    rnd = random.Random(12)
+    words = ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rnd.randint(2, 9))) for _ in range(4000)]
+    prose = [" ".join(rnd.choice(words) for _ in range(rnd.randint(40, 900))) for _ in range(30)]
+    values = prose + [" ".join(rnd.choice(words[:9]) for _ in range(400)) for _ in range(5)] + [p + " " + "".join(rnd.choice("0123456789abcdef") for _ in range(700)) for p in prose[:5]] + [p + " spam" * 180 for p in prose[:5]]
+    squeeze = zstandard.ZstdCompressor(level=3, write_content_size=False).compress
+
+    def allowed(bands, size, ratio):
+        own = [(lo, hi) for at, lo, hi in bands if size >= at]
+        return not own or own[-1][0] <= ratio <= own[-1][1]
+
+    verdicts = []
+    for r in quality.rate(frame(spark, values)).collect():
+        t = values[(r.doc_id - 3) // 7].encode()
+        chunks = [t[i : i + 1024] for i in range(0, len(t), 1024)]
+        ratio = [len(squeeze(c)) / len(c) for c in chunks]
+        good = allowed(quality.WHOLE, len(t), len(squeeze(t)) / len(t))
+        if len(t) >= 1024:
+            full = [x for c, x in zip(chunks, ratio) if len(c) == 1024]
+            odd = sum(not 0.40 <= x <= 0.85 if len(c) == 1024 else not allowed([(n, lo - 0.03, hi + 0.10) for n, lo, hi in quality.WHOLE], len(c), x) for c, x in zip(chunks, ratio))
+            good &= allowed(quality.CHUNKS, len(full), sum(full) / len(full)) and odd / len(chunks) <= 0.2
+        assert r.kept == (good and not r.base_failed), r
+        verdicts.append(r.kept)
+    assert 5 < sum(verdicts) < len(verdicts) - 5
+
+
 @pytest.mark.parametrize("k, num", [(4, 85), (2, 60)])
 def test_ngram_join(spark, k, num):
     rnd = random.Random(k)
