@@ -49,7 +49,7 @@ def op9_html_wrappers(spark, sf_dir):
 
 
 def op10_quote_linking(spark, sf_dir):
-    return quotes.link(_table(spark, sf_dir, "conversations"))
+    return quotes.conversations(quotes.link(_table(spark, sf_dir, "conversations")))
 
 
 QUERIES = {f.__name__: f for f in (op1_packing, op2_metric_join, op3_suffix_dedup, op4_quality_rules, op5_ngram_join, op6_byte_bpe, op7_pitman_yor, op8_token_matrices, op9_html_wrappers, op10_quote_linking)}

@@ -459,6 +459,55 @@ def test_quotes(spark):
     assert [(r.conv_id, r.turn, r.text, r.n_quotes, r.n_linked, r.parent_conv, r.parent_turn) for r in got] == [(None, None, "", 0, 0, None, None), (1, 0, rows[0][3], 0, 0, None, None), (1, 1, "Other.", 0, 0, 1, 0), (1, 2, "I agree.", 2, 1, 1, 0), (2, 0, "yes", 1, 1, 1, 1), (2, 1, "", 0, 0, 2, 0), (2, 1, "", 0, 0, 2, 0)]
 
 
+def test_quotes_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(quotes, "SPAN", 4)
+    rnd = random.Random(21)
+    said = [f"point {i} is made" for i in range(12)]
+    rows = []
+    for conv in [None, 1, 2, 3, 4]:
+        for turn in sorted(rnd.sample(range(30), rnd.randint(1, 14))):
+            lines = []
+            for _ in range(rnd.randint(0, 2)):
+                lines += ["> " * rnd.randint(1, 2) + rnd.choice(said), ""]
+            rows.append((conv, turn, rnd.choice(["a", "b"]), "\n".join([*lines, *("\n\n".join(rnd.sample(said, rnd.randint(0, 2)))).split("\n")])))
+    rows.append((1, None, "a", said[0]))
+    speak = [(c, t, {p for level, p in quotes.passages(x)[1] if not level}) for c, t, _, x in rows]
+    order = lambda t: -1 if t is None else t
+    want = {}
+    for c, t, _, x in rows:
+        earlier = [(u, p) for d, u, p in speak if d == c and order(u) < order(t)]
+        links = []
+        for level, q in {p for p in quotes.passages(x)[1] if p[0]}:
+            inside = [u for u, p in earlier if q in p]
+            if not inside and any(d == c and u == t and q in p for d, u, p in speak):
+                inside = []
+            away = sorted(((d is not None, d or 0), order(u)) for d, u, p in speak if d != c and q in p)
+            if inside:
+                links.append((level, 0, -max(map(order, inside)), c, max(map(order, inside))))
+            elif away:
+                links.append((level, 1, 0, away[0][0][1] if away[0][0][0] else None, away[0][1]))
+        before = max((order(u) for d, u, _ in speak if d == c and order(u) < order(t)), default=None)
+        links.sort(key=lambda v: (v[:3], (v[3] is not None, v[3] or 0), v[4]))
+        want[c, order(t)] = (len(links), *(links[0][3:] if links else (c if before is not None else None, before)))
+    got = quotes.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)).collect()
+    none = lambda v: None if v in (None, -1) else v
+    assert {(r.conv_id, order(r.turn)): (r.n_linked, r.parent_conv, r.parent_turn) for r in got} == {k: (n, pc, none(pt)) for k, (n, pc, pt) in want.items()}
+    for conv in [None, 1, 2, 3, 4]:
+        turns = sorted(t for c, t in want if c == conv)
+        parent = {t: want[conv, t][2] if want[conv, t][1] == conv and want[conv, t][2] in turns and want[conv, t][2] < t else max((u for u in turns if u < t), default=None) for t in turns}
+
+        def walk(t):
+            return [t] + [x for u in turns if parent[u] == t for x in walk(u)]
+
+        assert [order(r.turn) for r in sorted((r for r in got if r.conv_id == conv), key=lambda r: r.position)] == [x for t in turns if parent[t] is None for x in walk(t)]
+    whole = quotes.conversations(spark.createDataFrame(got), part=3).collect()
+    assert sum(len(r.messages) for r in whole) == len(rows) and all([m.position for m in r.messages] == list(range(3 * r.part, 3 * r.part + len(r.messages))) for r in whole)
+
+
+def test_quotes_with_a_long_introduction():
+    assert quotes.passages("x" * 500 + " wrote:\n> hi\nyes")[0] == "yes"
+
+
 EMPTY = [
     (packing.pack_documents, (JSON,)), (matrices.to_matrices, (JSON,)), (bpe.round_trip, (RANKS, P.PATTERN)), (suffix_dedup.remove_repeats, ()),
     (quality.rate, ()), (ngram_join.near_duplicates, ()), (lm.score, ()),
