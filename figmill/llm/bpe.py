@@ -12,14 +12,15 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks as B
-from .tokens import Parts, joined
+from .tokens import SINGLE, white
 
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 # Unicode's White_Space, spelled out: what `\s` is in the pattern's own library.
 WHITE = r"\t-\r \x85\xa0  -     　"
 
@@ -51,24 +52,49 @@ def _library(path: str, pattern: str):
 
 
 class Words:
-    """A block's distinct pre-tokens, and its documents as numbers of them."""
+    """A block's distinct pre-tokens, and its documents as numbers of them.
+
+    The pattern always starts a new pre-token at a single space between two characters that aren't white space,
+    so only the distinct space-separated parts of the block are split by it.
+    """
 
     def __init__(self, arrays: list, pattern: str):
         self.ids, self.nulls, off, data = arrays
         self.number: dict[str, int] = {}
         find = splitter(pattern)
-        number = self.number
-
-        def make(text: str) -> bytes:
-            return np.array([number.setdefault(w, len(number)) for w in find(text)], "<u4").tobytes()
-
-        raw = data.tobytes()
-        texts = (raw[a:b].decode() for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True))
-        rest = Parts(lambda part: make(" " + part))
-        self.docs = [joined(t, make, rest) for t in texts]
-        self.words = [w.encode() for w in number]
+        texts = pa.LargeStringArray.from_buffers(len(off) - 1, pa.py_buffer(np.ascontiguousarray(off)), pa.py_buffer(np.ascontiguousarray(data)))
+        self.docs, wrong = self._of_parts(pc.split_pattern(texts, " "), find)
+        if len(wrong):
+            again = [SINGLE.split(t) for t in texts.take(pa.array(wrong)).to_pylist()]
+            for k, doc in zip(wrong.tolist(), self._of_parts(pa.array(again, pa.large_list(pa.large_string())), find)[0], strict=True):
+                self.docs[k] = doc
+        self.words = [w.encode() for w in self.number]
         self.hash = np.fromiter(map(xxhash.xxh64_intdigest, self.words), np.uint64, len(self.words))
 
+    def _of_parts(self, lists: pa.Array, find) -> tuple[list[np.ndarray], np.ndarray]:
+        """Texts, given as their parts at spaces, as numbers of pre-tokens; and which texts have a cut beside white space (their numbers are wrong)."""
+        offsets, coded = lists.offsets.to_numpy().astype(np.int64), lists.flatten().dictionary_encode()
+        if len(offsets) < 2:
+            return [], np.zeros(0, np.int64)
+        first, last = offsets[:-1], offsets[1:] - 1
+        parts, which = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
+        left, right = white(pc.utf8_slice_codeunits(parts, 0, 1))[which], white(pc.utf8_slice_codeunits(parts, -1))[which]
+        left[first] = right[last] = False
+        wrong = np.logical_or.reduceat(left | right, first)
+        which[first] += len(parts)  # a text's first part has no space before it
+        which[np.repeat(wrong, np.diff(offsets))] = len(parts)  # any part that is there: these texts come again
+        used, place = np.unique(which, return_inverse=True)
+        number, flat, size = self.number, [], []
+        for u, part in zip(used.tolist(), parts.take(pa.array(used % len(parts))).to_pylist(), strict=True):
+            found = find(part if u >= len(parts) else " " + part)
+            flat.extend([number.setdefault(w, len(number)) for w in found])
+            size.append(len(found))
+        flat, size = np.array(flat, np.uint32), np.array(size, np.int64)
+        n = size[place]
+        ends = np.cumsum(n)
+        whole = flat[np.repeat((np.cumsum(size) - size)[place] - ends + n, n) + np.arange(int(ends[-1]))]
+        return np.split(whole, ends[last[:-1]]), np.flatnonzero(wrong)
+
     def split(self, q: int):
         return B.split_slices(B.slice_of(self.hash, q), q)
 
@@ -121,9 +147,8 @@ def _with_ids(df: DataFrame, path: str, pattern: str, id_col: str, text_col: str
 
         def each():
             for i, null, doc in zip(block.ids.tolist(), block.nulls.tolist(), block.docs, strict=True):
-                w = np.frombuffer(doc, "<u4")
-                c = count[w]
-                yield None if null else i, ids[np.repeat(first[w] - (np.cumsum(c) - c), c) + np.arange(int(c.sum()))]
+                c = count[doc]
+                yield None if null else i, ids[np.repeat(first[doc] - (np.cumsum(c) - c), c) + np.arange(int(c.sum()))]
 
         yield from finish(each())
 

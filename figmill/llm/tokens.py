@@ -17,58 +17,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-MOST_PARTS, LONG_PART = 150_000, 64
 RUN_BYTES, LONG_WORD = 8 << 20, 1000
 SINGLE = re.compile(r"(?<=\S) (?=\S)")
 
 
-class Parts(dict):
-    """Part of a text -> what `make(part)` gives for it; parts that can't stand alone raise Unsafe.
-
-    Two generations of MOST_PARTS each: what is asked for again outlives the change of generation.
-    """
-
-    def __init__(self, make, any_part: bool = False):
-        super().__init__()
-        self.make, self.any_part, self.old = make, any_part, {}
-
-    def __missing__(self, part: str):
-        made = self.old.get(part)
-        if made is not None:
-            self.keep(part, made)
-            return made
-        if not self.any_part and (not part or part[0].isspace() or part[-1].isspace()):
-            raise Unsafe
-        made = self.make(part)
-        if len(part) <= LONG_PART:
-            self.keep(part, made)
-        return made
-
-    def keep(self, part: str, made) -> None:
-        if len(self) >= MOST_PARTS:
-            self.old = dict(self)
-            self.clear()
-        self[part] = made
-
-
-class Unsafe(Exception):
-    pass
-
-
-def joined(text: str, whole, rest: Parts) -> bytes:
-    """b"" of the text's parts: `whole(part)` makes the first, `rest` has the others with the space before them."""
-    if not text:
-        return b""
-    first, _, tail = text.partition(" ")
-    try:
-        if first and not first[0].isspace() and not first[-1].isspace():
-            return whole(first) + b"".join(map(rest.__getitem__, tail.split(" "))) if _ else whole(first)
-    except Unsafe:
-        pass
-    first, *tail = SINGLE.split(text)
-    return whole(first) + b"".join([rest.make(x) if x[0].isspace() or x[-1].isspace() else rest[x] for x in tail])
-
-
 def byte_alphabet() -> dict[int, str]:
     """The printable character that byte-level vocabularies write for each byte."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]

@@ -551,7 +551,7 @@ def test_pipeline(spark, tmp_path):
     assert want[2].sum() == kept[4].toPandas().length.sum()
 
 
-def test_encoder_is_the_library_with_a_cache_that_turns_over(monkeypatch):
+def test_encoder_is_the_library():
     import random
 
     import numpy as np
@@ -560,7 +560,6 @@ def test_encoder_is_the_library_with_a_cache_that_turns_over(monkeypatch):
 
     from figmill.llm import tokens
 
-    monkeypatch.setattr(tokens, "MOST_PARTS", 50)
     path = public_tokenizers.path("byte_bpe_50k.json")
     library = Tokenizer.from_file(path)
     library.encode_special_tokens = True
