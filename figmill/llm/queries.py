@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, lm, matrices, metric_join, ngram_join, packing, quality, quotes, suffix_dedup, wrappers
+from . import bpe, lm, matrices, metric_join, ngram_join, oracles, packing, quality, quotes, suffix_dedup, wrappers
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,5 +52,10 @@ def op10_quote_linking(spark, sf_dir):
     return quotes.conversations(quotes.link(_table(spark, sf_dir, "conversations")))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_metric_join, op3_suffix_dedup, op4_quality_rules, op5_ngram_join, op6_byte_bpe, op7_pitman_yor, op8_token_matrices, op9_html_wrappers, op10_quote_linking)}
-ORACLES: dict[str, str] = {}
+def quality_counts(spark, sf_dir):
+    """The counts and the base rule of op4_quality_rules, which SQL can express; the compression bands it can't."""
+    return op4_quality_rules(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_metric_join, op3_suffix_dedup, op4_quality_rules, op5_ngram_join, op6_byte_bpe, op7_pitman_yor, op8_token_matrices, op9_html_wrappers, op10_quote_linking, quality_counts)}
+ORACLES: dict[str, str] = {"op2_metric_join": oracles.METRIC, "op5_ngram_join": oracles.NGRAMS, "quality_counts": oracles.BASE}
