@@ -37,6 +37,7 @@ BLOCK_BYTES = 16 << 20
 ROUNDS, BURN_IN = 3, 1
 STRENGTH, DISCOUNT = 1.0, 0.5  # the closed form of tables() holds for this discount
 END = U(0xE4D0E4D0E4D0E4D1)
+KEY = U(0xFFFFFFFFFFFF0000)  # a context is told apart by these bits of its word's hash
 
 
 def held_out(doc_id: int) -> bool:
@@ -233,7 +234,7 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
 
     Learns from the rows whose crc32(id as text) mod 5 is not 1, and scores all.  Tokens are words without
     ASCII white space, A-Z lower-cased, and one end a text, which is all that a null or empty text has.  Words
-    are told apart by 64-bit hash.  Ids may repeat (each row counts).  A row with a null id is scored but not
+    are told apart by 64-bit hash, as contexts by 48 bits of it.  Ids may repeat (each row counts).  A row with a null id is scored but not
     learned from, and its held_out is null.  An empty table gives no rows.  Other columns are not read.
     """
     docs = B.Blocks(df, id_col, text_col, BLOCK_BYTES)
@@ -261,7 +262,7 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
             s, t = slice(bounds[k], bounds[k + 1]), slice(ends[k], ends[k + 1])
             if bounds[k + 1] > bounds[k]:
                 per = np.bincount(word[t] - bounds[k], minlength=int(bounds[k + 1] - bounds[k]))
-                yield B.arrow_rows(B.CHUNKS, [(blk, k, B.pack(x.words[s], small(per), x.words[context[t]], small(n[t])))])
+                yield B.arrow_rows(B.CHUNKS, [(blk, k, B.pack(x.words[s], small(per), x.words[context[t]] & KEY, small(n[t])))])
 
     def customers(chunks):
         c = Customers(chunks)
@@ -285,7 +286,7 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
 
     chunks = docs.each(bigrams, B.CHUNK_SCHEMA)
     held = B.checkpointed(chunks.repartitionById(q, F.col("q")).mapInArrow(B.trimmed(gathered), B.CHUNK_SCHEMA))
-    slices = B.dealt(held.filter("blk = -1").select(F.col("q").cast("long").alias("blk"), "body"))
+    slices = held.filter("blk = -1").select(F.col("q").cast("long").alias("blk"), "body")
 
     def sent(k, s, context, contexts):
         """Rows of a slice after a round: its tables (q -1), its totals (q -2), and each context's tables beyond the dishes' first."""
@@ -373,9 +374,16 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
             rows = got.pop(k)
             own = {n: B.unpack(body) for n, _, body in rows if n}
             words, word, _, n, once, _, few = own[1]
-            first = np.zeros(len(words))
-            if 2 in own:
-                first[np.searchsorted(words, own[2][0])] = own[2][1]
+
+            def at_words(contexts, values, words=words):
+                out = np.zeros(len(words))
+                if len(contexts):
+                    k = np.minimum(np.searchsorted(contexts, words & KEY), len(contexts) - 1)
+                    same = contexts[k] == words & KEY
+                    out[same] = values[k[same]]
+                return out
+
+            first = at_words(*own[2]) if 2 in own else np.zeros(len(words))
             kept, root, held = [], [], []
             rest = int(few[0]) - len(n)
             for r in range(BURN_IN + 1, ROUNDS + 1):
@@ -384,7 +392,7 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
                 root.append(Seating(word, n, once, model, t, root_t).root(r))
                 more = first.copy()
                 if 2 * r + 2 in own:
-                    more[np.searchsorted(words, own[2 * r + 2][0])] += own[2 * r + 2][1]
+                    more += at_words(*own[2 * r + 2])
                 held.append(more)
             count = small(np.concatenate([n, np.ones(rest, np.int64), [0]]).astype(np.int64))
             for kind, b, body in rows:
