@@ -66,20 +66,24 @@ def enclosing(rows: DataFrame, key: str) -> DataFrame:
     A row closes the scopes whose level is not below its own; one that `opens` is a scope for what follows.
     """
 
-    def nest(d: pd.DataFrame) -> pd.DataFrame:
-        levels, scopes, parent = [], [], []
-        d = d.sort_values("ord")
-        for at, level, opens in zip(d["ord"], d["level"], d["opens"], strict=True):
-            k = bisect.bisect_left(levels, level)
-            del levels[k:], scopes[k:]
-            parent.append(scopes[-1] if scopes else None)
-            if opens:
-                levels.append(level)
-                scopes.append(at)
-        return d.assign(parent=pd.array(parent, "Int64"))
-
+    def nest(parts):
+        now, levels, scopes = None, [], []
+        for d in parts:
+            parent = []
+            for k, at, level, opens in zip(d[key].tolist(), d["ord"].tolist(), d["level"].tolist(), d["opens"].tolist(), strict=True):
+                if k != now:
+                    now, levels, scopes = k, [], []
+                top = bisect.bisect_left(levels, level)
+                del levels[top:], scopes[top:]
+                parent.append(scopes[-1] if scopes else None)
+                if opens:
+                    levels.append(level)
+                    scopes.append(at)
+            yield d.assign(parent=pd.array(parent, "Int64"))
+
+    # Keys stream through their task in order, so only the open scopes of one are held.
     d = rows.select(key, F.col("ord").cast("long"), F.col("level").cast("int"), F.coalesce("opens", F.lit(False)).alias("opens"))
-    return d.groupBy(key).applyInPandas(nest, d.schema.simpleString()[7:-1].replace(":", " ") + ", parent bigint")
+    return d.repartition(key).sortWithinPartitions(key, "ord").mapInPandas(nest, d.schema.simpleString()[7:-1].replace(":", " ") + ", parent bigint")
 
 
 def group_runs(order: DataFrame, key: str, group: str) -> DataFrame:
