@@ -71,7 +71,7 @@ def enclosing(rows: DataFrame, key: str) -> DataFrame:
         for d in parts:
             parent = []
             for k, at, level, opens in zip(d[key].tolist(), d["ord"].tolist(), d["level"].tolist(), d["opens"].tolist(), strict=True):
-                if k != now:
+                if k != now and not (k != k and now != now):  # null keys are one key
                     now, levels, scopes = k, [], []
                 top = bisect.bisect_left(levels, level)
                 del levels[top:], scopes[top:]
