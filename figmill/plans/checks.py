@@ -10,6 +10,7 @@ from figmill.functions import text as T
 from figmill.operators import coverage, intervals, masks, scenes, series
 from figmill.plans import clearance, connectors, curves, editability, grammar, images, manifest, rollup, routes, structure, texts, typography
 from figmill.plans.registry import derived, query, table
+from figmill.sources import vectors
 
 # Line segments of routes: orders are routes, lines are legs, with gaps, turns and points among them.
 LEGS = """
@@ -841,6 +842,16 @@ def primitive_paths(spark, sf_dir):
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), N.primitive_path(F.lit("rect"), f).alias("d"))
 
 
+@query("SELECT p_partkey AS id, CASE WHEN w = 0 THEN 'a rectangle has no size' END AS rule, CASE WHEN w > 0 THEN CASE WHEN p_size % 3 = 0 THEN '4682B4' ELSE '1A2B3C' END END AS fill, CASE WHEN w > 0 THEN 5 END AS steps, CASE WHEN w > 0 THEN p_size + 2.0 END AS x0, CASE WHEN w > 0 THEN p_size + 2.0 + 2 * w END AS x1 FROM (SELECT *, p_size % 4 AS w FROM part) t")
+def vector_parts(spark, sf_dir):
+    """Moved and scaled rectangles of SVG documents; without a size the document is outside the profile."""
+    size = F.col("p_size")
+    svg = F.format_string('<svg viewBox="0 0 100 100"><g transform="translate(%d 1) scale(2)"><rect x="1" width="%d" height="3" fill="%s"/></g></svg>', size, size % 4, F.when(size % 3 == 0, "steelblue").otherwise("#1a2b3c"))
+    d = vectors.parts(table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("path"), svg.alias("content")))
+    at = lambda k: F.get(F.get(F.col("commands"), F.lit(k))["xy"], F.lit(0))
+    return d.select(F.col("path").cast("long").alias("id"), "rule", "fill", F.when(F.col("commands").isNotNull(), F.size("commands")).alias("steps"), at(0).alias("x0"), at(1).alias("x1"))
+
+
 @query("SELECT c_custkey AS id, CASE WHEN c_custkey % 50 = 0 THEN 'NOT_VERIFIED' WHEN a < b THEN 'PASS' ELSE 'FAIL' END AS state FROM (SELECT c_custkey, c_custkey % 7 AS a, c_custkey % 5 AS b FROM customer) t WHERE a <> b")
 def paint_orders(spark, sf_dir):
     """Whether backs are painted before fronts."""

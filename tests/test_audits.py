@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from figmill.functions import numeric
 from figmill.operators import fits, flood, histogram, series
 from figmill.plans import connectors, curves, documents, editability, grammar, images, manifest, structure, texts
-from figmill.sources import layout, package
+from figmill.sources import layout, package, vectors
 
 ELEMENT = "name string, geometry string, bbox array<double>, endpoints array<array<double>>, source_name string, target_name string"
 
@@ -320,3 +320,76 @@ def test_marker_issues(spark):
     seeds = spark.createDataFrame([("i", 0, "a", 0, 0), ("i", 1, "b", 0, 0), ("i", 2, "c", 9, 9)], "image_id string, ord int, owner string, y int, x int")
     got = {(r.rule, r.n) for r in flood.issues(pixels, seeds, "image_id").collect()}
     assert got == {("repeated seed", 1), ("seed off the support", 1), ("pixels without owner", 1)}
+
+
+def test_strict_svg(spark):
+    head = '<svg xmlns="http://www.w3.org/2000/svg" viewBox="0 0 10 10">'
+    good = {
+        "a": head + '<title>t</title><g transform="translate(3,1) rotate(90) scale(2)" stroke="currentColor" color="navy"><path id="p" d="M1 0l1 0 h1V2z"/></g><line x2="4" style="stroke: #abc"/></svg>',
+        "b": '<svg width="10px" height="4"><circle cx="5" cy="5" r="2" fill="none"/><rect width="4" height="2" rx="9"/><polyline points="0,0 1,1 2,0"/><ellipse rx="2" ry="1"/></svg>',
+        "deep": head + "<g>" * 1900 + '<path d="M0 0Q5 5 10 0T20 0C1 1 2 2 3 3S4 4 5 5m1 1 1 1"/>' + "</g>" * 1900 + "</svg>",
+    }
+    inside = lambda x: head + x + "</svg>"
+    bad = {
+        "no content": None,
+        "too many bytes": " " * 2_000_001,
+        "not XML": "",
+        "root is not svg": "<html/>",
+        "DTD and entities are not allowed": "<!doctype svg>" + head + "</svg>",
+        "no view box of any size": '<svg><path d="M0 0"/></svg>',
+        "nothing drawn": inside("<g/>"),
+        "too many elements": inside("<g/>" * 2000),
+        "unsupported element or attribute": inside("<text/>"),
+        "an id occurs twice": inside('<path id="a" d="M0 0"/><path id="a" d="M0 0"/>'),
+        "unsupported inline style": inside('<path d="M0 0" style="filter:x"/>'),
+        "even-odd fill": inside('<path d="M0 0" fill-rule="evenodd"/>'),
+        "a transform isn't a move, turn or uniform scale": inside('<path d="M0 0" transform="scale(1 2)"/>'),
+        "a primitive has elements inside": inside('<path d="M0 0"><g/></path>'),
+        "a path is empty or too long": inside("<path/>"),
+        "a path has too few numbers": inside('<path d="M0"/>'),
+        "a path has an unknown step or no start": inside('<path d="L0 0"/>'),
+        "a path has numbers without a step": inside('<path d="M0 0Z 1 1"/>'),
+        "a circle or ellipse has no size": inside("<circle/>"),
+        "a rectangle has no size": inside('<rect width="1"/>'),
+        "a polygon or polyline lacks points": inside('<polygon points="0 0 1 1"/>'),
+        "a list has more than numbers": inside('<polygon points="0 0 a"/>'),
+        "a length is no number in range": inside('<line x1="2em"/>'),
+        "a point is out of range": inside('<path d="M1e9 0" transform="scale(2)"/>'),
+        "a paint is no solid colour": inside('<path d="M0 0" fill="url(#a)"/>'),
+        "unsupported stroke or opacity": inside('<path d="M0 0" fill-opacity="2"/>'),
+    }
+    docs = spark.createDataFrame([(k, v) for k, v in (good | bad).items()], "path string, content string")
+    got = vectors.parts(docs).orderBy("path", "ord").collect()
+    assert {r.path: r.rule for r in got if r.path in bad} == {k: k for k in bad}
+    p, line, circle, rect, poly, ellipse, deep = (r for r in got if r.path in good)
+    assert p.id == "p" and p.stroke == "000080" and p.fill == "000000" and p.stroke_width == 2 and [c.op for c in p.commands] == ["M", "L", "L", "L", "Z"]
+    assert np.allclose([c.xy for c in p.commands[:4]], [[3, 3], [3, 5], [3, 7], [-1, 7]])
+    assert (line.id, line.fill, line.stroke, line.view_box) == ("part-0002", None, "AABBCC", [0, 0, 10, 10])
+    assert circle.fill is None and circle.view_box == [0, 0, 10, 4] and [c.op for c in circle.commands] == ["M", "C", "C", "C", "C", "Z"]
+    points = [np.array(c.xy[-2:]) for c in circle.commands[:-1]]
+    assert all(abs(np.hypot(*(q - 5)) - 2) < 1e-9 for q in points)
+    ends = [c.xy[-2:] for c in rect.commands if c.xy]
+    assert np.allclose([np.min(ends, 0), np.max(ends, 0)], [[0, 0], [4, 2]]) and poly.id == "part-0003" and len(ellipse.commands) == 6
+    assert [c.op for c in deep.commands] == ["M", "C", "C", "C", "C", "M", "L"] and np.allclose(deep.commands[2].xy, [40 / 3, -10 / 3, 50 / 3, -10 / 3, 20, 0])
+    assert deep.commands[-1].xy == [7, 7]
+    # Only large arcs need more than two curves; a sweep of growing angles passes right of the chord; ends lie on one circle once the ellipse is one.
+    for large, sweep in ((a, b) for a in (False, True) for b in (False, True)):
+        curves = vectors.arc(1 + 1j, 5, 3, 30, large, sweep, 4 + 3j)
+        assert curves[-1][2] == 4 + 3j and (len(curves) > 2) == large
+        middle = curves[len(curves) // 2][0] - (1 + 1j)
+        assert ((middle / (3 + 2j)).imag < 0) == sweep
+        spun = [z / np.exp(1j * np.pi / 6) for z in [1 + 1j] + [c[2] for c in curves]]
+        x, y = np.array([z.real / 5 for z in spun]), np.array([z.imag / 3 for z in spun])
+        if len(spun) > 2:
+            cx, cy, k = np.linalg.lstsq(np.c_[2 * x, 2 * y, np.ones(len(x))], x**2 + y**2, rcond=None)[0]
+            assert abs(k + cx**2 + cy**2 - 1) < 1e-9
+    assert vectors.parts(docs.limit(0)).count() == 0
+
+
+def test_traced_svg(spark):
+    ns = 'xmlns="http://www.w3.org/2000/svg"'
+    rows = [("a", f'<svg {ns} desc="x"><path d="M0 0L1 1Z" opacity="0.5"/><path d="m0 0"/></svg>'), ("b", f"<svg {ns}><g/></svg>"), ("c", None), ("d", "<")]
+    a, b, c, d = vectors.name_traced(spark.createDataFrame(rows, "path string, content string"), "smooth").orderBy("path").collect()
+    assert 'id="color-region-0001"' in a.svg and 'stroke-opacity="0.5"' in a.svg and "desc" not in a.svg and " opacity" not in a.svg
+    assert (a.svg_paths, a.xml_elements, a.max_path_chars, a.commands, a.svg_bytes) == (2, 3, 9, 4, len(a.svg.encode()))
+    assert (b.rule, c.rule, d.rule) == ("an element is no path", "no content", "not XML")
