@@ -136,7 +136,7 @@ class Customers:
 
 def uniform(word: np.ndarray, context: np.ndarray | None, r: int) -> np.ndarray:
     """A number of [0, 1) for each dish (word in context, or at the root) and round."""
-    h = mix(word + U(r + 1) * U(0x9E3779B97F4A7C15))
+    h = mix(word + U((r + 1) * 0x9E3779B97F4A7C15 % (1 << 64)))
     return (mix(h + (mix(context) if context is not None else U(1))) >> U(11)).astype(float) / (1 << 53)
 
 
