@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from figmill.operators import coverage, masks
+from figmill.operators import coverage, graph, masks
 
 KEYS = ["image_id", "y", "x"]
 
@@ -22,28 +22,27 @@ def selector_issues(selectors: DataFrame) -> DataFrame:
 def nearest(a: DataFrame, b: DataFrame, cell: int = 16) -> DataFrame:
     """(image_id, y, x, distance): exact distance of each point of a from the nearest of b, for images that both have.
 
-    Points meet over grid cells: a point is compared with the cells around it, ring by ring, until its nearest is
-    closer than any cell that is left, so that far-off points are never paired.
+    Points meet over grid cells: a point is compared with its cell and the eight around it.  What lies outside them
+    is farther than a cell's side, so a nearest one within that is final; the other points go on with cells of twice
+    the side.  Far-off points are never paired while near ones exist, and a round has nine cells a point at any size.
+    Points with a null or endless coordinate have no distance.
     """
-    at = lambda d, c: F.floor(F.col(d) / c)
-    left = a.select(*KEYS).withColumn("cy", at("y", cell)).withColumn("cx", at("x", cell))
-    right = b.select("image_id", F.col("y").alias("by"), F.col("x").alias("bx")).withColumn("cy", at("by", cell)).withColumn("cx", at("bx", cell))
-    span = left.groupBy("image_id").agg(F.max("cy").alias("ty"), F.max("cx").alias("tx"), F.min("cy").alias("sy"), F.min("cx").alias("sx")).join(right.groupBy("image_id").agg(F.max("cy").alias("uy"), F.max("cx").alias("ux"), F.min("cy").alias("vy"), F.min("cx").alias("vx")), "image_id")
-    row = span.agg(F.max(F.greatest("ty", "uy") - F.least("sy", "vy")), F.max(F.greatest("tx", "ux") - F.least("sx", "vx"))).first()
-    rings = max([int(v) for v in row if v is not None], default=-1)
-    open_, done, ring = left, None, 0
-    while rings >= 0:
-        cells = [(dy, dx) for dy in range(-ring, ring + 1) for dx in range(-ring, ring + 1)]
-        around = open_.withColumn("c", F.explode(F.array(*(F.struct((F.col("cy") + dy).alias("cy"), (F.col("cx") + dx).alias("cx")) for dy, dx in cells)))).select(*KEYS, "c.*")
-        square = (F.col("y") - F.col("by")) * (F.col("y") - F.col("by")) + (F.col("x") - F.col("bx")) * (F.col("x") - F.col("bx"))
-        near = around.join(right, ["image_id", "cy", "cx"]).groupBy(*KEYS).agg(F.min(square).alias("s"))
-        settled = (near.filter(F.col("s") <= (ring * cell) ** 2) if ring < rings else near).select(*KEYS, F.sqrt("s").alias("distance"))
-        done = settled if done is None else done.unionByName(settled)
-        if ring >= rings:
-            break
-        open_ = open_.join(settled.select(*KEYS), KEYS, "left_anti")
-        ring = min(2 * ring + 1, rings)
-    return done if done is not None else left.select(*KEYS, F.lit(None).cast("double").alias("distance")).limit(0)
+    finite = lambda d: d.select(*KEYS).filter("abs(y) < 9e15 and abs(x) < 9e15")
+    right = finite(b).select("image_id", F.col("y").alias("by"), F.col("x").alias("bx"))
+    open_, done, side = finite(a).join(right.select("image_id").distinct(), "image_id", "left_semi"), None, cell
+    while True:
+        at = lambda c: F.floor(F.col(c) / side)  # noqa: E731, B023
+        cells = F.array(*(F.struct((at("y") + dy).alias("cy"), (at("x") + dx).alias("cx")) for dy in (-1, 0, 1) for dx in (-1, 0, 1)))
+        dy, dx = (F.col(c).cast("double") - F.col(f"b{c}") for c in ("y", "x"))
+        square = dy * dy + dx * dx
+        around = open_.select(*KEYS, F.inline(cells)).join(right.withColumn("cy", at("by")).withColumn("cx", at("bx")), ["image_id", "cy", "cx"], "left")
+        found = graph.cut(around.groupBy(*KEYS).agg(F.min(square).alias("s")))
+        final = F.coalesce(F.col("s") <= side * side, F.lit(False))
+        settled = found.filter(final).select(*KEYS, F.sqrt("s").alias("distance"))
+        done, open_ = settled if done is None else done.unionByName(settled), found.filter(~final).select(*KEYS)
+        if open_.isEmpty():
+            return done
+        side *= 2
 
 
 def distances(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -106,6 +106,9 @@ def test_structure(spark):
     p, q = ({(y, x) for y in range(12) for x in range(12) if rnd.random() < 0.3} for _ in range(2))
     near = {(r.y, r.x): r.distance for r in structure.nearest(mask(p), mask(q), cell=2).collect()}
     assert near == {c: min(math.dist(c, d) for d in q) for c in p}
+    points = lambda *rows: spark.createDataFrame(rows, "image_id string, y int, x int")
+    far = structure.nearest(points(("i", 0, 0), ("i", -3, 7), ("i", None, 1), ("other", 1, 1)), points(("i", 90000, 120000), ("i", 2, None)), cell=40000).collect()
+    assert {(r.image_id, r.y, r.x): r.distance for r in far} == {("i", 0, 0): 150000.0, ("i", -3, 7): math.dist((-3, 7), (90000, 120000))}
     shifted = structure.distances(a, mask([(y, x + 4) for y, x in drawn()])).first()
     assert shifted.boundary_max == 4 and shifted.boundary_p95 <= 4
     seeds = lambda cells: structure.owned(a, mask(cells)).first()
