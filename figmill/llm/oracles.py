@@ -39,3 +39,34 @@ l AS (SELECT doc_id, count(*) - count(DISTINCT line) AS dup FROM (SELECT doc_id,
 SELECT w.doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS word_chars, length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(dup, 0) AS n_dup_lines, coalesce(again, 0) AS n_repeat_words,
   len(w) < 50 OR 100 * coalesce(again, 0) > 50 * len(w) AS base_failed FROM w LEFT JOIN a ON a.doc_id = w.doc_id LEFT JOIN l ON l.doc_id = w.doc_id"""
 )
+
+LINES = """
+WITH t AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+k AS (SELECT doc_id, ls, list_transform(ls, lambda x: translate(trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS ks FROM t),
+h AS (SELECT key, max(doc_id) AS last FROM (SELECT doc_id, unnest(ks) AS key FROM k) WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+l AS (SELECT doc_id, unnest(ls) AS line, unnest(ks) AS key, unnest(range(len(ls))) AS i FROM k),
+j AS (SELECT l.*, coalesce(l.doc_id < h.last, false) AS gone FROM l LEFT JOIN h ON h.key = l.key)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256 FROM j GROUP BY doc_id"""
+
+SPREAD = """
+WITH x AS (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda c: floor(64 * c)::BIGINT + 1000000) AS x FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR isnan(c) OR isinf(c))) = 0),
+e AS (SELECT vec_id, unnest(x) AS x, unnest(range(len(x))) AS d FROM x), s AS (SELECT d, count(*) AS n, sum(x) AS s FROM e GROUP BY d)
+SELECT vec_id, n, sum((n * x - s) * (n * x - s))::BIGINT AS deviation FROM e JOIN s ON s.d = e.d GROUP BY vec_id, n"""
+
+
+def clusters(k: int = 40, rounds: int = 5) -> str:
+    """Rounds of nearest centroids written one after the other; distances are sums of squares of whole numbers."""
+    sql = """
+WITH v AS MATERIALIZED (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda c: floor(256 * c)::BIGINT) AS v FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda c: c IS NULL OR isnan(c) OR isinf(c))) = 0),
+e AS MATERIALIZED (SELECT vec_id, unnest(v) AS x, unnest(range(64)) AS d FROM v),
+c0 AS MATERIALIZED (SELECT (row_number() OVER (ORDER BY sha256('2:' || vec_id)) - 1)::INTEGER AS c, v FROM v QUALIFY c < %d)""" % k
+    for n in range(rounds + 1):
+        sql += f""",
+a{n} AS MATERIALIZED (SELECT vec_id, arg_min(c, (far, c)) AS c, min(far) AS far FROM (SELECT vec_id, c, list_sum(list_transform(list_zip(v.v, c{n}.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS far FROM v, c{n}) q GROUP BY vec_id)"""
+        if n < rounds:
+            sql += f""",
+m{n} AS (SELECT c, d, sum(x) AS s, count(*) AS n FROM e JOIN a{n} ON a{n}.vec_id = e.vec_id GROUP BY c, d),
+n{n} AS (SELECT c, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY d) AS v FROM m{n} GROUP BY c),
+c{n + 1} AS MATERIALIZED (SELECT c{n}.c, coalesce(n{n}.v, c{n}.v) AS v FROM c{n} LEFT JOIN n{n} ON n{n}.c = c{n}.c)"""
+    return sql + f"""
+SELECT vec_id, a{rounds}.c AS cluster, far AS distance, (sum(far) OVER (PARTITION BY a{rounds}.c))::BIGINT AS cluster_inertia, (sum(far) OVER ())::BIGINT AS inertia, sha256(array_to_string(c{rounds}.v, ',')) AS centroid_sha256 FROM a{rounds} JOIN c{rounds} ON c{rounds}.c = a{rounds}.c"""
