@@ -61,7 +61,8 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     items = split.select("doc_id", "text_hash", F.size("lines").alias("n_lines"), F.posexplode("lines").alias("pos", "line")).withColumn("line", line).filter(F.char_length("line") >= min_chars).withColumn("line", lower(F.col("line")))
     items = _by_range(items.select(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("second"), "line").alias("h2"), "doc_id", "text_hash", "pos", "n_lines"))
     held = items.select("h1", "h2", "doc_id").distinct().groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("last")).filter(F.col("n_docs") >= min_docs)
-    dropped = items.join(held.select("h1", "h2", "last"), ["h1", "h2"]).filter("doc_id < last")
+    # written once, so that both sides of the join are dealt by Spark, which then splits a frequent hash
+    dropped = items.join(checkpointed(held.select("h1", "h2", "last")), ["h1", "h2"]).filter("doc_id < last")
     found = dropped.groupBy("doc_id", "text_hash").agg(F.max("n_lines").alias("n_lines"), F.array_sort(F.collect_set("pos")).alias("gone"))
     return found.withColumns({"n_dropped": F.size("gone"), "keep": _runs(F.col("gone"), F.col("n_lines"))}).select(BITMAP)
 
