@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from figmill.functions import numeric as N
 from figmill.functions import text as T
-from figmill.operators import coverage, intervals, masks, scenes, series
+from figmill.operators import coverage, intervals, masks, patterns, scenes, series
 from figmill.plans import clearance, connectors, curves, editability, grammar, images, manifest, rollup, routes, structure, texts, typography
 from figmill.plans.registry import derived, query, table
 from figmill.sources import vectors
@@ -169,7 +169,7 @@ def grammar_edges(spark, sf_dir):
     return grammar.edges(derived(spark, sf_dir, GRAMMAR), roles).select("edge", "n_lines", "n_others")
 
 
-EDGES = """SELECT o_orderkey AS k, concat('e', CAST(o_orderkey AS STRING)) AS name, concat('a', CAST(o_orderkey AS STRING)) AS source, concat('z', CAST(o_orderkey AS STRING)) AS target, CAST(o_orderkey % 7 AS DOUBLE) AS x0, CAST(10 + o_custkey % 3 AS DOUBLE) AS x1, o_custkey % 5 AS kind FROM {orders} WHERE o_orderkey % 40 = 0"""
+EDGES = """SELECT o_orderkey AS k, concat('e', CAST(o_orderkey AS STRING)) AS name, concat('a', CAST(o_orderkey AS STRING)) AS source, concat('z', CAST(o_orderkey AS STRING)) AS target, CAST(o_orderkey % 7 AS DOUBLE) AS x0, CAST(10 + o_custkey % 3 AS DOUBLE) AS x1, o_custkey % 5 AS kind FROM {orders}"""
 
 
 @query("SELECT name AS edge, CASE WHEN kind = 0 THEN 'NOT_VERIFIED' WHEN kind = 1 THEN 'PASS' WHEN kind = 2 THEN 'FAIL' WHEN x0 > 4 THEN 'FAIL' WHEN x1 < 10 OR x1 > 14 THEN 'FAIL' WHEN NOT (x0 = 0 OR x0 = 4) THEN 'FAIL' WHEN NOT (x1 = 10) THEN 'FAIL' ELSE 'PASS' END AS state FROM {edges}", edges=EDGES)
@@ -184,6 +184,17 @@ def edge_evidence(spark, sf_dir):
     return grammar.evidence(line.unionByName(box("source", 0.0)).unionByName(box("target", 10.0)), roles).select("edge", "state")
 
 
+PATTERNS = """SELECT CASE s_suppkey % 5 WHEN 0 THEN concat('^part.?', CAST(s_suppkey AS STRING)) WHEN 1 THEN concat(CAST(s_suppkey AS STRING), '$') WHEN 2 THEN concat('#', CAST(s_suppkey * 3 AS STRING), '-(small|', s_name, ')') WHEN 3 THEN concat('[a-z]+#', CAST(s_suppkey AS STRING), '[0-9]-') ELSE concat('-size', CAST(s_suppkey % 50 AS STRING), '$') END AS pattern FROM {supplier}
+UNION ALL SELECT concat('^part#', CAST(p_partkey AS STRING), '-') FROM {part} UNION ALL SELECT '[^0-9a-z#-]' UNION ALL SELECT '(1|2)+7$'"""
+NAMES = "SELECT concat('part#', CAST(p_partkey AS STRING), '-', CASE WHEN p_size < 20 THEN 'small' ELSE 'large' END, '-size', CAST(p_size AS STRING)) AS name FROM {part}"
+
+
+@query("SELECT DISTINCT pattern, name FROM {n} n JOIN {p} p ON regexp_matches(n.name, p.pattern)", n=NAMES, p=PATTERNS)
+def pattern_matches(spark, sf_dir):
+    """Names that each of many patterns finds: prefixes, ends, alternatives, classes, and two without a literal."""
+    return patterns.matches(derived(spark, sf_dir, NAMES), derived(spark, sf_dir, PATTERNS))
+
+
 @query("SELECT p_partkey, k, round((1-t)*(1-t)*(1-t)*0 + 3*(1-t)*(1-t)*t*p_size + 3*(1-t)*t*t*2*p_size + t*t*t*p_retailprice, 9) AS x FROM part, (SELECT i AS k, i / 16.0 AS t FROM generate_series(1, 16) s(i)) s")
 def bezier_samples(spark, sf_dir):
     """Sixteen points of a cubic curve for each part."""
@@ -396,6 +407,26 @@ def points_in_polygon(spark, sf_dir):
     return images.to_polygon(p, c.select(F.col("c_custkey").alias("id"), F.array(*corner).alias("points"))).select("id", "inside")
 
 
+RINGS = """SELECT o_custkey AS id, o_orderkey AS k, CAST(o_orderkey % 97 AS DOUBLE) AS px, CAST(o_totalprice % 89 AS DOUBLE) AS py FROM {orders}"""
+
+
+@query(
+    """WITH c AS (SELECT c_custkey AS id, 20 + c_custkey % 60 AS s FROM customer), v AS (SELECT id, unnest([0, s, s, 2 * s, 2 * s, 0]) AS x, unnest([0, 0, s, s, 80, 80]) AS y, unnest(range(6)) AS i FROM c),
+e AS (SELECT a.id, a.x AS x0, a.y AS y0, b.x AS x1, b.y AS y1 FROM v a JOIN v b ON a.id = b.id AND b.i = (a.i + 1) % 6),
+d AS (SELECT p.id, k, px, py, x0, y0, x1, y1, greatest(0, least(1, ((px - x0) * (x1 - x0) + (py - y0) * (y1 - y0)) / nullif(((x1 - x0) ** 2 + (y1 - y0) ** 2)::DOUBLE, 0))) AS t FROM {p} p JOIN e ON e.id = p.id),
+g AS (SELECT id, k, min(sqrt((px - x0 - t * (x1 - x0)) ** 2 + (py - y0 - t * (y1 - y0)) ** 2)) AS far, count(*) FILTER (WHERE (y0 > py) <> (y1 > py) AND px < (x1 - x0) * (py - y0) / nullif((y1 - y0)::DOUBLE, 0) + x0) AS n FROM d GROUP BY id, k)
+SELECT id, k, round(far, 6) AS distance, far < 1e-7 OR n % 2 = 1 AS inside FROM g""",
+    p=RINGS,
+)
+def polygon_distances(spark, sf_dir):
+    """Points of each customer's orders against a stepped outline of the customer's own."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), (20 + F.col("c_custkey") % 60).cast("double").alias("s"))
+    corner = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+    s, o, top = F.col("s"), F.lit(0), F.lit(80)
+    ring = c.select("id", F.array(corner(o, o), corner(s, o), corner(s, s), corner(2 * s, s), corner(2 * s, top), corner(o, top)).alias("points"))
+    return images.to_polygon(derived(spark, sf_dir, RINGS), ring).select("id", "k", F.round("distance", 6).alias("distance"), "inside")
+
+
 @query("SELECT c_custkey AS id, round(sqrt(dx * dx + dy * dy), 9) AS distance FROM (SELECT c_custkey, greatest(0, -px, px - 30) AS dx, abs(py) AS dy FROM (SELECT c_custkey, CAST(c_custkey * 7 % 140 - 70 AS DOUBLE) AS px, CAST(c_custkey * 11 % 140 - 70 AS DOUBLE) AS py FROM customer) t) u")
 def segment_distances(spark, sf_dir):
     """Distances of points from a segment."""

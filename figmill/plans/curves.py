@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from figmill.operators import intervals, series
+from figmill.operators import patterns as P
 
 POINTS = 201
 REACH = round(0.12 * POINTS)
@@ -100,7 +101,7 @@ def assignment(paths: DataFrame, contract: DataFrame) -> DataFrame:
 
     Objects are counted before their paths are chosen; equal names aren't merged.
     """
-    m = contract.join(paths.withColumnRenamed("path_index", "index_"), F.expr("name rlike pattern"))
+    m = contract.join(P.matches(paths, contract), "pattern").join(paths.withColumnRenamed("path_index", "index_"), "name")
     n = m.groupBy("series", "slide", "shape").agg(F.count(F.lit(1)).alias("paths"), F.count_if(F.col("index_") == F.col("path_index")).alias("chosen"), F.first("path_index").alias("path_index"))
     count = contract.join(n.groupBy("series").agg(F.count(F.lit(1)).alias("n")), "series", "left").filter(F.coalesce("n", F.lit(0)) != F.coalesce("expected", F.lit(1)))
     who = F.concat_ws("/", "slide", "shape")

@@ -27,14 +27,16 @@ def out_of_bounds(objects: DataFrame, tolerance: float = TOLERANCE) -> DataFrame
 def duplicate_borders(objects: DataFrame, keys: list[str], tolerance: float = TOLERANCE) -> DataFrame:
     """(keys, a, b): pairs with one outline (width and colour) whose four box values differ by at most the tolerance, in paint order.
 
-    A pair meets in buckets of the left edge, three neighbouring ones of a side, so only near edges are compared.
+    A pair meets in a cell of the left upper corner, twice the tolerance wide; one side asks in the four that it may reach.
     """
     wide = 2 * tolerance + 1
-    d = objects.filter("line_width is not null").select(*keys, "ord", "name", "line_width", "line_color", bounds(*(F.col(c) for c in ("x_emu", "y_emu", "w_emu", "h_emu", "rotation_deg"))).alias("b")).withColumn("bucket", F.floor(F.col("b.x") / wide))
-    l = d.select(*keys, "line_width", "line_color", F.col("ord").alias("ao"), F.col("name").alias("a"), F.col("b").alias("ab"), F.explode(F.array(F.col("bucket") - 1, F.col("bucket"), F.col("bucket") + 1)).alias("bucket"))
-    r = d.withColumnRenamed("name", "bn")
+    d = objects.filter("line_width is not null").select(*keys, "ord", "name", "line_width", "line_color", bounds(*(F.col(c) for c in ("x_emu", "y_emu", "w_emu", "h_emu", "rotation_deg"))).alias("b"))
+    at = lambda c, by: F.floor((F.col(f"b.{c}") + by) / wide)
+    cells = F.array_distinct(F.array(*(F.struct(at("x", i).alias("cx"), at("y", j).alias("cy")) for i in (-tolerance, tolerance) for j in (-tolerance, tolerance))))
+    l = d.select(*keys, "line_width", "line_color", F.col("ord").alias("ao"), F.col("name").alias("a"), F.col("b").alias("ab"), F.inline(cells))
+    r = d.withColumn("cx", at("x", 0)).withColumn("cy", at("y", 0)).withColumnRenamed("name", "bn")
     near = [F.abs(F.col(f"ab.{c}") - F.col(f"b.{c}")) <= tolerance for c in "xywh"]
-    return l.join(r, [*keys, "line_width", "line_color", "bucket"]).filter((F.col("ao") < F.col("ord")) & near[0] & near[1] & near[2] & near[3]).select(*keys, "a", F.col("bn").alias("b"))
+    return l.join(r, [*keys, "line_width", "line_color", "cx", "cy"]).filter((F.col("ao") < F.col("ord")) & near[0] & near[1] & near[2] & near[3]).select(*keys, "a", F.col("bn").alias("b"))
 
 
 def text_findings(runs: DataFrame, keys: list[str]) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from figmill.functions.numeric import finite
+from figmill.operators import patterns as P
 
 PASS, FAIL, UNKNOWN = "PASS", "FAIL", "NOT_VERIFIED"
 
@@ -21,9 +22,10 @@ def nodes(elements: DataFrame, outputs: DataFrame) -> DataFrame:
 
 
 def edges(elements: DataFrame, roles: DataFrame) -> DataFrame:
-    """(edge, n_lines, n_others): what each edge role's pattern (edge, pattern) finds among the names.  Roles are few: Spark broadcasts them."""
+    """(edge, n_lines, n_others): what each edge role's pattern (edge, pattern) finds among the names."""
     names = elements.filter(F.trim("name") != "").groupBy("name").agg(F.count_if(F.col("geometry") == "line").alias("l"), F.count(F.lit(1)).alias("n"))
-    found = roles.select("edge", "pattern").join(names, F.expr("name rlike pattern"), "left").groupBy("edge").agg(F.coalesce(F.sum("l"), F.lit(0)).alias("n_lines"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+    hits = P.matches(names, roles).join(names, "name")
+    found = roles.select("edge", "pattern").join(hits, "pattern", "left").groupBy("edge").agg(F.coalesce(F.sum("l"), F.lit(0)).alias("n_lines"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
     return found.select("edge", "n_lines", (F.col("n") - F.col("n_lines")).alias("n_others"))
 
 
@@ -50,7 +52,7 @@ def evidence(elements: DataFrame, roles: DataFrame, tolerance: float = 0.01) ->
     named = elements.filter(F.trim("name") != "")
     count = named.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.first("geometry").alias("geometry"), F.first("bbox").alias("bbox"), F.first("endpoints").alias("endpoints"))
     lines = named.filter(F.col("geometry") == "line")
-    matched = roles.select("edge", "pattern").join(lines, F.expr("name rlike pattern")).groupBy("edge").agg(F.count(F.lit(1)).alias("n_lines"), F.sort_array(F.collect_list("name")).alias("names"), F.first("source_name").alias("source_name"), F.first("target_name").alias("target_name"))
+    matched = roles.select("edge", "pattern").join(P.matches(lines, roles), "pattern").join(lines, "name").groupBy("edge").agg(F.count(F.lit(1)).alias("n_lines"), F.sort_array(F.collect_list("name")).alias("names"), F.first("source_name").alias("source_name"), F.first("target_name").alias("target_name"))
     end = lambda which: count.select(F.col("name").alias(which), *(F.col(c).alias(f"{which}_{c}") for c in ("n", "geometry", "bbox")))
     legs = roles.filter("ordered is not null").select("edge", F.posexplode("ordered").alias("ord", "name")).join(count, "name", "left")
     good = (F.size("endpoints") == 2) & F.forall("endpoints", lambda p: (F.size(p) == 2) & F.forall(p, lambda v: finite(v)))
@@ -91,7 +93,6 @@ def audit(elements: DataFrame, outputs: DataFrame, roles: DataFrame, tolerance:
 
 def scope(reasons: DataFrame, names: DataFrame, patterns: DataFrame) -> DataFrame:
     """reasons (name, reason) with `selected`: whether a contract's names (name) or patterns (pattern) choose the object."""
-    r = reasons.withColumn("id_", F.xxhash64(*reasons.columns))
-    by_pattern = r.select("name").distinct().join(patterns.select("pattern"), F.expr("name rlike pattern")).select("name")
+    by_pattern = P.matches(reasons, patterns).select("name")
     chosen = names.select("name").union(by_pattern).distinct().withColumn("selected", F.lit(True))
     return reasons.join(chosen, "name", "left").withColumn("selected", F.coalesce("selected", F.lit(False)))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from figmill.functions.numeric import crosses, on_polygon, point_segment
+from figmill.functions.numeric import crosses
+from figmill.operators import grid
 
 KEYS = ["image_id", "y", "x"]
 SUFFIXES = ("png", "jpg", "jpeg", "gif", "bmp")
@@ -139,12 +140,19 @@ def polygon_edges(polygons: DataFrame) -> DataFrame:
     return e.select("id", F.col("e.s.x").alias("x0"), F.col("e.s.y").alias("y0"), F.col("e.t.x").alias("x1"), F.col("e.t.y").alias("y1"))
 
 
-def to_polygon(points: DataFrame, polygons: DataFrame) -> DataFrame:
-    """points (id, px, py, ...) with `distance` from the edge of the polygon of their id and `inside`, the edge included."""
-    j = points.withColumn("k_", F.monotonically_increasing_id()).join(polygon_edges(polygons), "id")
+def inside_polygon(points: DataFrame, polygons: DataFrame) -> DataFrame:
+    """(id, px, py) of the distinct points (id, px, py) strictly inside the polygon of their id: crossings of the edges that reach their height, summed over its slab."""
     at = [F.col(c) for c in ("px", "py", "x0", "y0", "x1", "y1")]
-    g = j.groupBy(*points.columns, "k_").agg(F.min(point_segment(*at)).alias("distance"), (F.bool_or(on_polygon(*at)) | (F.sum(crosses(*at)) % 2 == 1)).alias("inside"))
-    return g.drop("k_")
+    over = grid.crossings(points.select("id", "px", "py").distinct(), polygon_edges(polygons), ["id"], crosses(*at) == 1)
+    return over.groupBy("id", "px", "py").agg(F.count(F.lit(1)).alias("n")).filter("n % 2 = 1").drop("n")
+
+
+def to_polygon(points: DataFrame, polygons: DataFrame) -> DataFrame:
+    """points (id, px, py, ...) with `distance` from the edge of the polygon of their id and `inside`, the edge (to 1e-7) included; points without a polygon are left out."""
+    near = grid.edge_distances(points, polygon_edges(polygons), ["id"])
+    within = inside_polygon(points, polygons).withColumn("in_", F.lit(True))
+    j = points.join(near, ["id", "px", "py"]).join(within, ["id", "px", "py"], "left")
+    return j.select(*points.columns, "distance", ((F.col("distance") < 1e-7) | F.coalesce("in_", F.lit(False))).alias("inside"))
 
 
 def densified(polygons: DataFrame, per_px: float = 2.0) -> DataFrame:

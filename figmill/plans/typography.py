@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from figmill.functions.numeric import finite
 from figmill.operators import coverage
+from figmill.operators import patterns as P
 
 SLACK = 1e-9
 
@@ -17,9 +18,9 @@ def resolved_size(direct: Column, nested: Column) -> Column:
 
 
 def assigned(elements: DataFrame, roles: DataFrame) -> DataFrame:
-    """Elements that have text with `n_roles` and, if one role's pattern finds the name, its `role`.  Roles are few: Spark broadcasts them."""
+    """Elements that have text with `n_roles` and, if one role's pattern finds the name, its `role`."""
     e = elements.filter((F.trim("name") != "") & (F.trim("text") != ""))
-    names = e.select("name").distinct().join(roles.select("role", "pattern"), F.expr("name rlike pattern")).groupBy("name").agg(F.count(F.lit(1)).alias("n_roles"), F.min("role").alias("role"))
+    names = P.matches(e, roles).join(roles.select("role", "pattern"), "pattern").groupBy("name").agg(F.count(F.lit(1)).alias("n_roles"), F.min("role").alias("role"))
     return e.join(names, "name")
 
 
