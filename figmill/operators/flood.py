@@ -1,59 +1,84 @@
-"""Marker-controlled partition of a pixel support."""
+"""Marker-controlled partition of a pixel support by a bottleneck spanning forest."""
 
 from __future__ import annotations
 
-import heapq
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-STEPS = ((-1, 0), (0, -1), (0, 1), (1, 0))
+from figmill.operators import graph
 
 
-def partition(pixels: DataFrame, seeds: DataFrame, key: str) -> DataFrame:
-    """(key, y, x, owner) of every support pixel (key, y, x, r, g, b), from seeds (key, ord, owner, y, x).
+def _steps(p: DataFrame, key: str) -> DataFrame:
+    """(a, b, w) of 4-neighbours a and b among the pixels (key, y, x, r, g, b, id): w is the largest channel difference."""
+    right = p.select(key, "y", "x", F.col("id").alias("a"), *(F.col(c).alias(f"{c}_") for c in "rgb"))
+    found = None
+    for dy, dx in ((0, 1), (1, 0)):
+        left = p.select(key, (F.col("y") + dy).alias("y"), (F.col("x") + dx).alias("x"), F.col("id").alias("other"), *"rgb")
+        j = left.join(right, [key, "y", "x"]).select(F.col("a"), F.col("other").alias("b_"), F.greatest(*(F.abs(F.col(c).cast("long") - F.col(f"{c}_")) for c in "rgb")).alias("w"))
+        found = j if found is None else found.unionByName(j)
+    return found.select(F.least("a", "b_").alias("a"), F.greatest("a", "b_").alias("b"), "w", F.xxhash64(F.least("a", "b_"), F.greatest("a", "b_")).alias("h"))
+
+
+def _picks(edges: DataFrame, owners: DataFrame) -> DataFrame:
+    """(c, d, w): the step that each region without an owner takes, to region d."""
+    both = edges.select(F.col("a").alias("c"), F.col("b").alias("d"), "w", "h").unionByName(edges.select(F.col("b").alias("c"), F.col("a").alias("d"), "w", "h"))
+    free = both.join(owners.select(F.col("id").alias("c")), "c", "left_anti").join(owners.select(F.col("id").alias("d"), "ord", F.lit(0).alias("held")), "d", "left")
+    order = F.struct("w", F.col("held").isNull().alias("free"), "ord", "h", F.least("c", "d").alias("lo"), F.greatest("c", "d").alias("hi"))
+    return free.groupBy("c").agg(F.min(F.struct(order.alias("o"), "d")).alias("m")).select("c", "m.d", F.col("m.o.w").alias("w"))
 
-    A pixel goes to the seed that reaches it over 4-neighbours with the least highest colour step (the
-    largest channel difference), then the least length, then first come; seeds come in the order of `ord`.
-    Pixels that no seed reaches have a null owner; a seed outside the support or on another seed is ignored.
-    The order is global in an image, so an image is one group.
+
+def _roots(picks: DataFrame) -> DataFrame:
+    """(c, root, w): where the chain of each region's picks ends, by pointers of doubling length.
+
+    Along a chain the steps never rise, so only two regions can pick each other; the smaller of them is a root.
     """
+    back = picks.select(F.col("c").alias("d"), F.col("d").alias("back"))
+    chain = graph.cut(picks.join(back, "d", "left").filter(~F.coalesce((F.col("back") == F.col("c")) & (F.col("c") < F.col("d")), F.lit(False))).select("c", F.col("d").alias("root"), "w"))
+    while True:
+        on = chain.select(F.col("c").alias("root"), F.col("root").alias("next"))
+        chain = graph.cut(chain.join(on, "root", "left").select("c", F.coalesce("next", "root").alias("root"), "w", F.col("next").isNotNull().alias("moved")))
+        if chain.filter("moved").isEmpty():
+            return chain.drop("moved")
+        chain = chain.drop("moved")
 
-    def flood(p: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
-        colour = dict(zip(zip(p["y"], p["x"], strict=True), p[["r", "g", "b"]].to_numpy(np.int64).tolist(), strict=True))
-        best: dict = {}
-        owner: dict = {}
-        heap: list = []
-        for who, y, x in s.sort_values("ord")[["owner", "y", "x"]].itertuples(index=False):
-            if (y, x) in colour and (y, x) not in best:
-                best[y, x], owner[y, x] = (0, 0), who
-                heap.append((0, 0, len(heap), (y, x)))
-        came = len(heap)
-        while heap:
-            high, length, _, at = heapq.heappop(heap)
-            if best[at] < (high, length):
-                continue
-            for dy, dx in STEPS:
-                to = (at[0] + dy, at[1] + dx)
-                if to in colour:
-                    reach = (max(high, *(abs(a - b) for a, b in zip(colour[at], colour[to], strict=True))), length + 1)
-                    if to not in best or reach < best[to]:
-                        best[to], owner[to] = reach, owner[at]
-                        heapq.heappush(heap, (*reach, came, to))
-                        came += 1
-        at = list(colour)
-        return pd.DataFrame({key: p[key].iloc[0] if len(p) else None, "y": [y for y, _ in at], "x": [x for _, x in at], "owner": [owner.get(k) for k in at]})
-
-    kind = {f.name: f.dataType.simpleString() for f in [*pixels.schema, *seeds.select("owner").schema]}
-    mine = pixels.select(key, "y", "x", "r", "g", "b").dropDuplicates([key, "y", "x"])
-    return mine.groupBy(key).cogroup(seeds.select(key, "ord", "owner", "y", "x").groupBy(key)).applyInPandas(flood, f"`{key}` {kind[key]}, y int, x int, owner {kind['owner']}")
+
+def partition(pixels: DataFrame, seeds: DataFrame, key: str) -> DataFrame:
+    """(key, y, x, owner, step) of every support pixel (key, y, x, r, g, b), from seeds (key, ord, owner, y, x).
+
+    A pixel goes to a seed that reaches it over 4-neighbours with the least highest colour step (the largest
+    channel difference), which is `step`.  Where several seeds do, regions decide: one without a seed joins over
+    its lowest step, and among equal ones to an owned region before others, of those the one of the first seed
+    (`ord`), else over the edge of the least hash.  Pixels that no seed reaches have a null owner and step; a seed
+    outside the support or on an earlier one is ignored, and of repeated pixels one counts.  Rows with a null key or
+    place are left out.
+
+    In rounds, all regions of all images join at once: a step that a region must take to leave is a bound for its
+    pixels, and the picked steps reach it.  Regions and edges shrink by half a round at least.
+    """
+    at = [key, "y", "x"]
+    p = graph.cut(pixels.select(*at, "r", "g", "b").dropna(subset=at).dropDuplicates(at).withColumn("id", F.monotonically_increasing_id()))
+    first = seeds.groupBy(*at).agg(F.min(F.struct("ord", "owner")).alias("s")).join(p.select(*at, "id"), at)
+    owners = graph.cut(first.select("id", "s.ord", "s.owner"))
+    edges, rounds = graph.cut(_steps(p, key)), []
+    while True:
+        roots = _roots(_picks(edges, owners))
+        if roots.isEmpty():
+            break
+        rounds.append(roots)
+        for end in ("a", "b"):
+            edges = edges.join(roots.select(F.col("c").alias(end), F.col("root").alias(f"{end}_")), end, "left").withColumn(end, F.coalesce(f"{end}_", end)).drop(f"{end}_")
+        lo, hi = F.least("a", "b"), F.greatest("a", "b")
+        joined = edges.filter("a <> b").select(lo.alias("a"), hi.alias("b"), "w", "h").groupBy("a", "b").agg(F.min(F.struct("w", "h")).alias("m")).select("a", "b", "m.w", "m.h")
+        edges = graph.cut(joined)
+    found = owners.select("id", "owner", F.lit(0).cast("long").alias("step"))
+    for roots in reversed(rounds):
+        more = roots.join(found.withColumnRenamed("id", "root"), "root").select(F.col("c").alias("id"), "owner", F.greatest("w", "step").alias("step"))
+        found = graph.cut(found.unionByName(more))
+    return p.join(found, "id", "left").select(*at, "owner", "step")
 
 
 def issues(pixels: DataFrame, seeds: DataFrame, key: str) -> DataFrame:
     """(key, rule, n): seeds that lie on another one or off the support, and pixels that no seed reaches."""
-    from pyspark.sql import functions as F
-
     at = [key, "y", "x"]
     twice = seeds.groupBy(*at).agg((F.count(F.lit(1)) - 1).alias("n")).filter("n > 0").groupBy(key).agg(F.sum("n").alias("n"))
     off = seeds.join(pixels.select(*at).distinct(), at, "left_anti").groupBy(key).agg(F.count(F.lit(1)).alias("n"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from figmill.functions import numeric as N
 from figmill.functions import text as T
-from figmill.operators import coverage, intervals, masks, patterns, scenes, series
+from figmill.operators import coverage, fields, flood, intervals, masks, patterns, scenes, series
 from figmill.plans import clearance, connectors, curves, editability, grammar, images, manifest, rollup, routes, structure, texts, typography
 from figmill.plans.registry import derived, query, table
 from figmill.sources import vectors
@@ -195,6 +195,41 @@ def pattern_matches(spark, sf_dir):
     return patterns.matches(derived(spark, sf_dir, NAMES), derived(spark, sf_dir, PATTERNS))
 
 
+# Orders as rows of pixels in fine colours, so that ways to both sides hardly ever have one highest step (one side has it for every marker beyond the first); every 37th pixel is a marker.
+STRIPS = """SELECT CAST(o_orderkey % 50 AS BIGINT) AS image_id, CAST(0 AS INT) AS y, CAST(floor(o_orderkey / 50e0) AS INT) AS x, CAST(floor(o_totalprice * 100) AS INT) AS r, CAST(o_custkey AS INT) AS g, 7 AS b FROM {orders}"""
+
+
+@query(
+    """WITH p AS (SELECT *, x % 37 = 5 AS seed FROM {p}), s AS (SELECT *, coalesce(greatest(abs(r - lag(r) OVER w), abs(g - lag(g) OVER w)), 0) AS d FROM p WINDOW w AS (PARTITION BY image_id ORDER BY x)),
+c AS (SELECT a.image_id, a.x, b.x AS mark, CASE WHEN a.x = b.x THEN 0 ELSE (SELECT max(m.d) FROM s m WHERE m.image_id = a.image_id AND m.x > least(a.x, b.x) AND m.x <= greatest(a.x, b.x)) END AS high FROM s a JOIN p b ON b.image_id = a.image_id AND b.seed)
+SELECT image_id, x, min(high)::BIGINT AS step, arg_min(mark, (high, abs(x - mark))) AS owner FROM c GROUP BY image_id, x""",
+    p=STRIPS,
+)
+def marker_steps(spark, sf_dir):
+    """The marker that reaches each pixel over the least highest step, and that step."""
+    p = derived(spark, sf_dir, STRIPS)
+    seeds = p.filter("x % 37 = 5").select("image_id", F.col("x").alias("ord"), F.col("x").alias("owner"), "y", "x")
+    return flood.partition(p, seeds, "image_id").select("image_id", "x", "step", "owner")
+
+
+FIELD = """SELECT CAST(p_partkey % 20 AS BIGINT) AS image_id, CAST(floor(p_partkey / 20e0) % 10 AS INT) AS y, CAST(floor(p_partkey / 200e0) AS INT) AS x, CAST(floor(p_partkey / 200e0) % 256 AS INT) AS r, CAST(p_partkey % 20 * 9 AS INT) AS g, 100 AS b, 255 AS a FROM {part}"""
+
+
+@query(
+    """WITH p AS (SELECT *, max(x) OVER (PARTITION BY image_id) + 1 AS w FROM {p}), s AS (SELECT image_id, count(*) AS n, w, regr_slope(r, (x + 0.5) / w) AS k, regr_intercept(r, (x + 0.5) / w) AS c, any_value(g) AS g FROM p GROUP BY image_id, w)
+SELECT image_id, 2 AS count, CAST(round_even(greatest(0, c), 0) AS INT) AS r0, CAST(round_even(least(255, c + k), 0) AS INT) AS r1, CAST(g AS INT) AS g0, 1.0::DOUBLE AS alpha FROM s""",
+    p=FIELD,
+)
+def field_stops(spark, sf_dir):
+    """The two stops of images that rise evenly from left to right: those of the straight line through their pixels."""
+    p = derived(spark, sf_dir, FIELD)
+    boxes = p.groupBy("image_id").agg(F.lit(0.0).alias("bx"), F.lit(0.0).alias("by"), (F.max("x") + 1.0).alias("bw"), F.lit(10.0).alias("bh"))
+    got = fields.field(p, boxes, "linear", counts=(2, 3))
+    first, last = F.get("stops", F.lit(0)), F.element_at("stops", -1)
+    turned = F.col("angle") > 90
+    return got.select("image_id", "count", F.when(turned, last["r"]).otherwise(first["r"]).alias("r0"), F.when(turned, first["r"]).otherwise(last["r"]).alias("r1"), first["g"].alias("g0"), first["alpha"].alias("alpha"))
+
+
 @query("SELECT p_partkey, k, round((1-t)*(1-t)*(1-t)*0 + 3*(1-t)*(1-t)*t*p_size + 3*(1-t)*t*t*2*p_size + t*t*t*p_retailprice, 9) AS x FROM part, (SELECT i AS k, i / 16.0 AS t FROM generate_series(1, 16) s(i)) s")
 def bezier_samples(spark, sf_dir):
     """Sixteen points of a cubic curve for each part."""
@@ -250,9 +285,9 @@ def resampled(spark, sf_dir):
     return series.resample(derived(spark, sf_dir, GRID), ["k"], 101).select("k", "i", F.round("y", 7).alias("y"))
 
 
-PIXELS = """SELECT CAST(l_orderkey % 12 AS INT) AS image_id, CAST((l_partkey * 7 + l_linenumber) % 24 AS INT) AS y, CAST((l_suppkey * 5 + l_orderkey) % 32 AS INT) AS x,
+PIXELS = """SELECT CAST(floor(l_orderkey / 400e0) AS INT) AS image_id, CAST((l_partkey * 7 + l_linenumber) % 24 AS INT) AS y, CAST((l_suppkey * 5 + l_orderkey) % 32 AS INT) AS x,
   CAST(min(floor(l_quantity) * 5) AS INT) AS r, CAST(max(l_partkey * 3 % 256) AS INT) AS g, CAST(min(l_suppkey * 7 % 256) AS INT) AS b, CAST(CASE WHEN max(l_linenumber) > 5 THEN 128 ELSE 255 END AS INT) AS a
-FROM {lineitem} GROUP BY l_orderkey % 12, (l_partkey * 7 + l_linenumber) % 24, (l_suppkey * 5 + l_orderkey) % 32"""
+FROM {lineitem} GROUP BY floor(l_orderkey / 400e0), (l_partkey * 7 + l_linenumber) % 24, (l_suppkey * 5 + l_orderkey) % 32"""
 
 
 def pixels(spark, sf_dir, where="true"):

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from figmill.functions import numeric
-from figmill.operators import fits, flood, histogram, series
+from figmill.operators import fields, fits, flood, histogram, series
 from figmill.plans import connectors, curves, documents, editability, grammar, images, manifest, structure, texts
 from figmill.sources import layout, package, vectors
 
@@ -243,13 +243,13 @@ def test_fields(spark):
     boxes = spark.createDataFrame([("l", 0.0, 0.0, 24.0, 16.0), ("s", 0.0, 0.0, 24.0, 16.0)], "image_id string, bx double, by double, bw double, bh double")
     px = [("l", y, x, int(round(255 * (x + 0.5) / 24)), 40, 90, 255) for y in range(16) for x in range(24)] + [("s", y, x, 10, 20, 30, 255) for y in range(16) for x in range(24)]
     pixels = spark.createDataFrame(px, "image_id string, y int, x int, r int, g int, b int, a int")
-    r = {x.image_id: x for x in fits.field(pixels, boxes, "linear").collect()}["l"]
+    r = {x.image_id: x for x in fields.field(pixels, boxes, "linear").collect()}["l"]
     assert r.fits and r["count"] == 4 and min(r.angle % 180, 180 - r.angle % 180) < 0.6 and r.error < 0.02
-    s = {x.image_id: x for x in fits.field(pixels, boxes, "solid").collect()}
+    s = {x.image_id: x for x in fields.field(pixels, boxes, "solid").collect()}
     assert s["s"].fits and tuple(s["s"].stops[0]) == (0.0, 10, 20, 30, 1.0) and not s["l"].fits
-    xy = np.array([(x + 0.5, y + 0.5) for y in range(12) for x in range(12)])
-    rgba = np.column_stack((np.tile([0.2, 0.4, 0.6], (144, 1)), 1 - fits.coordinates(xy, (0, 0, 12, 12), "radial")))
-    assert fits.independent(xy, rgba, (0, 0, 12, 12), "solid", "radial", (4, 5)) == (4, 4)
+    fade = [("f", y, x, 51, 102, 153, int(round(255 * (1 - math.hypot(x - 5.5, y - 5.5) / math.hypot(6, 6))))) for y in range(12) for x in range(12)]
+    pair = fields.independent(spark.createDataFrame(fade, pixels.schema), spark.createDataFrame([("f", 0.0, 0.0, 12.0, 12.0)], boxes.schema), "solid", "radial", (4, 5)).first()
+    assert (pair.colour_count, pair.alpha_count) == (1, 4) and pair.error < 0.02
     values = spark.createDataFrame([("m", i + 0.5, float(v)) for i, v in enumerate(np.interp(np.arange(20) + 0.5, [0, 10, 20], [0.2, 1.0, 0.4]))], "k string, at double, v double")
     assert fits.axis_gradient(values, ["k"], 20.0, 3).first()["values"] == pytest.approx([0.2, 1.0, 0.4], abs=1e-6)
     patch = [("f", k, float(x), float(y), 3 + 2.0 * x - y) for k, (a, b) in enumerate([(0, 0), (8, 0), (0, 8), (8, 8)]) for x in (a, a + 1) for y in (b, b + 1)]
@@ -262,25 +262,11 @@ def test_fields(spark):
     assert {r["rank"] for r in fits.affine_fits(flat, ["k"]).filter("fold = -1").collect()} == {2}
 
 
-def test_image_solvers():
-    y, x = np.mgrid[:12, :12]
-    plane, hole = 10.0 + 3 * x + 5 * y, np.zeros((12, 12), bool)
-    hole[4:7, 5:8] = True
-    assert np.abs(fits.smooth_fill(plane, hole) - plane).max() < 1
-    with pytest.raises(ValueError, match="border"):
-        fits.smooth_fill(plane, y == 1)
-    rgb = np.where((x < 6)[..., None], [250.0, 250, 250], [10.0, 20, 30])
-    labels = np.where(x < 4, 1, np.where(x > 7, 0, 2))
-    alpha = fits.matte(rgb, labels)
-    assert (alpha[:, :5] > 0.9).all() and (alpha[:, 7:] < 0.1).all()
-    cover = np.clip((8 - x) / 4, 0, 1)
-    mixed = cover[..., None] * [250, 250, 250] + (1 - cover[..., None]) * [10, 20, 30]
-    front, back = fits.joint_colours(mixed, cover)
-    assert np.abs(cover[..., None] * front + (1 - cover[..., None]) * back - mixed).max() < 3 and np.abs(front[:, 2] - 250).max() < 1 and np.abs(back[:, 10] - [10, 20, 30]).max() < 1
-    corners = fits.hull(np.array([[0, 0], [4, 0], [4, 4], [0, 4], [2, 2]], float))
-    assert len(corners) == 4 and fits.in_hull(corners, np.array([[1.0, 1], [4, 4]])) and not fits.in_hull(corners, np.array([[5.0, 1]])) and not fits.in_hull(corners[:2], corners)
-    tree = fits.colour_tree([(0, 0, 0), (250, 250, 250), (10, 0, 0)], [5, 3, 1])
-    assert tree[0] == (0, [0, 1, 2]) and {t for t, _ in tree} == {0, 1, 2}
+def test_hull(spark):
+    corners = spark.createDataFrame([("a", float(x), float(y)) for x, y in [(0, 0), (4, 0), (4, 4), (0, 4), (2, 2)]] + [("line", float(k), 2.0 * k) for k in range(4)], "k string, x double, y double")
+    points = [("a", 1.0, 1.0), ("a", 4.0, 4.0), ("a", 4.0, 1.0), ("a", 5.0, 1.0), ("a", -0.001, 2.0), ("line", 1.0, 2.0), ("none", 0.0, 0.0)]
+    got = {(r.k, r.px, r.py): r.inside for r in fits.in_hull(spark.createDataFrame(points, "k string, px double, py double"), corners, ["k"]).collect()}
+    assert [got[p] for p in points] == [True, True, True, False, False, False, False]
 
 
 def test_colour_functions(spark):
