@@ -35,8 +35,10 @@ def _roots(picks: DataFrame) -> DataFrame:
     back = picks.select(F.col("c").alias("d"), F.col("d").alias("back"))
     chain = graph.cut(picks.join(back, "d", "left").filter(~F.coalesce((F.col("back") == F.col("c")) & (F.col("c") < F.col("d")), F.lit(False))).select("c", F.col("d").alias("root"), "w"))
     while True:
-        on = chain.select(F.col("c").alias("root"), F.col("root").alias("next"))
-        chain = graph.cut(chain.join(on, "root", "left").select("c", F.coalesce("next", "root").alias("root"), "w", F.col("next").isNotNull().alias("moved")))
+        for _ in range(2):
+            on = chain.select(F.col("c").alias("root"), F.col("root").alias("next"))
+            chain = chain.join(on, "root", "left").select("c", F.coalesce("next", "root").alias("root"), "w", F.col("next").isNotNull().alias("moved"))
+        chain = graph.cut(chain)
         if chain.filter("moved").isEmpty():
             return chain.drop("moved")
         chain = chain.drop("moved")

@@ -38,3 +38,41 @@ def components(edges: DataFrame) -> DataFrame:
         e = cut(up.union(own).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     low = e.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "id")
     return nodes.join(low, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+
+
+def on_circles(edges: DataFrame) -> DataFrame:
+    """(id, circle) of the nodes of directed edges (a, b) that lie on a circle, with the largest id of those that reach each other.
+
+    Nodes without a way in or out are peeled off in rounds; of what is left, each node takes the largest id that reaches it,
+    and the nodes of one such id that reach it in turn are on circles with it.  The rest is peeled again.  Rounds are as
+    many as the longest way is long.  A node with an edge to itself is a circle; edges with a null end are left out.
+    """
+    e, done = cut(edges.select("a", "b").dropna().distinct()), None
+    while True:
+        while True:  # peel
+            ends = e.select(F.col("a").alias("id")).distinct().join(e.select(F.col("b").alias("id")).distinct(), "id")
+            kept = cut(e.join(ends.select(F.col("id").alias("a")), "a", "left_semi").join(ends.select(F.col("id").alias("b")), "b", "left_semi"))
+            if kept.count() == e.count():
+                break
+            e = kept
+        if e.isEmpty():
+            return edges.select(F.col("a").alias("id"), F.col("a").alias("circle")).limit(0) if done is None else done
+        colour = e.select(F.col("a").alias("id"), F.col("a").alias("colour")).distinct()
+        while True:
+            push = e.join(colour, e["a"] == colour["id"]).select(F.col("b").alias("id"), "colour")
+            new = cut(colour.unionByName(push).groupBy("id").agg(F.max("colour").alias("colour")))
+            grown = new.exceptAll(colour).isEmpty()
+            colour = new
+            if grown:
+                break
+        inner = e.join(colour.select(F.col("id").alias("a"), F.col("colour").alias("ca")), "a").join(colour.select(F.col("id").alias("b"), F.col("colour").alias("cb")), "b").filter("ca = cb")
+        inner = cut(inner.select("a", "b", F.col("ca").alias("circle")))
+        back = cut(colour.filter("id = colour").select("id", F.col("colour").alias("circle")))
+        while True:
+            more = inner.join(back.select(F.col("id").alias("b")), "b").select(F.col("a").alias("id"), "circle")
+            new = cut(back.unionByName(more).distinct())
+            if new.count() == back.count():
+                break
+            back = new
+        done = back if done is None else done.unionByName(back)
+        e = cut(e.join(back.select(F.col("id").alias("a")), "a", "left_anti").join(back.select(F.col("id").alias("b")), "b", "left_anti"))

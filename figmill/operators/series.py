@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from figmill.operators import graph
+
 
 def _window(keys, order):
     return (Window.partitionBy(*keys) if keys else Window).orderBy(*order)
@@ -25,11 +27,32 @@ def peaks(df: DataFrame, keys: list[str], order: list[str], value: str, reach: i
 
 
 def suppress(df: DataFrame, keys: list[str], x: str, apart: float) -> DataFrame:
-    """Greedy choice by prominence, then x: a peak stays if it is at least `apart` from all that stay.  One array of peaks a group."""
-    p = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct((-F.col("prominence")).alias("p"), F.col(x).cast("double").alias("x")))).alias("peaks"))
-    none = F.expr("cast(array() as array<struct<p: double, x: double>>)")
-    kept = F.aggregate(F.transform("peaks", lambda s: F.struct(s["p"].cast("double").alias("p"), s["x"].alias("x"))), none, lambda a, s: F.when(F.forall(a, lambda k: F.abs(k["x"] - s["x"]) >= apart), F.concat(a, F.array(s))).otherwise(a))
-    return p.select(*keys, F.explode(kept).alias("k")).select(*keys, F.col("k.x").alias(x), (-F.col("k.p")).alias("prominence"))
+    """(keys, x, prominence) of the greedy choice by prominence, then x: a peak stays if it is at least `apart` from all that stay.
+
+    In rounds, every open peak that none outranks within `apart` stays, and what lies within `apart` of one that stays goes.
+    A peak meets the three cells around it only, and of a cell only the best can stay, so no array of peaks is made.
+    Peaks with a null place or prominence are left out; of those at one place the most prominent counts.
+    """
+    rank = lambda p, at: F.struct(p.alias("p"), (-at).alias("at"))
+    side = apart * (1 + 1e-9)
+    d = df.select(*keys, F.col(x).cast("double").alias(x), F.col("prominence").cast("double").alias("prominence")).filter(F.col(x).isNotNull() & F.col("prominence").isNotNull())
+    open_ = d.groupBy(*keys, x).agg(F.max("prominence").alias("prominence"))
+    if apart <= 0:
+        return open_
+    open_, done = graph.cut(open_.withColumn("cell_", F.floor(F.col(x) / side))), None
+    cells = F.explode(F.array(*(F.col("cell_") + k for k in (-1, 0, 1)))).alias("cell_")
+    at = [*keys, "cell_"]
+    while not open_.isEmpty():
+        best = open_.groupBy(*at).agg(F.max(rank(F.col("prominence"), F.col(x))).alias("m")).select(*at, F.col("m.p").alias("top_"), (-F.col("m.at")).alias("x_"))
+        asks = best.select(*keys, F.col("cell_").alias("home_"), "top_", "x_", cells)
+        over = asks.join(open_, at).filter((F.abs(F.col(x) - F.col("x_")) < apart) & (rank(F.col("prominence"), F.col(x)) > rank(F.col("top_"), F.col("x_"))))
+        stay = graph.cut(asks.filter("cell_ = home_").join(over.select(*keys, "home_").distinct(), [*keys, "home_"], "left_anti").select(*keys, F.col("home_").alias("cell_"), "top_", "x_"))
+        found = stay.select(*keys, F.col("x_").alias(x), F.col("top_").alias("prominence"))
+        done = found if done is None else done.unionByName(found)
+        near = stay.select(*keys, "x_", cells)
+        gone = open_.join(near, at).filter(F.abs(F.col(x) - F.col("x_")) < apart).select(*keys, x).distinct()
+        open_ = graph.cut(open_.join(gone, [*keys, x], "left_anti"))
+    return d.select(*keys, x, "prominence").limit(0) if done is None else done
 
 
 def interpolate(df: DataFrame, keys: list[str], x: str, value: str) -> DataFrame:
@@ -49,11 +72,6 @@ def resample(df: DataFrame, keys: list[str], points: int = 201) -> DataFrame:
     return interpolate(grid.join(known, [*keys, "x"], "full"), keys, "x", "y").filter("i is not null").select(*keys, "i", "x", "y")
 
 
-def mean_difference(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
-    """Mean absolute difference of two resampled series."""
-    return a.join(b.withColumnRenamed("y", "z").drop("x"), [*keys, "i"]).groupBy(*keys).agg(F.avg(F.abs(F.col("y") - F.col("z"))).alias("mae"))
-
-
 def monotone(df: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
     """Whether each series never falls or never rises."""
     d = df.withColumn("d_", F.col(value) - F.lag(value).over(_window(keys, order)))
