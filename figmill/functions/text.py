@@ -34,6 +34,11 @@ def match_key(text: Column) -> Column:
     return F.regexp_replace(nfc(F.coalesce(text, F.lit(""))), r"(?U)\s+", "")
 
 
+def stripped(text: Column) -> Column:
+    """A text without white space (all of Unicode's) at its ends."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
 def line_breaks(text: Column) -> Column:
     """Carriage returns and vertical tabs as newlines."""
     return F.regexp_replace(text, "\r\n|\r|\u000b", "\n")
@@ -86,17 +91,19 @@ def number_prefix(text: Column) -> Column:
 
 
 def is_external(url: Column) -> Column:
-    return F.coalesce(F.lower(F.trim(url)).rlike(r"^(?:https?:)?//"), F.lit(False))
+    return F.coalesce(F.lower(stripped(url)).rlike(r"^(?:https?:)?//"), F.lit(False))
 
 
 def natural_key(text: Column) -> Column:
-    """Sort key by which runs of digits compare as numbers."""
-    parts = F.regexp_extract_all(F.lower(text), F.lit(r"(\d+|\D+)"), F.lit(1))
-    return F.transform(parts, lambda p: F.when(p.rlike(r"^\d"), F.lpad(p, 20, "0")).otherwise(p))
+    """Sort key by which runs of digits compare as numbers of any length: before other text, then by length without leading zeros, then by digit."""
+    parts = F.regexp_extract_all(text, F.lit(r"([0-9]+|[^0-9]+)"), F.lit(1))
+    digits = lambda p: F.regexp_replace(p, "^0+(?=.)", "")
+    number = lambda p: F.struct(F.lit(0).alias("kind"), F.length(digits(p)).alias("length"), digits(p).alias("text"))
+    return F.transform(parts, lambda p: F.when(p.rlike("^[0-9]"), number(p)).otherwise(F.struct(F.lit(1).alias("kind"), F.lit(0).alias("length"), p.alias("text"))))
 
 
 def placeholder(text: Column) -> Column:
-    t = F.trim(text)
+    t = stripped(text)
     return F.array_contains(F.array(*(t.rlike(f"(?i){p}") for p in PLACEHOLDERS)), True)
 
 
@@ -108,21 +115,26 @@ def has_cjk(text: Column) -> Column:
     return text.rlike(CJK)
 
 
+# What counts as an edge of a Mermaid or Graphviz text, and how a Graphviz text begins.
+MERMAID_EDGES, GRAPHVIZ_EDGES = r"-->|---|==>|-.->|~~~|<-->|--\|", "->|--"
+GRAPHVIZ_HEADER = r'(?i)\b(?:strict\s+)?(di)?graph\b\s+[A-Za-z_0-9"]*\s*\{'
+
+
 def mermaid(text: Column) -> Column:
     """struct(empty, headers, edges, warns) of a graph text without its comments."""
-    body = F.regexp_replace(F.regexp_replace(text, "(?m)%%.*$", ""), r"^\s+|\s+$", "")
+    body = F.regexp_replace(F.regexp_replace(text, "(?m)%%.*$", ""), r"(?U)^\s+|\s+$", "")
     headers = F.regexp_extract_all(body, F.lit(rf"(?im)^\s*({MERMAID_HEADERS})\b"), F.lit(1))
-    edges = F.regexp_count(body, F.lit(r"-->|---|==>|-.->|~~~|<-->|--\|"))
+    edges = F.regexp_count(body, F.lit(MERMAID_EDGES))
     plain = F.lower(F.element_at(headers, 1)).isin("pie", "mindmap", "timeline", "gantt", "journey")
     return F.struct((body == "").alias("empty"), headers.alias("headers"), edges.alias("edges"), ((F.size(headers) > 0) & (edges == 0) & ~F.coalesce(plain, F.lit(False))).alias("warns"))
 
 
 def graphviz(text: Column) -> Column:
     """struct(empty, declared, balanced, edges) of a graph text without its comments."""
-    body = F.regexp_replace(F.regexp_replace(text, r"(?ms)//.*$|/\*.*?\*/", ""), r"^\s+|\s+$", "")
+    body = F.regexp_replace(F.regexp_replace(text, r"(?ms)//.*$|/\*.*?\*/", ""), r"(?U)^\s+|\s+$", "")
     count = lambda c: F.length(body) - F.length(F.replace(body, F.lit(c), F.lit("")))
-    declared = body.rlike(r'(?i)\b(?:strict\s+)?(di)?graph\b\s+[A-Za-z_0-9"]*\s*\{')
-    return F.struct((body == "").alias("empty"), declared.alias("declared"), (count("{") == count("}")).alias("balanced"), F.regexp_count(body, F.lit("->|--")).alias("edges"))
+    declared = body.rlike(GRAPHVIZ_HEADER)
+    return F.struct((body == "").alias("empty"), declared.alias("declared"), (count("{") == count("}")).alias("balanced"), F.regexp_count(body, F.lit(GRAPHVIZ_EDGES)).alias("edges"))
 
 
 def canonical_json(form: str):

@@ -41,7 +41,7 @@ def duplicate_borders(objects: DataFrame, keys: list[str], tolerance: float = TO
 
 def text_findings(runs: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, rule, subject): distinct unfilled and wrongly decoded texts, and each East Asian run without a font of its own."""
-    t = F.trim("text")
+    t = T.stripped("text")
     one = lambda test, rule: runs.filter(test).select(*keys, F.lit(rule).alias("rule"), t.alias("subject")).distinct()
     fontless = runs.filter(T.has_cjk(F.col("text")) & ~F.col("east_asian")).select(*keys, F.lit("no East Asian font").alias("rule"), F.col("text").alias("subject"))
     return one(T.placeholder(F.col("text")) & (t != ""), "placeholder").unionByName(one(T.mojibake(F.col("text")), "mojibake")).unionByName(fontless)
@@ -53,7 +53,7 @@ def inventory(items: DataFrame, objects: DataFrame) -> DataFrame:
     The optional keys give eight kinds of items; each kind is an equi-join on the keys that it has.
     """
     keys = ("slide", "name", "shape_id")
-    declared = items.filter(F.trim("text") != "")
+    declared = items.filter(T.stripped("text") != "")
     hits = None
     for mask in range(8):
         on = [k for n, k in enumerate(keys) if mask >> n & 1]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from figmill.functions import text as T
 from figmill.functions.numeric import finite
 from figmill.operators import patterns as P
 
@@ -13,7 +14,7 @@ PASS, FAIL, UNKNOWN = "PASS", "FAIL", "NOT_VERIFIED"
 
 def nodes(elements: DataFrame, outputs: DataFrame) -> DataFrame:
     """(rule, subject) of outputs (role, name, allowed array of geometries): each must be one element of an allowed geometry."""
-    named = elements.filter(F.trim("name") != "")
+    named = elements.filter(T.stripped("name") != "")
     n = named.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.collect_set("geometry").alias("kinds"))
     j = outputs.join(n, "name", "left")
     bad = F.size(F.array_except(F.coalesce("kinds", F.array().cast("array<string>")), "allowed")) > 0
@@ -23,7 +24,7 @@ def nodes(elements: DataFrame, outputs: DataFrame) -> DataFrame:
 
 def edges(elements: DataFrame, roles: DataFrame) -> DataFrame:
     """(edge, n_lines, n_others): what each edge role's pattern (edge, pattern) finds among the names."""
-    names = elements.filter(F.trim("name") != "").groupBy("name").agg(F.count_if(F.col("geometry") == "line").alias("l"), F.count(F.lit(1)).alias("n"))
+    names = elements.filter(T.stripped("name") != "").groupBy("name").agg(F.count_if(F.col("geometry") == "line").alias("l"), F.count(F.lit(1)).alias("n"))
     hits = P.matches(names, roles).join(names, "name")
     found = roles.select("edge", "pattern").join(hits, "pattern", "left").groupBy("edge").agg(F.coalesce(F.sum("l"), F.lit(0)).alias("n_lines"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
     return found.select("edge", "n_lines", (F.col("n") - F.col("n_lines")).alias("n_others"))
@@ -49,7 +50,7 @@ def evidence(elements: DataFrame, roles: DataFrame, tolerance: float = 0.01) ->
     target_name.  A line's box can't say which way it runs, so without endpoints nothing is verified.  The first
     reason that applies counts.
     """
-    named = elements.filter(F.trim("name") != "")
+    named = elements.filter(T.stripped("name") != "")
     count = named.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.first("geometry").alias("geometry"), F.first("bbox").alias("bbox"), F.first("endpoints").alias("endpoints"))
     lines = named.filter(F.col("geometry") == "line")
     matched = roles.select("edge", "pattern").join(P.matches(lines, roles), "pattern").join(lines, "name").groupBy("edge").agg(F.count(F.lit(1)).alias("n_lines"), F.sort_array(F.collect_list("name")).alias("names"), F.first("source_name").alias("source_name"), F.first("target_name").alias("target_name"))

@@ -26,7 +26,7 @@ def inside(box: Column, width, height, slack: float = 1e-6) -> Column:
 
 
 def blank(c: str) -> Column:
-    return F.coalesce(F.trim(c) == "", F.lit(True))
+    return F.coalesce(T.stripped(c) == "", F.lit(True))
 
 
 def items(inventory: DataFrame, modules: DataFrame, exceptions: DataFrame, width: float, height: float, dense: bool = False, roles=ROLES, representations=REPRESENTATIONS) -> DataFrame:
@@ -67,7 +67,7 @@ def grammar(connections: DataFrame, node_roles: DataFrame, edge_roles: DataFrame
             "module without node role": coverage.missing(ends, node_roles, ["id"]).select(F.col("id").alias("s")),
             "edge role without connection": coverage.missing(edge_roles, connections, ["id"]).select(F.col("id").alias("s")),
             "connection without edge role": coverage.missing(connections, edge_roles, ["id"]).select(F.col("id").alias("s")),
-            "node role without outputs": node_roles.filter(F.coalesce(F.size("output_names") < 1, F.lit(True)) | F.exists("output_names", lambda n: F.trim(n) == "")).select(F.col("id").alias("s")),
+            "node role without outputs": node_roles.filter(F.coalesce(F.size("output_names") < 1, F.lit(True)) | F.exists("output_names", lambda n: T.stripped(n) == "")).select(F.col("id").alias("s")),
             "output of several roles": names.groupBy("name").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("name").alias("s")),
         },
         "s",
@@ -78,7 +78,7 @@ def regions(df: DataFrame, width: int, height: int) -> DataFrame:
     """(ord, name, x0, y0, x1, y1, rule): named boxes (ord, name, bbox) with whole corners (half to even), and what is wrong with them."""
     v = [F.bround(F.get("bbox", F.lit(k))).cast("long") for k in range(4)]
     rule = F.when(blank("name"), "no name").when(F.coalesce(F.size("bbox"), F.lit(0)) != 4, "not four values").when((v[0] < 0) | (v[1] < 0) | (v[2] <= 0) | (v[3] <= 0), "no size or negative origin").when((v[0] + v[2] > width) | (v[1] + v[3] > height), "beyond the canvas")
-    return df.select("ord", F.trim("name").alias("name"), v[0].alias("x0"), v[1].alias("y0"), (v[0] + v[2]).alias("x1"), (v[1] + v[3]).alias("y1"), rule.alias("rule"))
+    return df.select("ord", T.stripped("name").alias("name"), v[0].alias("x0"), v[1].alias("y0"), (v[0] + v[2]).alias("x1"), (v[1] + v[3]).alias("y1"), rule.alias("rule"))
 
 
 def disjoint(df: DataFrame, group: str, member: str) -> DataFrame:
@@ -89,13 +89,13 @@ def disjoint(df: DataFrame, group: str, member: str) -> DataFrame:
 def preflight(requests: DataFrame) -> DataFrame:
     """(id, rules) of generation requests (id, available, provider, authorization, attempt, correction_reason, prompt, subject, style, invariants, references)."""
     refs = F.exists("references", lambda r: ~F.coalesce(r["role"].isin("structure", "style", "edit_target"), F.lit(False)))
-    whole = F.exists("references", lambda r: F.coalesce((F.trim(r["path"]) == "") | (F.trim(r["authorization"]) == "") | (F.trim(r["scope"]) == "") | ~r["sha256"].rlike("^[0-9a-f]{64}$"), F.lit(True)))
+    whole = F.exists("references", lambda r: F.coalesce((T.stripped(r["path"]) == "") | (T.stripped(r["authorization"]) == "") | (T.stripped(r["scope"]) == "") | ~r["sha256"].rlike("^[0-9a-f]{64}$"), F.lit(True)))
     no = lambda test, why: F.when(F.coalesce(test, F.lit(True)), why)
     rules = F.array_compact(
         F.array(
             no(~F.col("available"), "tool unavailable"), no(F.col("provider") != "builtin_imagegen", "provider not supported"), no(blank("authorization"), "no authorization"), no(~F.col("attempt").isin(1, 2), "attempt out of budget"),
             F.when((F.col("attempt") == 2) & blank("correction_reason"), "no correction reason"), *(no(blank(c), f"no {c}") for c in ("prompt", "subject", "style")),
-            no((F.size("invariants") < 1) | F.exists("invariants", lambda v: F.trim(v) == ""), "no invariants"), F.when(F.col("references").isNull(), "references not listed"), F.when(F.coalesce(refs, F.lit(False)), "reference role unknown"), F.when(F.coalesce(whole, F.lit(False)), "reference without hash or scope"),
+            no((F.size("invariants") < 1) | F.exists("invariants", lambda v: T.stripped(v) == ""), "no invariants"), F.when(F.col("references").isNull(), "references not listed"), F.when(F.coalesce(refs, F.lit(False)), "reference role unknown"), F.when(F.coalesce(whole, F.lit(False)), "reference without hash or scope"),
         )
     )
     return requests.select("id", rules.alias("rules"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from figmill.functions import text as T
 from figmill.operators import coverage, graph, masks
 
 KEYS = ["image_id", "y", "x"]
@@ -16,7 +17,7 @@ def selector_issues(selectors: DataFrame) -> DataFrame:
     pairs = F.transform("differences", lambda d: F.concat_ws(",", F.get(d, F.lit(0)), F.get(d, F.lit(1))))
     one = F.forall("differences", lambda d: (F.size(d) == 4) & F.forall(d, lambda v: v.isNotNull()) & F.get(d, F.lit(0)).between(0, 2) & F.get(d, F.lit(1)).between(0, 2) & (F.get(d, F.lit(0)) != F.get(d, F.lit(1))) & (F.get(d, F.lit(2)) >= -255) & (F.get(d, F.lit(2)) <= F.get(d, F.lit(3))) & (F.get(d, F.lit(3)) <= 255))
     no = lambda c: selectors.filter(~F.coalesce(c, F.lit(False)))
-    return coverage.violations({"rgb ranges": no(rgb), "too many differences": no(F.size("differences").between(0, 6)), "channel differences": no(one & (F.size(F.array_distinct(pairs)) == F.size(pairs))), "no observation": no(F.trim("observation") != "")}, "id")
+    return coverage.violations({"rgb ranges": no(rgb), "too many differences": no(F.size("differences").between(0, 6)), "channel differences": no(one & (F.size(F.array_distinct(pairs)) == F.size(pairs))), "no observation": no(T.stripped("observation") != "")}, "id")
 
 
 def nearest(a: DataFrame, b: DataFrame, cell: int = 16) -> DataFrame:

@@ -84,7 +84,7 @@ def measure(pixels: DataFrame, sizes: DataFrame) -> DataFrame:
     j = sizes.join(t, "image_id", "left").join(m, "image_id", "left").join(b, "image_id", "left").join(light, "image_id", "left").join(rule, "image_id", "left")
     zero = lambda c: F.coalesce(c, F.lit(0))
     n, area = zero("pixels"), F.col("width") * F.col("height")
-    said = F.size(F.filter(F.split(T.line_breaks(F.col("text")), "\n"), lambda v: F.trim(v) != ""))
+    said = F.size(F.filter(F.split(T.line_breaks(F.col("text")), "\n"), lambda v: T.stripped(v) != ""))
     touch = (F.col("x0") == 0) | (F.col("y0") == 0) | (F.col("x1") == F.col("width") - 1) | (F.col("y1") == F.col("height") - 1)
     why = F.array_compact(
         F.array(
