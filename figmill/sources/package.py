@@ -8,14 +8,17 @@ import posixpath
 import re
 import zipfile
 import zlib
+from functools import reduce
 from xml.etree import ElementTree
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from figmill.functions.numeric import affine
+
 A = "{http://schemas.openxmlformats.org/drawingml/2006/main}"
 P = "{http://schemas.openxmlformats.org/presentationml/2006/main}"
 C = "{http://schemas.openxmlformats.org/drawingml/2006/chart}"
@@ -25,6 +28,8 @@ RELATION = "package string, source_part string, id string, target string, target
 PART = "package string, part string, size long, error string"
 SLIDE = "package string, slide int, part string, width long, height long"
 OBJECT = "package string, slide int, part string, ord int, depth int, shape_id string, name string, kind string, preset string, x_emu long, y_emu long, w_emu long, h_emu long, rotation_deg double, flip_h boolean, flip_v boolean, matrix array<double>, unsupported string, line_width long, line_color string, target_id string, crop array<double>, text string"
+FORM = "struct<x:double,y:double,w:double,h:double,turn:double,flip_h:boolean,flip_v:boolean,left:double,top:double,cw:double,ch:double,whole:boolean>"
+RAW_OBJECT = OBJECT.replace("matrix array<double>, unsupported string", f"groups array<{FORM}>, own {FORM}, clipped boolean, effects boolean")
 RUN = "package string, slide int, part string, shape_id string, name string, paragraph int, ord int, text string, size double, baseline double, east_asian boolean"
 COMMAND = "package string, slide int, part string, shape_id string, name string, path_index int, ord int, kind string, points array<struct<x:double,y:double>>, w double, h double"
 BOUND = "package string, slide int, id string, name string, source_id string, source_port string, target_id string, target_port string, start_arrow string, end_arrow string"
@@ -157,29 +162,33 @@ def slides(df: DataFrame) -> DataFrame:
     return _each(df, read, SLIDE)
 
 
-def product(a, b):
-    """The affine map (a, b, c, d, e, f) that applies b, then a."""
-    return (a[0] * b[0] + a[2] * b[1], a[1] * b[0] + a[3] * b[1], a[0] * b[2] + a[2] * b[3], a[1] * b[2] + a[3] * b[3], a[0] * b[4] + a[2] * b[5] + a[4], a[1] * b[4] + a[3] * b[5] + a[5])
 
 
-def placed(form, group: bool) -> tuple:
-    """The map from an object's unit square, or a group's child space, to its parent's space; ValueError if there is none."""
-    part = {c.tag.split("}")[1]: c for c in form} if form is not None else {}
-    if not {"off", "ext"} <= part.keys() or group and not {"chOff", "chExt"} <= part.keys():
-        raise ValueError("incomplete transform")
-    x, y, w, h = (_real(part[p].get(k)) for p, k in (("off", "x"), ("off", "y"), ("ext", "cx"), ("ext", "cy")))
-    turn = math.radians(_real(form.get("rot", "0")) / 60000)
-    if not all(map(math.isfinite, (x, y, w, h, turn))) or min(w, h) <= 0:
-        raise ValueError("extent or rotation is not usable")
-    fx, fy = (-1 if form.get(k) in ("1", "true") else 1 for k in ("flipH", "flipV"))
-    c, s = math.cos(turn), math.sin(turn)
-    around = product((c * fx, s * fx, -s * fy, c * fy, x + w / 2, y + h / 2), (1, 0, 0, 1, -w / 2, -h / 2))
-    if not group:
-        return product(around, (w, 0, 0, h, 0, 0))
-    left, top, cw, ch = (_real(part[p].get(k)) for p, k in (("chOff", "x"), ("chOff", "y"), ("chExt", "cx"), ("chExt", "cy")))
-    if not all(map(math.isfinite, (left, top, cw, ch))) or min(cw, ch) <= 0:
-        raise ValueError("group has no child space")
-    return product(around, (w / cw, 0, 0, h / ch, -left * w / cw, -top * h / ch))
+def _form(form, group: bool) -> dict:
+    """The numbers of a transform as written; `whole`: all elements that it needs are there."""
+    found = {c.tag.rpartition("}")[2]: c for c in (form if form is not None else ())}
+    read = lambda part, key: _real(found[part].get(key)) if part in found else math.nan
+    flag = lambda key: form is not None and form.get(key) in ("1", "true")
+    out = {n: read(p, k) for n, p, k in (("x", "off", "x"), ("y", "off", "y"), ("w", "ext", "cx"), ("h", "ext", "cy"), ("left", "chOff", "x"), ("top", "chOff", "y"), ("cw", "chExt", "cx"), ("ch", "chExt", "cy"))}
+    return out | {"turn": _real(form.get("rot", "0")) if form is not None else 0.0, "flip_h": flag("flipH"), "flip_v": flag("flipV"), "whole": set(found) >= ({"off", "ext", "chOff", "chExt"} if group else {"off", "ext"})}
+
+
+def _reason(form: Column, group: bool) -> Column:
+    """Why a transform gives no map, or null."""
+    known = lambda *names: reduce(lambda a, b: a & b, [~F.isnan(form[n]) & (F.abs(form[n]) < float("inf")) for n in names])
+    usable = known("x", "y", "w", "h", "turn") & (F.least(form["w"], form["h"]) > 0)
+    why = F.when(~form["whole"], "incomplete transform").when(~usable, "extent or rotation is not usable")
+    return why.when(~(known("left", "top", "cw", "ch") & (F.least(form["cw"], form["ch"]) > 0)), "group has no child space") if group else why
+
+
+def _map(form: Column, group: bool) -> Column:
+    """The affine map of a transform: its child space, or the unit square, is scaled to its extent, mirrored and turned about its centre."""
+    angle = F.radians(form["turn"] / 60000)
+    fx, fy = F.when(form["flip_h"], -1.0).otherwise(1.0), F.when(form["flip_v"], -1.0).otherwise(1.0)
+    sx, sy = (form["w"] / form["cw"], form["h"] / form["ch"]) if group else (form["w"], form["h"])
+    dx, dy = (-form["left"] * sx - form["w"] / 2, -form["top"] * sy - form["h"] / 2) if group else (-form["w"] / 2, -form["h"] / 2)
+    right, down = (F.cos(angle) * fx, F.sin(angle) * fx), (-F.sin(angle) * fy, F.cos(angle) * fy)
+    return F.array(right[0] * sx, right[1] * sx, down[0] * sy, down[1] * sy, *(right[k] * dx + down[k] * dy + form["xy"[k]] + form["wh"[k]] / 2 for k in (0, 1)))
 
 
 def _line(shape) -> tuple[int | None, str | None]:
@@ -196,66 +205,53 @@ def _line(shape) -> tuple[int | None, str | None]:
 def objects(df: DataFrame) -> DataFrame:
     """Shapes, pictures, frames and connectors of every slide in paint order, also inside groups.
 
-    x_emu to rotation_deg are the object's own; matrix maps its unit square to the slide through all groups.
-    `unsupported` says why there is no matrix, or why a picture isn't simply a rectangle of pixels.
+    x_emu to rotation_deg are the object's own; matrix maps its unit square to the slide through all groups, multiplied
+    from the outermost inwards.  `unsupported` says why there is no matrix, or why a picture isn't simply a rectangle of pixels.
     """
 
     def read(name, package):
         for n, (part, _, _) in enumerate(package.slides(), 1):
             root = package.xml(part)
             tree = root.find(f"{P}cSld/{P}spTree") if root is not None else None
-            stack = [(e, (1, 0, 0, 1, 0, 0), None, 0) for e in reversed(tree if tree is not None else ())]
-            order = 0
-            while stack:
-                e, matrix, error, depth = stack.pop()
-                kind = e.tag.split("}")[-1]
+            todo, order = [(e, []) for e in reversed(tree if tree is not None else ())], 0
+            while todo:
+                e, groups = todo.pop()
+                kind = e.tag.rpartition("}")[2]
                 if kind == "grpSp":
-                    try:
-                        inner = product(matrix, placed(e.find(f"{P}grpSpPr/{A}xfrm"), True))
-                    except ValueError as why:
-                        inner, error = matrix, str(why)
-                    stack.extend((k, inner, error, depth + 1) for k in reversed(e))
+                    inner = [*groups, _form(e.find(f"{P}grpSpPr/{A}xfrm"), True)]
+                    todo.extend((k, inner) for k in reversed(e))
                 elif e.tag in HEADS:
-                    head = e.find(f"{P}{HEADS[e.tag]}/{P}cNvPr")
-                    form = e.find(f"{P}xfrm" if kind == "graphicFrame" else f"{P}spPr/{A}xfrm")
-                    own, why = None, error
-                    if why is None:
-                        try:
-                            own = [float(v) for v in product(matrix, placed(form, False))]
-                        except ValueError as x:
-                            why = str(x)
-                    off, ext = (form.find(f"{A}off"), form.find(f"{A}ext")) if form is not None else (None, None)
-                    size = [_whole(v.get(k, "0")) if v is not None else None for v, k in ((off, "x"), (off, "y"), (ext, "cx"), (ext, "cy"))]
+                    head, form = e.find(f"{P}{HEADS[e.tag]}/{P}cNvPr"), e.find(f"{P}xfrm" if kind == "graphicFrame" else f"{P}spPr/{A}xfrm")
+                    at = {p: form.find(f"{A}{p}") if form is not None else None for p in ("off", "ext")}
+                    size = [_whole(at[p].get(k, "0")) if at[p] is not None else None for p, k in (("off", "x"), ("off", "y"), ("ext", "cx"), ("ext", "cy"))]
                     preset, blip, crop = e.find(f"{P}spPr/{A}prstGeom"), e.find(f"{P}blipFill/{A}blip"), e.find(f"{P}blipFill/{A}srcRect")
-                    if own and kind == "pic":
-                        a, b, c, d = own[:4]
-                        if abs(a * c + b * d) > 1e-7 * math.hypot(a, b) * math.hypot(c, d):
-                            why = "not orthogonal"
-                        if a * d - b * c <= 0:
-                            why = "reflected"
-                        if e.find(f"{P}spPr/{A}custGeom") is not None or preset is not None and preset.get("prst") != "rect":
-                            why = "clipped"
-                        if any(x.tag.split("}")[-1] in EFFECTS for x in e.iter()):
-                            why = "has effects"
+                    clipped = e.find(f"{P}spPr/{A}custGeom") is not None or preset is not None and preset.get("prst") != "rect"
+                    effects = any(x.tag.rpartition("}")[2] in EFFECTS for x in e.iter())
                     text = "\n".join("".join(t.text or "" for t in p.iter(f"{A}t")) for p in e.iter(f"{A}p"))
+                    own = _form(form, False)
                     yield (
-                        name, n, part, order, depth, head.get("id") if head is not None else None, head.get("name") if head is not None else None, kind, preset.get("prst") if preset is not None else None, *size, (_whole(form.get("rot", "0")) or 0) / 60000 if form is not None else 0.0,
-                        form is not None and form.get("flipH") in ("1", "true"), form is not None and form.get("flipV") in ("1", "true"), own, why, *_line(e), blip.get(f"{R}embed") if blip is not None else None, [_real(crop.get(k, "0"), 0.0) / 100000 for k in "ltrb"] if crop is not None else [0.0] * 4, text,
+                        name, n, part, order, len(groups), head.get("id") if head is not None else None, head.get("name") if head is not None else None, kind, preset.get("prst") if preset is not None else None, *size, (_whole(form.get("rot", "0")) or 0) / 60000 if form is not None else 0.0,
+                        own["flip_h"], own["flip_v"], groups, own, clipped, effects, *_line(e), blip.get(f"{R}embed") if blip is not None else None, [_real(crop.get(k, "0"), 0.0) / 100000 for k in "ltrb"] if crop is not None else [0.0] * 4, text,
                     )
                     order += 1
 
-    return _each(df, read, OBJECT)
+    d = _each(df, read, RAW_OBJECT)
+    outer = F.get(F.filter(F.transform("groups", lambda g: _reason(g, True)), lambda w: w.isNotNull()), F.lit(0))
+    why = F.coalesce(outer, _reason(F.col("own"), False))
+    still = F.array(*(F.lit(float(v)) for v in (1, 0, 0, 1, 0, 0)))
+    d = d.withColumns({"why": why, "maps": F.transform("groups", lambda g: _map(g, True)), "unit": _map(F.col("own"), False)})
+    d = d.withColumn("around", F.aggregate("maps", still, affine)).withColumn("matrix", F.when(F.col("why").isNull(), affine(F.col("around"), F.col("unit"))))
+    a, b, c, e = (F.get("matrix", F.lit(k)) for k in range(4))
+    picture = (F.col("kind") == "pic") & F.col("matrix").isNotNull()
+    skewed = F.abs(a * c + b * e) > 1e-7 * F.hypot(a, b) * F.hypot(c, e)
+    unlike = F.when(picture, F.when(F.col("effects"), "has effects").when(F.col("clipped"), "clipped").when(a * e - b * c <= 0, "reflected").when(skewed, "not orthogonal"))
+    return d.withColumn("unsupported", F.coalesce("why", unlike)).select(*(c.strip().split(" ")[0] for c in OBJECT.replace("array<double>", "array").split(",")))
 
 
 # Drawing elements that change how a picture's pixels appear.
 EFFECTS = frozenset("effectLst effectDag tile alphaModFix duotone lum grayscl clrChange scene3d sp3d".split())
 
 
-def shapes(df: DataFrame) -> DataFrame:
-    """objects() with text, by the names of older callers."""
-    return objects(df).select("package", "part", "slide", "ord", "shape_id", "name", "kind", "x_emu", "y_emu", "w_emu", "h_emu", "rotation_deg", "text")
-
-
 def runs(df: DataFrame) -> DataFrame:
     """Text runs with the size and baseline that they inherit: level default, then paragraph default, then the run's own, times the text's autofit scale.
 
