@@ -264,12 +264,12 @@ def mask_iou(spark, sf_dir):
 
 
 @query("""
-SELECT w.word, count(*) AS n FROM (SELECT DISTINCT substring(p_name, 1, 3 + p_size % 6) AS word FROM part WHERE p_partkey % 40 = 0) w JOIN part p ON starts_with(p.p_name, w.word) AND p.p_partkey % 40 <> 0 GROUP BY 1""")
+SELECT w.word, count(*) AS n FROM (SELECT DISTINCT substring(p_name, 1, 3 + p_size % 6) AS word FROM part) w JOIN part p ON starts_with(p.p_name, w.word) GROUP BY 1""")
 def prefix_join(spark, sf_dir):
     """Names that begin with prefixes taken from other names; a name's own prefixes are the keys, so the join is by equality."""
     p = table(spark, sf_dir, "part")
-    words = p.filter("p_partkey % 40 = 0").select(F.expr("substring(p_name, 1, cast(3 + p_size % 6 as int))").alias("word")).distinct()
-    own = p.filter("p_partkey % 40 <> 0").select(F.explode(F.transform(F.sequence(F.lit(1), F.least(F.length("p_name"), F.lit(8))), lambda k: F.substring("p_name", F.lit(1), k))).alias("word"))
+    words = p.select(F.expr("substring(p_name, 1, cast(3 + p_size % 6 as int))").alias("word")).distinct()
+    own = p.select(F.explode(F.transform(F.sequence(F.lit(1), F.least(F.length("p_name"), F.lit(8))), lambda k: F.substring("p_name", F.lit(1), k))).alias("word"))
     return own.join(words, "word").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -300,9 +300,9 @@ def region_components(spark, sf_dir):
 
 
 @query("""
-WITH RECURSIVE e AS (SELECT c_custkey AS a, c_custkey + 7 AS b FROM customer WHERE c_custkey % 5 <> 0), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+WITH RECURSIVE e AS (SELECT c_custkey AS a, CASE WHEN c_custkey % 5 = 0 THEN c_custkey ELSE c_custkey + 7 END AS b FROM customer), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
 r(id, to_id) AS (SELECT a, a FROM u UNION SELECT r.id, u.b FROM r JOIN u ON r.to_id = u.a) SELECT id, min(to_id) AS component FROM r GROUP BY 1""")
 def components(spark, sf_dir):
     """Connected components of chains of customers."""
-    c = table(spark, sf_dir, "customer").filter("c_custkey % 5 <> 0")
-    return graph.components(c.select(F.col("c_custkey").alias("a"), (F.col("c_custkey") + 7).alias("b")))
+    c = F.col("c_custkey")
+    return graph.components(table(spark, sf_dir, "customer").select(c.alias("a"), F.when(c % 5 == 0, c).otherwise(c + 7).alias("b")))

@@ -212,7 +212,7 @@ def marker_steps(spark, sf_dir):
     return flood.partition(p, seeds, "image_id").select("image_id", "x", "step", "owner")
 
 
-FIELD = """SELECT CAST(p_partkey % 20 AS BIGINT) AS image_id, CAST(floor(p_partkey / 20e0) % 10 AS INT) AS y, CAST(floor(p_partkey / 200e0) AS INT) AS x, CAST(floor(p_partkey / 200e0) % 256 AS INT) AS r, CAST(p_partkey % 20 * 9 AS INT) AS g, 100 AS b, 255 AS a FROM {part}"""
+FIELD = """SELECT CAST(floor(p_partkey / 2000e0) * 5 + p_partkey % 5 AS BIGINT) AS image_id, CAST(floor(p_partkey / 5e0) % 4 AS INT) AS y, CAST(floor(p_partkey % 2000 / 20e0) AS INT) AS x, CAST(floor(p_partkey % 2000 / 20e0) * 2 + 20 AS INT) AS r, CAST(p_partkey % 5 * 9 AS INT) AS g, 100 AS b, 255 AS a FROM {part}"""
 
 
 @query(
@@ -223,7 +223,7 @@ SELECT image_id, 2 AS count, CAST(round_even(greatest(0, c), 0) AS INT) AS r0, C
 def field_stops(spark, sf_dir):
     """The two stops of images that rise evenly from left to right: those of the straight line through their pixels."""
     p = derived(spark, sf_dir, FIELD)
-    boxes = p.groupBy("image_id").agg(F.lit(0.0).alias("bx"), F.lit(0.0).alias("by"), (F.max("x") + 1.0).alias("bw"), F.lit(10.0).alias("bh"))
+    boxes = p.groupBy("image_id").agg(F.lit(0.0).alias("bx"), F.lit(0.0).alias("by"), (F.max("x") + 1.0).alias("bw"), F.lit(4.0).alias("bh"))
     got = fields.field(p, boxes, "linear", counts=(2, 3))
     first, last = F.get("stops", F.lit(0)), F.element_at("stops", -1)
     turned = F.col("angle") > 90
@@ -547,32 +547,32 @@ ITEMS = """SELECT o_orderkey AS ord, CASE WHEN o_orderkey % 9 = 0 THEN '' ELSE c
 
 @query(
     """WITH i AS (SELECT *, CAST(ord AS VARCHAR) AS s FROM {items})
-SELECT 'id missing' AS rule, s AS subject FROM i WHERE id = '' UNION ALL SELECT 'id repeated', s FROM (SELECT s, id, ord, min(ord) OVER (PARTITION BY id) AS f FROM i) t WHERE id <> '' AND (ord > f OR id IN (SELECT 'm' || CAST(c_custkey AS VARCHAR) FROM customer WHERE c_custkey < 80))
-UNION ALL SELECT 'unknown module', s FROM i WHERE module NOT IN (SELECT 'm' || CAST(c_custkey AS VARCHAR) FROM customer WHERE c_custkey < 80)
+SELECT 'id missing' AS rule, s AS subject FROM i WHERE id = '' UNION ALL SELECT 'id repeated', s FROM (SELECT s, id, ord, min(ord) OVER (PARTITION BY id) AS f FROM i) t WHERE id <> '' AND (ord > f OR id IN (SELECT 'm' || CAST(c_custkey * 2 AS VARCHAR) FROM customer))
+UNION ALL SELECT 'unknown module', s FROM i WHERE module NOT IN (SELECT 'm' || CAST(c_custkey * 2 AS VARCHAR) FROM customer)
 UNION ALL SELECT 'unknown role', s FROM i WHERE role = 'oval' UNION ALL SELECT 'unknown representation', s FROM i WHERE representation = 'sketch' UNION ALL SELECT 'slide not positive', s FROM i WHERE output_slide < 1
 UNION ALL SELECT 'text missing', s FROM i WHERE role = 'text' AND text = ' ' UNION ALL SELECT 'invalid box', s FROM i WHERE w <= 0 OR x < 0 UNION ALL SELECT 'box beyond the canvas', s FROM i WHERE w > 0 AND x >= 0 AND x + w > 100 + 1e-6
 UNION ALL SELECT 'no raster exception', s FROM i WHERE representation = 'source_crop' AND raster_exception IS NULL UNION ALL SELECT 'unknown raster exception', s FROM i WHERE representation = 'source_crop' AND raster_exception IS NOT NULL AND raster_exception NOT IN (SELECT 'x' || CAST(n_nationkey AS VARCHAR) FROM nation)
-UNION ALL SELECT 'module without items', m FROM (SELECT 'm' || CAST(c_custkey AS VARCHAR) AS m FROM customer WHERE c_custkey < 80) t WHERE m NOT IN (SELECT module FROM i)""",
+UNION ALL SELECT 'module without items', m FROM (SELECT 'm' || CAST(c_custkey * 2 AS VARCHAR) AS m FROM customer) t WHERE m NOT IN (SELECT module FROM i)""",
     items=ITEMS,
 )
 def manifest_items(spark, sf_dir):
     """Violations of an inventory of items."""
     i = derived(spark, sf_dir, ITEMS).withColumn("bbox", F.array("x", F.lit(0.0), "w", F.lit(5.0))).withColumn("required_count", F.lit(1))
-    m = table(spark, sf_dir, "customer").filter("c_custkey < 80").select(F.concat(F.lit("m"), "c_custkey").alias("id"))
+    m = table(spark, sf_dir, "customer").select(F.concat(F.lit("m"), F.col("c_custkey") * 2).alias("id"))
     return manifest.items(i, m, table(spark, sf_dir, "nation").select(F.concat(F.lit("x"), "n_nationkey").alias("id")), 100.0, 100.0, dense=True)
 
 
 @query(
-    """WITH c AS (SELECT DISTINCT o_custkey AS a, o_orderkey % 700 AS b, o_orderkey AS id FROM orders WHERE o_orderkey % 50 = 0), n AS (SELECT c_custkey AS id, c_custkey % 400 AS out FROM customer WHERE c_custkey % 2 = 0), e AS (SELECT o_orderkey AS id FROM orders WHERE o_orderkey % 75 = 0)
+    """WITH c AS (SELECT DISTINCT o_custkey AS a, o_orderkey % 700 AS b, o_orderkey AS id FROM orders), n AS (SELECT c_custkey * 2 AS id, c_custkey % 400 AS out FROM customer), e AS (SELECT DISTINCT o_orderkey + o_custkey % 3 * 7 AS id FROM orders)
 SELECT 'module without node role' AS rule, CAST(id AS VARCHAR) AS subject FROM (SELECT a AS id FROM c UNION SELECT b FROM c) t WHERE id NOT IN (SELECT id FROM n) UNION ALL SELECT 'edge role without connection', CAST(id AS VARCHAR) FROM e WHERE id NOT IN (SELECT id FROM c)
 UNION ALL SELECT 'connection without edge role', CAST(id AS VARCHAR) FROM c WHERE id NOT IN (SELECT id FROM e) UNION ALL SELECT 'output of several roles', 'o' || CAST(out AS VARCHAR) FROM n GROUP BY out HAVING count(*) > 1"""
 )
 def manifest_grammar(spark, sf_dir):
     """Node and edge roles against connections, both ways."""
     o = table(spark, sf_dir, "orders")
-    c = o.filter("o_orderkey % 50 = 0").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("source"), (F.col("o_orderkey") % 700).alias("target"))
-    n = table(spark, sf_dir, "customer").filter("c_custkey % 2 = 0").select(F.col("c_custkey").alias("id"), F.array(F.concat(F.lit("o"), F.col("c_custkey") % 400)).alias("output_names"))
-    return manifest.grammar(c, n, o.filter("o_orderkey % 75 = 0").select(F.col("o_orderkey").alias("id")))
+    c = o.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("source"), (F.col("o_orderkey") % 700).alias("target"))
+    n = table(spark, sf_dir, "customer").select((F.col("c_custkey") * 2).alias("id"), F.array(F.concat(F.lit("o"), F.col("c_custkey") % 400)).alias("output_names"))
+    return manifest.grammar(c, n, o.select((F.col("o_orderkey") + F.col("o_custkey") % 3 * 7).alias("id")))
 
 
 @query("SELECT l_orderkey * 8 + l_linenumber AS ord, CAST(round_even(l_quantity * 1.5, 0) AS BIGINT) AS x0, CASE WHEN l_linenumber = 7 THEN 'no name' WHEN round_even(l_tax * 100, 0) <= 0 THEN 'no size or negative origin' WHEN round_even(l_quantity * 1.5, 0) + round_even(l_tax * 100, 0) > 70 THEN 'beyond the canvas' END AS rule FROM lineitem")
@@ -686,7 +686,7 @@ def rectangle_areas(spark, sf_dir):
     """Exact area of unions of boxes; on whole numbers, the number of unit squares."""
     o = table(spark, sf_dir, "orders")
     d = o.select((F.col("o_custkey") % 60).alias("g"), *(c.alias(n) for c, n in zip((F.col("o_orderkey") % 40, F.col("o_custkey") % 30, 1 + F.col("o_orderkey") % 5, 1 + F.col("o_custkey") % 4), "xywh", strict=True)))
-    return intervals.rectangle_union(d, ["g"])
+    return intervals.rectangle_union(d, ["g"]).withColumn("area", F.col("area").cast("long"))
 
 
 @query('SELECT k, "group", count(*) AS members, min(p) AS first, max(p) - min(p) + 1 = count(*) AS contiguous FROM (SELECT l_orderkey AS k, l_returnflag AS "group", row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity, l_linenumber) AS p FROM {one}) t GROUP BY k, "group"', one=ONE)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from figmill.functions import text as T
 from figmill.functions.numeric import finite
+from figmill.operators import graph
 from figmill.operators import patterns as P
 
 PASS, FAIL, UNKNOWN = "PASS", "FAIL", "NOT_VERIFIED"
@@ -50,7 +51,7 @@ def evidence(elements: DataFrame, roles: DataFrame, tolerance: float = 0.01) ->
     target_name.  A line's box can't say which way it runs, so without endpoints nothing is verified.  The first
     reason that applies counts.
     """
-    named = elements.filter(T.stripped("name") != "")
+    named, roles = graph.cut(elements.filter(T.stripped("name") != "")), graph.cut(roles)
     count = named.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.first("geometry").alias("geometry"), F.first("bbox").alias("bbox"), F.first("endpoints").alias("endpoints"))
     lines = named.filter(F.col("geometry") == "line")
     matched = roles.select("edge", "pattern").join(P.matches(lines, roles), "pattern").join(lines, "name").groupBy("edge").agg(F.count(F.lit(1)).alias("n_lines"), F.sort_array(F.collect_list("name")).alias("names"), F.first("source_name").alias("source_name"), F.first("target_name").alias("target_name"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from figmill.functions.numeric import crosses
@@ -119,11 +119,10 @@ def worst_window(diff: DataFrame, size: int) -> DataFrame:
 
 
 def palette(pixels: DataFrame, most: int = 64) -> DataFrame:
-    """(image_id, r, g, b, a, n, rule): distinct colours with counts; an image with more than `most` has one row that says so."""
+    """(image_id, r, g, b, a, n, rule): distinct colours with counts, however many; those of an image with more than `most` carry the rule that says so."""
     c = pixels.groupBy("image_id", "r", "g", "b", "a").agg(F.count(F.lit(1)).alias("n"))
     k = c.groupBy("image_id").agg(F.count(F.lit(1)).alias("k"))
-    many = k.filter(F.col("k") > most).select("image_id", *(F.lit(None).cast("int").alias(x) for x in "rgba"), F.col("k").alias("n"), F.lit("too many colours").alias("rule"))
-    return c.join(k.filter(F.col("k") <= most).select("image_id"), "image_id", "left_semi").select("image_id", *(F.col(x).cast("int").alias(x) for x in "rgba"), "n", F.lit(None).cast("string").alias("rule")).unionByName(many)
+    return c.join(k, "image_id").select("image_id", *(F.col(x).cast("int").alias(x) for x in "rgba"), "n", F.when(F.col("k") > most, "too many colours").alias("rule"))
 
 
 def masked(pixels: DataFrame, mask: DataFrame) -> DataFrame:
@@ -191,7 +190,9 @@ def surfaces(relations: DataFrame, paths: DataFrame) -> DataFrame:
 def candidates(images: DataFrame, operations: DataFrame, most: int = 32) -> DataFrame:
     """(id, n, numbers, cut): for images (id, box), the operations (seq, box) of the same box to four places: how many, and the first `most`."""
     key = lambda c: F.transform(c, lambda v: F.round(v, 4))
-    g = operations.select("seq", key("box").alias("k")).groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.slice(F.array_sort(F.collect_list("seq")), 1, most).alias("numbers"))
+    at = operations.select("seq", key("box").alias("k"))
+    first = at.withColumn("place", F.row_number().over(Window.partitionBy("k").orderBy("seq"))).filter(F.col("place") <= most)
+    g = at.groupBy("k").agg(F.count(F.lit(1)).alias("n")).join(first.groupBy("k").agg(F.array_sort(F.collect_list("seq")).alias("numbers")), "k")
     j = images.select("id", key("box").alias("k")).join(g, "k", "left")
     return j.select("id", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("numbers", F.array().cast("array<int>")).alias("numbers"), (F.coalesce("n", F.lit(0)) > most).alias("cut"))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from figmill.functions import text as T
 from figmill.functions.numeric import finite
-from figmill.operators import coverage
+from figmill.operators import coverage, graph
 
 # The roles and representations that an item may have.
 ROLES = ("text", "shape", "icon", "connector", "image", "evidence", "decoration", "chart", "table")
@@ -36,26 +36,26 @@ def items(inventory: DataFrame, modules: DataFrame, exceptions: DataFrame, width
     manifest needs an item in every module.
     """
     at = F.col("ord").cast("string").alias("s")
+    inventory = graph.cut(inventory)
     first = inventory.filter(~blank("id")).groupBy("id").agg(F.min("ord").alias("first"))
     again = inventory.join(first, "id").filter("ord > first").select(at).unionByName(inventory.join(modules.select("id"), "id", "left_semi").select(at)).distinct()
-    raster = inventory.filter(F.col("representation").isin("source_crop", "evidence_raster"))
+    raster = F.coalesce(F.col("representation").isin("source_crop", "evidence_raster"), F.lit(False))
+    no = lambda test, rule: F.when(test, rule)
+    own = F.array_compact(
+        F.array(
+            no(blank("id"), "id missing"), no(~F.coalesce(F.col("role").isin(*roles), F.lit(False)), "unknown role"), no(~F.coalesce(F.col("representation").isin(*representations), F.lit(False)), "unknown representation"),
+            no(F.col("output_slide") < 1, "slide not positive"), no(F.col("required_count") < 1, "count not positive"), no((F.col("role") == "text") & blank("text"), "text missing"), no(F.col("bbox").isNotNull() & box_issue(F.col("bbox")).isNotNull(), "invalid box"),
+            no(box_issue(F.col("bbox")).isNull() & ~inside(F.col("bbox"), width, height), "box beyond the canvas"), no(raster & blank("raster_exception"), "no raster exception"),
+        )
+    )
     rules = {
-        "id missing": inventory.filter(blank("id")).select(at),
         "id repeated": again,
         "unknown module": inventory.join(modules.select(F.col("id").alias("module")), "module", "left_anti").select(at),
-        "unknown role": inventory.filter(~F.coalesce(F.col("role").isin(*roles), F.lit(False))).select(at),
-        "unknown representation": inventory.filter(~F.coalesce(F.col("representation").isin(*representations), F.lit(False))).select(at),
-        "slide not positive": inventory.filter("output_slide < 1").select(at),
-        "count not positive": inventory.filter("required_count < 1").select(at),
-        "text missing": inventory.filter((F.col("role") == "text") & blank("text")).select(at),
-        "invalid box": inventory.filter(F.col("bbox").isNotNull() & box_issue(F.col("bbox")).isNotNull()).select(at),
-        "box beyond the canvas": inventory.filter(box_issue(F.col("bbox")).isNull() & ~inside(F.col("bbox"), width, height)).select(at),
-        "no raster exception": raster.filter(blank("raster_exception")).select(at),
-        "unknown raster exception": raster.filter(~blank("raster_exception")).join(exceptions.select(F.col("id").alias("raster_exception")), "raster_exception", "left_anti").select(at),
+        "unknown raster exception": inventory.filter(raster & ~blank("raster_exception")).join(exceptions.select(F.col("id").alias("raster_exception")), "raster_exception", "left_anti").select(at),
     }
     if dense:
         rules["module without items"] = modules.select("id").join(inventory.select(F.col("module").alias("id")), "id", "left_anti").select(F.col("id").alias("s"))
-    return coverage.violations(rules, "s")
+    return inventory.select(F.explode(own).alias("rule"), at).withColumnRenamed("s", "subject").unionByName(coverage.violations(rules, "s"))
 
 
 def grammar(connections: DataFrame, node_roles: DataFrame, edge_roles: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from figmill.functions.numeric import number, projected_overlap
-from figmill.operators import coverage
+from figmill.operators import coverage, graph
 
 # Which names are flow lines, and how route legs and buses are named.
 INCLUDE = r"(?i)(?:^|[-_])(flow|connector|route|segment|bus|link)(?:[-_]|$)"
@@ -44,17 +44,15 @@ def audit(elements: DataFrame, tolerance: float = 0.05, shared: float = 1.0, inc
     test of continuity; all legs' ends count for a bus.  A branch belongs to every bus whose name its own begins with.
     """
     chosen = selected(elements, include, allow)
-    l = lines(chosen, tolerance)
+    l = graph.cut(lines(chosen, tolerance))  # every rule below reads it
     issue = lambda d, rule, subject: d.select("file", F.lit(rule).alias("rule"), F.col(subject).alias("subject"))
-    found = [
-        issue(chosen.filter("bbox is null or size(bbox) <> 4"), "invalid bbox", "name"),
-        issue(l.filter("orientation = 'point'"), "zero-length line", "name"),
-        issue(l.filter("orientation = 'diagonal'"), "diagonal line", "name"),
-        issue(l.filter(F.least(F.col("rotation"), F.abs(F.col("rotation") - 360)) > tolerance), "rotated line", "name"),
-    ]
+    turned = F.least(F.col("rotation"), F.abs(F.col("rotation") - 360)) > tolerance
+    own = F.array_compact(F.array(F.when(F.col("orientation") == "point", "zero-length line").when(F.col("orientation") == "diagonal", "diagonal line"), F.when(turned, "rotated line")))
+    found = [issue(chosen.filter("bbox is null or size(bbox) <> 4"), "invalid bbox", "name"), l.select("file", F.explode(own).alias("rule"), F.col("name").alias("subject"))]
     legs = l.filter("route is not null")
     gaps = coverage.sequence_gaps(legs, ["file", "route"], "index")
-    found += [issue(gaps.filter("has_gap"), "numbering gap", "route"), issue(gaps.filter("n_repeated > 0"), "repeated index", "route")]
+    numbering = F.array_compact(F.array(F.when(F.col("has_gap"), "numbering gap"), F.when(F.col("n_repeated") > 0, "repeated index")))
+    found.append(gaps.select("file", F.explode(numbering).alias("rule"), F.col("route").alias("subject")))
     ends = F.struct("ord", "name", "x0", "y0", "x1", "y1")
     first = legs.groupBy("file", "route", "index").agg(F.min(ends).alias("e")).select("file", "route", "index", "e.*")
     w = Window.partitionBy("file", "route").orderBy("index")

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 
 ELEMENT = "struct<geometry:string,name:string,text:string,bbox:array<double>,rotation:double,resolvedFontSize:double,resolvedTextStyle:struct<fontSize:double>,runs:array<struct<text:string,fontSize:double,baseline:double>>,endpoints:array<array<double>>,source_name:string,target_name:string>"
 
@@ -39,11 +40,24 @@ def detect_format(path, override=None):
     return F.coalesce(F.when(said.isin("dot", "gv"), "graphviz").otherwise(F.nullif(said, F.lit(""))), by_name)
 
 
+def _endless(c: Column, kind: DataType) -> Column:
+    """Whether a value holds a number that isn't finite, at any depth."""
+    if kind.simpleString() in ("double", "float"):
+        return F.coalesce(F.isnan(c) | (F.abs(c) == float("inf")), F.lit(False))
+    if isinstance(kind, ArrayType):
+        return F.coalesce(F.exists(c, lambda v: _endless(v, kind.elementType)), F.lit(False))
+    if isinstance(kind, MapType):
+        return F.coalesce(F.exists(F.map_values(c), lambda v: _endless(v, kind.valueType)), F.lit(False))
+    out = F.lit(False)
+    for f in kind if isinstance(kind, StructType) else ():
+        out = out | _endless(c.getField(f.name), f.dataType)
+    return out
+
+
 def write_json(df: DataFrame, path: str) -> None:
     """Writes rows as JSON lines; fails if the path has something, or if a number isn't finite."""
     bad = F.lit(False)
     for f in df.schema:
-        if f.dataType.simpleString() in ("double", "float"):
-            bad = bad | F.isnan(f"`{f.name}`") | (F.abs(F.col(f"`{f.name}`")) == float("inf"))
+        bad = bad | _endless(F.col(f"`{f.name}`"), f.dataType)
     checked = df.withColumn("bad_", F.when(F.coalesce(bad, F.lit(False)), F.raise_error(F.lit("a number is not finite")).cast("int"))).filter("bad_ is null").drop("bad_")
     checked.write.mode("errorifexists").json(path)

@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from figmill.plans import analogues, checks  # noqa: F401
+from figmill.plans import analogues, checks, figures  # noqa: F401
 from figmill.plans.registry import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
