@@ -37,7 +37,12 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _by_range(items: DataFrame) -> DataFrame:
-    """The items dealt by range and sorted, written once; the plan isn't adaptive meanwhile, so that later steps know how they lie."""
+    """The items dealt by range and sorted.
+
+    They are written before, as Spark looks for the ranges' bounds in a pass of its own, which then needn't split all texts
+    again; and after, in a plan that isn't adaptive, so that later steps know how they lie.
+    """
+    items = checkpointed(items)
     conf, key = items.sparkSession.conf, "spark.sql.adaptive.enabled"
     before = conf.get(key)
     try:
