@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from figmill.functions import numeric as N
 from figmill.operators import coverage, graph, masks, rings, series
-from figmill.plans import connectors, curves, documents, editability, images, manifest, runner, structure, texts
+from figmill.plans import connectors, contracts, curves, documents, editability, evidence, images, manifest, runner, structure, texts
 from figmill.plans.checks import PIXELS, SERIES, STRIPS, pixels
 from figmill.plans.registry import derived, query, table
 
@@ -220,3 +220,60 @@ def quality_run(spark, sf_dir):
         runner.Check("curves", None),
     ]
     return runner.run(spark, checks, f"{graph.shared_folder(spark)}/quality-{uuid.uuid4().hex}", [sf_dir]).drop("reason")
+
+
+@query("""
+WITH i AS (SELECT o_custkey AS path, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS spot, 'i' || CAST(o_orderkey % 400 AS VARCHAR) AS id, 'm' || CAST(o_orderkey % 3 AS VARCHAR) AS module, o_orderkey % 4 AS role, o_orderkey % 8 AS said, o_orderkey % 90 AS x FROM orders),
+c AS (SELECT path, max(o_orderkey) AS top FROM i GROUP BY path)
+SELECT path, 'id repeated' AS rule, id AS subject FROM i GROUP BY path, id HAVING count(*) > 1 UNION ALL SELECT path, 'item in unknown module', module FROM i WHERE module = 'm2'
+UNION ALL SELECT path, 'unknown role', CAST(spot AS VARCHAR) FROM i WHERE role = 2 UNION ALL SELECT path, 'text missing', CAST(spot AS VARCHAR) FROM i WHERE role = 0 AND said = 0 UNION ALL SELECT path, 'item beyond the canvas', CAST(spot AS VARCHAR) FROM i WHERE x + 20 > 100
+UNION ALL SELECT path, 'module without items', m FROM c, (VALUES ('m0'), ('m1')) v(m) WHERE top % 5 = 0 AND NOT EXISTS (SELECT 1 FROM i WHERE i.path = c.path AND i.module = m)
+UNION ALL SELECT path, 'connection to unknown module', 'm' || CAST(top % 3 AS VARCHAR) FROM c WHERE top % 3 = 2
+UNION ALL SELECT path, 'no grammar', '' FROM c WHERE top % 5 = 0 AND top % 2 = 1 UNION ALL SELECT path, 'edge pattern', 'c' FROM c WHERE top % 2 = 0 AND top % 7 = 0 UNION ALL SELECT path, 'connected module without role', 'm1' FROM c WHERE top % 2 = 0 AND top % 3 = 1""")
+def manifest_contracts(spark, sf_dir):
+    """A manifest of each customer's orders, with faults that follow their numbers, against all contracts."""
+    k = F.col("o_orderkey")
+    number = lambda prefix, v: F.concat(F.lit(prefix), v.cast("string"))
+    role = F.when(k % 4 == 0, "text").when(k % 4 == 1, "icon").when(k % 4 == 2, "oval").otherwise("chart")
+    item = F.struct(k.alias("k"), number("i", k % 400).alias("id"), number("m", k % 3).alias("module"), role.alias("role"), F.when(k % 8 == 0, " ").otherwise("x").alias("text"), F.lit("native_primitive").alias("representation"), F.array((k % 90).cast("double"), F.lit(0.0), F.lit(20.0), F.lit(5.0)).alias("bbox"))
+    d = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("path")).agg(F.array_sort(F.collect_list(item)).alias("source_inventory"), F.max(k).alias("top"))
+    top = F.col("top")
+    module = F.array(*(F.struct(F.lit(m).alias("id"), F.array(*map(F.lit, (x, 0.0, 40.0, 40.0))).alias("bbox")) for m, x in (("m0", 0.0), ("m1", 50.0))))
+    node = lambda m: F.struct(F.lit("r").alias("role"), F.array(F.lit("rect")).alias("allowed_geometries"), F.array(F.lit(f"{m}-box")).alias("output_names"))
+    edges = F.create_map(F.lit("c"), F.struct(F.lit("r").alias("role"), F.when(top % 7 == 0, "[").otherwise("^c").alias("output_name_regex")))
+    nodes = F.when(top % 3 == 1, F.create_map(F.lit("m0"), node("m0"))).otherwise(F.create_map(F.lit("m0"), node("m0"), F.lit("m1"), node("m1")))
+    grammar = F.when(top % 2 == 0, F.struct(F.lit("flow").alias("visual_type"), F.lit(True).alias("preserve_visual_type"), F.lit(False).alias("allow_representation_change"), F.lit("direct").alias("routing"), nodes.alias("node_roles"), edges.alias("edge_roles")))
+    whole = F.struct(
+        F.lit(1).alias("schema_version"), F.lit("faithful").alias("mode"), F.when(top % 5 == 0, "dense").otherwise("fast").alias("execution_profile"), F.struct(F.lit("a.png").alias("path")).alias("source"), F.struct(F.lit(100.0).alias("width"), F.lit(80.0).alias("height")).alias("canvas"),
+        F.array(F.struct(F.lit("svg").alias("format"), F.lit("b.svg").alias("path"))).alias("targets"), module.alias("modules"), "source_inventory", F.array(F.struct(F.lit("c").alias("id"), F.lit("m0").alias("source"), number("m", top % 3).alias("target"))).alias("connections"), grammar.alias("diagram_grammar"),
+    )
+    return contracts.violations(d.select(F.col("path").cast("string").alias("path"), F.to_json(whole).alias("content"))).select(F.col("path").cast("long").alias("path"), "rule", "subject")
+
+
+@query("SELECT coalesce(r.id, f.id) AS id, CASE WHEN f.id IS NULL THEN 'missing file' WHEN r.id IS NULL THEN 'extra file' ELSE 'changed file' END AS rule FROM (SELECT doc_id AS id, sha256(coalesce(text, '')) AS h FROM documents) r FULL JOIN (SELECT doc_id + 3 - doc_id % 7 % 2 * 3 AS id, min(sha256(coalesce(text, ''))) AS h FROM documents GROUP BY 1 HAVING count(*) = 1) f ON f.id = r.id WHERE r.id IS NULL OR f.id IS NULL OR r.h <> f.h")
+def bound_files(spark, sf_dir):
+    """Receipts of documents against files, some of which stand under other numbers: missing, extra and changed."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha256"))
+    moved = F.col("doc_id") + 3 - F.col("doc_id") % 7 % 2 * 3
+    files = d.groupBy(moved.alias("id")).agg(F.min("sha256").alias("sha256"), F.count(F.lit(1)).alias("n")).filter("n = 1").drop("n")
+    return evidence.bound(d.withColumnRenamed("doc_id", "id"), files, ["id"])
+
+
+@query("""
+WITH p AS (SELECT o_orderkey AS k, o_orderkey % 11 = 0 AS lost, o_orderkey % 13 = 0 AS twice, o_orderkey % 5 = 0 AS other, o_orderkey % 7 = 0 AS off, o_orderkey % 6 = 0 AS turned FROM orders), r AS (SELECT *, NOT lost AND NOT twice AS one FROM p)
+SELECT 'not one picture' AS rule, CAST(k AS VARCHAR) AS subject FROM r WHERE NOT one UNION ALL SELECT 'media differ', CAST(k AS VARCHAR) FROM r WHERE one AND other UNION ALL SELECT 'moved', CAST(k AS VARCHAR) FROM r WHERE one AND off
+UNION ALL SELECT 'turned', CAST(k AS VARCHAR) FROM r WHERE one AND turned UNION ALL SELECT 'anchor moved', CAST(k AS VARCHAR) || '/a' FROM r WHERE one AND (off OR turned) UNION ALL SELECT 'picture without a plan', '1/x' || CAST(k AS VARCHAR) FROM r WHERE k % 17 = 0""")
+def picture_readback(spark, sf_dir):
+    """A planned picture of each order against a package's: lost, doubled, of other bytes, moved, turned, or not planned."""
+    o, k = table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    inch, none = float(evidence.INCH), F.array(*[F.lit(0.0)] * 4)
+    plan = o.select(k.cast("string").alias("instance_id"), F.lit("A").alias("asset_id"), F.lit(1).alias("slide"), k.cast("string").alias("output_name"), F.array(*map(F.lit, (1.0, 1.0, 1.0, 1.0))).alias("bbox_inches"), none.alias("crop"), F.lit(0.0).alias("rotation"), F.lit(0.01).alias("placement_tolerance_inches"), F.array(F.struct(F.lit("a").alias("id"), F.array(F.lit(0.0), F.lit(0.0)).alias("uv"), F.array(F.lit(1.0), F.lit(1.0)).alias("expected_inches"))).alias("anchors"))
+    x = F.when(k % 7 == 0, 1.5).otherwise(1.0)
+    upright = F.array(F.lit(inch), F.lit(0.0), F.lit(0.0), F.lit(inch), x * inch, F.lit(inch))
+    quarter = F.array(F.lit(0.0), F.lit(inch), F.lit(-inch), F.lit(0.0), (x + 1) * inch, F.lit(inch))
+    copies = F.when(k % 11 == 0, 0).when(k % 13 == 0, 2).otherwise(1)
+    shown = o.select(F.lit(1).alias("slide"), k.cast("string").alias("name"), F.lit("pic").alias("kind"), F.when(k % 6 == 0, quarter).otherwise(upright).alias("matrix"), none.alias("crop"), F.when(k % 5 == 0, "b").otherwise("a").alias("target"), F.lit(None).cast("string").alias("unsupported"), F.explode(F.array_repeat(F.lit(1), copies)).alias("copy")).drop("copy")
+    loose = o.filter("o_orderkey % 17 = 0").select(F.lit(1).alias("slide"), F.concat(F.lit("x"), k.cast("string")).alias("name"), F.lit("pic").alias("kind"), upright.alias("matrix"), none.alias("crop"), F.lit("a").alias("target"), F.lit(None).cast("string").alias("unsupported"))
+    assets = spark.range(1).select(F.lit("A").alias("asset_id"), F.lit("right").alias("sha256"), F.lit("illustration").alias("content_class"))
+    hashes = spark.range(2).select(F.when(F.col("id") == 0, "a").otherwise("b").alias("part"), F.when(F.col("id") == 0, "right").otherwise("wrong").alias("sha256"))
+    return evidence.readback(plan, assets, shown.unionByName(loose), hashes, (10 * inch, 5 * inch))

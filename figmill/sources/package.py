@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import io
 import math
 import posixpath
@@ -136,6 +137,18 @@ def parts(df: DataFrame) -> DataFrame:
     return df.select("package", "content").mapInArrow(run, PART)
 
 
+def part_hashes(df: DataFrame, wanted: str = "^ppt/media/") -> DataFrame:
+    """(package, part, size, sha256) of the parts whose names `wanted` finds; only these are unpacked."""
+    name_is = re.compile(wanted)
+
+    def read(name, package):
+        for part, about in package.names.items():
+            if name_is.search(part):
+                yield name, part, about.file_size, hashlib.sha256(package.zip.read(part)).hexdigest()
+
+    return _each(df, read, "package string, part string, size long, sha256 string")
+
+
 def resolve(source: str, target: str) -> str:
     return posixpath.normpath(posixpath.join(posixpath.dirname(source), target)).lstrip("/") if not target.startswith("/") else target.lstrip("/")
 
