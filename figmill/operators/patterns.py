@@ -42,14 +42,40 @@ def grams(text: Column, size: Column) -> Column:
     return F.array_distinct(F.transform(F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>")), lambda k: F.substring(text, k, size)))
 
 
-def _indexed(patterns: DataFrame) -> DataFrame:
-    """(pattern, literal, size): size is the longest of GRAMS that the literal has, null without a literal."""
-    lit = patterns.select("pattern").filter("pattern IS NOT NULL").distinct().withColumn("literal", literal(F.col("pattern")))
-    n = F.char_length("literal")
+def _fitting(n: Column) -> Column:
+    """The longest of GRAMS that a text of n characters has, null if it is empty."""
     size = F.when(n >= GRAMS[-1], GRAMS[-1])
     for below, above in reversed(list(zip(GRAMS, GRAMS[1:]))):
         size = size.when((n >= below) & (n < above), below)
-    return lit.withColumn("size", size)
+    return size
+
+
+def _rarest(mine: DataFrame, asked: DataFrame, key: str) -> DataFrame:
+    """(key, gram): of the grams that each key asks for, the one that fewest rows of `mine` (..., gram) have."""
+    count = mine.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    return asked.join(count, "gram", "left").groupBy(key).agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.col("gram"))).alias("gram"))
+
+
+def containing(texts: DataFrame, literals: DataFrame) -> DataFrame:
+    """(literal, text): every literal with every text that holds it, each pair once; an empty literal is in none.
+
+    texts (text) and literals (literal) may repeat and hold nulls.  A text is looked up by the rarest gram of a
+    literal, as in matches().
+    """
+    text = texts.select("text").filter("text IS NOT NULL").distinct()
+    p = literals.select("literal").filter("literal <> ''").distinct().withColumn("size", _fitting(F.char_length("literal")))
+    used = sorted(r["size"] for r in p.select("size").distinct().collect())  # some of GRAMS
+    if not used:
+        return p.select("literal", F.col("literal").alias("text"))
+    mine = text.select("text", F.explode(F.flatten(F.array(*(grams(F.col("text"), F.lit(k)) for k in used)))).alias("gram"))
+    asked = p.select("literal", F.explode(grams(F.col("literal"), F.col("size"))).alias("gram"))
+    return _rarest(mine, asked, "literal").join(mine, "gram").filter(F.contains("text", "literal")).select("literal", "text")
+
+
+def _indexed(patterns: DataFrame) -> DataFrame:
+    """(pattern, literal, size): size is the longest of GRAMS that the literal has, null without a literal."""
+    lit = patterns.select("pattern").filter("pattern IS NOT NULL").distinct().withColumn("literal", literal(F.col("pattern")))
+    return lit.withColumn("size", _fitting(F.char_length("literal")))
 
 
 def matches(names: DataFrame, patterns: DataFrame) -> DataFrame:
@@ -66,9 +92,7 @@ def matches(names: DataFrame, patterns: DataFrame) -> DataFrame:
     if used := sorted(k for k in sizes if k is not None):
         mine = name.select("name", F.explode(F.flatten(F.array(*(grams(F.col("name"), F.lit(k)) for k in used)))).alias("gram"))
         theirs = p.filter("size IS NOT NULL").select("pattern", F.explode(grams(F.col("literal"), F.col("size"))).alias("gram"))
-        count = mine.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
-        rarest = theirs.join(count, "gram", "left").groupBy("pattern").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.col("gram"))).alias("gram"))
-        out = rarest.join(mine, "gram").filter(F.regexp_like("name", F.col("pattern"))).select("pattern", "name")
+        out = _rarest(mine, theirs, "pattern").join(mine, "gram").filter(F.regexp_like("name", F.col("pattern"))).select("pattern", "name")
     if None in sizes:
         # a block holds BLOCK patterns, and every name meets every block once: what has no literal has to be tried on all
         blocks = -(-sizes[None] // BLOCK)

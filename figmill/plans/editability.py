@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from figmill.functions import text as T
 from figmill.functions.numeric import rotated_bounds
-
+from figmill.operators import patterns
 
 TOLERANCE, AREA = 12700, 0.8
 
@@ -47,10 +47,18 @@ def text_findings(runs: DataFrame, keys: list[str]) -> DataFrame:
     return one(T.placeholder(F.col("text")) & (t != ""), "placeholder").unionByName(one(T.mojibake(F.col("text")), "mojibake")).unionByName(fontless)
 
 
+def _holding(wanted: DataFrame, objects: DataFrame) -> DataFrame:
+    """wanted (literal, ...) with the `text` of every object (text) that holds the literal, white space apart."""
+    keyed = objects.withColumn("key_", T.match_key(F.col("text")))
+    pairs = patterns.containing(keyed.select(F.col("key_").alias("text")), wanted).withColumnRenamed("text", "key_")
+    return wanted.join(pairs, "literal").join(keyed, "key_").drop("key_", "literal")
+
+
 def inventory(items: DataFrame, objects: DataFrame) -> DataFrame:
     """(id, observed, required, valid) of declared texts (id, text, slide, name, shape_id, required; null: any) among objects (slide, name, shape_id, text).
 
-    The optional keys give eight kinds of items; each kind is an equi-join on the keys that it has.
+    The optional keys give eight kinds of items; each kind is an equi-join on the keys that it has.  Items without any
+    are looked up by their text without white space, which the object's must hold.
     """
     keys = ("slide", "name", "shape_id")
     declared = items.filter(T.stripped("text") != "")
@@ -61,7 +69,7 @@ def inventory(items: DataFrame, objects: DataFrame) -> DataFrame:
         for n, k in enumerate(keys):
             kind = kind.filter(F.col(k).isNotNull() if mask >> n & 1 else F.col(k).isNull())
         kind = kind.select("id", F.col("text").alias("token"), *on)
-        found = kind.join(objects.select("text", *on), on) if on else kind.crossJoin(objects.select("text"))  # declared texts without keys: a stated, small set against all objects
+        found = kind.join(objects.select("text", *on), on) if on else _holding(kind.withColumn("literal", T.match_key(F.col("token"))), objects.select("text"))
         n = found.groupBy("id").agg(F.sum(T.token_count(F.col("text"), F.col("token"))).alias("observed"))
         hits = n if hits is None else hits.unionByName(n)
     required = F.coalesce("required", F.lit(1))
@@ -159,7 +167,8 @@ def placements(pictures: DataFrame, images: DataFrame, min_dpi: float, min_pixel
 def missing_required(texts: DataFrame, objects: DataFrame) -> DataFrame:
     """Declared texts (ord, text), each once, that no object says."""
     wanted = T.first_by_key(texts, [], "text", "ord")
-    hit = wanted.crossJoin(objects.select(F.col("text").alias("said"))).filter(T.token_count(F.col("said"), F.col("text")) > 0)  # a stated set of texts against all objects
+    asked = wanted.select("ord", F.col("text").alias("token"), T.match_key(F.col("text")).alias("literal"))
+    hit = _holding(asked, objects.select("text")).filter(T.token_count(F.col("text"), F.col("token")) > 0)
     return wanted.join(hit.select("ord").distinct(), "ord", "left_anti").select("text")
 
 

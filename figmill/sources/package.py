@@ -5,7 +5,6 @@ from __future__ import annotations
 import hashlib
 import io
 import math
-import posixpath
 import re
 import zipfile
 import zlib
@@ -13,27 +12,26 @@ from functools import reduce
 from xml.etree import ElementTree
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from figmill.functions.numeric import affine
+from figmill.operators import graph
 
 A = "{http://schemas.openxmlformats.org/drawingml/2006/main}"
 P = "{http://schemas.openxmlformats.org/presentationml/2006/main}"
 C = "{http://schemas.openxmlformats.org/drawingml/2006/chart}"
 R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 HEADS = {f"{P}sp": "nvSpPr", f"{P}pic": "nvPicPr", f"{P}graphicFrame": "nvGraphicFramePr", f"{P}cxnSp": "nvCxnSpPr"}
-RELATION = "package string, source_part string, id string, target string, target_mode string, type string"
 PART = "package string, part string, size long, error string"
-SLIDE = "package string, slide int, part string, width long, height long"
 OBJECT = "package string, slide int, part string, ord int, depth int, shape_id string, name string, kind string, preset string, x_emu long, y_emu long, w_emu long, h_emu long, rotation_deg double, flip_h boolean, flip_v boolean, matrix array<double>, unsupported string, line_width long, line_color string, target_id string, crop array<double>, text string"
 FORM = "struct<x:double,y:double,w:double,h:double,turn:double,flip_h:boolean,flip_v:boolean,left:double,top:double,cw:double,ch:double,whole:boolean>"
 RAW_OBJECT = OBJECT.replace("matrix array<double>, unsupported string", f"groups array<{FORM}>, own {FORM}, clipped boolean, effects boolean")
 RUN = "package string, slide int, part string, shape_id string, name string, paragraph int, ord int, text string, size double, baseline double, east_asian boolean"
 COMMAND = "package string, slide int, part string, shape_id string, name string, path_index int, ord int, kind string, points array<struct<x:double,y:double>>, w double, h double"
-BOUND = "package string, slide int, id string, name string, source_id string, source_port string, target_id string, target_port string, start_arrow string, end_arrow string"
+BOUND = "package string, slide int, part string, id string, name string, source_id string, source_port string, target_id string, target_port string, start_arrow string, end_arrow string"
 COUNT = "package string, part string, kind string, native int, shapes int, text_shapes int, characters int, connectors int, groups int, frames int, charts int, tables int, pictures int, backgrounds array<string>"
 
 
@@ -54,28 +52,11 @@ class Package:
         except (ElementTree.ParseError, zipfile.BadZipFile, NotImplementedError, RuntimeError, zlib.error):
             return None
 
-    def related(self, part: str) -> list[tuple[str, str, str, str]]:
-        """(id, target, mode, type) of a part's relationships."""
-        folder, base = posixpath.split(part)
-        root = self.xml(posixpath.join(folder, "_rels", base + ".rels"))
-        out = []
-        for r in root if root is not None else ():
-            mode, target = r.get("TargetMode", "Internal"), r.get("Target", "")
-            out.append((r.get("Id", ""), target if mode == "External" else resolve(part, target), mode, r.get("Type", "").rsplit("/", 1)[-1]))
-        return out
-
-    def slides(self) -> list[tuple[str, int, int]]:
-        """(part, width, height) in the order of the presentation's list, or else of the parts' numbers."""
-        main = "ppt/presentation.xml"
-        root = self.xml(main)
-        size = root.find(f"{P}sldSz") if root is not None else None
-        w, h = (_whole(size.get(k)) or 0 for k in ("cx", "cy")) if size is not None else (0, 0)
-        target = {i: t for i, t, _, _ in self.related(main)}
-        listed = [target.get(e.get(f"{R}id")) for e in root.iterfind(f"{P}sldIdLst/{P}sldId")] if root is not None else []
-        found = [t for t in listed if t in self.names]
-        if not found:
-            found = sorted((n for n in self.names if re.fullmatch(r"ppt/slides/slide\d+\.xml", n)), key=lambda n: [int(x) if x.isdigit() else x for x in re.split(r"(\d+)", n)])
-        return [(part, w, h) for part in found]
+    def slide_parts(self):
+        """(part, root) of the parts that are slides, shown or not."""
+        for part in self.names:
+            if re.search(r"(^|/)slides/[^/]+\.xml$", part) and (root := self.xml(part)) is not None:
+                yield part, root
 
 
 def _whole(value: str | None) -> int | None:
@@ -110,6 +91,13 @@ def _each(df: DataFrame, read, schema: str) -> DataFrame:
     return df.select("package", "content").mapInArrow(run, schema)
 
 
+def _numbered(df: DataFrame, read, schema: str) -> DataFrame:
+    """Rows of read() over the slide parts, whose schema has no slide, with the numbers of the slides that show them."""
+    rows = _each(df, read, schema.replace("slide int, ", ""))
+    found = rows.join(slides(df).select("package", "part", "slide"), ["package", "part"])
+    return found.select("package", "slide", *(c for c in rows.columns if c != "package"))
+
+
 def parts(df: DataFrame) -> DataFrame:
     """Every part, its size and, if it should be XML but isn't, the error; a file that is no package gives one row with the error."""
     kind = to_arrow_schema(StructType.fromDDL(PART))
@@ -149,32 +137,78 @@ def part_hashes(df: DataFrame, wanted: str = "^ppt/media/") -> DataFrame:
     return _each(df, read, "package string, part string, size long, sha256 string")
 
 
-def resolve(source: str, target: str) -> str:
-    return posixpath.normpath(posixpath.join(posixpath.dirname(source), target)).lstrip("/") if not target.startswith("/") else target.lstrip("/")
+NODE = "package string, part string, node int, parent int, depth int, position int, namespace string, tag string, text string, attributes map<string,string>"
 
 
-def relationships(df: DataFrame) -> DataFrame:
+def directory(df: DataFrame) -> DataFrame:
+    """(package, part, size) of every part, from the packages' directories alone."""
+
     def read(name, package):
-        for part in package.names:
-            if part.endswith(".rels"):
-                folder, base = posixpath.split(part)
-                source = posixpath.join(posixpath.dirname(folder), base[:-5])
-                for r in package.related(source):
-                    yield name, source, *r
+        for part, about in package.names.items():
+            yield name, part, about.file_size
 
-    return _each(df, read, RELATION)
+    return _each(df, read, "package string, part string, size long")
 
 
-def slides(df: DataFrame) -> DataFrame:
-    """(package, slide, part, width, height): the slides in order, from 1, with the slide size."""
+def nodes(df: DataFrame, wanted: str) -> DataFrame:
+    """The elements of the XML parts whose names `wanted` finds, a row each; other parts aren't unpacked, and what isn't XML has no rows."""
+    name_is = re.compile(wanted)
 
     def read(name, package):
-        for n, (part, w, h) in enumerate(package.slides(), 1):
-            yield name, n, part, w, h
+        for part in package.names:
+            root = package.xml(part) if name_is.search(part) else None
+            todo, n = [(root, None, 0, 0)] if root is not None else [], 0
+            while todo:
+                e, parent, depth, position = todo.pop()
+                space, _, tag = e.tag.rpartition("}")
+                yield name, part, n, parent, depth, position, space[1:], tag, e.text, list(e.attrib.items())
+                todo += [(c, n, depth + 1, k) for k, c in reversed(list(enumerate(e)))]
+                n += 1
 
-    return _each(df, read, SLIDE)
+    return _each(df, read, NODE)
 
 
+def resolved(source: Column, target: Column) -> Column:
+    """A target as a part's name: beside the source unless it begins with a slash, without `.` and `..`."""
+    whole = F.when(target.startswith("/"), target).otherwise(F.concat(F.regexp_replace(source, r"[^/]*$", ""), target))
+    none = F.array().cast("array<string>")
+
+    def step(path: Column, name: Column) -> Column:
+        climbs = (F.size(path) > 0) & (F.element_at(F.concat(F.array(F.lit("")), path), -1) != "..")
+        up = F.when(climbs, F.slice(path, F.lit(1), F.size(path) - 1)).otherwise(F.when(target.startswith("/"), path).otherwise(F.concat(path, F.array(name))))
+        return F.when(name.isin("", "."), path).when(name == "..", up).otherwise(F.concat(path, F.array(name)))
+
+    return F.array_join(F.aggregate(F.split(whole, "/"), none, step), "/")
+
+
+def relationships(df: DataFrame) -> DataFrame:
+    """(package, source_part, id, target, target_mode, type) of every relationship; internal targets are part names."""
+    value = lambda k, other: F.coalesce(F.try_element_at("attributes", F.lit(k)), F.lit(other))
+    source = F.regexp_replace(F.col("part"), r"(?:(.*/)|^)_rels/([^/]*)\.rels$", "$1$2")
+    found = nodes(df, r"(^|/)_rels/[^/]*\.rels$").filter("depth = 1").select("package", source.alias("source_part"), value("Id", "").alias("id"), value("Target", "").alias("target"), value("TargetMode", "Internal").alias("target_mode"), F.substring_index(value("Type", ""), "/", -1).alias("type"))
+    return found.withColumn("target", F.when(F.col("target_mode") == "External", F.col("target")).otherwise(resolved(F.col("source_part"), F.col("target")))).select("package", "source_part", "id", "target", "target_mode", "type")
+
+
+def slides(df: DataFrame) -> DataFrame:
+    """(package, slide, part, width, height): the slides in order, from 1, with the slide size.
+
+    The presentation's list names relationships, these name parts; a package whose list finds none has the parts of
+    slides in the order of their numbers.
+    """
+    main = graph.cut(nodes(df, r"^ppt/presentation\.xml$").filter("depth BETWEEN 1 AND 2"))
+    names = graph.cut(directory(df).select("package", "part"))
+    at = lambda k: F.try_element_at("attributes", F.lit(k))
+    whole = lambda k: F.coalesce(F.when(at(k).rlike(r"^\s*[+-]?[0-9]+\s*$"), F.trim(at(k)).cast("long")), F.lit(0))
+    size = main.filter("tag = 'sldSz' AND depth = 1").groupBy("package").agg(F.first(whole("cx")).alias("width"), F.first(whole("cy")).alias("height"))
+    lists = main.filter("tag = 'sldIdLst' AND depth = 1").select("package", F.col("node").alias("parent"))
+    listed = main.filter("tag = 'sldId'").join(lists, ["package", "parent"], "left_semi").select("package", "node", at(f"{R}id").alias("id"))
+    target = relationships(df).filter("source_part = 'ppt/presentation.xml'").select("package", "id", F.col("target").alias("part"))
+    found = listed.join(target, ["package", "id"]).join(names, ["package", "part"], "left_semi").select("package", "part", F.struct(F.col("node").cast("long").alias("n"), F.lit("").alias("name")).alias("order"))
+    plain = names.filter(F.col("part").rlike(r"^ppt/slides/slide[0-9]+\.xml$")).join(found.select("package").distinct(), "package", "left_anti")
+    plain = plain.select("package", "part", F.struct(F.regexp_extract("part", "([0-9]+)\\.xml$", 1).cast("long").alias("n"), F.col("part").alias("name")).alias("order"))
+    place = F.row_number().over(Window.partitionBy("package").orderBy("order"))
+    d = found.unionByName(plain).withColumn("slide", place).join(size, "package", "left")
+    return d.select("package", "slide", "part", F.coalesce("width", F.lit(0)).alias("width"), F.coalesce("height", F.lit(0)).alias("height"))
 
 
 def _form(form, group: bool) -> dict:
@@ -223,9 +257,8 @@ def objects(df: DataFrame) -> DataFrame:
     """
 
     def read(name, package):
-        for n, (part, _, _) in enumerate(package.slides(), 1):
-            root = package.xml(part)
-            tree = root.find(f"{P}cSld/{P}spTree") if root is not None else None
+        for part, root in package.slide_parts():
+            tree = root.find(f"{P}cSld/{P}spTree")
             todo, order = [(e, []) for e in reversed(tree if tree is not None else ())], 0
             while todo:
                 e, groups = todo.pop()
@@ -243,12 +276,12 @@ def objects(df: DataFrame) -> DataFrame:
                     text = "\n".join("".join(t.text or "" for t in p.iter(f"{A}t")) for p in e.iter(f"{A}p"))
                     own = _form(form, False)
                     yield (
-                        name, n, part, order, len(groups), head.get("id") if head is not None else None, head.get("name") if head is not None else None, kind, preset.get("prst") if preset is not None else None, *size, (_whole(form.get("rot", "0")) or 0) / 60000 if form is not None else 0.0,
+                        name, part, order, len(groups), head.get("id") if head is not None else None, head.get("name") if head is not None else None, kind, preset.get("prst") if preset is not None else None, *size, (_whole(form.get("rot", "0")) or 0) / 60000 if form is not None else 0.0,
                         own["flip_h"], own["flip_v"], groups, own, clipped, effects, *_line(e), blip.get(f"{R}embed") if blip is not None else None, [_real(crop.get(k, "0"), 0.0) / 100000 for k in "ltrb"] if crop is not None else [0.0] * 4, text,
                     )
                     order += 1
 
-    d = _each(df, read, RAW_OBJECT)
+    d = _numbered(df, read, RAW_OBJECT)
     outer = F.get(F.filter(F.transform("groups", lambda g: _reason(g, True)), lambda w: w.isNotNull()), F.lit(0))
     why = F.coalesce(outer, _reason(F.col("own"), False))
     still = F.array(*(F.lit(float(v)) for v in (1, 0, 0, 1, 0, 0)))
@@ -272,9 +305,8 @@ def runs(df: DataFrame) -> DataFrame:
     """
 
     def read(name, package):
-        for n, (part, _, _) in enumerate(package.slides(), 1):
-            root = package.xml(part)
-            for shape in root.iter(f"{P}sp") if root is not None else ():
+        for part, root in package.slide_parts():
+            for shape in root.iter(f"{P}sp"):
                 head, body = shape.find(f"{P}nvSpPr/{P}cNvPr"), shape.find(f"{P}txBody")
                 if body is None:
                     continue
@@ -294,40 +326,38 @@ def runs(df: DataFrame) -> DataFrame:
                         size, base = _real(values.get("sz")) / 100 * scale, _real(values.get("baseline", "0"))
                         font = own.find(f"{A}ea") if own is not None else None
                         usable = math.isfinite(size) and size > 0 and math.isfinite(base)
-                        yield name, n, part, head.get("id") if head is not None else None, head.get("name") if head is not None else None, k, order, "".join(t.text or "" for t in run.iter(f"{A}t")), size if usable else None, base if usable else 0.0, font is not None and bool(font.get("typeface", "").strip())
+                        yield name, part, head.get("id") if head is not None else None, head.get("name") if head is not None else None, k, order, "".join(t.text or "" for t in run.iter(f"{A}t")), size if usable else None, base if usable else 0.0, font is not None and bool(font.get("typeface", "").strip())
 
-    return _each(df, read, RUN)
+    return _numbered(df, read, RUN)
 
 
 def path_commands(df: DataFrame) -> DataFrame:
     """Commands of the shapes' own paths, for curves.decode(): points in the path's units, with its width and height."""
 
     def read(name, package):
-        for n, (part, _, _) in enumerate(package.slides(), 1):
-            root = package.xml(part)
-            for shape in root.iter(f"{P}sp") if root is not None else ():
+        for part, root in package.slide_parts():
+            for shape in root.iter(f"{P}sp"):
                 head = shape.find(f"{P}nvSpPr/{P}cNvPr")
                 for index, path in enumerate(shape.iterfind(f"{P}spPr/{A}custGeom/{A}pathLst/{A}path")):
                     for order, command in enumerate(path):
                         points = [{"x": _real(p.get("x")), "y": _real(p.get("y"))} for p in command.iterfind(f"{A}pt")]
-                        yield name, n, part, head.get("id") if head is not None else None, head.get("name") if head is not None else None, index, order, command.tag.split("}")[1], points, _real(path.get("w", "0")), _real(path.get("h", "0"))
+                        yield name, part, head.get("id") if head is not None else None, head.get("name") if head is not None else None, index, order, command.tag.split("}")[1], points, _real(path.get("w", "0")), _real(path.get("h", "0"))
 
-    return _each(df, read, COMMAND)
+    return _numbered(df, read, COMMAND)
 
 
 def bound_connectors(df: DataFrame) -> DataFrame:
     """Connectors with the ids and ports that their ends are bound to, and their arrows."""
 
     def read(name, package):
-        for n, (part, _, _) in enumerate(package.slides(), 1):
-            root = package.xml(part)
-            for e in root.iter(f"{P}cxnSp") if root is not None else ():
+        for part, root in package.slide_parts():
+            for e in root.iter(f"{P}cxnSp"):
                 head = e.find(f"{P}nvCxnSpPr/{P}cNvPr")
                 ends = [e.find(f"{P}nvCxnSpPr/{P}cNvCxnSpPr/{A}{t}") for t in ("stCxn", "endCxn")]
                 arrows = [e.find(f"{P}spPr/{A}ln/{A}{t}") for t in ("headEnd", "tailEnd")]
-                yield name, n, head.get("id") if head is not None else None, head.get("name") if head is not None else None, *(x.get(k) if x is not None else None for x in ends for k in ("id", "idx")), *(x.get("type", "none") if x is not None else "none" for x in arrows)
+                yield name, part, head.get("id") if head is not None else None, head.get("name") if head is not None else None, *(x.get(k) if x is not None else None for x in ends for k in ("id", "idx")), *(x.get("type", "none") if x is not None else "none" for x in arrows)
 
-    return _each(df, read, BOUND)
+    return _numbered(df, read, BOUND)
 
 
 def part_counts(df: DataFrame) -> DataFrame:
@@ -341,13 +371,17 @@ def part_counts(df: DataFrame) -> DataFrame:
                 continue
             count = lambda *tags: sum(1 for e in root.iter() if e.tag in tags)  # noqa: B023, E731
             shape = list(root.iter(f"{P}sp"))
-            target = {i: t for i, t, _, _ in package.related(part)}
-            back = [target.get(e.get(f"{R}embed")) or "" for e in root.iterfind(f"{P}cSld/{P}bg/{P}bgPr/{A}blipFill/{A}blip")]
+            back = [e.get(f"{R}embed") or "" for e in root.iterfind(f"{P}cSld/{P}bg/{P}bgPr/{A}blipFill/{A}blip")]
             connectors, frames = count(f"{P}cxnSp"), count(f"{P}graphicFrame")
             texts = sum(1 for x in shape if x.find(f"{P}txBody") is not None and x.find(f".//{A}t") is not None)
             yield name, part, m.group(1), len(shape) + connectors + frames, len(shape), texts, sum(len(t.text or "") for t in root.iter(f"{A}t")), connectors, count(f"{P}grpSp"), frames, count(f"{C}chart"), count(f"{A}tbl"), count(f"{P}pic"), back
 
-    return _each(df, read, COUNT)
+    rows = _each(df, read, COUNT)
+    related = relationships(df).select("package", F.col("source_part").alias("part"), "id", "target")
+    named = rows.select("package", "part", F.posexplode("backgrounds").alias("at", "id")).join(related, ["package", "part", "id"], "left")
+    targets = named.groupBy("package", "part").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", F.coalesce("target", F.lit("")).alias("t")))), lambda s: s["t"]).alias("targets"))
+    found = rows.join(targets, ["package", "part"], "left").withColumn("backgrounds", F.coalesce("targets", F.array().cast("array<string>")))
+    return found.select(*rows.columns)
 
 
 def integrity(part: DataFrame, relation: DataFrame) -> DataFrame:

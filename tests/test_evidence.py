@@ -103,3 +103,11 @@ def test_paths_beside(spark):
 @pytest.mark.parametrize("path", ["x.json", "dir/x.json"])
 def test_relative_documents(spark, path):
     assert spark.range(1).select(evidence.beside(F.lit(path), F.lit("a")).alias("p")).first().p == path.replace("x.json", "a")
+
+
+def test_part_names(spark):
+    from figmill.sources import package
+
+    cases = [("ppt/slides/a.xml", "../media/b.png", "ppt/media/b.png"), ("ppt/slides/a.xml", "/ppt/./x/../y.xml", "ppt/y.xml"), ("a.xml", "b//c.xml", "b/c.xml"), ("a.xml", "../../b", "../../b"), ("", "ppt/a.xml", "ppt/a.xml"), ("p/a.xml", "/../b", "b")]
+    d = spark.createDataFrame(cases, "source string, target string, want string")
+    assert [r.got for r in d.select(package.resolved(F.col("source"), F.col("target")).alias("got")).collect()] == [w for _, _, w in cases]

@@ -43,3 +43,12 @@ def test_empty_and_plan(spark):
     assert P.matches(some, none).collect() == [] and P.matches(some.filter("false"), some.select(F.col("name").alias("pattern"))).collect() == []
     plan = P.matches(some, some.select(F.col("name").alias("pattern")))._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_literals_in_texts(spark):
+    rnd = random.Random(13)
+    words = lambda n: "".join(rnd.choice("abé ") for _ in range(n))
+    texts, literals = [words(rnd.randint(0, 40)) for _ in range(150)] + [None, "x" * 50], [words(rnd.randint(0, 9)) for _ in range(120)] + [None, "", "x" * 30, "x" * 51]
+    got = {(r.literal, r.text) for r in P.containing(spark.createDataFrame([(t,) for t in texts], "text string"), spark.createDataFrame([(t,) for t in literals], "literal string")).collect()}
+    assert got == {(a, t) for a in literals if a for t in texts if t is not None and a in t} and len(got) > 500
+    assert P.containing(spark.createDataFrame([("a",)], "text string"), spark.createDataFrame([], "literal string")).collect() == []
