@@ -94,6 +94,13 @@ def place(sx, sy, sw, sh, tx, ty, tw, th, x, y, w, h) -> Column:
     return F.when(inside, F.struct((tx + (tw - sw * k) / 2 + (x - sx) * k).alias("x"), (ty + (th - sh * k) / 2 + (y - sy) * k).alias("y"), (w * k).alias("w"), (h * k).alias("h")))
 
 
+def fitted(mode: str, w: Column, h: Column, cw: Column, ch: Column) -> Column:
+    """struct(x, y, w, h): where an image of w by h lies on a canvas of cw by ch: within it (`contain`), over all of it (`crop`), or `stretch`ed to it; centred."""
+    k = {"contain": F.least(cw / w, ch / h), "crop": F.greatest(cw / w, ch / h), "stretch": None}[mode]
+    nw, nh = (cw, ch) if k is None else (w * k, h * k)
+    return F.when((w > 0) & (h > 0) & (cw > 0) & (ch > 0), F.struct(((cw - nw) / 2).alias("x"), ((ch - nh) / 2).alias("y"), nw.alias("w"), nh.alias("h")))
+
+
 def same_points(emu: Column, points: Column, eighths: Column) -> Column:
     """Whether a length in EMU is one in points, exactly or, where `eighths` holds, rounded to an eighth of a point."""
     near = lambda v: F.abs(v - points) <= 1e-6

@@ -70,6 +70,14 @@ def region_stats(labels: DataFrame, height: int, width: int) -> DataFrame:
     return labels.groupBy("image_id", "label").agg(F.count(F.lit(1)).alias("area"), F.min("x").alias("x0"), F.min("y").alias("y0"), (F.max("x") + 1).alias("x1"), (F.max("y") + 1).alias("y1"), F.bool_or(edge).alias("touches_border"))
 
 
+def largest(stats: DataFrame, keys: list[str], n: int = 10) -> DataFrame:
+    """The n rows (keys, label, area, ...) of greatest area of each key, the smaller label first on ties."""
+    from pyspark.sql import Window
+
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("area"), "label"))
+    return stats.withColumn("place", place).filter(F.col("place") <= n)
+
+
 def complement(mask: DataFrame, height: int, width: int) -> DataFrame:
     grid = mask.select("image_id").distinct().select("image_id", F.explode(F.sequence(F.lit(0), F.lit(height - 1))).alias("y")).select("image_id", "y", F.explode(F.sequence(F.lit(0), F.lit(width - 1))).alias("x"))
     return grid.join(mask.select("image_id", "y", "x"), ["image_id", "y", "x"], "left_anti")

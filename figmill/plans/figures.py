@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from figmill.functions import numeric as N
 from figmill.operators import coverage, graph, masks, rings, series
-from figmill.plans import connectors, contracts, curves, documents, editability, evidence, images, manifest, runner, structure, texts
+from figmill.plans import connectors, contracts, curves, documents, editability, evidence, fidelity, images, manifest, runner, structure, texts
 from figmill.plans.checks import PIXELS, SERIES, STRIPS, pixels
 from figmill.plans.registry import derived, query, table
 
@@ -277,3 +277,83 @@ def picture_readback(spark, sf_dir):
     assets = spark.range(1).select(F.lit("A").alias("asset_id"), F.lit("right").alias("sha256"), F.lit("illustration").alias("content_class"))
     hashes = spark.range(2).select(F.when(F.col("id") == 0, "a").otherwise("b").alias("part"), F.when(F.col("id") == 0, "right").otherwise("wrong").alias("sha256"))
     return evidence.readback(plan, assets, shown.unionByName(loose), hashes, (10 * inch, 5 * inch))
+
+
+@query(
+    """WITH t AS (SELECT *, greatest(0, least(255, r + CASE WHEN (x + y) % 9 = 0 THEN 60 ELSE 0 END)) AS r1 FROM {p} WHERE y < 12 AND x < 16), m AS (SELECT image_id, y, x FROM t WHERE floor((abs(r - r1) * 19595 + 32768) / 65536.0) > 10),
+w AS (SELECT image_id, y - i AS y, x - j AS x, count(*) AS n FROM m, generate_series(0, 2) a(i), generate_series(0, 2) b(j) WHERE y >= i AND x >= j GROUP BY image_id, y - i, x - j), g AS (SELECT image_id, max(n) AS worst FROM w GROUP BY image_id), c AS (SELECT image_id, count(*) AS n FROM m GROUP BY image_id)
+SELECT i.image_id AS id, round(coalesce(c.n, 0) / 192.0, 9) AS mismatch_ratio, round(coalesce(worst, 0) / 9.0, 9) AS worst_window_ratio, coalesce(c.n, 0) / 192.0 <= 0.09 AND coalesce(worst, 0) / 9.0 <= 0.25 AS color_passed, CASE i.image_id % 4 WHEN 0 THEN 'NOT_DECLARED' WHEN 1 THEN 'PASS' WHEN 2 THEN 'FAIL' ELSE 'NOT_VERIFIED' END AS structure_status,
+coalesce(c.n, 0) / 192.0 <= 0.09 AND coalesce(worst, 0) / 9.0 <= 0.25 AND i.image_id % 4 < 2 AS passed FROM (SELECT DISTINCT image_id FROM {p}) i LEFT JOIN c ON c.image_id = i.image_id LEFT JOIN g ON g.image_id = i.image_id""",
+    p=PIXELS,
+)
+def regional_fidelity(spark, sf_dir):
+    """A region of each image against one with lighter pixels: limits of the whole, of the worst window, and of a declared structure."""
+    p = pixels(spark, sf_dir)
+    lighter = F.when((F.col("x") + F.col("y")) % 9 == 0, F.least(F.lit(255), F.col("r") + 60)).otherwise(F.col("r"))
+    images_ = p.select("image_id").distinct()
+    regions = images_.select(F.col("image_id").alias("id"), "image_id", *(F.lit(v).alias(n) for n, v in (("x", 0), ("y", 0), ("w", 16), ("h", 12), ("threshold", 10), ("window", 3), ("max_mismatch_ratio", 0.09), ("max_window_ratio", 0.25))))
+    structure_ = images_.filter("image_id % 4 > 0").select(F.col("image_id").alias("id"), F.when(F.col("image_id") % 4 < 3, F.col("image_id") % 4 == 1).alias("passed"))
+    d = fidelity.regional(p, p.withColumn("r", lighter.cast("int")), regions, structure_)
+    return d.select("id", F.round("mismatch_ratio", 9).alias("mismatch_ratio"), F.round("worst_window_ratio", 9).alias("worst_window_ratio"), "color_passed", "structure_status", "passed")
+
+
+@query("""
+WITH q AS (SELECT o_orderkey AS k, o_orderkey % 3 = 0 AS clear, o_orderkey % 7 = 0 AS unsure, CASE WHEN o_orderkey % 5 = 0 THEN NULL WHEN o_orderkey % 11 = 0 THEN 'FAIL' ELSE 'PASS' END AS status, o_orderkey % 4 AS n FROM orders),
+s AS (SELECT *, CASE WHEN n = 0 THEN CASE WHEN clear THEN 'actual, dark, light' ELSE '' END WHEN n = 1 THEN '' WHEN n = 2 THEN CASE WHEN clear THEN 'actual, dark, detail, light' ELSE 'detail' END ELSE CASE WHEN clear THEN 'actual, dark, delivered, light' ELSE 'delivered' END END AS short FROM q),
+r AS (SELECT k, status, list_filter([CASE WHEN unsure THEN 'uncertain source' END, CASE WHEN status IS NULL THEN 'no review' END, CASE WHEN status IS NOT NULL AND short <> '' THEN 'no view: ' || short END, CASE WHEN status = 'FAIL' THEN 'rejected' END], lambda v: v IS NOT NULL) AS reasons FROM s)
+SELECT k, CASE WHEN status = 'FAIL' THEN 'FAIL' WHEN len(reasons) > 0 THEN 'NOT_VERIFIED' ELSE 'PASS' END AS review, array_to_string(reasons, '; ') AS reasons FROM r""")
+def review_states(spark, sf_dir):
+    """What reviews of each order's appearance come to, with views that are missing or changed."""
+    o, k = table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    key = [k.cast("string").alias("item"), F.lit("r").alias("requirement")]
+    need = o.select(*key, F.when(k % 3 == 0, "transparency").otherwise("colour").alias("dimension"), F.when(k % 7 == 0, "uncertain").otherwise("certain").alias("certainty"))
+    said = o.filter("o_orderkey % 5 <> 0").select(*key, F.when(k % 11 == 0, "FAIL").otherwise("PASS").alias("status"), F.lit("seen").alias("observation"))
+    scales = F.when(k % 4 == 1, F.array(*map(F.lit, fidelity.SCALES))).otherwise(F.array(*map(F.lit, fidelity.NEEDED)))
+    views = o.select(*key, F.explode(scales).alias("scale"), k.alias("k"))
+    changed = ((F.col("k") % 4 == 2) & (F.col("scale") == "detail")) | ((F.col("k") % 4 == 3) & (F.col("scale") == "delivered"))
+    path = F.concat_ws("/", "item", "scale")
+    found = fidelity.reviews(need, said, views.select("item", "requirement", path.alias("path"), F.lit("a").alias("sha256"), "scale"), views.select(path.alias("path"), F.when(changed, "b").otherwise("a").alias("sha256")))[0]
+    return found.select(F.col("item").cast("long").alias("k"), "review", F.array_join("reasons", "; ").alias("reasons"))
+
+
+@query(
+    """WITH m AS (SELECT image_id, upper(lpad(hex(CAST(round_even(median(r), 0) AS INT)), 2, '0') || lpad(hex(CAST(round_even(median(g), 0) AS INT)), 2, '0') || lpad(hex(CAST(round_even(median(b), 0) AS INT)), 2, '0')) AS c, min(a) AS a, count(*) AS n FROM {p} WHERE x < 3 AND y < 2 GROUP BY image_id)
+SELECT i.image_id AS paint, CASE WHEN coalesce(n, 0) < 6 OR a < 255 THEN 'patch not whole or not opaque' WHEN i.image_id % 3 = 0 AND c <> '000000' THEN 'another colour' END AS rule, CASE WHEN coalesce(n, 0) < 6 OR a < 255 THEN '-' ELSE c END AS sampled FROM (SELECT DISTINCT image_id FROM {p}) i LEFT JOIN m ON m.image_id = i.image_id""",
+    p=PIXELS,
+)
+def paint_samples(spark, sf_dir):
+    """Solid paints against the median colour of a patch of their image; a third of them are declared black."""
+    p = pixels(spark, sf_dir)
+    images_ = p.select("image_id").distinct()
+    patch = images_.select(F.col("image_id").alias("paint"), F.lit(0).alias("place"), "image_id", F.lit(0).alias("x"), F.lit(0).alias("y"), F.lit(3).alias("w"), F.lit(2).alias("h"))
+    own = images.patch_colours(p, patch.select(F.col("paint").alias("patch"), "image_id", "x", "y", "w", "h")).select(F.col("patch").alias("image_id"), F.concat(*(F.lpad(F.hex(F.col(c).cast("long")), 2, "0") for c in "rgb")).alias("c"))
+    said = F.when(F.col("image_id") % 3 == 0, "000000").otherwise(F.coalesce("c", F.lit("000000")))
+    paints = images_.join(own, "image_id", "left").select(F.col("image_id").alias("paint"), F.lit("solid").alias("kind"), F.array(F.struct(F.lit(0.0).alias("position"), said.alias("color"))).alias("stops"))
+    return fidelity.sampled_paints(p, patch, paints)
+
+
+@query("SELECT image_id, label, area, place FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY area DESC, label) AS place FROM (SELECT image_id, r % 50 AS label, count(*) AS area FROM {p} GROUP BY image_id, r % 50) t) u WHERE place <= 4", p=PIXELS)
+def largest_labels(spark, sf_dir):
+    """The four largest labels of each image."""
+    s = masks.region_stats(pixels(spark, sf_dir).withColumn("label", F.col("r") % 50), 24, 32)
+    return masks.largest(s, ["image_id"], 4).select("image_id", "label", "area", "place")
+
+
+@query("SELECT p_partkey AS id, round((300 - w * k) / 2, 9) AS x, round((200 - h * k) / 2, 9) AS y, round((300 - w * c) / 2, 9) AS cx, 300.0::DOUBLE AS sw FROM (SELECT p_partkey, 10.0 + p_size AS w, 60.0 - p_size AS h, least(300 / (10.0 + p_size), 200 / (60.0 - p_size)) AS k, greatest(300 / (10.0 + p_size), 200 / (60.0 - p_size)) AS c FROM part) t")
+def canvas_fits(spark, sf_dir):
+    """Where images of each part's size lie on a canvas of 300 by 200: within it, over it, stretched to it."""
+    w, h = 10.0 + F.col("p_size"), 60.0 - F.col("p_size")
+    at = {m: N.fitted(m, w, h, F.lit(300.0), F.lit(200.0)) for m in ("contain", "crop", "stretch")}
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.round(at["contain"]["x"], 9).alias("x"), F.round(at["contain"]["y"], 9).alias("y"), F.round(at["crop"]["x"], 9).alias("cx"), at["stretch"]["w"].alias("sw"))
+
+
+@query(r"""
+WITH w AS (SELECT min(p_partkey) AS ord, t AS text FROM (SELECT p_partkey, 'size' || CAST(p_size AS VARCHAR) || CASE WHEN p_partkey % 2 = 0 THEN 'x' ELSE 'y' END AS t FROM part) a GROUP BY t), s AS (SELECT DISTINCT 'a size' || CAST(s_suppkey % 50 AS VARCHAR) || CASE WHEN s_suppkey % 3 = 0 THEN 'x z' ELSE 'xz' END AS said FROM supplier)
+SELECT text FROM w WHERE NOT EXISTS (SELECT 1 FROM s WHERE regexp_matches(said, '(^|[^A-Za-z0-9_])' || text || '([^A-Za-z0-9_]|$)'))""")
+def missing_texts(spark, sf_dir):
+    """Declared texts that no object says as a word of its own."""
+    p = F.col("p_partkey")
+    t = table(spark, sf_dir, "part").select(p.alias("ord"), F.concat(F.lit("size"), F.col("p_size").cast("string"), F.when(p % 2 == 0, "x").otherwise("y")).alias("text"))
+    k = F.col("s_suppkey")
+    o = table(spark, sf_dir, "supplier").select(F.concat(F.lit("a  size"), (k % 50).cast("string"), F.when(k % 3 == 0, "x z").otherwise("xz")).alias("text"))
+    return editability.missing_required(t, o)
