@@ -29,7 +29,9 @@ from pyspark.sql import functions as F
 
 from .blocks import checkpointed, trimmed
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|title)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|<[!?][^>]*>", re.S | re.I)
+RAW = r"<(script|style|noscript|template|textarea|title)\b[^>]*>.*?(?:</\1\s*>|\Z)"
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|" + RAW + r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*+)>|<[!?][^>]*>", re.S | re.I)
+WHOLE, QUOTED = re.compile(RAW, re.S | re.I), re.compile(r"\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z)")
 ATTR = re.compile(r"([^\s/>=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
@@ -84,6 +86,32 @@ def _opened(tag: str, attrs: str) -> Node:
 DEPTH = 120
 
 
+def tokens(text: str):
+    """The matches of TOKEN in a page, in time linear in its length.
+
+    A tag without an end is looked for to the page's end and then is no tag.  Where a later one begins outside the
+    quotes of such a search, it would go the same way, so it isn't looked for again; a place has three states (outside, in
+    one kind of quotes, in the other), and a quote changes them one to one, so there are three such searches at most.
+    """
+    last, searched = text.rfind(">"), []
+    at = text.find("<")
+    while 0 <= at:
+        m = None
+        if at > last:
+            m = TOKEN.match(text, at) if text.startswith("<!--", at) else None
+        elif any(bisect.bisect_right(begins, at) == bisect.bisect_right(ends, at) for begins, ends in searched) and text[at + 1 : at + 2] not in ("!", "?"):
+            m = WHOLE.match(text, at)
+            m = m and TOKEN.match(text, at)
+        else:
+            m = TOKEN.match(text, at)
+            if m is None and re.match("/?[a-zA-Z]", text[at + 1 : at + 3]):
+                spans = [q.span() for q in QUOTED.finditer(text, at)]
+                searched.append(([a for a, _ in spans], [b for _, b in spans]))
+        if m:
+            yield m
+        at = text.find("<", m.end() if m else at + 1)
+
+
 def parse(text: str) -> Node:
     """The page's tags as a tree; texts are undecoded strings between them.  Never fails.
 
@@ -92,7 +120,7 @@ def parse(text: str) -> Node:
     """
     root = Node("", "", False, 0)
     stack, at, flat = [root], 0, {}
-    for m in TOKEN.finditer(text):
+    for m in tokens(text):
         if m.start() > at:
             stack[-1].kids.append(text[at : m.start()])
         at = m.end()
