@@ -339,12 +339,12 @@ def largest_labels(spark, sf_dir):
     return masks.largest(s, ["image_id"], 4).select("image_id", "label", "area", "place")
 
 
-@query("SELECT p_partkey AS id, round((300 - w * k) / 2, 9) AS x, round((200 - h * k) / 2, 9) AS y, round((300 - w * c) / 2, 9) AS cx, 300.0::DOUBLE AS sw FROM (SELECT p_partkey, 10.0 + p_size AS w, 60.0 - p_size AS h, least(300 / (10.0 + p_size), 200 / (60.0 - p_size)) AS k, greatest(300 / (10.0 + p_size), 200 / (60.0 - p_size)) AS c FROM part) t")
+@query("SELECT p_partkey AS id, abs(round((300 - w * k) / 2, 9)) AS x, abs(round((200 - h * k) / 2, 9)) AS y, abs(round((300 - w * c) / 2, 9)) AS cx, 300.0::DOUBLE AS sw FROM (SELECT p_partkey, 10.0 + p_size AS w, 60.0 - p_size AS h, least(300 / (10.0 + p_size), 200 / (60.0 - p_size)) AS k, greatest(300 / (10.0 + p_size), 200 / (60.0 - p_size)) AS c FROM part) t")
 def canvas_fits(spark, sf_dir):
-    """Where images of each part's size lie on a canvas of 300 by 200: within it, over it, stretched to it."""
+    """How far images of each part's size lie from the edges of a canvas of 300 by 200: within it, over it, stretched to it."""
     w, h = 10.0 + F.col("p_size"), 60.0 - F.col("p_size")
     at = {m: N.fitted(m, w, h, F.lit(300.0), F.lit(200.0)) for m in ("contain", "crop", "stretch")}
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.round(at["contain"]["x"], 9).alias("x"), F.round(at["contain"]["y"], 9).alias("y"), F.round(at["crop"]["x"], 9).alias("cx"), at["stretch"]["w"].alias("sw"))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), *(F.abs(F.round(at[m][c], 9)).alias(n) for m, c, n in (("contain", "x", "x"), ("contain", "y", "y"), ("crop", "x", "cx"))), at["stretch"]["w"].alias("sw"))
 
 
 @query(r"""
