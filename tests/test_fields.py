@@ -73,3 +73,17 @@ def test_no_pixels(spark):
     none = spark.createDataFrame([], "image_id string, y int, x int, r int, g int, b int, a int")
     boxes = spark.createDataFrame([("i", 0.0, 0.0, 4.0, 3.0)], "image_id string, bx double, by double, bw double, bh double")
     assert fields.field(none, boxes, "linear").collect() == [] == fields.independent(none, boxes, "solid", "linear").collect()
+
+
+def test_least_squares_in_a_box():
+    """The conditions of a least value in [0, 1] hold, on regular and nearly dependent designs."""
+    rnd = np.random.default_rng(21)
+    for n in range(300):
+        k = rnd.integers(1, 9)
+        a = rnd.normal(size=(30, k)) + (rnd.normal(size=(30, 1)) * 50 if n % 3 == 0 else 0)
+        y = a @ rnd.uniform(-0.6, 1.6, k) + rnd.normal(size=30) * (n % 2)
+        gram, moment = a.T @ a, a.T @ y
+        v, found = fits.in_box(gram, moment)
+        assert found and v.min() >= 0 and v.max() <= 1
+        slope, slack = moment - gram @ v, 1e-6 * np.abs(moment).max()
+        assert (np.abs(slope[(v > 0) & (v < 1)]) <= slack).all() and (slope[v == 0] <= slack).all() and (slope[v == 1] >= -slack).all()
