@@ -213,6 +213,11 @@ class Seating:
         return np.array([self.root_n.sum(), self.root_t.sum()])
 
 
+def present(bounds: np.ndarray) -> list[int]:
+    """The slices that have words: as many as there are words, at most, however many slices there are."""
+    return np.flatnonzero(np.diff(bounds)).tolist()
+
+
 def total(df: DataFrame, columns: int) -> list[int]:
     """Sums of whole numbers packed in the bodies of df."""
     names = [f"c{n}" for n in range(columns)]
@@ -245,7 +250,7 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
         x = Texts(arrays)
         n = np.bincount(x.at[x.train], minlength=len(x.words))
         bounds = x.slices(q)
-        for k in range(q):
+        for k in present(bounds):
             s = slice(bounds[k], bounds[k + 1])
             yield B.arrow_rows(B.CHUNKS, [(blk, k, B.pack(x.words[s], small(n[s])))])
 
@@ -258,11 +263,10 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
         word, context, n, _ = x.pairs()
         bounds = x.slices(q)
         ends = np.searchsorted(word, bounds)
-        for k in range(q):
+        for k in present(bounds):
             s, t = slice(bounds[k], bounds[k + 1]), slice(ends[k], ends[k + 1])
-            if bounds[k + 1] > bounds[k]:
-                per = np.bincount(word[t] - bounds[k], minlength=int(bounds[k + 1] - bounds[k]))
-                yield B.arrow_rows(B.CHUNKS, [(blk, k, B.pack(x.words[s], small(per), x.words[context[t]] & KEY, small(n[t])))])
+            per = np.bincount(word[t] - bounds[k], minlength=int(bounds[k + 1] - bounds[k]))
+            yield B.arrow_rows(B.CHUNKS, [(blk, k, B.pack(x.words[s], small(per), x.words[context[t]] & KEY, small(n[t])))])
 
     def customers(chunks):
         c = Customers(chunks)
@@ -418,12 +422,11 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
         n, p = np.zeros(len(x.words), np.int64), np.zeros(len(word))
         root, held = np.zeros((rounds, len(x.words))), np.zeros((rounds, len(x.words)))
         count, kept = np.zeros(len(word)), np.zeros((rounds, len(word)), np.int64)
-        for k in range(q):
-            if bounds[k + 1] > bounds[k]:
-                w, e, a = slice(bounds[k], bounds[k + 1]), slice(ends[k], ends[k + 1]), got[1][k]
-                n[w], count[e] = got[0][k][0], a[0]
-                for r in range(rounds):
-                    kept[r, e], root[r, w], held[r, w] = a[1 + r], a[1 + rounds + r], a[1 + 2 * rounds + r]
+        for k in present(bounds):
+            w, e, a = slice(bounds[k], bounds[k + 1]), slice(ends[k], ends[k + 1]), got[1][k]
+            n[w], count[e] = got[0][k][0], a[0]
+            for r in range(rounds):
+                kept[r, e], root[r, w], held[r, w] = a[1 + r], a[1 + rounds + r], a[1 + 2 * rounds + r]
         for r in range(rounds):
             p += (count - DISCOUNT * kept[r] + (STRENGTH + DISCOUNT * held[r][context]) * root[r][word]) / (STRENGTH + n[context])
         p = np.log10(p / rounds)

@@ -65,3 +65,18 @@ def test_matrices_are_written(spark, tmp_path):
     matrices.write_matrices(out, str(tmp_path / "m"))
     again = spark.read.parquet(str(tmp_path / "m"))
     assert sorted(json.dumps(r.asDict(), default=repr, sort_keys=True) for r in again.select(out.columns).collect()) == sorted(json.dumps(r.asDict(), default=repr, sort_keys=True) for r in out.collect())
+
+
+def test_language_model_sends_no_empty_chunks(spark, monkeypatch):
+    """With far more slices than words, a block has a chunk a word at most, and the scores are the same."""
+    rows = [(i, f"one two three w{i % 3}") for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    want = {r.doc_id: r.score for r in lm.score(df).collect()}
+    from figmill.llm import blocks as B
+
+    sent = []
+    through = B.exchange
+    monkeypatch.setattr(B.Blocks, "slices", lambda self: 300)
+    monkeypatch.setattr(B, "exchange", lambda chunks, *a, **k: (sent.append(chunks.count()), through(chunks, *a, **k))[1])
+    got = {r.doc_id: r.score for r in lm.score(df).collect()}
+    assert sent[0] <= 2 * 7 and got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-9 for i in want)
