@@ -62,15 +62,14 @@ def partition(pixels: DataFrame, seeds: DataFrame, key: str) -> DataFrame:
     first = seeds.groupBy(*at).agg(F.min(F.struct("ord", "owner")).alias("s")).join(p.select(*at, "id"), at)
     owners = graph.cut(first.select("id", "s.ord", "s.owner"))
     edges, rounds = graph.cut(_steps(p, key)), []
-    while True:
+    while not edges.isEmpty():
         roots = _roots(_picks(edges, owners))
-        if roots.isEmpty():
-            break
         rounds.append(roots)
         for end in ("a", "b"):
             edges = edges.join(roots.select(F.col("c").alias(end), F.col("root").alias(f"{end}_")), end, "left").withColumn(end, F.coalesce(f"{end}_", end)).drop(f"{end}_")
         lo, hi = F.least("a", "b"), F.greatest("a", "b")
-        joined = edges.filter("a <> b").select(lo.alias("a"), hi.alias("b"), "w", "h").groupBy("a", "b").agg(F.min(F.struct("w", "h")).alias("m")).select("a", "b", "m.w", "m.h")
+        open_ = edges.filter("a <> b").join(owners.select(F.col("id").alias("a"), F.lit(1).alias("ha")), "a", "left").join(owners.select(F.col("id").alias("b"), F.lit(1).alias("hb")), "b", "left").filter("ha IS NULL OR hb IS NULL")
+        joined = open_.select(lo.alias("a"), hi.alias("b"), "w", "h").groupBy("a", "b").agg(F.min(F.struct("w", "h")).alias("m")).select("a", "b", "m.w", "m.h")
         edges = graph.cut(joined)
     found = owners.select("id", "owner", F.lit(0).cast("long").alias("step"))
     for roots in reversed(rounds):

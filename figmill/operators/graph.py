@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,9 +24,14 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df, cut from its lineage, in the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    """df, written to the shared folder and read again, so that its lineage ends there.
+
+    A checkpoint would keep the size that Spark estimated and what it inferred of the values; in rounds of joins both
+    grow without bound, until planning a round takes longer than running it.  A file's size is what it is.
+    """
+    path = f"{shared_folder(df.sparkSession)}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def components(edges: DataFrame) -> DataFrame:
