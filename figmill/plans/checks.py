@@ -412,8 +412,7 @@ def masked_paint(spark, sf_dir):
     """Pixels outside a mask without colour; images whose mask isn't 0 or 255 are left out."""
     p = pixels(spark, sf_dir)
     m = p.select("image_id", "y", "x", F.when((F.col("image_id") % 3 == 0) & (F.col("y") == 0), 7).when(F.col("g") > 100, 255).otherwise(0).alias("v"))
-    whole = images.masked(p, m)
-    return whole.filter("image_id % 3 <> 0").select("image_id", "y", "x", "r", "a")
+    return images.masked(p, m).select("image_id", "y", "x", "r", "a")
 
 
 @query(
@@ -900,12 +899,17 @@ def angle_differences(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"), N.angle_difference(F.col("l_quantity"), F.lit(40.0)).alias("d"))
 
 
-@query("SELECT p_partkey AS id, CASE WHEN p_size % 3 = 0 THEN 'M ' || CAST(CAST(p_size AS DOUBLE) AS VARCHAR) || ' 0.0 H ' || CAST(CAST(p_size + 2 AS DOUBLE) AS VARCHAR) || ' V 3.0 H ' || CAST(CAST(p_size AS DOUBLE) AS VARCHAR) || ' Z' END AS d FROM part")
+@query(
+    """WITH d AS (SELECT p_partkey AS id, p_partkey % 4 AS kind, CAST(p_size AS DOUBLE) AS s, CAST(p_size % 3 AS DOUBLE) AS r FROM part)
+SELECT id, CASE kind WHEN 0 THEN CASE WHEN r > 0 THEN concat('M ', s, ' 0.0 H ', s + 2, ' V ', r, ' H ', s, ' Z') END WHEN 1 THEN CASE WHEN r > 0 THEN concat('M ', s - r, ' 1.0 A ', r, ' ', r, ' 0 1 0 ', s + r, ' 1.0 A ', r, ' ', r, ' 0 1 0 ', s - r, ' 1.0 Z') END
+WHEN 2 THEN CASE WHEN r > 0 THEN concat('M ', s - r, ' 1.0 A ', r, ' 4.0 0 1 0 ', s + r, ' 1.0 A ', r, ' 4.0 0 1 0 ', s - r, ' 1.0 Z') END ELSE concat('M ', s, ' 0.0 L 1.0 ', r) END AS d FROM d"""
+)
 def primitive_paths(spark, sf_dir):
-    """Rectangles as path text; without a size there is none."""
-    f = {k: F.lit(0.0) for k in ("x", "y", "width", "height", "cx", "cy", "r", "rx", "ry", "x1", "y1", "x2", "y2")}
-    f |= {"x": F.col("p_size").cast("double"), "width": F.lit(2.0), "height": F.when(F.col("p_size") % 3 == 0, 3.0).otherwise(0.0)}
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), N.primitive_path(F.lit("rect"), f).alias("d"))
+    """Rectangles, circles, ellipses and lines as path text; without a size there is none."""
+    kind, s, r = F.col("p_partkey") % 4, F.col("p_size").cast("double"), (F.col("p_size") % 3).cast("double")
+    tag = F.when(kind == 0, "rect").when(kind == 1, "circle").when(kind == 2, "ellipse").otherwise("line")
+    f = {"x": s, "y": F.lit(0.0), "width": F.lit(2.0), "height": r, "cx": s, "cy": F.lit(1.0), "r": r, "rx": r, "ry": F.lit(4.0), "x1": s, "y1": F.lit(0.0), "x2": F.lit(1.0), "y2": r}
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), N.primitive_path(tag, f).alias("d"))
 
 
 @query("SELECT p_partkey AS id, CASE WHEN w = 0 THEN 'a rectangle has no size' END AS rule, CASE WHEN w > 0 THEN CASE WHEN p_size % 3 = 0 THEN '4682B4' ELSE '1A2B3C' END END AS fill, CASE WHEN w > 0 THEN 5 END AS steps, CASE WHEN w > 0 THEN p_size + 2.0 END AS x0, CASE WHEN w > 0 THEN p_size + 2.0 + 2 * w END AS x1 FROM (SELECT *, p_size % 4 AS w FROM part) t")

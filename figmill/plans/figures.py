@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from figmill.functions import numeric as N
-from figmill.operators import coverage, graph, masks, rings, series
+from figmill.operators import coverage, fits, graph, masks, rings, series
 from figmill.plans import connectors, contracts, curves, documents, editability, evidence, fidelity, images, manifest, runner, structure, texts
 from figmill.plans.checks import PIXELS, SERIES, STRIPS, pixels
 from figmill.plans.registry import derived, query, table
@@ -357,3 +357,17 @@ def missing_texts(spark, sf_dir):
     k = F.col("s_suppkey")
     o = table(spark, sf_dir, "supplier").select(F.concat(F.lit("a  size"), (k % 50).cast("string"), F.when(k % 3 == 0, "x z").otherwise("xz")).alias("text"))
     return editability.missing_required(t, o)
+
+
+CORNERS = "SELECT o_custkey AS k, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS BIGINT) AS patch, o_totalprice AS v FROM {orders}"
+
+
+@query("WITH c AS (SELECT k, sum(CASE WHEN patch IN (1, 4) THEN v ELSE -v END) AS e FROM {c} WHERE patch <= 4 GROUP BY k HAVING count(*) = 4) SELECT k, CAST(p AS BIGINT) AS patch, round(abs(e) / 4, 4) AS fit_error, round(abs(e), 4) AS held_out_error FROM c, generate_series(1, 4) s(p)", c=CORNERS)
+def held_out_patches(spark, sf_dir):
+    """Four orders of each customer as the corners of a square: a plane through all misses each by a quarter of what the plane through the other three does."""
+    c = derived(spark, sf_dir, CORNERS).filter("patch <= 4")
+    whole = c.groupBy("k").agg(F.count(F.lit(1)).alias("n")).filter("n = 4").select("k")
+    side = lambda *at: F.when(F.col("patch").isin(*at), -1.0).otherwise(1.0)
+    samples = c.join(whole, "k", "left_semi").select("k", "patch", side(1, 3).alias("x"), side(1, 2).alias("y"), "v")
+    d = fits.held_out(samples, fits.affine_fits(samples, ["k"]), ["k"])
+    return d.select("k", "patch", F.round("fit_error", 4).alias("fit_error"), F.round("held_out_error", 4).alias("held_out_error"))
