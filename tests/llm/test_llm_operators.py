@@ -225,6 +225,21 @@ def test_metric_join(spark, monkeypatch):
     assert got == {i: (len(link[i]), comp[i], comp[i] == i) for i in range(n)}
 
 
+def test_metric_join_does_not_copy_patternless_vectors(spark, monkeypatch):
+    monkeypatch.setattr(metric_join, "CELL", 100)
+    went, cells = [], metric_join._cells
+    monkeypatch.setattr(metric_join, "_cells", lambda placed, *rest: went.append(placed.count()) or cells(placed, *rest))
+    x = np.random.default_rng(2).normal(size=(800, 48))
+    x[400:410] = x[:10] * 3 + 0.01
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in metric_join.near_duplicates(df).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    link = (u @ u.T >= 0.98) & ~np.eye(800, dtype=bool)
+    assert link.sum() == 20
+    assert got == {i: (int(link[i].sum()), min([i, *np.flatnonzero(link[i]).tolist()])) for i in range(800)}
+    assert went[0] <= 2 * 800
+
+
 def test_metric_join_of_repeated_ids_and_many_levels(spark, monkeypatch):
     monkeypatch.setattr(metric_join, "CELL", 12)
     monkeypatch.setattr(metric_join, "PIVOTS", 3)
