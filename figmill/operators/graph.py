@@ -34,6 +34,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """df for a join both of whose sides grow with the input: they are shuffled and merged.
+
+    Spark guesses sizes from compressed files and before rows are exploded, so otherwise it may take a whole table to the
+    driver to broadcast it.
+    """
+    return df.hint("merge")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, component) of every node of the edges (a, b); component is the least id that they reach."""
     nodes = edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct()

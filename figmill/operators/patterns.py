@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from figmill.operators.graph import dealt
+
 GRAMS = (1, 2, 3, 6, 12, 24)
 BLOCK, NESTING = 200, 6
 CUT = "\u0000"
@@ -53,7 +55,7 @@ def _fitting(n: Column) -> Column:
 def _rarest(mine: DataFrame, asked: DataFrame, key: str) -> DataFrame:
     """(key, gram): of the grams that each key asks for, the one that fewest rows of `mine` (..., gram) have."""
     count = mine.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
-    return asked.join(count, "gram", "left").groupBy(key).agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.col("gram"))).alias("gram"))
+    return asked.join(dealt(count), "gram", "left").groupBy(key).agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.col("gram"))).alias("gram"))
 
 
 def containing(texts: DataFrame, literals: DataFrame) -> DataFrame:
@@ -69,7 +71,7 @@ def containing(texts: DataFrame, literals: DataFrame) -> DataFrame:
         return p.select("literal", F.col("literal").alias("text"))
     mine = text.select("text", F.explode(F.flatten(F.array(*(grams(F.col("text"), F.lit(k)) for k in used)))).alias("gram"))
     asked = p.select("literal", F.explode(grams(F.col("literal"), F.col("size"))).alias("gram"))
-    return _rarest(mine, asked, "literal").join(mine, "gram").filter(F.contains("text", "literal")).select("literal", "text")
+    return _rarest(mine, asked, "literal").join(dealt(mine), "gram").filter(F.contains("text", "literal")).select("literal", "text")
 
 
 def _indexed(patterns: DataFrame) -> DataFrame:
@@ -92,7 +94,7 @@ def matches(names: DataFrame, patterns: DataFrame) -> DataFrame:
     if used := sorted(k for k in sizes if k is not None):
         mine = name.select("name", F.explode(F.flatten(F.array(*(grams(F.col("name"), F.lit(k)) for k in used)))).alias("gram"))
         theirs = p.filter("size IS NOT NULL").select("pattern", F.explode(grams(F.col("literal"), F.col("size"))).alias("gram"))
-        out = _rarest(mine, theirs, "pattern").join(mine, "gram").filter(F.regexp_like("name", F.col("pattern"))).select("pattern", "name")
+        out = _rarest(mine, theirs, "pattern").join(dealt(mine), "gram").filter(F.regexp_like("name", F.col("pattern"))).select("pattern", "name")
     if None in sizes:
         # a block holds BLOCK patterns, and every name meets every block once: what has no literal has to be tried on all
         blocks = -(-sizes[None] // BLOCK)

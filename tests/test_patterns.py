@@ -52,3 +52,15 @@ def test_literals_in_texts(spark):
     got = {(r.literal, r.text) for r in P.containing(spark.createDataFrame([(t,) for t in texts], "text string"), spark.createDataFrame([(t,) for t in literals], "literal string")).collect()}
     assert got == {(a, t) for a in literals if a for t in texts if t is not None and a in t} and len(got) > 500
     assert P.containing(spark.createDataFrame([("a",)], "text string"), spark.createDataFrame([], "literal string")).collect() == []
+
+
+def test_matches_bring_no_table_to_the_driver(spark, tmp_path):
+    spark.range(300).selectExpr("concat('part#', id, '-size') AS name").write.parquet(f"{tmp_path}/names")
+    spark.range(300).selectExpr("concat('^part#', id, '-') AS pattern").write.parquet(f"{tmp_path}/patterns")
+    names, asked = spark.read.parquet(f"{tmp_path}/names"), spark.read.parquet(f"{tmp_path}/patterns")
+    found = P.matches(names, asked)
+    assert found.count() == 300
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    held = P.containing(names.selectExpr("name AS text"), asked.selectExpr("substr(pattern, 2) AS literal"))
+    assert held.count() == 300
+    assert "Broadcast" not in held._jdf.queryExecution().executedPlan().toString()
