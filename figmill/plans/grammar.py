@@ -17,7 +17,7 @@ def nodes(elements: DataFrame, outputs: DataFrame) -> DataFrame:
     """(rule, subject) of outputs (role, name, allowed array of geometries): each must be one element of an allowed geometry."""
     named = elements.filter(T.stripped("name") != "")
     n = named.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.collect_set("geometry").alias("kinds"))
-    j = outputs.join(n, "name", "left")
+    j = outputs.join(graph.dealt(n), "name", "left")
     bad = F.size(F.array_except(F.coalesce("kinds", F.array().cast("array<string>")), "allowed")) > 0
     issue = F.array_compact(F.array(F.when(F.col("n").isNull(), "missing object"), F.when(F.col("n") > 1, "object is not unique"), F.when(bad, "geometry not allowed")))
     return j.select(F.explode(issue).alias("rule"), F.concat_ws("/", "role", "name").alias("subject"))
@@ -26,8 +26,8 @@ def nodes(elements: DataFrame, outputs: DataFrame) -> DataFrame:
 def edges(elements: DataFrame, roles: DataFrame) -> DataFrame:
     """(edge, n_lines, n_others): what each edge role's pattern (edge, pattern) finds among the names."""
     names = elements.filter(T.stripped("name") != "").groupBy("name").agg(F.count_if(F.col("geometry") == "line").alias("l"), F.count(F.lit(1)).alias("n"))
-    hits = P.matches(names, roles).join(names, "name")
-    found = roles.select("edge", "pattern").join(hits, "pattern", "left").groupBy("edge").agg(F.coalesce(F.sum("l"), F.lit(0)).alias("n_lines"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+    hits = P.matches(names, roles).join(graph.dealt(names), "name")
+    found = roles.select("edge", "pattern").join(graph.dealt(hits), "pattern", "left").groupBy("edge").agg(F.coalesce(F.sum("l"), F.lit(0)).alias("n_lines"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
     return found.select("edge", "n_lines", (F.col("n") - F.col("n_lines")).alias("n_others"))
 
 
@@ -54,13 +54,15 @@ def evidence(elements: DataFrame, roles: DataFrame, tolerance: float = 0.01) ->
     named, roles = graph.cut(elements.filter(T.stripped("name") != "")), graph.cut(roles)
     count = named.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.first("geometry").alias("geometry"), F.first("bbox").alias("bbox"), F.first("endpoints").alias("endpoints"))
     lines = named.filter(F.col("geometry") == "line")
-    matched = roles.select("edge", "pattern").join(P.matches(lines, roles), "pattern").join(lines, "name").groupBy("edge").agg(F.count(F.lit(1)).alias("n_lines"), F.sort_array(F.collect_list("name")).alias("names"), F.first("source_name").alias("source_name"), F.first("target_name").alias("target_name"))
+    matched = roles.select("edge", "pattern").join(graph.dealt(P.matches(lines, roles)), "pattern").join(graph.dealt(lines), "name").groupBy("edge").agg(F.count(F.lit(1)).alias("n_lines"), F.sort_array(F.collect_list("name")).alias("names"), F.first("source_name").alias("source_name"), F.first("target_name").alias("target_name"))
     end = lambda which: count.select(F.col("name").alias(which), *(F.col(c).alias(f"{which}_{c}") for c in ("n", "geometry", "bbox")))
-    legs = roles.filter("ordered is not null").select("edge", F.posexplode("ordered").alias("ord", "name")).join(count, "name", "left")
+    legs = roles.filter("ordered is not null").select("edge", F.posexplode("ordered").alias("ord", "name")).join(graph.dealt(count), "name", "left")
     good = (F.size("endpoints") == 2) & F.forall("endpoints", lambda p: (F.size(p) == 2) & F.forall(p, lambda v: finite(v)))
     leg = legs.select("edge", "ord", F.coalesce(F.col("n") == 1, F.lit(False)).alias("one"), F.coalesce(good, F.lit(False)).alias("good"), *(F.get(F.get("endpoints", F.lit(i)), F.lit(k)).alias(f"{c}{i}") for i in (0, 1) for k, c in enumerate("xy")))
     ends = leg.groupBy("edge").agg(F.bool_and("one").alias("one"), F.bool_and("good").alias("good"), F.min(F.struct("ord", "x0", "y0")).alias("a"), F.max(F.struct("ord", "x1", "y1")).alias("z"))
-    j = roles.join(matched, "edge", "left").join(end("source"), "source", "left").join(end("target"), "target", "left").join(ends, "edge", "left").join(continuity(leg, tolerance), "edge", "left")
+    j = roles
+    for side, on in ((matched, "edge"), (ends, "edge"), (continuity(leg, tolerance), "edge"), (end("source"), "source"), (end("target"), "target")):
+        j = j.join(graph.dealt(side), on, "left")
     at = lambda which, k: F.get(F.col(f"{which}_bbox"), F.lit(k))
     rect = lambda which: (F.col(f"{which}_geometry") == "rect") & (F.size(f"{which}_bbox") == 4)
     touches = lambda which, p: on_boundary(F.col(f"{p}.x{0 if p == 'a' else 1}"), F.col(f"{p}.y{0 if p == 'a' else 1}"), *(at(which, k) for k in range(4)), tolerance)
@@ -97,4 +99,4 @@ def scope(reasons: DataFrame, names: DataFrame, patterns: DataFrame) -> DataFram
     """reasons (name, reason) with `selected`: whether a contract's names (name) or patterns (pattern) choose the object."""
     by_pattern = P.matches(reasons, patterns).select("name")
     chosen = names.select("name").union(by_pattern).distinct().withColumn("selected", F.lit(True))
-    return reasons.join(chosen, "name", "left").withColumn("selected", F.coalesce("selected", F.lit(False)))
+    return reasons.join(graph.dealt(chosen), "name", "left").withColumn("selected", F.coalesce("selected", F.lit(False)))
