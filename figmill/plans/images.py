@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from figmill.functions.numeric import crosses
-from figmill.operators import grid
+from figmill.operators import graph, grid
 
 KEYS = ["image_id", "y", "x"]
 SUFFIXES = ("png", "jpg", "jpeg", "gif", "bmp")
@@ -150,7 +150,7 @@ def to_polygon(points: DataFrame, polygons: DataFrame) -> DataFrame:
     """points (id, px, py, ...) with `distance` from the edge of the polygon of their id and `inside`, the edge (to 1e-7) included; points without a polygon are left out."""
     near = grid.edge_distances(points, polygon_edges(polygons), ["id"])
     within = inside_polygon(points, polygons).withColumn("in_", F.lit(True))
-    j = points.join(near, ["id", "px", "py"]).join(within, ["id", "px", "py"], "left")
+    j = points.join(graph.dealt(near), ["id", "px", "py"]).join(graph.dealt(within), ["id", "px", "py"], "left")
     return j.select(*points.columns, "distance", ((F.col("distance") < 1e-7) | F.coalesce("in_", F.lit(False))).alias("inside"))
 
 

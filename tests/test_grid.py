@@ -81,3 +81,15 @@ def test_a_large_slide(spark):
     p = spark.range(10_000).select(F.lit("s").alias("slide"), F.concat(F.lit("t"), "id").alias("name"), F.lit(False).alias("closed"), F.array(*(F.struct(((F.col("id") * 7919 + k * 3) % 400 * 22860.0 + 10000).alias("x"), (F.floor(F.col("id") / 40) * 27432.0 + 10000).alias("y")) for k in (0, 1))).alias("points"))
     assert clearance.box_pairs(b).count() == 0
     assert clearance.path_hits(b, p).count() >= 20_000
+
+
+def test_joins_over_cells_bring_no_table_to_the_driver(spark, tmp_path):
+    spark.range(200).selectExpr("1 AS slide", "double(id) AS x", "0d AS y", "0.5d AS w", "1d AS h", "double(id) AS px", "0.5d AS py").write.parquet(f"{tmp_path}/boxes")
+    spark.range(200).selectExpr("1 AS slide", "id AS edge", "id + 0.25d AS x0", "-1d AS y0", "id + 0.25d AS x1", "2d AS y1").write.parquet(f"{tmp_path}/edges")
+    boxes, edges = spark.read.parquet(f"{tmp_path}/boxes"), spark.read.parquet(f"{tmp_path}/edges")
+    near = grid.near_segments(boxes.drop("px", "py"), edges, ["slide"], F.lit(0.1))
+    over = grid.crossings(boxes.select("slide", "px", "py"), edges, ["slide"], F.col("x0") == F.col("px") + 0.25)
+    assert near.filter("x0 > x AND x0 < x + w").select("edge").distinct().count() == 200
+    assert over.select("edge").distinct().count() == 200
+    for found in (near, over):
+        assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
