@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from figmill.functions import text as T
 from figmill.functions.numeric import finite
-from figmill.operators import coverage
+from figmill.operators import coverage, graph
 from figmill.operators import patterns as P
 
 SLACK = 1e-9
@@ -21,8 +21,8 @@ def resolved_size(direct: Column, nested: Column) -> Column:
 def assigned(elements: DataFrame, roles: DataFrame) -> DataFrame:
     """Elements that have text with `n_roles` and, if one role's pattern finds the name, its `role`."""
     e = elements.filter((T.stripped("name") != "") & (T.stripped("text") != ""))
-    names = P.matches(e, roles).join(roles.select("role", "pattern"), "pattern").groupBy("name").agg(F.count(F.lit(1)).alias("n_roles"), F.min("role").alias("role"))
-    return e.join(names, "name")
+    names = P.matches(e, roles).join(graph.dealt(roles.select("role", "pattern")), "pattern").groupBy("name").agg(F.count(F.lit(1)).alias("n_roles"), F.min("role").alias("role"))
+    return e.join(graph.dealt(names), "name")
 
 
 def run_spread(elements: DataFrame) -> DataFrame:
