@@ -45,6 +45,38 @@ def test_typography(spark):
     assert spark.range(1).select(typography.resolved_size(F.lit(float("nan")), F.lit(9.0))).first()[0] == 9.0
 
 
+def test_regions_over_tiles(spark, monkeypatch):
+    """Parts that pass many tiles, with corners and rows below zero; parts within a tile never reach the graph."""
+    rnd = random.Random(8)
+    snake = {(y, x) for y in range(-9, 150) for x in range(-70, 140) if y % 4 == 0 or x == (-70 if y % 8 < 4 else 139)}
+    cases = {"snake": snake, "stairs": {(k, k) for k in range(-100, 100)} | {(k, 130 - k) for k in range(70)}, "noise": {(y, x) for y in range(130) for x in range(70) if rnd.random() < 0.55}}
+
+    def fill(cells, steps):
+        left, out, label = set(cells), {}, 0
+        for c in sorted(cells):
+            if c in left:
+                stack, label = [c], label + 1
+                left.discard(c)
+                while stack:
+                    y, x = stack.pop()
+                    out[y, x] = label
+                    near = {(y + dy, x + dx) for dy, dx in steps} & left
+                    left -= near
+                    stack += near
+        return out
+
+    m = spark.createDataFrame([(i, y, x) for i, cells in cases.items() for y, x in cells] * 2 + [("noise", None, 3)], "image_id string, y int, x int")
+    for eight, steps in ((False, masks.FOUR), (True, masks.EIGHT)):
+        got = masks.regions(m, eight=eight).collect()
+        assert len(got) == sum(map(len, cases.values()))
+        for i, cells in cases.items():
+            assert {(r.y, r.x): r.label for r in got if r.image_id == i} == fill(cells, steps)
+    seen, plain = [], masks.graph.components
+    monkeypatch.setattr(masks.graph, "components", lambda edges: (seen.append(edges.count()), plain(edges))[1])
+    masks.regions(spark.createDataFrame([("i", y, x) for y in range(60) for x in range(60)], "image_id string, y int, x int")).count()
+    assert seen == [0]
+
+
 def test_masks_against_flood_fill(spark):
     rnd = random.Random(7)
     on = {(y, x) for y in range(12) for x in range(12) if rnd.random() < 0.5}
