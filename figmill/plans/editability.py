@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from figmill.functions import text as T
 from figmill.functions.numeric import rotated_bounds
-from figmill.operators import patterns
+from figmill.operators import graph, patterns
 
 TOLERANCE, AREA = 12700, 0.8
 
@@ -58,22 +58,32 @@ def inventory(items: DataFrame, objects: DataFrame) -> DataFrame:
     """(id, observed, required, valid) of declared texts (id, text, slide, name, shape_id, required; null: any) among objects (slide, name, shape_id, text).
 
     The optional keys give eight kinds of items; each kind is an equi-join on the keys that it has.  Items without any
-    are looked up by their text without white space, which the object's must hold.
+    are looked up by their text without white space, which the object's must hold.  Equal items and equal objects are compared
+    once, however many there are.
     """
     keys = ("slide", "name", "shape_id")
     declared = items.filter(T.stripped("text") != "")
+    wanted = declared.select(F.col("text").alias("token"), *keys).distinct()
+    held = objects.groupBy("text", *keys).agg(F.count(F.lit(1)).alias("n"))
+    kinds = dict(items.dtypes)
     hits = None
     for mask in range(8):
         on = [k for n, k in enumerate(keys) if mask >> n & 1]
-        kind = declared
+        kind = wanted
         for n, k in enumerate(keys):
             kind = kind.filter(F.col(k).isNotNull() if mask >> n & 1 else F.col(k).isNull())
-        kind = kind.select("id", F.col("text").alias("token"), *on)
-        found = kind.join(objects.select("text", *on), on) if on else _holding(kind.withColumn("literal", T.match_key(F.col("token"))), objects.select("text"))
-        n = found.groupBy("id").agg(F.sum(T.token_count(F.col("text"), F.col("token"))).alias("observed"))
+        kind = kind.select("token", *on)
+        said = held.groupBy("text", *on).agg(F.sum("n").alias("n"))
+        found = kind.join(graph.dealt(said), on) if on else _holding(kind.withColumn("literal", T.match_key(F.col("token"))), said)
+        n = found.groupBy("token", *on).agg(F.sum(T.token_count(F.col("text"), F.col("token")) * F.col("n")).alias("observed"))
+        n = n.select(F.col("token").alias("token_"), *((F.col(k) if k in on else F.lit(None).cast(kinds[k])).alias(f"{k}_") for k in keys), "observed")
         hits = n if hits is None else hits.unionByName(n)
+    same = F.col("text") == F.col("token_")
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"{k}_"))
+    hits = declared.join(graph.dealt(hits), same).groupBy("id").agg(F.sum("observed").alias("observed"))
     required = F.coalesce("required", F.lit(1))
-    return declared.join(hits, "id", "left").select("id", F.coalesce("observed", F.lit(0)).cast("long").alias("observed"), required.alias("required"), ((required > 0) & (F.coalesce("observed", F.lit(0)) >= required)).alias("valid"))
+    return declared.join(graph.dealt(hits), "id", "left").select("id", F.coalesce("observed", F.lit(0)).cast("long").alias("observed"), required.alias("required"), ((required > 0) & (F.coalesce("observed", F.lit(0)) >= required)).alias("valid"))
 
 
 def classify(raster: Column, pictures: Column, native: Column) -> Column:
