@@ -1,8 +1,11 @@
 """Steps whose work or memory must not grow faster than the input."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
+from figmill.operators import intervals
 from figmill.plans import editability
 
 
@@ -21,3 +24,14 @@ def test_equal_items_and_objects_are_compared_once(spark, monkeypatch):
     want = {k: 2 * sum(m % 3 in slides[[None, 1, 2][k % 3]] and (not k % 2 or m % 5 > 0) for m in range(150)) for k in range(120)}
     assert {r.id: r.observed for r in editability.inventory(items, objects).collect()} == want
     assert seen.value <= 100
+
+
+def test_band_pairs(spark):
+    rnd = random.Random(9)
+    rows = [(rnd.choice("pq"), k, rnd.choice([rnd.uniform(-9, 9), float(rnd.randint(-5, 5))])) for k in range(300)] + [("p", 300, float("nan")), ("p", 301, None), ("p", 302, float("inf")), ("p", 303, float("inf")), ("p", None, 1.0), ("p", 7, 1.0)]
+    d = spark.createDataFrame(rows, "g string, k int, v double")
+    found = intervals.band_pairs(d, ["g"], "k", "v", 0.5)
+    assert "Broadcast" not in plan(found)
+    whole = [r for r in rows if r[1] is not None and r[2] is not None and abs(r[2]) < 99]
+    want = sorted((a[1], b[1], abs(a[2] - b[2])) for a in whole for b in whole if a[0] == b[0] and a[1] < b[1] and abs(a[2] - b[2]) <= 0.5)
+    assert sorted(tuple(r) for r in found.collect()) == want
