@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from figmill.functions.numeric import crosses
-from figmill.operators import graph, grid
+from figmill.functions.numeric import crosses, finite, point_segment
+from figmill.operators import graph, grid, masks
 
 KEYS = ["image_id", "y", "x"]
+FEW = 32
 SUFFIXES = ("png", "jpg", "jpeg", "gif", "bmp")
 
 
@@ -97,10 +98,15 @@ def differences(a: DataFrame, b: DataFrame, threshold: int = 16) -> DataFrame:
     )
 
 
+def _tiled(pixels: DataFrame) -> DataFrame:
+    """Pixels dealt by tiles, so that what neighbours add to one place is summed before it is shuffled."""
+    return pixels.repartition("image_id", *(F.floor(F.col(c) / masks.TILE) for c in ("y", "x")))
+
+
 def edges(gray: DataFrame, height: int, width: int) -> DataFrame:
     """(image_id, y, x, v): eight times a gray pixel less its eight neighbours, cut to 0..255; the outermost pixels stay as they are."""
     steps = [(dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1)]
-    spread = gray.select("image_id", F.explode(F.array(*(F.struct((F.col("y") + dy).alias("y"), (F.col("x") + dx).alias("x"), (F.col("v") * (8 if (dy, dx) == (0, 0) else -1)).alias("s"), F.when(F.lit((dy, dx) == (0, 0)), F.col("v")).alias("own")) for dy, dx in steps))).alias("e")).select("image_id", "e.*")
+    spread = _tiled(gray).select("image_id", F.explode(F.array(*(F.struct((F.col("y") + dy).alias("y"), (F.col("x") + dx).alias("x"), (F.col("v") * (8 if (dy, dx) == (0, 0) else -1)).alias("s"), F.when(F.lit((dy, dx) == (0, 0)), F.col("v")).alias("own")) for dy, dx in steps))).alias("e")).select("image_id", "e.*")
     rim = (F.col("y") == 0) | (F.col("x") == 0) | (F.col("y") == height - 1) | (F.col("x") == width - 1)
     g = spread.groupBy(*KEYS).agg(F.sum("s").alias("s"), F.max("own").alias("own")).filter("own is not null")
     return g.select(*KEYS, F.when(rim, F.col("own")).otherwise(F.greatest(F.lit(0), F.least(F.lit(255), F.col("s")))).cast("int").alias("v"))
@@ -112,7 +118,7 @@ def worst_window(diff: DataFrame, size: int) -> DataFrame:
     A pixel adds to the `size` windows of its row that hold it, and a row's sum to those of its column.
     """
     steps = F.sequence(F.lit(0), F.lit(size - 1))
-    rows = diff.withColumn("k", F.explode(steps)).filter("x >= k").groupBy("image_id", "y", (F.col("x") - F.col("k")).alias("x")).agg(F.sum("v").alias("s"))
+    rows = _tiled(diff).withColumn("k", F.explode(steps)).filter("x >= k").groupBy("image_id", "y", (F.col("x") - F.col("k")).alias("x")).agg(F.sum("v").alias("s"))
     total = rows.withColumn("k", F.explode(steps)).filter("y >= k").groupBy("image_id", (F.col("y") - F.col("k")).alias("y"), "x").agg(F.sum("s").alias("t"))
     best = F.max(F.struct("t", (-F.col("y")).alias("y"), (-F.col("x")).alias("x")))
     return total.groupBy("image_id").agg(best.alias("b")).select("image_id", (-F.col("b.y")).alias("y"), (-F.col("b.x")).alias("x"), F.col("b.t").alias("total"))
@@ -147,11 +153,25 @@ def inside_polygon(points: DataFrame, polygons: DataFrame) -> DataFrame:
 
 
 def to_polygon(points: DataFrame, polygons: DataFrame) -> DataFrame:
-    """points (id, px, py, ...) with `distance` from the edge of the polygon of their id and `inside`, the edge (to 1e-7) included; points without a polygon are left out."""
-    near = grid.edge_distances(points, polygon_edges(polygons), ["id"])
-    within = inside_polygon(points, polygons).withColumn("in_", F.lit(True))
-    j = points.join(graph.dealt(near), ["id", "px", "py"]).join(graph.dealt(within), ["id", "px", "py"], "left")
-    return j.select(*points.columns, "distance", ((F.col("distance") < 1e-7) | F.coalesce("in_", F.lit(False))).alias("inside"))
+    """points (id, px, py, ...) with `distance` from the edge of the polygon of their id and `inside`, the edge (to 1e-7) included; points without a polygon are left out.
+
+    A point is compared with all edges of its polygon where those are at most FEW; the points of larger polygons go by cells and slabs.
+    """
+    e = grid.whole_edges(polygon_edges(polygons))
+    n = e.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    place = points.filter(finite(F.col("px")) & finite(F.col("py")))
+    few = e.join(graph.dealt(n.filter(F.col("n") <= FEW)), "id").groupBy("id").agg(F.collect_list(F.struct("x0", "y0", "x1", "y1")).alias("sides_"))
+    j = place.join(graph.dealt(few), "id")
+    at = lambda s: (F.col("px"), F.col("py"), *(s[c] for c in ("x0", "y0", "x1", "y1")))
+    j = j.withColumn("distance", F.array_min(F.transform("sides_", lambda s: point_segment(*at(s))))).withColumn("in_", F.size(F.filter("sides_", lambda s: crosses(*at(s)) == 1)) % 2 == 1)
+    out = lambda d: d.select(*points.columns, "distance", ((F.col("distance") < 1e-7) | F.coalesce("in_", F.lit(False))).alias("inside"))
+    many = graph.cut(n.filter(F.col("n") > FEW).select("id"))
+    if many.isEmpty():
+        return out(j)
+    rest, theirs = (d.join(graph.dealt(many), "id", "left_semi") for d in (place, polygons))
+    near = grid.edge_distances(rest, polygon_edges(theirs), ["id"])
+    within = inside_polygon(rest, theirs).withColumn("in_", F.lit(True))
+    return out(j).unionByName(out(rest.join(graph.dealt(near), ["id", "px", "py"]).join(graph.dealt(within), ["id", "px", "py"], "left")))
 
 
 def densified(polygons: DataFrame, per_px: float = 2.0) -> DataFrame:

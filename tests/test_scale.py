@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from figmill.operators import intervals
-from figmill.plans import editability
+from figmill.plans import editability, images
 
 
 def plan(df):
@@ -35,3 +35,10 @@ def test_band_pairs(spark):
     whole = [r for r in rows if r[1] is not None and r[2] is not None and abs(r[2]) < 99]
     want = sorted((a[1], b[1], abs(a[2] - b[2])) for a in whole for b in whole if a[0] == b[0] and a[1] < b[1] and abs(a[2] - b[2]) <= 0.5)
     assert sorted(tuple(r) for r in found.collect()) == want
+
+
+def test_points_of_small_polygons_need_no_cells(spark, monkeypatch):
+    monkeypatch.setattr(grid, "edge_distances", lambda *_: pytest.fail("cells"))
+    p = spark.createDataFrame([(1, 1.0, 1.0), (1, 5.0, 1.0), (1, 2.0, 1.0), (2, 0.0, 0.0), (1, float("nan"), 1.0)], "id int, px double, py double")
+    g = spark.createDataFrame([(1, [(0.0, 0.0), (0.0, 2.0), (2.0, 2.0), (2.0, 0.0)])], "id int, points array<struct<x: double, y: double>>")
+    assert sorted(tuple(r) for r in images.to_polygon(p, g).collect()) == [(1, 1.0, 1.0, 1.0, True), (1, 2.0, 1.0, 0.0, True), (1, 5.0, 1.0, 3.0, False)]
