@@ -58,8 +58,9 @@ def compiles(pattern: pd.Series) -> pd.Series:
 
 
 def read(docs: DataFrame) -> DataFrame:
-    """Manifests (path, content as JSON) with their sections as columns; what has another type than it should is null, and so are all sections of what isn't a JSON object."""
-    return docs.select(F.col("path").cast("string").alias("path"), F.from_json("content", SCHEMA).alias("m")).select("path", "m.*")
+    """Manifests (path, content as JSON) with their sections as columns, and whether they are JSON objects (`object_`); what has another type than it should is null, and so are all sections of what isn't an object."""
+    object_ = F.coalesce(F.col("content").rlike(r"^\s*\{") & F.try_parse_json("content").isNotNull(), F.lit(False))
+    return docs.select(F.col("path").cast("string").alias("path"), object_.alias("object_"), F.from_json("content", SCHEMA).alias("m")).select("path", "object_", "m.*")
 
 
 def _blank(c: Column) -> Column:
@@ -92,7 +93,7 @@ def _each(rows: DataFrame, subject: Column, rules: dict[str, Column]) -> DataFra
 
 def _unknown(rows: DataFrame, column: str, known: DataFrame, rule: str) -> DataFrame:
     """Rows (path, ...) whose value isn't among the known ones (path, id) of their manifest; a null is unknown."""
-    lost = rows.select("path", F.col(column).alias("id")).join(known.select("path", "id").distinct(), ["path", "id"], "left_anti")
+    lost = rows.select("path", F.col(column).alias("id")).join(graph.dealt(known.select("path", "id")), ["path", "id"], "left_anti")
     return lost.select("path", F.lit(rule).alias("rule"), F.coalesce("id", F.lit("")).alias("subject"))
 
 
@@ -101,11 +102,11 @@ def _repeated(rows: DataFrame, keys: list[str], rule: str) -> DataFrame:
     return g.select("path", F.lit(rule).alias("rule"), F.concat_ws("/", *keys).alias("subject"))
 
 
-def _section(m: DataFrame, name: str) -> DataFrame:
-    """The entries of a section with their place; an entry's own path is `file`."""
-    d = m.select("path", F.posexplode(name).alias("at", "e")).filter("e IS NOT NULL")
+def _section(m: DataFrame, name: str, *more: Column) -> DataFrame:
+    """The entries of a section with their place, and more columns of their manifest; an entry's own path is `file`."""
+    d = m.select("path", *more, F.posexplode(name).alias("at", "e")).filter("e IS NOT NULL")
     own = d.select("e.*").columns
-    return d.select("path", "at", *(F.col(f"e.{c}").alias("file" if c == "path" else c) for c in own))
+    return d.select(*d.columns[:-1], *(F.col(f"e.{c}").alias("file" if c == "path" else c) for c in own))
 
 
 def _roles(m: DataFrame, column: str) -> DataFrame:
@@ -114,28 +115,28 @@ def _roles(m: DataFrame, column: str) -> DataFrame:
 
 def layout(m: DataFrame) -> list[DataFrame]:
     """Rules of the head, targets, modules, inventory, icons and connections."""
-    beyond = lambda d: d.join(m.select("path", F.col("canvas.width").alias("cw"), F.col("canvas.height").alias("ch")), "path")
+    canvas = F.col("canvas.width").alias("cw"), F.col("canvas.height").alias("ch")
     out_of = lambda box: F.coalesce((F.col("cw") > 0) & (F.col("ch") > 0) & box_issue(F.col(box)).isNull() & ~inside(F.col(box), F.col("cw"), F.col("ch")), F.lit(False))
     size = lambda c: F.coalesce(finite(F.col(c)) & (F.col(c) > 0), F.lit(False))
-    module, item, icon, link, target, raster = (_section(m, s) for s in ("modules", "source_inventory", "icon_signatures", "connections", "targets", "raster_exceptions"))
+    module, item, icon, link, target, raster = (_section(m, s, *canvas) for s in ("modules", "source_inventory", "icon_signatures", "connections", "targets", "raster_exceptions"))
     dense, some = F.col("execution_profile") == "dense", lambda c: F.coalesce(F.size(c) > 0, F.lit(False))
     head = _each(m, F.lit(""), {
         "schema version": F.coalesce(F.col("schema_version") != 1, F.lit(True)), "unknown profile": _off(F.col("execution_profile"), F.col("execution_profile").isin(*PROFILES)), "no source": _blank(F.col("source.path")), "source size": _off(F.col("source.width"), size("source.width")) | _off(F.col("source.height"), size("source.height")),
         "canvas size": ~(size("canvas.width") & size("canvas.height")), "no targets": ~some("targets"), "no modules": ~some("modules"), "dense without inventory": F.coalesce(dense, F.lit(False)) & ~some("source_inventory"),
     })
-    covered = m.filter(dense).select("path").join(module.select("path", "id"), "path").join(item.select("path", F.col("module").alias("id")), ["path", "id"], "left_anti")
+    covered = _section(m.filter(dense), "modules").select("path", "id").join(graph.dealt(item.select("path", F.col("module").alias("id"))), ["path", "id"], "left_anti")
     crops = item.filter(F.col("representation").isin("source_crop", "evidence_raster"))
     known = module.select("path", "id")
     return [
         head, _each(target, F.col("at"), {"unknown format": _none_of(F.lower("format"), FORMATS), "target without path": _blank(F.col("file"))}), _repeated(target, ["file"], "target repeated"),
-        _each(beyond(module), F.col("at"), {"module without id": _blank(F.col("id")), "module box": box_issue(F.col("bbox")).isNotNull(), "module beyond the canvas": out_of("bbox")}), _repeated(module, ["id"], "module repeated"),
-        _each(beyond(item), F.col("at"), {
+        _each(module, F.col("at"), {"module without id": _blank(F.col("id")), "module box": box_issue(F.col("bbox")).isNotNull(), "module beyond the canvas": out_of("bbox")}), _repeated(module, ["id"], "module repeated"),
+        _each(item, F.col("at"), {
             "item without id": _blank(F.col("id")), "unknown role": _none_of(F.col("role"), ROLES), "unknown representation": _none_of(F.col("representation"), REPRESENTATIONS), "count or slide": _off(F.col("output_slide"), F.col("output_slide") >= 1) | _off(F.col("required_count"), F.col("required_count") >= 1),
             "text missing": (F.col("role") == "text") & _blank(F.col("text")), "item box": F.col("bbox").isNotNull() & box_issue(F.col("bbox")).isNotNull(), "item beyond the canvas": F.col("bbox").isNotNull() & out_of("bbox"),
         }), _repeated(item.select("path", "id").unionByName(known), ["id"], "id repeated"), _unknown(item, "module", known, "item in unknown module"),
         covered.select("path", F.lit("module without items").alias("rule"), F.col("id").alias("subject")), _unknown(crops, "raster_exception", raster, "unknown raster exception"),
         _each(raster, F.col("at"), {"exception without id": _blank(F.col("id")), "exception without reason": _blank(F.col("reason"))}), _repeated(raster, ["id"], "exception repeated"),
-        _each(beyond(icon), F.col("at"), {"icon without id": _blank(F.col("id")), "icon without class": _blank(F.col("object_class")), "icon without features": ~_texts(F.col("required_features")), "icon crop": F.col("source_crop").isNotNull() & (box_issue(F.col("source_crop")).isNotNull() | out_of("source_crop"))}), _repeated(icon, ["id"], "icon repeated"), _unknown(icon, "module", known, "icon in unknown module"),
+        _each(icon, F.col("at"), {"icon without id": _blank(F.col("id")), "icon without class": _blank(F.col("object_class")), "icon without features": ~_texts(F.col("required_features")), "icon crop": F.col("source_crop").isNotNull() & (box_issue(F.col("source_crop")).isNotNull() | out_of("source_crop"))}), _repeated(icon, ["id"], "icon repeated"), _unknown(icon, "module", known, "icon in unknown module"),
         _each(link, F.col("at"), {"connection without id": _blank(F.col("id"))}), _repeated(link, ["id"], "connection repeated"), _unknown(link, "source", known, "connection from unknown module"), _unknown(link, "target", known, "connection to unknown module"),
     ]
 
@@ -155,12 +156,13 @@ def constraints(m: DataFrame) -> list[DataFrame]:
 def grammar(m: DataFrame) -> list[DataFrame]:
     """Rules of the diagram grammar: what it says of itself, and that its roles cover connections and their ends, both ways."""
     link, item = _section(m, "connections"), _section(m, "source_inventory")
+    bound_link = _section(m.filter("diagram_grammar IS NOT NULL"), "connections")
     lined = m.select("path", F.coalesce(F.size("connections") > 0, F.lit(False)).alias("linked"), F.coalesce(F.exists("source_inventory", lambda i: i["role"] == "connector"), F.lit(False)).alias("drawn"), "execution_profile", F.col("diagram_grammar").alias("g"))
     structured = F.col("linked") | F.col("drawn")
     has = lined.filter("g IS NOT NULL")
     node, edge = graph.cut(_roles(m, "diagram_grammar.node_roles")), graph.cut(_roles(m, "diagram_grammar.edge_roles"))
     known = _section(m, "modules").select("path", "id").unionByName(item.select("path", "id"))
-    ends = link.select("path", F.explode(F.array("source", "target")).alias("id")).distinct().join(_section(m, "modules").select("path", "id"), ["path", "id"], "left_semi").join(has.select("path"), "path", "left_semi")
+    ends = bound_link.select("path", F.explode(F.array("source", "target")).alias("id")).distinct().join(graph.dealt(_section(m, "modules").select("path", "id")), ["path", "id"], "left_semi")
     change = F.coalesce("g.allow_representation_change", F.lit(False))
     names = node.select("path", F.explode("output_names").alias("name"))
     ordered = F.col("endpoint_binding.ordered_output_names")
@@ -173,7 +175,7 @@ def grammar(m: DataFrame) -> list[DataFrame]:
         }),
         _each(node, F.col("id"), {"node without role": _blank(F.col("role")), "node without geometries": ~_texts(F.col("allowed_geometries")), "node without outputs": ~_texts(F.col("output_names"))}),
         _unknown(node, "id", known, "role of an unknown node"), _repeated(names, ["name"], "output of several nodes"), _unknown(ends, "id", node, "connected module without role"),
-        _unknown(edge, "id", link, "role of an unknown connection"), _unknown(link.join(has.select("path"), "path", "left_semi").filter(~_blank(F.col("id"))), "id", edge, "connection without role"),
+        _unknown(edge, "id", link, "role of an unknown connection"), _unknown(bound_link.filter(~_blank(F.col("id"))), "id", edge, "connection without role"),
         _each(edge, F.col("id"), {
             "edge without role": _blank(F.col("role")), "edge without pattern": _blank(F.col("output_name_regex")), "edge pattern": ~_blank(F.col("output_name_regex")) & ~compiles(F.col("output_name_regex")), "binding without ends": bound.isNotNull() & (_blank(bound["source_output_name"]) | _blank(bound["target_output_name"])),
             "binding order": ordered.isNotNull() & ~(_texts(ordered) & (F.size(F.array_distinct(ordered)) == F.size(ordered))), "binding tolerance": _off(bound["tolerance"], finite(bound["tolerance"]) & (bound["tolerance"] >= 0)),
@@ -186,7 +188,7 @@ def typography(m: DataFrame) -> list[DataFrame]:
     t = m.filter("typography_hierarchy IS NOT NULL").select("path", "mode", F.col("typography_hierarchy").alias("t"))
     role = graph.cut(_roles(m, "typography_hierarchy.roles"))
     base = t.select("path", F.col("t.baseline_role").alias("id"))
-    ratio = base.join(role.select("path", "id", "target_ratio"), ["path", "id"]).filter(~F.coalesce(F.abs(F.col("target_ratio") - 1) <= 1e-9, F.lit(False)))
+    ratio = base.join(graph.dealt(role.select("path", "id", "target_ratio")), ["path", "id"]).filter(~F.coalesce(F.abs(F.col("target_ratio") - 1) <= 1e-9, F.lit(False)))
     return [
         _each(t, F.lit(""), {
             "typography basis": _none_of(F.col("t.basis"), TYPE_BASES), "redesign basis without redesign": (F.col("t.basis") == "redesign_system") & F.coalesce(F.col("mode") != "redesign", F.lit(True)), "typography measurement": _none_of(F.col("t.measurement"), ["resolved_font_size"]),
@@ -219,7 +221,7 @@ def assets(m: DataFrame) -> list[DataFrame]:
     """Rules of component assets and their instances: one instance for each raster item, no asset without one, native roles never rasterized."""
     asset, one, item = (graph.cut(_section(m, s)) for s in ("component_assets", "component_instances", "source_inventory"))
     raster = item.filter("representation = 'component_raster'")
-    used = m.join(raster.select("path").distinct().withColumn("raster", F.lit(True)), "path", "left").withColumn("raster", F.coalesce("raster", F.lit(False)))
+    used = m.withColumn("raster", F.exists(F.coalesce("source_inventory", F.array().cast(m.schema["source_inventory"].dataType)), lambda i: F.coalesce(i["representation"] == "component_raster", F.lit(False))))
     hybrid = F.coalesce(F.col("editing_policy") == "hybrid", F.lit(False))
     applies = hybrid | F.col("raster") | F.col("component_assets").isNotNull() | F.col("component_instances").isNotNull()
     bound = used.filter(applies)
@@ -230,7 +232,7 @@ def assets(m: DataFrame) -> list[DataFrame]:
     anchors = F.col("anchors")
     anchored = ~F.exists(anchors, lambda a: _blank(a["id"]) | ~(whole(a["uv"], 2) & ~F.exists(a["uv"], lambda v: (v < 0) | (v > 1)) & whole(a["expected_inches"], 2))) & (F.size(F.array_distinct(F.transform(anchors, lambda a: a["id"]))) == F.size(anchors))
     kind = F.col("source_kind")
-    mine = item.join(bound.select("path"), "path", "left_semi")
+    mine = _section(bound, "source_inventory")
     native = F.col("representation").isin("native_primitive", "native_composite")
     is_raster = F.coalesce(F.col("representation") == "component_raster", F.lit(False))
     instance = one.select("path", F.col("instance_id").alias("id"))
@@ -251,7 +253,6 @@ def assets(m: DataFrame) -> list[DataFrame]:
 def violations(docs: DataFrame) -> DataFrame:
     """(path, rule, subject) of manifests (path, content): one row for each entry that breaks a rule; what isn't a JSON object has the rule `not a manifest`."""
     m = graph.cut(read(docs))
-    object_ = F.coalesce(docs["content"].rlike(r"^\s*\{") & F.try_parse_json(docs["content"]).isNotNull(), F.lit(False))
-    broken = docs.filter(~object_).select(F.col("path").cast("string").alias("path"), F.lit("not a manifest").alias("rule"), F.lit("").alias("subject"))
-    m = m.join(broken.select("path"), "path", "left_anti")
+    broken = m.filter("NOT object_").select("path", F.lit("not a manifest").alias("rule"), F.lit("").alias("subject"))
+    m = m.drop("object_").join(graph.dealt(broken.select("path")), "path", "left_anti") if not broken.isEmpty() else m.drop("object_")
     return reduce(DataFrame.unionByName, [*layout(m), *constraints(m), *grammar(m), *typography(m), *curves(m), *assets(m)], broken)

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from figmill.operators import intervals
-from figmill.plans import editability, images
+from figmill.plans import contracts, editability, images
 
 
 def plan(df):
@@ -42,3 +42,10 @@ def test_points_of_small_polygons_need_no_cells(spark, monkeypatch):
     p = spark.createDataFrame([(1, 1.0, 1.0), (1, 5.0, 1.0), (1, 2.0, 1.0), (2, 0.0, 0.0), (1, float("nan"), 1.0)], "id int, px double, py double")
     g = spark.createDataFrame([(1, [(0.0, 0.0), (0.0, 2.0), (2.0, 2.0), (2.0, 0.0)])], "id int, points array<struct<x: double, y: double>>")
     assert sorted(tuple(r) for r in images.to_polygon(p, g).collect()) == [(1, 1.0, 1.0, 1.0, True), (1, 2.0, 1.0, 0.0, True), (1, 5.0, 1.0, 3.0, False)]
+
+
+def test_contracts_bring_no_table_to_the_driver(spark):
+    d = spark.createDataFrame([("a", '{"schema_version": 1}'), ("b", "no json")], "path string, content string")
+    found = contracts.violations(d)
+    assert "Broadcast" not in plan(found)
+    assert {tuple(r) for r in found.filter("path = 'b'").collect()} == {("b", "not a manifest", "")}
