@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from figmill.operators import intervals
+from figmill.operators import fits, intervals
 from figmill.plans import contracts, editability, images
 
 
@@ -49,3 +49,23 @@ def test_contracts_bring_no_table_to_the_driver(spark):
     found = contracts.violations(d)
     assert "Broadcast" not in plan(found)
     assert {tuple(r) for r in found.filter("path = 'b'").collect()} == {("b", "not a manifest", "")}
+
+
+def test_fits_of_many_keys_at_once(spark):
+    rnd = random.Random(14)
+    rows = [(k, n, rnd.uniform(-1, 1), rnd.uniform(-1, 1), rnd.uniform(0, 9)) for k in range(40) for n in range(k % 7 + 1)] + [(99, n, float(n), 0.0, 1.0) for n in range(5)]
+    d = spark.createDataFrame(rows, "k int, patch long, x double, y double, v double")
+    got = fits.affine_fits(d, ["k"])
+    assert "FlatMapGroupsInPandas" not in plan(got)
+    import numpy as np
+
+    for r in got.collect():
+        own = [q for q in rows if q[0] == r.k and q[1] != r.fold]
+        x = np.array([(1, q[2], q[3]) for q in own]).reshape(-1, 3)
+        assert r.rank == (np.linalg.matrix_rank(x) if own else 0)
+        if r.rank == 3:
+            assert (r.c0, r.cx, r.cy) == pytest.approx(tuple(np.linalg.lstsq(x, np.array([q[4] for q in own]), rcond=None)[0]), rel=1e-6, abs=1e-8)
+            assert r.condition == pytest.approx(np.linalg.cond(x))
+        else:
+            assert r.c0 is None and r.cx is None and r.cy is None and r.condition is None
+    assert got.count() == sum(k % 7 + 2 for k in range(40)) + 6
