@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from figmill.operators import intervals, series
+from figmill.operators import graph, intervals, series
 from figmill.operators import patterns as P
 
+EDGES_A_TASK = 5000
 POINTS = 201
 REACH = round(0.12 * POINTS)
 STEPS = 16
@@ -54,20 +57,21 @@ def envelope(segments: DataFrame, keys: list[str], upper: bool = True, points: i
     """(keys, status) and y of each of `points` columns for the edges (x0, y0, x1, y1) of a filled outline, y downward.
 
     The upper envelope is 1 - least y, the lower one the greatest y.  More than two heights at a column, or
-    a column without any, make the outline unsupported.
+    a column without any, make the outline unsupported.  Edges are dealt by key before they become columns, so many to a task.
     """
     n = points - 1
     clip = lambda v: F.greatest(F.lit(0), F.least(F.lit(n), v.cast("int")))
     lo, hi = F.least("x0", "x1"), F.greatest("x0", "x1")
     steep = F.abs(F.col("x1") - F.col("x0")) <= 1e-12
     cols = F.when(steep, F.array(clip(F.floor(lo * n)))).otherwise(F.sequence(clip(F.floor(lo * n)), clip(F.ceil(hi * n))))
-    d = segments.withColumn("i", F.explode(cols)).withColumn("f", F.when(steep, 0.0).otherwise((F.col("i") / n - F.col("x0")) / F.nullif(F.col("x1") - F.col("x0"), F.lit(0.0))))
+    tasks = max(1, math.ceil(segments.count() / EDGES_A_TASK))
+    d = segments.repartition(tasks, *keys).withColumn("i", F.explode(cols)).withColumn("f", F.when(steep, 0.0).otherwise((F.col("i") / n - F.col("x0")) / F.nullif(F.col("x1") - F.col("x0"), F.lit(0.0))))
     d = d.filter((F.col("f") >= -1e-9) & (F.col("f") <= 1 + 1e-9)).withColumn("y", F.when(steep, F.least("y0", "y1")).otherwise(F.col("y0") + F.col("f") * (F.col("y1") - F.col("y0"))))
     g = d.groupBy(*keys, "i").agg(F.min("y").alias("least"), F.max("y").alias("most"), F.count_distinct(F.round("y", 9)).alias("heights"))
     whole = g.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.max("heights").alias("heights"))
     status = F.when(F.col("heights") > 2, "several intervals").when(F.col("n") < points, "frame not covered").otherwise("supported")
     y = (1 - F.col("least")) if upper else F.col("most")
-    return g.join(whole.select(*keys, status.alias("status")), keys).select(*keys, "i", (F.col("i") / n).alias("x"), y.alias("y"), "status")
+    return g.join(graph.dealt(whole.select(*keys, status.alias("status"))), keys).select(*keys, "i", (F.col("i") / n).alias("x"), y.alias("y"), "status")
 
 
 def find_peaks(profile: DataFrame, keys: list[str], prominence: float = 0.08, distance: float = 0.06, smooth: int = 5) -> DataFrame:

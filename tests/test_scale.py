@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from figmill.operators import fits, intervals
-from figmill.plans import contracts, editability, images
+from figmill.plans import contracts, curves, editability, images
 
 
 def plan(df):
@@ -69,3 +69,11 @@ def test_fits_of_many_keys_at_once(spark):
         else:
             assert r.c0 is None and r.cx is None and r.cy is None and r.condition is None
     assert got.count() == sum(k % 7 + 2 for k in range(40)) + 6
+
+
+def test_envelopes_are_spread_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(curves, "EDGES_A_TASK", 10)
+    e = spark.range(100).selectExpr("id AS k", "0d AS x0", "0.5d AS y0", "1d AS x1", "0.25d AS y1")
+    found = curves.envelope(e, ["k"])
+    assert ", 10), REPARTITION_BY_NUM" in plan(found)
+    assert found.count() == 100 * curves.POINTS
