@@ -9,6 +9,7 @@ from figmill.functions import text as T
 from figmill.operators import coverage, graph, masks
 
 KEYS = ["image_id", "y", "x"]
+NEAR = 2  # side of the first cells in which boundaries meet
 
 
 def selector_issues(selectors: DataFrame) -> DataFrame:
@@ -48,8 +49,8 @@ def nearest(a: DataFrame, b: DataFrame, cell: int = 16) -> DataFrame:
 
 def distances(a: DataFrame, b: DataFrame) -> DataFrame:
     """Per image: max and 95th percentile of boundary distances both ways, the direction and place of the worst (first in row order on ties; a to b on equal)."""
-    x, y = masks.boundary(a), masks.boundary(b)
-    both = nearest(x, y).withColumn("way", F.lit(0)).unionByName(nearest(y, x).withColumn("way", F.lit(1)))
+    x, y = graph.cut(masks.boundary(a)), graph.cut(masks.boundary(b))
+    both = nearest(x, y, NEAR).withColumn("way", F.lit(0)).unionByName(nearest(y, x, NEAR).withColumn("way", F.lit(1)))
     g = both.groupBy("image_id", "way").agg(F.max("distance").alias("most"), F.percentile("distance", 0.95).alias("p95"), F.max(F.struct("distance", (-F.col("y")).alias("y"), (-F.col("x")).alias("x"))).alias("worst"))
     top = F.max(F.struct("most", (-F.col("way")).alias("way"), "worst"))
     out = g.groupBy("image_id").agg(F.max("most").alias("boundary_max"), F.max("p95").alias("boundary_p95"), top.alias("t"))

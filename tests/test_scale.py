@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from figmill.operators import fits, intervals
-from figmill.plans import contracts, curves, editability, images
+from figmill.plans import contracts, curves, editability, images, structure
 
 
 def plan(df):
@@ -77,3 +77,11 @@ def test_envelopes_are_spread_by_their_number(spark, monkeypatch):
     found = curves.envelope(e, ["k"])
     assert ", 10), REPARTITION_BY_NUM" in plan(found)
     assert found.count() == 100 * curves.POINTS
+
+
+def test_boundaries_meet_within_two_pixels_first(spark, monkeypatch):
+    asked, plain = [], structure.nearest
+    monkeypatch.setattr(structure, "nearest", lambda a, b, cell=16: (asked.append(cell), plain(a, b, cell))[1])
+    m = lambda at: spark.createDataFrame([("i", y, x) for y in range(at, at + 9) for x in range(at, at + 9)], "image_id string, y int, x int")
+    r = structure.distances(m(0), m(40)).first()
+    assert asked == [2, 2] and r.boundary_max == pytest.approx(40 * 2**0.5) and (r.direction, r.worst_y, r.worst_x) == ("a to b", 0, 0)
