@@ -29,9 +29,19 @@ def nfc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFC", t))
 
 
+# Characters that composition may change or join to the one before: marks, Hangul letters, those that stand for others, and what the JVM doesn't know.
+UNSTABLE = r"\p{M}\p{Cn}\x{374}\x{37e}\x{387}\x{958}-\x{95f}\x{9dc}-\x{9dd}\x{9df}\x{a33}\x{a36}\x{a59}-\x{a5b}\x{a5e}\x{b5c}-\x{b5d}\x{f43}\x{f4d}\x{f52}\x{f57}\x{f5c}\x{f69}\x{1100}-\x{11ff}\x{1f71}\x{1f73}\x{1f75}\x{1f77}\x{1f79}\x{1f7b}\x{1f7d}\x{1fbb}\x{1fbe}\x{1fc9}\x{1fcb}\x{1fd3}\x{1fdb}\x{1fe3}\x{1feb}\x{1fee}-\x{1fef}\x{1ff9}\x{1ffb}\x{1ffd}\x{2000}-\x{2001}\x{2126}\x{212a}-\x{212b}\x{2329}-\x{232a}\x{2adc}\x{a960}-\x{a97f}\x{d7b0}-\x{d7ff}\x{f900}-\x{fa0d}\x{fa10}\x{fa12}\x{fa15}-\x{fa1e}\x{fa20}\x{fa22}\x{fa25}-\x{fa26}\x{fa2a}-\x{fa6d}\x{fa70}-\x{fad9}\x{fb1d}\x{fb1f}\x{fb2a}-\x{fb36}\x{fb38}-\x{fb3c}\x{fb3e}\x{fb40}-\x{fb41}\x{fb43}-\x{fb44}\x{fb46}-\x{fb4e}\x{1d15e}-\x{1d164}\x{1d1bb}-\x{1d1c0}\x{2f800}-\x{2fa1d}"
+
+
+def may_change(text: Column) -> Column:
+    """Whether a text has a character that composition may change."""
+    return text.rlike(f"[{UNSTABLE}]")
+
+
 def match_key(text: Column) -> Column:
-    """A text for comparison: composed, without any white space (all of Unicode's)."""
-    return F.regexp_replace(nfc(F.coalesce(text, F.lit(""))), r"(?U)\s+", "")
+    """A text for comparison: composed, without any white space (all of Unicode's).  Only texts that composition may change go through Python."""
+    whole = F.coalesce(text, F.lit(""))
+    return F.regexp_replace(F.coalesce(nfc(F.when(may_change(whole), whole)), whole), r"(?U)\s+", "")
 
 
 def stripped(text: Column) -> Column:

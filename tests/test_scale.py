@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from figmill.functions import text as T
 from figmill.operators import fits, intervals
 from figmill.plans import contracts, curves, editability, images, structure
 
@@ -85,3 +86,21 @@ def test_boundaries_meet_within_two_pixels_first(spark, monkeypatch):
     m = lambda at: spark.createDataFrame([("i", y, x) for y in range(at, at + 9) for x in range(at, at + 9)], "image_id string, y int, x int")
     r = structure.distances(m(0), m(40)).first()
     assert asked == [2, 2] and r.boundary_max == pytest.approx(40 * 2**0.5) and (r.direction, r.worst_y, r.worst_x) == ("a to b", 0, 0)
+
+
+def test_only_texts_that_may_change_go_through_python(spark):
+    import re
+    import unicodedata
+
+    inside = re.compile("[" + re.sub(r"\\x\{(\w+)\}", lambda m: chr(int(m[1], 16)), T.UNSTABLE.replace(r"\p{M}", "").replace(r"\p{Cn}", "")) + "]")
+    for c in map(chr, range(0x110000)):
+        if unicodedata.category(c)[0] != "M" and unicodedata.category(c) not in ("Cn", "Cs") and not inside.match(c):
+            assert unicodedata.normalize("NFC", c) == c and not unicodedata.combining(c)
+            d = unicodedata.decomposition(c).split()
+            if len(d) == 2 and not d[0].startswith("<"):
+                second = chr(int(d[1], 16))
+                assert unicodedata.category(second)[0] == "M" or inside.match(second)
+    texts = ["plain", "caf\u00e9 \u2019x", "cafe\u0301", "\u212b", "\u1100\u1161", "q\u0323\u0307 q\u0307\u0323", None, "\uac00\u11a8", "x\U0002f800"]
+    d = spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.match_key(F.col("t")).alias("k")).collect()
+    assert all(r.k == re.sub(r"\s+", "", unicodedata.normalize("NFC", r.t or "")) for r in d)
+    assert spark.createDataFrame([(t,) for t in texts], "t string").filter(T.may_change(F.col("t"))).count() == 6
