@@ -104,3 +104,9 @@ def test_only_texts_that_may_change_go_through_python(spark):
     d = spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.match_key(F.col("t")).alias("k")).collect()
     assert all(r.k == re.sub(r"\s+", "", unicodedata.normalize("NFC", r.t or "")) for r in d)
     assert spark.createDataFrame([(t,) for t in texts], "t string").filter(T.may_change(F.col("t"))).count() == 6
+
+
+def test_neighbours_are_added_up_within_tiles(spark):
+    d = spark.range(40_000).selectExpr("1 AS image_id", "int(id / 200) AS y", "int(id % 200) AS x", "int(id * 7919 % 256) AS v").repartition(40)
+    for found in (images.edges(d, 200, 200), images.worst_window(d, 4)):
+        assert "REPARTITION_BY_COL" in plan(found)
