@@ -6,8 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from figmill.functions import text as T
-from figmill.operators import fits, intervals
-from figmill.plans import contracts, curves, editability, images, structure
+from figmill.operators import fits, grid, intervals
+from figmill.plans import clearance, contracts, curves, editability, images, structure
 
 
 def plan(df):
@@ -110,3 +110,17 @@ def test_neighbours_are_added_up_within_tiles(spark):
     d = spark.range(40_000).selectExpr("1 AS image_id", "int(id / 200) AS y", "int(id % 200) AS x", "int(id * 7919 % 256) AS v").repartition(40)
     for found in (images.edges(d, 200, 200), images.worst_window(d, 4)):
         assert "REPARTITION_BY_COL" in plan(found)
+
+
+@pytest.mark.parametrize("piece", [3, 512])
+def test_boxes_meet_in_pieces(spark, monkeypatch, piece):
+    monkeypatch.setattr(grid, "PIECE", piece)
+    monkeypatch.setattr(grid, "FOUND", 50)
+    rnd = random.Random(6)
+    rows = [(rnd.choice("pq"), k, f"n{k % 9}", rnd.uniform(0, 30), rnd.uniform(0, 90), rnd.choice([0.0, 1.0, 9.0]), rnd.uniform(0, 4)) for k in range(200)] + [("p", None, "n", 0.0, 0.0, 99.0, 99.0), ("p", 300, None, 0.0, 0.0, 50.0, 2.0)]
+    found = clearance.box_pairs(spark.createDataFrame(rows, "slide string, ord int, name string, x double, y double, w double, h double"), 0.5)
+    assert "Broadcast" not in plan(found)
+    over = lambda a, b, k: min(a[k] + a[k + 2] + 0.5, b[k] + b[k + 2] + 0.5) > max(a[k], b[k]) + clearance.EPS
+    whole = [r for r in rows if r[1] is not None]
+    want = [(a[0], a[2], b[2]) for a in whole for b in whole if a[0] == b[0] and a[1] < b[1] and over(a, b, 3) and over(a, b, 4)]
+    assert sorted(map(str, found.collect())) == sorted(str(r) for r in spark.createDataFrame(want, "slide string, a string, b string").collect()) and len(want) > 100
