@@ -58,3 +58,22 @@ def test_rings(spark, keys):
 
 def test_nothing(spark):
     assert rings.rings(spark.createDataFrame([], "k string, y int, x int"), ["k"]).collect() == []
+
+
+def test_rings_within_tiles_need_no_rounds(spark, monkeypatch):
+    """Rings of one tile are whole at once; those over tiles, with rows below zero, are ranked by chains."""
+    seen, plain = [], rings._ranked
+    monkeypatch.setattr(rings, "_ranked", lambda on: (seen.append(on.count()), plain(on))[1])
+    rnd = random.Random(4)
+    cells = {(y, x) for y in range(-70, 70) for x in range(-5, 140) if rnd.random() < 0.6}
+    for shape, rounds in (({(y, x) for y, x in cells if 0 <= y < 60 and 0 <= x < 60}, False), (cells, True)):
+        seen.clear()
+        got = {}
+        for r in sorted(rings.rings(spark.createDataFrame([("i", *c) for c in shape], "k string, y int, x int"), ["k"]).collect(), key=lambda r: r.place):
+            got.setdefault(r.ring, []).append((r.y, r.x, r.y1, r.x1, r.corner))
+        assert sorted([v[:2] for v in ring] for ring in got.values()) == walked(shape)
+        for v in got.values():
+            assert all(a[2:4] == b[:2] for a, b in zip(v, v[1:] + v[:1]))
+            way = [(a[2] - a[0], a[3] - a[1]) for a in v]
+            assert [a[4] for a in v] == [way[i] != way[i - 1] for i in range(len(v))]
+        assert bool(seen) == rounds and (not rounds or seen[0] < sum(map(len, got.values())) / 4)
