@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from figmill.functions import text as T
@@ -10,6 +10,7 @@ from figmill.functions.numeric import rotated_bounds
 from figmill.operators import graph, patterns
 
 TOLERANCE, AREA = 12700, 0.8
+PIECE = 256  # objects of one box and outline that are held together
 
 
 def bounds(x: Column, y: Column, w: Column, h: Column, degrees: Column) -> Column:
@@ -27,16 +28,22 @@ def out_of_bounds(objects: DataFrame, tolerance: float = TOLERANCE) -> DataFrame
 def duplicate_borders(objects: DataFrame, keys: list[str], tolerance: float = TOLERANCE) -> DataFrame:
     """(keys, a, b): pairs with one outline (width and colour) whose four box values differ by at most the tolerance, in paint order.
 
-    A pair meets in a cell of the left upper corner, twice the tolerance wide; one side asks in the four that it may reach.
+    Equal boxes are compared once, in pieces of at most PIECE objects: two pieces meet in a cell of the left upper corner, twice the
+    tolerance wide, and one side asks in the four that it may reach; pairs are written out only from pieces that are near.
     """
     wide = 2 * tolerance + 1
+    same = [*keys, "line_width", "line_color", "b"]
     d = objects.filter("line_width is not null").select(*keys, "ord", "name", "line_width", "line_color", bounds(*(F.col(c) for c in ("x_emu", "y_emu", "w_emu", "h_emu", "rotation_deg"))).alias("b"))
+    d = d.withColumn("piece", F.floor((F.row_number().over(Window.partitionBy(*same).orderBy("ord")) - 1) / PIECE))
+    d = graph.cut(d.groupBy(*same, "piece").agg(F.collect_list(F.struct("ord", "name")).alias("held")))
     at = lambda c, by: F.floor((F.col(f"b.{c}") + by) / wide)
     cells = F.array_distinct(F.array(*(F.struct(at("x", i).alias("cx"), at("y", j).alias("cy")) for i in (-tolerance, tolerance) for j in (-tolerance, tolerance))))
-    l = d.select(*keys, "line_width", "line_color", F.col("ord").alias("ao"), F.col("name").alias("a"), F.col("b").alias("ab"), F.inline(cells))
-    r = d.withColumn("cx", at("x", 0)).withColumn("cy", at("y", 0)).withColumnRenamed("name", "bn")
+    l = d.select(*keys, "line_width", "line_color", F.col("held").alias("aheld"), F.col("b").alias("ab"), F.inline(cells))
+    r = d.withColumn("cx", at("x", 0)).withColumn("cy", at("y", 0))
     near = [F.abs(F.col(f"ab.{c}") - F.col(f"b.{c}")) <= tolerance for c in "xywh"]
-    return l.join(r, [*keys, "line_width", "line_color", "cx", "cy"]).filter((F.col("ao") < F.col("ord")) & near[0] & near[1] & near[2] & near[3]).select(*keys, "a", F.col("bn").alias("b"))
+    met = l.join(graph.dealt(r), [*keys, "line_width", "line_color", "cx", "cy"]).filter(near[0] & near[1] & near[2] & near[3])
+    one = met.select(*keys, F.explode("aheld").alias("l"), "held")
+    return one.select(*keys, "l", F.explode("held").alias("r")).filter("l.ord < r.ord").select(*keys, F.col("l.name").alias("a"), F.col("r.name").alias("b"))
 
 
 def text_findings(runs: DataFrame, keys: list[str]) -> DataFrame:

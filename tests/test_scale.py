@@ -124,3 +124,14 @@ def test_boxes_meet_in_pieces(spark, monkeypatch, piece):
     whole = [r for r in rows if r[1] is not None]
     want = [(a[0], a[2], b[2]) for a in whole for b in whole if a[0] == b[0] and a[1] < b[1] and over(a, b, 3) and over(a, b, 4)]
     assert sorted(map(str, found.collect())) == sorted(str(r) for r in spark.createDataFrame(want, "slide string, a string, b string").collect()) and len(want) > 100
+
+
+@pytest.mark.parametrize("piece", [2, 256])
+def test_equal_borders_are_compared_once(spark, monkeypatch, piece):
+    monkeypatch.setattr(editability, "PIECE", piece)
+    rows = [("s", k, f"n{k}", 100 * (k % 4), 0, 10, 10 + k % 2, 0.0, 1, "c") for k in range(80)]
+    d = spark.createDataFrame([*rows, ("s", None, "x", 0, 0, 10, 10, 0.0, 1, "c")], "slide string, ord int, name string, x_emu long, y_emu long, w_emu long, h_emu long, rotation_deg double, line_width int, line_color string")
+    found = editability.duplicate_borders(d, ["slide"], 5)
+    assert "Broadcast" not in plan(found) and "explode(aheld" in plan(found)
+    want = sorted((a[2], b[2]) for a in rows for b in rows if a[1] < b[1] and all(abs(a[k] - b[k]) <= 5 for k in (3, 4, 5, 6)))
+    assert sorted((r.a, r.b) for r in found.collect()) == want and len(want) == 4 * 190
