@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from figmill.functions import text as T
 from figmill.operators import fits, grid, intervals
 from figmill.plans import clearance, contracts, curves, editability, images, structure
+from figmill.sources import vectors
 
 
 def plan(df):
@@ -135,3 +136,14 @@ def test_equal_borders_are_compared_once(spark, monkeypatch, piece):
     assert "Broadcast" not in plan(found) and "explode(aheld" in plan(found)
     want = sorted((a[2], b[2]) for a in rows for b in rows if a[1] < b[1] and all(abs(a[k] - b[k]) <= 5 for k in (3, 4, 5, 6)))
     assert sorted((r.a, r.b) for r in found.collect()) == want and len(want) == 4 * 190
+
+
+def test_equal_drawings_are_read_once(spark, monkeypatch):
+    seen, plain = [], vectors.nodes.xml
+    monkeypatch.setattr(vectors.nodes, "xml", lambda docs, *rest: (seen.append(docs.count()), plain(docs, *rest))[1])
+    svg = lambda w: f'<svg viewBox="0 0 9 9"><rect width="{w}" height="3"/></svg>'
+    d = spark.createDataFrame([(f"p{k}", svg(k % 3)) for k in range(30)] + [("none", None), ("none2", None), ("bad", "<svg"), ("p1", svg(1))], "path string, content string")
+    got = [(r.path, r.rule, r.commands is None, r.sha256 is None) for r in vectors.parts(d).collect()]
+    assert seen == [4]
+    want = [(f"p{k}", None if k % 3 else "a rectangle has no size", k % 3 == 0, False) for k in [*range(30), 1]] + [("none", "no content", True, True), ("none2", "no content", True, True), ("bad", "not XML", True, False)]
+    assert sorted(map(str, got)) == sorted(map(str, want))
