@@ -10,6 +10,8 @@ them alone.  Directions are refined in rounds, and one last pass looks at every
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import mul
 
 import numpy as np
 import pandas as pd
@@ -23,6 +25,7 @@ from figmill.operators.fits import in_box
 STOPS = tuple(range(4, 17))
 ROUNDS = ((10.0, 1.0), (1.0, 0.1))  # reach and step of angles around the best so far, after every 10 degrees
 PLACES, CODES = 100_000, 255
+POWERS = np.add.outer(np.arange(3), np.arange(3))  # of s, in products of two polynomials
 STOP = "array<struct<position: double, r: int, g: int, b: int, alpha: double>>"
 
 
@@ -56,7 +59,7 @@ def _sums(seen: DataFrame, candidates: DataFrame, model: str) -> DataFrame:
     tried = candidates.groupBy("image_id").agg(F.collect_list(F.struct("count", "angle")).alias("c"))
     d = _between(seen.join(tried, "image_id").select(*seen.columns, F.inline("c")), _place(F.lit(model)))
     s = F.col("s")
-    power = lambda v, top: F.array(*(F.sum(v * F.pow(s, F.lit(float(j)))) for j in range(top + 1)))
+    power = lambda v, top: F.array(*(F.sum(reduce(mul, [s] * j, v)) for j in range(top + 1)))  # noqa: E731  pow() would take most of the time
     own = [power(F.lit(1.0), 4).alias("s"), power(F.col("va"), 1).alias("a"), F.sum(F.col("va") * F.col("va")).alias("aa")]
     own += [x for c in "rgb" for x in (power(F.col(f"v{c}"), 2).alias(c), F.sum(F.col(f"v{c}") * F.col(f"v{c}")).alias(2 * c))]
     per = d.groupBy("image_id", "count", "angle", "k").agg(*own)
@@ -75,13 +78,10 @@ def solved(count: int, parts: list) -> tuple[np.ndarray, np.ndarray, float] | No
         """Gram matrix and moments of the stops' weights times a polynomial a part; target(part): sums of what is fitted by powers of s."""
         gram, moment = np.zeros((count, count)), np.zeros(count)
         for p in parts:
-            for i, u in enumerate(ends):
-                u = times(u, weight(p))
-                t = np.asarray(target(p), float)
-                moment[p["k"] + i] += u[: len(t)] @ t[: len(u)]
-                for j, v in enumerate(ends):
-                    w = times(u, times(v, weight(p)))
-                    gram[p["k"] + i, p["k"] + j] += w @ np.asarray(p["s"], float)[: len(w)]
+            u = np.array([times(e, weight(p)) for e in ends])
+            at, top, t = slice(p["k"], p["k"] + len(ends)), u.shape[1], np.asarray(target(p), float)[: u.shape[1]]
+            moment[at] += u[:, : len(t)] @ t
+            gram[at, at] += u @ np.asarray(p["s"], float)[POWERS[:top, :top]] @ u.T
         return gram, moment
 
     gram, moment = system(lambda p: [1.0], lambda p: p["a"])

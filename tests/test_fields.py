@@ -87,3 +87,12 @@ def test_least_squares_in_a_box():
         assert found and v.min() >= 0 and v.max() <= 1
         slope, slack = moment - gram @ v, 1e-6 * np.abs(moment).max()
         assert (np.abs(slope[(v > 0) & (v < 1)]) <= slack).all() and (slope[v == 0] <= slack).all() and (slope[v == 1] >= -slack).all()
+
+
+def test_sums_take_no_powers(spark):
+    """Powers of the share are products of it, and a fit's systems come from few products of small matrices."""
+    d = spark.createDataFrame([("i", 0, x, 0.5, 0.25, 0.25, 0.25, 0.0, 0.0, 4.0, 1.0) for x in range(4)], "image_id string, y int, x int, va double, vr double, vg double, vb double, bx double, by double, bw double, bh double")
+    found = fields._sums(d, spark.createDataFrame([("i", 2, 0.0)], "image_id string, count int, angle double"), "linear")
+    assert "POWER(" not in found._jdf.queryExecution().executedPlan().toString().upper()
+    s = (np.arange(4) + 0.5) / 4
+    assert found.first().parts[0].s == pytest.approx([(s**j).sum() for j in range(5)]) and found.first().parts[0].a == pytest.approx([2.0, s.sum() / 2])
