@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -43,6 +44,11 @@ def dealt(df: DataFrame) -> DataFrame:
     return df.hint("merge")
 
 
+def tasks(rows: int, a_task: int) -> int:
+    """How many tasks rows are dealt to by their number, where the session's own number of partitions would let a task grow with the input."""
+    return max(8, math.ceil(rows / a_task))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, component) of every node of the edges (a, b); component is the least id that they reach."""
     nodes = edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct()

@@ -54,14 +54,24 @@ def paint_order(nodes: DataFrame, edges: DataFrame, key: str) -> DataFrame:
     return marked.groupBy(key).cogroup(cols.groupBy(key)).applyInPandas(order, f"`{key}` {kind[key]}, id {kind['id']}, position long, reason string")
 
 
+MEMBERS_A_TASK = 250_000
+PLACES = 100_000  # of a large group that are counted together
+
+
 def contiguous(members: DataFrame, order: DataFrame, key: str) -> DataFrame:
     """(key, group, members, first, contiguous) of members (key, group, id): whether each group is a run of the paint order.
 
-    A member that the order doesn't have makes its group not contiguous; so does one that is listed twice.
+    A member that the order doesn't have makes its group not contiguous; so does one that is listed twice.  Members are dealt
+    by their number, so a task's share doesn't grow with them; a large group is counted in pieces of PLACES places.
     """
-    m = members.join(order.select(key, "id", "position"), [key, "id"], "left")
-    run = (F.max("position") - F.min("position") + 1 == F.count(F.lit(1))) & (F.count("position") == F.count(F.lit(1))) & (F.count_distinct("position") == F.count(F.lit(1)))
-    return m.groupBy(key, "group").agg(F.count(F.lit(1)).alias("members"), F.min("position").alias("first"), F.coalesce(run, F.lit(False)).alias("contiguous"))
+    n = graph.tasks(members.count(), MEMBERS_A_TASK)
+    place = order.select(key, "id", "position").repartition(n, key, "id")
+    m = members.repartition(n, key, "id").join(graph.dealt(place), [key, "id"], "left").withColumn("piece_", F.floor(F.col("position") / PLACES))
+    own = m.repartition(n, key, "group", "piece_").groupBy(key, "group", "piece_", "position").agg(F.count(F.lit(1)).alias("n_"))
+    piece = own.groupBy(key, "group", "piece_").agg(F.sum("n_").alias("members"), F.count("position").alias("places_"), F.min("position").alias("first"), F.max("position").alias("last_"))
+    g = piece.repartition(n, key, "group").groupBy(key, "group").agg(F.sum("members").alias("members"), F.sum("places_").alias("places_"), F.min("first").alias("first"), F.max("last_").alias("last_"))
+    run = (F.col("last_") - F.col("first") + 1 == F.col("members")) & (F.col("places_") == F.col("members"))
+    return g.select(key, "group", "members", "first", F.coalesce(run, F.lit(False)).alias("contiguous"))
 
 
 FAN = 64

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from figmill.functions import numeric as N
 from figmill.functions import text as T
-from figmill.operators import coverage, fields, flood, intervals, masks, patterns, scenes, series
+from figmill.operators import coverage, fields, flood, graph, intervals, masks, patterns, scenes, series
 from figmill.plans import clearance, connectors, curves, editability, grammar, images, manifest, rollup, routes, structure, texts, typography
 from figmill.plans.registry import derived, query, table
 from figmill.sources import vectors
@@ -691,7 +691,9 @@ def rectangle_areas(spark, sf_dir):
 @query('SELECT k, "group", count(*) AS members, min(p) AS first, max(p) - min(p) + 1 = count(*) AS contiguous FROM (SELECT l_orderkey AS k, l_returnflag AS "group", row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity, l_linenumber) AS p FROM {one}) t GROUP BY k, "group"', one=ONE)
 def group_contiguity(spark, sf_dir):
     """Whether each return flag's lines are a run of the order by quantity."""
-    l = derived(spark, sf_dir, ONE).select(F.col("l_orderkey").alias("k"), F.col("l_returnflag").alias("group"), F.col("l_linenumber").alias("id"), F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_quantity", "l_linenumber")).alias("position"))
+    lines = table(spark, sf_dir, "lineitem")
+    one = spark.sql(ONE, lineitem=lines.repartition(graph.tasks(lines.count(), scenes.MEMBERS_A_TASK), "l_orderkey"))
+    l = graph.cut(one.select(F.col("l_orderkey").alias("k"), F.col("l_returnflag").alias("group"), F.col("l_linenumber").alias("id"), F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_quantity", "l_linenumber")).alias("position")))
     return scenes.contiguous(l.select("k", "group", "id"), l.select("k", "id", "position"), "k")
 
 

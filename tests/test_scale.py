@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from figmill.functions import text as T
-from figmill.operators import fits, grid, intervals
+from figmill.operators import fits, grid, intervals, scenes
 from figmill.plans import clearance, contracts, curves, editability, images, structure
 from figmill.sources import vectors
 
@@ -147,3 +147,24 @@ def test_equal_drawings_are_read_once(spark, monkeypatch):
     assert seen == [4]
     want = [(f"p{k}", None if k % 3 else "a rectangle has no size", k % 3 == 0, False) for k in [*range(30), 1]] + [("none", "no content", True, True), ("none2", "no content", True, True), ("bad", "not XML", True, False)]
     assert sorted(map(str, got)) == sorted(map(str, want))
+
+
+def test_groups_are_dealt_by_the_number_of_members(spark, monkeypatch):
+    monkeypatch.setattr(scenes, "MEMBERS_A_TASK", 10)
+    monkeypatch.setattr(scenes, "PLACES", 7)
+    rnd = random.Random(24)
+    ids = [(k, i) for k in "pq" for i in range(60)]
+    place = {a: a[1] + (a[1] > 50) for a in ids} | {("q", 7): 8, ("q", 9): None}
+    members = [(k, i // 10 if k == "p" else rnd.randrange(40), i) for k, i in ids] + [("p", 2, 25), ("q", 99, 5), ("q", 99, 5), ("p", 98, 777), (None, 1, 1), ("p", None, 3)]
+    known = spark.createDataFrame([(*a, p) for a, p in place.items()] + [("p", 59, 61)], "k string, id int, position long")
+    found = scenes.contiguous(spark.createDataFrame(members * 2, "k string, group int, id int").distinct().unionByName(spark.createDataFrame([("q", 99, 5)], "k string, group int, id int")), known, "k")
+    assert plan(found).count(", 13), REPARTITION_BY_NUM") >= 4  # 125 members, 10 to a task
+    places = {**{a: [p] for a, p in place.items()}, ("p", 59): [60, 61]}
+    want = {}
+    for k, group, i in [*set(members), ("q", 99, 5)]:
+        want.setdefault((k, group), []).extend(places.get((k, i), [None]))
+    for at, own in want.items():
+        real = [p for p in own if p is not None]
+        want[at] = (len(own), min(real, default=None), len(set(real)) == len(own) == max(real) - min(real) + 1 if real else False)
+    assert {(r.k, r.group): (r.members, r["first"], r.contiguous) for r in found.collect()} == want
+    assert {c for *_, c in want.values()} == {True, False}
