@@ -25,6 +25,7 @@ from figmill.operators.fits import in_box
 STOPS = tuple(range(4, 17))
 ROUNDS = ((10.0, 1.0), (1.0, 0.1))  # reach and step of angles around the best so far, after every 10 degrees
 PLACES, CODES = 100_000, 255
+TILE = 256  # side of the squares of pixels that are dealt to tasks
 POWERS = np.add.outer(np.arange(3), np.arange(3))  # of s, in products of two polynomials
 STOP = "array<struct<position: double, r: int, g: int, b: int, alpha: double>>"
 
@@ -51,13 +52,25 @@ def _observed(pixels: DataFrame, boxes: DataFrame, colour: bool = True, alpha: b
     """Pixels with their box, alpha `va` and colour times alpha; without colour or alpha, that part counts as full."""
     a = F.col("a") / 255 if alpha else F.lit(1.0)
     shade = [(F.col(c) / 255 if colour else F.lit(1.0)) * a for c in "rgb"]
-    return pixels.select("image_id", "y", "x", a.alias("va"), *(v.alias(f"v{c}") for v, c in zip(shade, "rgb", strict=True))).join(boxes.select("image_id", "bx", "by", "bw", "bh"), "image_id")
+    return pixels.select("image_id", "y", "x", a.alias("va"), *(v.alias(f"v{c}") for v, c in zip(shade, "rgb", strict=True))).join(graph.dealt(boxes.select("image_id", "bx", "by", "bw", "bh")), "image_id")
+
+
+def _with_own(seen: DataFrame, own: DataFrame) -> DataFrame:
+    """seen, a row for each entry of its image's array `c` in own (image_id, c).
+
+    Pixels compress to so little that Spark would take them all to the driver; they are shuffled by image and tile, and a
+    tile takes the array once.
+    """
+    pixels = seen.select("*", *(F.coalesce(F.floor(F.col(c) / TILE), F.lit(0)).alias(f"t{c}") for c in "yx"))
+    at = ["image_id", "ty", "tx"]
+    tiles = pixels.select(*at).distinct().join(graph.dealt(own), "image_id")
+    return pixels.join(graph.dealt(tiles), at).select(*seen.columns, F.inline("c"))
 
 
 def _sums(seen: DataFrame, candidates: DataFrame, model: str) -> DataFrame:
     """(image_id, count, angle, parts) of candidates (image_id, count, angle): the sums between each two stops, a row a candidate."""
     tried = candidates.groupBy("image_id").agg(F.collect_list(F.struct("count", "angle")).alias("c"))
-    d = _between(seen.join(tried, "image_id").select(*seen.columns, F.inline("c")), _place(F.lit(model)))
+    d = _between(_with_own(seen, tried), _place(F.lit(model)))
     s = F.col("s")
     power = lambda v, top: F.array(*(F.sum(reduce(mul, [s] * j, v)) for j in range(top + 1)))  # noqa: E731  pow() would take most of the time
     own = [power(F.lit(1.0), 4).alias("s"), power(F.col("va"), 1).alias("a"), F.sum(F.col("va") * F.col("va")).alias("aa")]
@@ -163,7 +176,7 @@ def _best(seen: DataFrame, model: str, counts) -> DataFrame:
 def _painted(seen: DataFrame, fits: DataFrame, model: str) -> DataFrame:
     """seen, a row for each fit of the image, with the fit's `fa` and `fr`, `fg`, `fb` (not times alpha) at the pixel."""
     own = fits.groupBy("image_id").agg(F.collect_list(F.struct("count", "angle", *(F.col(c).alias(f"{c}_") for c in (*"rgb", "alpha")))).alias("c"))
-    d = _between(seen.join(own, "image_id").select(*seen.columns, F.inline("c")), _place(F.lit(model)))
+    d = _between(_with_own(seen, own), _place(F.lit(model)))
     at = lambda c: F.get(c, F.col("k")) + F.coalesce(F.get(c, F.col("k") + 1) - F.get(c, F.col("k")), F.lit(0.0)) * F.col("s")
     return d.select(*seen.columns, "count", at("alpha_").alias("fa"), *(at(f"{c}_").alias(f"f{c}") for c in "rgb"))
 
@@ -187,8 +200,8 @@ def field(pixels: DataFrame, boxes: DataFrame, model: str, counts=STOPS, max_err
     best = _best(seen, model, counts)
     off = _painted(seen, best, model).groupBy("image_id", "count").agg(F.max(_error(F.col("fa"), [F.col(f"f{c}") for c in "rgb"])).alias("error"))
     order = F.struct(F.when(F.col("error") <= max_error, F.col("count")).otherwise(1 << 30).alias("n"), F.when(F.col("error") > max_error, F.col("error")).otherwise(0.0).alias("e"), "count", "angle", "error", *"rgb", "alpha")
-    top = best.join(off, ["image_id", "count"]).groupBy("image_id").agg(F.min(order).alias("m")).select("image_id", "m.*")
-    j = seen.select("image_id").distinct().join(top, "image_id", "left")
+    top = best.join(graph.dealt(off), ["image_id", "count"]).groupBy("image_id").agg(F.min(order).alias("m")).select("image_id", "m.*")
+    j = seen.select("image_id").distinct().join(graph.dealt(top), "image_id", "left")
     return j.select("image_id", F.lit(model).alias("model"), "count", "angle", "error", F.coalesce(F.col("error") <= max_error, F.lit(False)).alias("fits"), _stops(F.col("count"), [F.col(c) for c in "rgb"], F.col("alpha")).cast(STOP).alias("stops"))
 
 
@@ -205,4 +218,4 @@ def independent(pixels: DataFrame, boxes: DataFrame, colour_model: str, alpha_mo
     pair = _painted(painted, alpha, alpha_model).withColumnRenamed("count", "alpha_count")
     off = pair.groupBy("image_id", "colour_count", "alpha_count").agg(F.max(_error(F.col("fa"), [F.col(f"c{c}") for c in "rgb"])).alias("error"))
     top = off.filter(F.col("error") <= max_error).groupBy("image_id").agg(F.min(F.struct((F.col("colour_count") + F.col("alpha_count")).alias("n"), "colour_count", "alpha_count", "error")).alias("m"))
-    return both.select("image_id").distinct().join(top, "image_id", "left").select("image_id", "m.colour_count", "m.alpha_count", "m.error")
+    return both.select("image_id").distinct().join(graph.dealt(top), "image_id", "left").select("image_id", "m.colour_count", "m.alpha_count", "m.error")

@@ -5,6 +5,8 @@ import math
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from figmill.operators import fields, fits
 
 
@@ -96,3 +98,17 @@ def test_sums_take_no_powers(spark):
     assert "POWER(" not in found._jdf.queryExecution().executedPlan().toString().upper()
     s = (np.arange(4) + 0.5) / 4
     assert found.first().parts[0].s == pytest.approx([(s**j).sum() for j in range(5)]) and found.first().parts[0].a == pytest.approx([2.0, s.sum() / 2])
+
+
+def test_fields_bring_no_table_to_the_driver(spark, tmp_path, monkeypatch):
+    """Not when they find the stops, nor when they look at every pixel; an image of several tiles is one image."""
+    monkeypatch.setattr(fields, "TILE", 8)
+    spark.range(3 * 400).selectExpr("id % 3 AS image_id", "int(id / 3) % 20 AS y", "int(id / 60) AS x", "int(id / 60) * 8 + 20 AS r", "7 AS g", "100 AS b", "255 AS a").write.parquet(f"{tmp_path}/pixels")
+    pixels = spark.read.parquet(f"{tmp_path}/pixels")
+    boxes = pixels.groupBy("image_id").agg(*(F.lit(v).alias(n) for n, v in (("bx", 0.0), ("by", 0.0), ("bw", 20.0), ("bh", 20.0))))
+    ran, cut = [], fields.graph.cut
+    monkeypatch.setattr(fields.graph, "cut", lambda d: (ran.append(d._jdf.queryExecution().executedPlan().toString()), cut(d))[1])
+    found = fields.field(pixels, boxes, "linear", counts=(2,))
+    ran.append(found._jdf.queryExecution().executedPlan().toString())
+    assert len(ran) == 5 and all("Broadcast" not in p for p in ran)
+    assert sorted((r.image_id, r["count"], r.fits, sorted(s.r for s in r.stops)) for r in found.collect()) == [(k, 2, True, [16, 176]) for k in range(3)]
