@@ -39,6 +39,18 @@ def test_band_pairs(spark):
     assert sorted(tuple(r) for r in found.collect()) == want
 
 
+@pytest.mark.parametrize("piece", [7, 512])
+def test_band_pairs_compare_equal_values_once(spark, monkeypatch, piece):
+    """Only pieces of equal values are joined; their pairs are written out after that."""
+    monkeypatch.setattr(intervals, "SAME", piece, raising=False)
+    rows = [("p", k % 60, [0.0, -0.0, 1.0, 1.125, 2.0][k % 5]) for k in range(100)]
+    found = intervals.band_pairs(spark.createDataFrame(rows, "g string, k int, v double"), ["g"], "k", "v", 0.5)
+    want = sorted((min(a[1], b[1]), max(a[1], b[1]), abs(a[2] - b[2])) for i, a in enumerate(rows) for b in rows[:i] if a[1] != b[1] and abs(a[2] - b[2]) <= 0.5)
+    assert sorted(tuple(r) for r in found.collect()) == want
+    above, below = plan(found).split("SortMergeJoin", 1)
+    assert above.count("Generate explode") >= 2 and "collect_list" in below
+
+
 def test_points_of_small_polygons_need_no_cells(spark, monkeypatch):
     monkeypatch.setattr(grid, "edge_distances", lambda *_: pytest.fail("cells"))
     p = spark.createDataFrame([(1, 1.0, 1.0), (1, 5.0, 1.0), (1, 2.0, 1.0), (2, 0.0, 0.0), (1, float("nan"), 1.0)], "id int, px double, py double")
