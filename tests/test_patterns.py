@@ -1,6 +1,7 @@
 """The pattern join against trying every pattern on every name."""
 
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -64,3 +65,25 @@ def test_matches_bring_no_table_to_the_driver(spark, tmp_path):
     held = P.containing(names.selectExpr("name AS text"), asked.selectExpr("substr(pattern, 2) AS literal"))
     assert held.count() == 300
     assert "Broadcast" not in held._jdf.queryExecution().executedPlan().toString()
+
+
+def test_patterns_go_by_their_rarest_literal(spark, monkeypatch):
+    """Not by the longest, which all names may hold, and by whole numbers of digits; beginnings count as beginnings."""
+    tried = spark.sparkContext.accumulator(0)
+    like = F.udf(lambda name, pattern: (tried.add(1), re.search(pattern, name) is not None)[1], "boolean")
+    names = spark.createDataFrame([(f"part#{k}-size{k % 50}",) for k in range(10_000, 12_000)], "name string")
+    asked = [f"^part.?{k}" for k in range(10_000, 10_200)] + [f"{k}$" for k in range(10_000, 10_100)] + [f"^part#{k}-" for k in range(11_000, 11_200)] + ["^size4", "^part#11999-size49$"]
+    patterns = spark.createDataFrame([(v,) for v in asked], "pattern string")
+    want = {(p, n.name) for n in names.collect() for p in asked if re.search(p, n.name)}
+    monkeypatch.setattr(P.F, "regexp_like", lambda name, pattern: like(F.col(name), pattern))
+    found = P.matches(names, patterns).collect()
+    assert len(found) == len(want) == 401 and {tuple(r) for r in found} == want
+    assert tried.value <= 600
+
+
+def test_long_beginnings_and_chunks(spark, monkeypatch):
+    monkeypatch.setattr(P, "CHUNK", 64)
+    monkeypatch.setattr(P, "HELD", 10)
+    names = ["https://example.org/a/long/path/of/many/parts/" + f"{k}é{k % 7}" for k in range(300)] + ["", "x", "xx"]
+    got, want = pairs(spark, names, [f"^https://example.org/a/long/path/of/many/parts/{k}é" for k in range(0, 300, 7)] + ["^x", "^é", "^x$", "é3$"])
+    assert got == want and len(want) > 80
